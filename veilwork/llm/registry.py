@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, license_scan, mixing
 
 QUERIES = {
+    "op4_license_scan": license_scan.op4_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
 }
 
 SQL = {
+    "op4_license_scan": license_scan.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_mixing": mixing.SQL,
 }
