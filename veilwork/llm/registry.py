@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing
+from . import exact_dedup, jaccard_join, license_scan, mixing
 
 QUERIES = {
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op4_license_scan": license_scan.op4_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
