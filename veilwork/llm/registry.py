@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, license_scan, mixing
+from . import embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing
 
 QUERIES = {
+    "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op4_license_scan": license_scan.op4_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
@@ -12,6 +13,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op7_embedding_dedup": embedding_dedup.SQL,
     "op4_license_scan": license_scan.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_mixing": mixing.SQL,
