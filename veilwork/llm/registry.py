@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing
+from . import embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing, sentencepiece_dropout
 
 QUERIES = {
+    "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op4_license_scan": license_scan.op4_license_scan,
