@@ -2,9 +2,20 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, jaccard_join, license_scan, mixing, sentencepiece_dropout
+from . import (
+    embedding_dedup,
+    exact_dedup,
+    jaccard_join,
+    license_scan,
+    mixing,
+    sentencepiece_dropout,
+    token_counts,
+    toxicity,
+)
 
 QUERIES = {
+    "op8_token_counts": token_counts.op8_token_counts,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
     "op7_embedding_dedup": embedding_dedup.op7_embedding_dedup,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
