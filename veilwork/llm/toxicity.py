@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentence scores joined by noisy-or, trained from document labels.
 
-A sentence's score is sigmoid(b + sum of the weights of its distinct words and word beginnings in the vocabulary), 0 without such a word; a document's is
+A sentence's score is sigmoid(b + sum of the weights of its distinct words in the vocabulary), 0 without such a word; a document's is
 1 - (1 - leak) * product(1 - sentence score). Vocabulary: words much more frequent in toxic training documents, found with Spark over the training rows.
 Training reads at most `sample` labelled rows (by hash of the id; rows of equal text once), never held-out ones (crc32(id) % 5 = 0); every whole text is scored.
 
@@ -22,13 +22,6 @@ from .common import materialise, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
-STEMS = (5, 6, 7)  # a word's beginnings of these lengths count beside the word, as "begin*"
-
-
-def features(words) -> set[str]:
-    """Distinct words and their beginnings."""
-    found = set(words)
-    return found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in STEMS))
 
 
 def held_out(id_col) -> F.Column:
@@ -43,15 +36,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     return materialise(rows.dropDuplicates(["text"]))
 
 
-def choose_words(rows: DataFrame, most: int, least: int = 5) -> list[str]:
+def choose_words(rows: DataFrame, most: int, least: int = 4) -> list[str]:
     """At most `most` words that toxic rows hold at least three times as often, by z of the log odds."""
     total = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     pos, neg = float(total[0]), float(total[1] - total[0])
     if not pos or not neg:
         return []
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))
-    stems = [F.transform(F.filter(words, lambda w, n=n: F.length(w) > n), lambda w, n=n: F.concat(F.substring(w, 1, n), F.lit("*"))) for n in STEMS]
-    stats = rows.select("toxic", F.explode(F.array_distinct(F.concat(words, *stems))).alias("word")).groupBy("word").agg(
+    stats = rows.select("toxic", F.explode(words).alias("word")).groupBy("word").agg(
         F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n")).where(F.col("p") >= least)
     a, b = F.col("p") + 0.5, F.col("n") + 0.5
     odds = F.log(a / (pos + 1) / (b / (neg + 1)))
@@ -62,11 +54,11 @@ def choose_words(rows: DataFrame, most: int, least: int = 5) -> list[str]:
 def sentence_hits(text: str | None, index: dict[str, int]) -> list[tuple[int, int, list[int]]]:
     """(start, stop, vocabulary numbers) of the sentences that hold a vocabulary word."""
     low = (text or "").lower()
-    if index.keys().isdisjoint(features(WORDS.findall(low))):
+    if index.keys().isdisjoint(WORDS.findall(low)):
         return []
     out = []
     for m in SENTENCE.finditer(text):
-        found = sorted({index[w] for w in features(WORDS.findall(m[0].lower())) if w in index})
+        found = sorted({index[w] for w in WORDS.findall(m[0].lower()) if w in index})
         if found:
             out.append((m.start(), m.end(), found))
     return out
