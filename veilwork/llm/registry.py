@@ -5,15 +5,19 @@ from __future__ import annotations
 from . import (
     embedding_dedup,
     exact_dedup,
+    html_text,
     jaccard_join,
     license_scan,
     mixing,
+    quality,
     sentencepiece_dropout,
     token_counts,
     toxicity,
 )
 
 QUERIES = {
+    "op6_quality": quality.op6_quality,
+    "op10_html_text": html_text.op10_html_text,
     "op8_token_counts": token_counts.op8_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op1_sentencepiece": sentencepiece_dropout.op1_sentencepiece,
