@@ -1,6 +1,60 @@
+"""The training corpus pipeline: quality, exact dedup, near dedup, mixture, token ids.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept and returns a DataFrame; run() writes each result as Parquet in
+the shared folder and reads it again for the next. All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilwork.llm import exact_dedup, jaccard_join, mixing, quality, sentencepiece_dropout
+from veilwork.llm.common import materialise, table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by five-word shingles at similarity 0.8 stays."""
+    return jaccard_join.one_per_group(docs, shingle=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mixture takes it: not at all, once or twice."""
+    taken = mixing.mix(docs).where("taken").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copy")
+    taken = materialise(taken.distinct())
+    same = docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"])
+    return docs.join(taken, same).select(*[docs[c] for c in docs.columns])
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every text beside its columns."""
+    return sentencepiece_dropout.encode_column(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("n-gram Jaccard join", near_stage),
+    ("mixing sources", mixing_stage),
+    ("SentencePiece encoding", encoding_stage),
+]
+
+#: The classifier and the encoding have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return None
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
