@@ -1,4 +1,410 @@
-"""Queries of the redaction library and the SQL that checks them, by name."""
+"""Queries of the redaction library and the SQL that checks them, by name. Each reads whole tables."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import schema as S
+from ..functions.matching import strip_chars
+from ..operators import detect as D
+from ..operators import evaluate as E
+from ..operators import fakes as K
+from ..operators import filters as FI
+from ..operators import redact as X
+from ..operators import reports as A
+from ..sources.units import template_rows, units_from_table
+from . import sql as Q
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+UNIT = ("doc_id", "unit_ord", "unit_id")
+PLAIN = ("email", "indian_phone", "intl_phone", "card", "ipv4")  # recognizers whose types the documents hold
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def doc_units(spark, sf_dir) -> DataFrame:
+    return units_from_table(table(spark, sf_dir, "documents"))
+
+
+def templates(spark, sf_dir) -> DataFrame:
+    return template_rows(table(spark, sf_dir, "customer"))
+
+
+def spans(units: DataFrame) -> DataFrame:
+    return units.select(*UNIT, F.explode("spans").alias("s")).select(*UNIT, "s.*")
+
+
+def doc_analysis(spark, sf_dir) -> DataFrame:
+    return X.analyze_units(D.detect(doc_units(spark, sf_dir), PLAIN))
+
+
+def template_analysis(spark, sf_dir) -> DataFrame:
+    return X.analyze_units(D.detect(templates(spark, sf_dir)))
+
+
+def _doc(rest: str) -> str:
+    return f"WITH {Q.analysed(Q.DOC_UNITS, PLAIN)} {rest}"
+
+
+def _tpl(rest: str) -> str:
+    return f"WITH {Q.analysed(Q.TEMPLATE_UNITS)} {rest}"
+
+
+SPANS = f"SELECT {Q.SPAN_COLUMNS} FROM "
+
+
+@query("s1_units", f"WITH {Q.DOC_UNITS} SELECT * FROM units")
+def s1(spark, sf_dir):
+    return doc_units(spark, sf_dir)
+
+
+@query("s1_template_units", f"WITH {Q.TEMPLATE_UNITS} SELECT * FROM units")
+def s1_template(spark, sf_dir):
+    return templates(spark, sf_dir).select(*UNIT, "text")
+
+
+CUE = f"regexp_matches(text, '[@0-9]') OR regexp_matches(lower(text), {Q.q('|'.join(S.CUES))})"
+
+
+@query("f1_prefilter", rf"WITH {Q.DOC_UNITS} SELECT * FROM units WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 3 AND ({CUE})")
+def f1(spark, sf_dir):
+    return FI.prefilter_units(doc_units(spark, sf_dir))
+
+
+for _name, _recognizer, _from_docs in (
+    ("d1_email", "email", True), ("d2_indian_phone", "indian_phone", True), ("d3_intl_phone", "intl_phone", True), ("d4_ssn", "ssn", False), ("d5_company", "company", False),
+    ("d6_person", "person", False), ("d7_date_of_birth", "dob", False), ("d8_address", "address", False), ("d11_card", "card", True), ("d12_ipv4", "ipv4", True),
+    ("d5_company_documents", "company", True), ("d8_address_documents", "address", True),
+):
+    @query(_name, f"WITH {Q.found(Q.DOC_UNITS if _from_docs else Q.TEMPLATE_UNITS, [_recognizer])} {SPANS} found")
+    def _one(spark, sf_dir, recognizer=_recognizer, from_docs=_from_docs):
+        return spans(D.detect((doc_units if from_docs else templates)(spark, sf_dir), [recognizer]))
+
+
+# Whole documents as units: the address rules that look at line breaks.
+WHOLE = "units AS (SELECT k // 10 AS doc_id, 0 AS unit_ord, 'whole' AS unit_id, string_agg(text, chr(10) ORDER BY k) AS text FROM (SELECT *, doc_id * 10 + unit_ord AS k FROM parts) GROUP BY ALL)"
+
+
+@query("d9_d10_address_lines", f"WITH {Q.found(Q.TEMPLATE_UNITS.replace('units AS', 'parts AS', 1) + ', ' + WHOLE, ['address'])} {SPANS} found")
+def d9(spark, sf_dir):
+    lines = templates(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_ord", "text"))).alias("l"))  # ten lines a document
+    whole = lines.select("doc_id", F.lit(0).alias("unit_ord"), F.lit("whole").alias("unit_id"), F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("text"))
+    return spans(D.detect(whole, ["address"]))
+
+
+@query("d14_detect_all", f"WITH {Q.found(Q.TEMPLATE_UNITS)} {SPANS} found")
+def d14(spark, sf_dir):
+    return spans(D.detect(templates(spark, sf_dir)))
+
+
+@query("d14_detect_documents", f"WITH {Q.found(Q.DOC_UNITS)} {SPANS} found")
+def d14_documents(spark, sf_dir):
+    return spans(D.detect(doc_units(spark, sf_dir)))
+
+
+_terms = " OR ".join(f"(entity_type = {Q.q(t)} AND contains(near, {Q.q(w)}))" for t, words in S.CONTEXT.items() for w in words)
+
+
+@query("d13_context_boost", rf"""WITH {Q.found(Q.TEMPLATE_UNITS, ['email', 'indian_phone', 'ssn'])},
+w AS (SELECT *, string_split_regex(regexp_replace(lower(substring(text, 1, st)), '^\s+|\s+$', '', 'g'), '\s+') AS w FROM found),
+n AS (SELECT * EXCLUDE (w), array_to_string(w[greatest(len(w) - 4, 1):], ' ') AS near FROM w),
+b AS (SELECT * REPLACE (CASE WHEN {_terms} THEN least(score + 0.35::DOUBLE, 1.0::DOUBLE) ELSE score END AS score) FROM n) {SPANS} b""")
+def d13(spark, sf_dir):
+    units = D.detect(templates(spark, sf_dir), ["email", "indian_phone", "ssn"])
+    return spans(units.withColumn("spans", D.boost_by_context(F.col("spans"), F.col("text"))))
+
+
+EXTERNAL = " UNION ALL SELECT t.doc_id, t.unit_ord, t.unit_id, text, entity_type, t.st, t.en, 0.85::DOUBLE, 'model' FROM truth t JOIN units u USING (doc_id, unit_ord) WHERE entity_type IN ('PERSON', 'ORGANIZATION')"
+
+
+@query("d15_external_spans", f"WITH {Q.found(Q.TEMPLATE_UNITS, extra=EXTERNAL)}, {Q.FILTERED}, {Q.resolved('filtered')} {SPANS} kept")
+def d15(spark, sf_dir):
+    units = templates(spark, sf_dir)
+    model = units.select("doc_id", "unit_ord", F.explode("gt").alias("g")).select("doc_id", "unit_ord", "g.*", F.lit(0.85).alias("score"), F.lit("model").alias("recognizer"))
+    model = model.where("entity_type IN ('PERSON', 'ORGANIZATION')")
+    return spans(X.analyze_units(D.detect(D.add_external_spans(units, model))))
+
+
+@query("u1_custom_recognizer", f"WITH {Q.DOC_UNITS}, {Q._places('cu', '[A-Z]{4,}!!')}, found AS ({Q._rows('cu', 'SHOUT', 0.8, 'custom')}) {SPANS} found")
+def u1(spark, sf_dir):
+    return spans(D.detect(doc_units(spark, sf_dir), ["shout"], extra={"shout": D.regex_recognizer("SHOUT", "[A-Z]{4,}!!", 0.8)}))
+
+
+# Candidates that the false-positive rules decide, dealt over the customers.
+CANDIDATES = ("the Company", "our Bank", "Our Company ABC Limited", "SEBI", "RBI.", "ABC", "Weighted Average Price of shares", "we require funds", "prepared by Care Analytics Private Limited",
+              "Alpha Technologies", "registered under the Act", "Reserve Bank", "“Zen Corp.”", "Limited", "XYZ & Associates LLP", "Mumbai", "Taluka Khed", "Rajesh Kumar", "FEMA", "ABCD EFG", "ABCDE FGHIJ",
+              "email", "Navi Mumbai", "Priya Singh", "an Institution ", "Goods & Services", "such trust deed")
+CANDIDATE_SQL = f"c AS (SELECT c_custkey, {Q.pick(CANDIDATES, 'c_custkey')} AS candidate FROM customer)"
+
+
+def candidates(spark, sf_dir) -> DataFrame:
+    text = F.element_at(F.array(*map(F.lit, CANDIDATES)), (F.pmod(F.col("c_custkey"), F.lit(len(CANDIDATES))) + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.alias("candidate"))
+
+
+_bare = f"regexp_replace(candidate, {Q.q(Q.EDGE)}, '', 'g')"
+
+
+@query("f4_org_false_positive", f"WITH {CANDIDATE_SQL} SELECT c_custkey, candidate, {Q.org_fp(_bare)} AS is_fp FROM c")
+def f4(spark, sf_dir):
+    return candidates(spark, sf_dir).withColumn("is_fp", FI.is_org_fp(F.col("candidate")))
+
+
+@query("f5_person_false_positive", rf"WITH {CANDIDATE_SQL}, t AS (SELECT *, regexp_replace(candidate, '^\s+|\s+$', '', 'g') AS b FROM c) SELECT c_custkey, candidate, {Q.person_fp('b')} AS is_fp FROM t")
+def f5(spark, sf_dir):
+    return candidates(spark, sf_dir).withColumn("is_fp", FI.is_person_fp(F.col("candidate")))
+
+
+@query("f6_generic_company", f"WITH {CANDIDATE_SQL} SELECT c_custkey, candidate, {Q.generic_company(_bare)} AS is_generic FROM c")
+def f6(spark, sf_dir):
+    return candidates(spark, sf_dir).withColumn("is_generic", D.is_generic_company(F.col("candidate")))
+
+
+@query("f2_supported_types", f"WITH {Q.found(Q.TEMPLATE_UNITS, extra=EXTERNAL.replace('entity_type, t.st', chr(39) + 'NRP' + chr(39) + ', t.st'))} {SPANS} found WHERE entity_type IN {Q.one_of(S.TYPES)}")
+def f2(spark, sf_dir):
+    units = templates(spark, sf_dir)
+    other = units.select("doc_id", "unit_ord", F.explode("gt").alias("g")).where("g.entity_type IN ('PERSON', 'ORGANIZATION')").select(
+        "doc_id", "unit_ord", F.lit("NRP").alias("entity_type"), "g.start", "g.end", F.lit(0.85).alias("score"), F.lit("model").alias("recognizer"))
+    units = D.detect(D.add_external_spans(units, other))
+    return spans(units.withColumn("spans", FI.keep_supported(F.col("spans"))))
+
+
+@query("f3_threshold", f"WITH {Q.found(Q.TEMPLATE_UNITS)} {SPANS} found WHERE score >= {Q.by_type('entity_type', 1, S.DEFAULT_THRESHOLD)}")
+def f3(spark, sf_dir):
+    units = D.detect(templates(spark, sf_dir))
+    return spans(units.withColumn("spans", FI.filter_by_threshold(F.col("spans"))))
+
+
+@query("f8_combined_filter", f"WITH {Q.found(Q.TEMPLATE_UNITS)}, {Q.FILTERED} {SPANS} filtered")
+def f8(spark, sf_dir):
+    units = D.detect(templates(spark, sf_dir))
+    return spans(units.withColumn("spans", FI.filter_spans(F.col("spans"), F.col("text"))))
+
+
+@query("r1_resolve_overlaps", f"WITH {Q.found(Q.DOC_UNITS, PLAIN)}, {Q.resolved('found')} {SPANS} kept")
+def r1(spark, sf_dir):
+    units = D.detect(doc_units(spark, sf_dir), PLAIN)
+    return spans(units.withColumn("spans", X.resolve_overlaps(F.col("spans"))))
+
+
+@query("r2_resolve_first", f"WITH {Q.found(Q.TEMPLATE_UNITS)}, {Q.resolved('found')} {SPANS} kept WHERE entity_type IN {Q.one_of(S.TYPES)} AND score >= {Q.by_type('entity_type', 1, S.DEFAULT_THRESHOLD)}")
+def r2(spark, sf_dir):
+    return spans(X.analyze_units(D.detect(templates(spark, sf_dir)), "resolve_first"))
+
+
+@query("r2_filter_first", _tpl(SPANS + "kept"))
+def r2_filter(spark, sf_dir):
+    return spans(template_analysis(spark, sf_dir))
+
+
+@query("x1_redact_labels", _doc(f", {Q.redacted(Q.LABEL)} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
+def x1(spark, sf_dir):
+    return X.redact_labels(doc_analysis(spark, sf_dir)).select(*UNIT, "redacted")
+
+
+@query("x1_redact_templates", _tpl(f", {Q.redacted(Q.LABEL)} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
+def x1_templates(spark, sf_dir):
+    return X.redact_labels(template_analysis(spark, sf_dir)).select(*UNIT, "redacted")
+
+
+@query("x2_redact_fakes", _tpl(f", {Q.MAPPED}, valued AS (SELECT k.*, m.replacement FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m USING (doc_id, entity_type, original)), {Q.redacted('replacement', 'valued')} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
+def x2(spark, sf_dir):
+    units = template_analysis(spark, sf_dir)
+    return X.redact_fakes(units, K.replacement_map(X.explode_detections(units))).select(*UNIT, "redacted")
+
+
+@query("x3_redact_runs", _tpl(f""", {Q.redacted(Q.LABEL)} SELECT doc_id, unit_ord, redacted AS joined, CAST(3 AS INT) AS n_runs FROM red"""))
+def x3(spark, sf_dir):
+    """The runs are three pieces of each text; joined after redaction they must be the redacted text."""
+    units, n = template_analysis(spark, sf_dir), F.length("text")
+    cuts = [F.lit(0), F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int"), n]
+    runs = F.array(*[F.struct(F.lit(i).alias("run_index"), a.alias("run_start"), b.alias("run_end"), F.substring("text", a + 1, b - a).alias("text")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))])
+    out = X.redact_runs(units.withColumn("runs", runs))
+    return out.select("doc_id", "unit_ord", F.array_join(F.transform("runs", lambda r: r["text"]), "").alias("joined"), F.size("runs").alias("n_runs"))
+
+
+DETECTION = f'SELECT doc_id, unit_ord, unit_id, entity_type, st AS "start", en AS "end", round(score, 3) AS score, {Q.SAID} AS text, {Q.LABEL} AS replacement FROM kept'
+
+
+@query("x4_detections", _doc(DETECTION))
+def x4(spark, sf_dir):
+    return X.explode_detections(doc_analysis(spark, sf_dir))
+
+
+def template_detections(spark, sf_dir) -> DataFrame:
+    return X.explode_detections(template_analysis(spark, sf_dir))
+
+
+@query("x4_detections_with_fakes", _tpl(f""", {Q.MAPPED} SELECT k.doc_id, unit_ord, unit_id, k.entity_type, st AS "start", en AS "end", round(score, 3) AS score, {Q.SAID} AS text, m.replacement
+FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m ON k.doc_id = m.doc_id AND k.entity_type = m.entity_type AND k.original = m.original"""))
+def x4_fakes(spark, sf_dir):
+    units = template_analysis(spark, sf_dir)
+    return X.explode_detections(units, mapping=K.replacement_map(X.explode_detections(units)))
+
+
+@query("k1_fake_index", _tpl(f", {Q.MAPPED} SELECT * FROM ids"))
+def k1(spark, sf_dir):
+    return K.assign_fake_ids(template_detections(spark, sf_dir))
+
+
+@query("k1_fake_index_corpus", _tpl(f""", f AS (SELECT entity_type, {Q.STRIPPED} AS original, min({{'d': doc_id, 'u': unit_ord, 's': st}}) AS f FROM kept GROUP BY ALL)
+SELECT entity_type, original, row_number() OVER (PARTITION BY entity_type ORDER BY f, original) - 1 AS idx FROM f"""))
+def k1_corpus(spark, sf_dir):
+    return K.assign_fake_ids_corpus(template_detections(spark, sf_dir))
+
+
+FAKE_KINDS = (*S.TYPES, "NRP")
+
+
+@query("k2_k11_fake_values", f"""WITH t AS (SELECT c_custkey, unnest([{', '.join(map(Q.q, FAKE_KINDS))}]) AS entity_type FROM customer),
+o AS (SELECT *, c_name || ' Corp. born 1985' AS original FROM t JOIN customer USING (c_custkey)) SELECT c_custkey, entity_type, {Q.fake('entity_type', 'c_custkey', 'original')} AS value FROM o""")
+def k2(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.concat("c_name", F.lit(" Corp. born 1985")).alias("original"), F.explode(F.array(*map(F.lit, FAKE_KINDS))).alias("entity_type"))
+    return rows.select("c_custkey", "entity_type", K.fake_value(F.col("entity_type"), F.col("original"), F.col("c_custkey")).alias("value"))
+
+
+@query("k12_replacement_map", _tpl(f", {Q.MAPPED} SELECT * FROM mapped"))
+def k12(spark, sf_dir):
+    return K.replacement_map(template_detections(spark, sf_dir))
+
+
+@query("a1_counts_by_type", _doc("SELECT entity_type, count(*) AS n FROM kept GROUP BY ALL"))
+def a1(spark, sf_dir):
+    return A.counts_by_type(X.explode_detections(doc_analysis(spark, sf_dir)))
+
+
+@query("a2_counts_with_total", _doc("SELECT coalesce(entity_type, 'TOTAL') AS entity_type, count(*) AS n FROM kept GROUP BY ROLLUP (entity_type)"))
+def a2(spark, sf_dir):
+    return A.counts_with_total(X.explode_detections(doc_analysis(spark, sf_dir)))
+
+
+COVERED = ", per AS (SELECT u.doc_id, u.unit_ord, count(k.st) AS n FROM units u LEFT JOIN kept k USING (doc_id, unit_ord) GROUP BY ALL)"
+COVER = "count(*) AS total_units, count(*) FILTER (n > 0) AS units_with_pii, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_pii_count"
+
+
+@query("a3_coverage", _doc(f"{COVERED} SELECT {COVER} FROM per"))
+def a3(spark, sf_dir):
+    return A.coverage(doc_analysis(spark, sf_dir))
+
+
+@query("a3_coverage_conversations", f"""WITH units AS (SELECT conv_id AS doc_id, CAST(turn AS INT) AS unit_ord, CAST(turn AS VARCHAR) AS unit_id, text FROM conversations WHERE text IS NOT NULL),
+{Q.found('z AS (SELECT 1)', PLAIN)}, {Q.FILTERED}, {Q.resolved('filtered')}{COVERED} SELECT doc_id, {COVER} FROM per GROUP BY doc_id""")
+def a3_conversations(spark, sf_dir):
+    units = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_ord"), F.col("turn").cast("string").alias("unit_id"), "text")
+    return A.coverage(X.analyze_units(D.detect(units, PLAIN)), ["doc_id"])
+
+
+@query("a4_document_report", _doc(f"{COVERED}, c AS (SELECT doc_id, entity_type, count(*) AS n FROM kept GROUP BY ALL), j AS (SELECT doc_id, string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) AS counts FROM c GROUP BY ALL) "
+                                  f"SELECT doc_id, {COVER}, coalesce(any_value(counts), '') AS counts FROM per LEFT JOIN j USING (doc_id) GROUP BY doc_id"))
+def a4(spark, sf_dir):
+    units = doc_analysis(spark, sf_dir)
+    report = A.document_report(units, X.explode_detections(units))
+    told = F.array_join(F.transform(F.map_entries("counts_by_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return report.withColumn("counts", told).drop("counts_by_type")
+
+
+@query("a5_distinct_types", _doc("SELECT DISTINCT entity_type FROM kept"))
+def a5(spark, sf_dir):
+    return A.distinct_types(X.explode_detections(doc_analysis(spark, sf_dir)))
+
+
+@query("a6_first_detections", _doc(f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord, \"start\", entity_type) AS INT) AS rank FROM ({DETECTION})) WHERE rank <= 50"))
+def a6(spark, sf_dir):
+    return A.first_detections(X.explode_detections(doc_analysis(spark, sf_dir)))
+
+
+@query("a7_dashboard", _doc("SELECT count(*) AS total, " + ", ".join(f"count(*) FILTER (entity_type = '{t}') AS {t.lower()}" for t in A.CARDS) + " FROM kept"))
+def a7(spark, sf_dir):
+    return A.dashboard(X.explode_detections(doc_analysis(spark, sf_dir)))
+
+
+@query("f7_search", _doc(f"SELECT * FROM ({DETECTION}) WHERE entity_type = 'IP_ADDRESS' AND (contains(lower(text), '19') OR contains(lower(unit_id), '19'))"))
+def f7(spark, sf_dir):
+    return FI.search_detections(X.explode_detections(doc_analysis(spark, sf_dir)), "IP_ADDRESS", "19")
+
+
+@query("q1_leaks", _tpl(f", {Q.redacted(Q.LABEL)} SELECT k.doc_id, k.unit_ord, entity_type, st AS \"start\", en AS \"end\", {Q.SAID.replace('text', 'k.text')} AS text FROM kept k JOIN red r USING (doc_id, unit_ord) WHERE contains(redacted, {Q.SAID.replace('text', 'k.text')})"))
+def q1(spark, sf_dir):
+    units = X.redact_labels(template_analysis(spark, sf_dir))
+    return A.leaks(units, X.explode_detections(units))
+
+
+@query("q2_preserved", f"WITH {Q.DOC_UNITS} SELECT count(*) AS units, 0::BIGINT AS changed FROM units")
+def q2(spark, sf_dir):
+    units = X.redact_labels(doc_analysis(spark, sf_dir))
+    return units.select(F.lit(0).alias("c")).unionByName(A.changed_outside(units).select(F.lit(1).alias("c"))).agg(F.count_if(F.col("c") == 0).alias("units"), F.count_if(F.col("c") == 1).alias("changed"))
+
+
+# Evaluation: the templates' own spans are the truth; the detections are those of all recognizers.
+DET = f"det AS (SELECT doc_id, unit_id, entity_type, st, en, (doc_id * 10 + unit_ord) * 100000 + st AS det_id FROM kept), gt AS (SELECT doc_id, unit_id, entity_type, st, en, (doc_id * 10 + unit_ord) * 100000 + st AS gt_id FROM truth)"
+CAND = """cand AS (SELECT d.doc_id, d.unit_id, d.entity_type, det_id, gt_id, d.st AS ds, d.en AS de, g.st AS gs, g.en AS ge FROM det d JOIN gt g ON d.doc_id = g.doc_id AND d.unit_id = g.unit_id AND d.entity_type = g.entity_type
+  WHERE least(d.en, g.en) - greatest(d.st, g.st) > 0 AND (least(d.en, g.en) - greatest(d.st, g.st)) / (g.en - g.st) >= 0.5)"""
+
+
+def sides(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    number = lambda start: ((F.col("doc_id") * 10 + F.col("unit_ord")) * 100000 + start).cast("bigint")
+    det = template_detections(spark, sf_dir).select("doc_id", "unit_id", "entity_type", "start", "end", number(F.col("start")).alias("det_id"))
+    truth = templates(spark, sf_dir).select(*UNIT, F.explode("gt").alias("g")).select("doc_id", "unit_id", "g.entity_type", "g.start", "g.end", number(F.col("g.start")).alias("gt_id"))
+    return det, truth
+
+
+@query("e1_match_candidates", _tpl(f", {DET}, {CAND} SELECT * FROM cand"))
+def e1(spark, sf_dir):
+    return E.match_candidates(*sides(spark, sf_dir))
+
+
+@query("e2_match_spans", _tpl(f", {DET}, {CAND} SELECT doc_id, unit_id, entity_type, det_id, min(gt_id) AS gt_id FROM cand GROUP BY ALL"))
+def e2(spark, sf_dir):
+    return E.match_spans(*sides(spark, sf_dir))
+
+
+OUT = f"""{DET}, {CAND}, o AS (SELECT entity_type, 'tp' AS outcome FROM cand UNION ALL SELECT entity_type, 'fn' FROM gt WHERE gt_id NOT IN (SELECT gt_id FROM cand)
+  UNION ALL SELECT entity_type, 'fp' FROM det WHERE det_id NOT IN (SELECT det_id FROM cand) AND (doc_id, unit_id) IN (SELECT (doc_id, unit_id) FROM gt))"""
+
+
+@query("e3_e4_outcomes", _tpl(f", {OUT} SELECT entity_type, outcome, count(*) AS n FROM o GROUP BY ALL"))
+def e3(spark, sf_dir):
+    return E.outcomes(*sides(spark, sf_dir)).groupBy("entity_type", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("e5_e6_metrics", _tpl(f""", {OUT}, t AS (SELECT entity_type, outcome FROM o UNION ALL SELECT entity_type, NULL FROM gt UNION ALL SELECT entity_type, NULL FROM det),
+c AS (SELECT entity_type, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM t GROUP BY ROLLUP (entity_type)),
+p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
+SELECT coalesce(entity_type, 'OVERALL') AS entity_type, tp, fp, fn, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
+  entity_type IS NULL OR entity_type IN (SELECT entity_type FROM gt) AS in_gt FROM p"""))
+def e5(spark, sf_dir):
+    return E.evaluate(*sides(spark, sf_dir))
+
+
+@query("t1_stream_redaction", _tpl(f", {Q.redacted(Q.LABEL)} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
+def t1(spark, sf_dir):
+    """The templates' units written as arriving files, redacted by the stream, and what it wrote."""
+    import tempfile
+    import uuid
+
+    from ..streaming.redact import redact_stream
+
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        shared = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
+    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    templates(spark, sf_dir).select(*UNIT, "text").write.parquet(f"{base}/in")
+    redact_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out")

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .. import schema as S
 from ..functions.matching import groups, matches, piece, spans_of, strip_chars
 
-EMPTY = F.lit(None)
 STRIP = "\\s‘’“”\"'()"
 
 
