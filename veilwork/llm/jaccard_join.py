@@ -214,7 +214,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     members = materialise(members.join(materialise(blocks), "family").withColumn("block", F.pmod(F.xxhash64("class"), "blocks")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     # One row per class even if rows repeat an id: of rows with that id only texts of the class's own set count.
-    wanted = texts.join(members, texts["id"] == members["first_id"])
+    wanted = texts.join(members.hint("merge"), texts["id"] == members["first_id"])  # one plan at every size
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -253,7 +253,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of docs, all columns, with one document of each group of linked documents: that of the smallest id."""
     gone = similar_groups(docs, id_col, text_col, shingle, percent).where("doc_id <> component_id")
     gone = materialise(gone.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
 
 
 def op5_jaccard_join(spark, sf_dir):
