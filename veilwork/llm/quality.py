@@ -146,7 +146,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.35) -> DataFr
     """The rows of docs, all columns, that the classifier does not reject; rows without an id stay."""
     bad = score_documents(docs, train(docs, labels)).where((F.col("score") < least) & F.col("doc_id").isNotNull())
     bad = materialise(bad.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(bad, docs["doc_id"] == bad["__gone"], "left_anti")
+    return docs.join(bad.hint("merge"), docs["doc_id"] == bad["__gone"], "left_anti")
 
 
 def op6_quality(spark, sf_dir):
