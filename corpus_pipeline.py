@@ -33,7 +33,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     taken = mixing.mix(docs).where("taken").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copy")
     taken = materialise(taken.distinct())
     same = docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"])
-    return docs.join(taken, same).select(*[docs[c] for c in docs.columns])
+    return docs.join(taken.hint("merge"), same).select(*[docs[c] for c in docs.columns])
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
