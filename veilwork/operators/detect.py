@@ -155,7 +155,7 @@ def function_recognizer(find: Callable[[str], list[tuple[str, int, int, float]]]
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else [{"entity_type": k, "start": a, "end": b, "score": float(s), "recognizer": name} for k, a, b, s in find(t)])
 
-    return F.pandas_udf(run, S.SPANS)
+    return F.pandas_udf(run, S.SPANS, F.PandasUDFType.SCALAR)
 
 
 def add_external_spans(units: DataFrame, found: DataFrame, keys: Sequence[str] = ("doc_id", "unit_ord")) -> DataFrame:
