@@ -47,7 +47,7 @@ def templates(spark, sf_dir) -> DataFrame:
 
 
 def spans(units: DataFrame) -> DataFrame:
-    return units.select(*UNIT, F.explode("spans").alias("s")).select(*UNIT, "s.*")
+    return X.one_per_span(units, UNIT).select(*UNIT, "s.*")
 
 
 def doc_analysis(spark, sf_dir) -> DataFrame:
@@ -225,7 +225,7 @@ def x1_templates(spark, sf_dir):
 
 @query("x2_redact_fakes", _tpl(f", {Q.MAPPED}, valued AS (SELECT k.*, m.replacement FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m USING (doc_id, entity_type, original)), {Q.redacted('replacement', 'valued')} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
 def x2(spark, sf_dir):
-    units = template_analysis(spark, sf_dir)
+    units = template_analysis(spark, sf_dir).persist()  # read three times; lost blocks are computed again
     return X.redact_fakes(units, K.replacement_map(X.explode_detections(units))).select(*UNIT, "redacted")
 
 
@@ -254,7 +254,7 @@ def template_detections(spark, sf_dir) -> DataFrame:
 @query("x4_detections_with_fakes", _tpl(f""", {Q.MAPPED} SELECT k.doc_id, unit_ord, unit_id, k.entity_type, st AS "start", en AS "end", round(score, 3) AS score, {Q.SAID} AS text, m.replacement
 FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m ON k.doc_id = m.doc_id AND k.entity_type = m.entity_type AND k.original = m.original"""))
 def x4_fakes(spark, sf_dir):
-    units = template_analysis(spark, sf_dir)
+    units = template_analysis(spark, sf_dir).persist()
     return X.explode_detections(units, mapping=K.replacement_map(X.explode_detections(units)))
 
 

@@ -48,6 +48,11 @@ def label(s: Column) -> Column:
     return S.of_type(s["entity_type"], 0, F.concat(F.lit("[REDACTED: "), s["entity_type"], F.lit("]")))
 
 
+def one_per_span(units: DataFrame, columns) -> DataFrame:
+    """columns and s, one row per span. A plain explode() would have the optimizer test the array's size below it and so detect twice."""
+    return units.select(*columns, F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
+
+
 def redact_labels(units: DataFrame, text_col: str = "text") -> DataFrame:
     """A column redacted."""
     return units.withColumn("redacted", replaced(F.col(text_col), F.col("spans"), label))
@@ -56,7 +61,7 @@ def redact_labels(units: DataFrame, text_col: str = "text") -> DataFrame:
 def redact_fakes(units: DataFrame, mapping: DataFrame, scope: Sequence[str] = ("doc_id",), keys: Sequence[str] = ("doc_id", "unit_ord"), text_col: str = "text") -> DataFrame:
     """A column redacted with the values of mapping (scope, entity_type, original, replacement); spans it lacks keep their text."""
     keys = list(dict.fromkeys([*keys, *scope]))
-    found = units.select(*keys, text_col, F.explode("spans").alias("s")).select(
+    found = one_per_span(units, [*keys, text_col]).select(
         *keys, F.col("s.start").alias("start"), F.col("s.entity_type").alias("entity_type"), strip_chars(piece(F.col(text_col), F.col("s.start"), F.col("s.end"))).alias("original"))
     values = found.join(mapping.select(*scope, "entity_type", "original", "replacement"), [*scope, "entity_type", "original"])
     per = values.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("start", "replacement"))).alias("__by"))  # a unit's own spans
@@ -87,8 +92,8 @@ def redact_runs(units: DataFrame, value=label) -> DataFrame:
 
 def explode_detections(units: DataFrame, keys: Sequence[str] = ("doc_id", "unit_ord", "unit_id"), text_col: str = "text", mapping: DataFrame | None = None, scope: Sequence[str] = ("doc_id",)) -> DataFrame:
     """One row per span: keys, entity_type, start, end, score (3 places), text, replacement (label, or the mapping's value)."""
-    rows = units.select(*keys, F.col(text_col).alias("__text"), F.explode("spans").alias("s"))
-    rows = rows.select(*keys, "s.entity_type", "s.start", "s.end", F.round("s.score", 3).alias("score"), piece(F.col("__text"), F.col("s.start"), F.col("s.end")).alias("text"), label(F.col("s")).alias("replacement"))
+    rows = one_per_span(units, dict.fromkeys([*keys, text_col])).select(
+        *keys, "s.entity_type", "s.start", "s.end", F.round("s.score", 3).alias("score"), piece(F.col(text_col), F.col("s.start"), F.col("s.end")).alias("text"), label(F.col("s")).alias("replacement"))
     if mapping is None:
         return rows
     values = mapping.select(*scope, "entity_type", F.col("original").alias("__original"), F.col("replacement").alias("__value"))
