@@ -29,6 +29,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op5_jaccard_join": jaccard_join.SQL,
     "op7_embedding_dedup": embedding_dedup.SQL,
     "op4_license_scan": license_scan.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
