@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,8 @@ from .common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+NONE = 1 << 62
+MASK = (1 << 32) - 1
 _loaded: dict[str, Pieces] = {}
 
 
@@ -47,6 +50,30 @@ class Pieces:
         self.id = {p: i for i, p in enumerate(self.text) if not model.is_byte(i) and i not in self.special}
         self.rank = {p: int(-model.get_score(i)) for p, i in self.id.items() if len(p) > 1}
         self.value = {i: b for b, i in self.bytes.items()}
+        self.lines_apart = not any("\n" in p for p in self.id)
+
+        self.line_end = array("i", self.bytes_of("\n")).tobytes()
+        self.single = np.full(0x110000, -2, np.int64)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.single[ord(p)] = i
+        pairs = {}
+        for p, r in self.rank.items():
+            for c in range(1, len(p)):
+                a, b = self.id.get(p[:c]), self.id.get(p[c:])
+                if a is not None and b is not None:
+                    pairs[a * len(self.text) + b] = (r, self.id[p])
+        self.pair_keys = np.array(sorted(pairs), np.int64)
+        self.pair_values, self.pair_ids = np.array([pairs[k] for k in sorted(pairs)], np.int64).reshape(-1, 2).T.copy()
+
+    def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of the merge of each pair of ids, NONE where there is none or an id is negative."""
+        key = np.where((a >= 0) & (b >= 0), a * len(self.text) + b, -1)
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where(self.pair_keys[at] == key, self.pair_values[at], NONE)
+
+    def bytes_of(self, text: str) -> list[int]:
+        return [self.bytes[b] for b in text.encode("utf-8", "surrogatepass")]
 
 
 def pieces(path: str) -> Pieces:
@@ -55,17 +82,6 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
-NONE = 1 << 62
-MASK = (1 << 64) - 1
-
-
-def skips(base: int, turn: int, rank: int, limit: int) -> bool:
-    """Whether the candidate that comes up in this turn is dropped: a hash keyed with base, the stretch's own key."""
-    x = (base ^ (turn * 0x9E3779B97F4A7C15 + rank * 0xC2B2AE3D27D4EB4F)) & MASK
-    x = ((x ^ (x >> 32)) * 0xD6E8FEB86659FD93) & MASK
-    return (x ^ (x >> 29)) < limit
-
-
 def merge_short(part: list[str], rank: dict[str, int], limit: int, base: int) -> list[str]:
     """Pieces of a short stretch: the agenda is the list of ranks of neighbouring pairs."""
     get = rank.get
@@ -78,7 +94,7 @@ def merge_short(part: list[str], rank: dict[str, int], limit: int, base: int) ->
             break
         i = agenda.index(best)
         turn += 1
-        if limit and skips(base, turn, best, limit):
+        if limit and ((base ^ turn * 40503) + best * 69069) * 2654435761 & MASK < limit:  # the keyed hash
             agenda[i] = NONE
             skipped.append((i, best))
             continue
@@ -118,7 +134,7 @@ def merge_long(part: list, rank: dict[str, int], limit: int, base: int) -> list[
         if right >= n or part[left] + part[right] != merged:
             continue  # one of the two has been merged away
         turn += 1
-        if limit and skips(base, turn, best, limit):
+        if limit and ((base ^ turn * 40503) + best * 69069) * 2654435761 & MASK < limit:
             skipped.append((best, left, merged))
             continue
         for again in skipped:
@@ -143,41 +159,149 @@ def cut(stretch: str, voc: Pieces, limit: int, base: int, short: int = 48) -> li
         if i is not None:
             ids.append(i)
         else:
-            ids.extend([voc.bytes[b] for b in p.encode("utf-8", "surrogatepass")])
+            ids.extend(voc.bytes_of(p))
     return ids
 
 
+def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) -> list[bytes]:
+    """What cut() gives for short stretches, packed, all of them at once: every round takes the best candidate of each row.
+
+    Stretches are rows of symbols of one width; those with characters that are no pieces are left to cut()."""
+    width = max(map(len, stretches))
+    codes = "".join([x.ljust(width, "\0") for x in stretches]).encode("utf-32-le", "surrogatepass")
+    flat = voc.single[np.frombuffer(codes, np.uint32)].reshape(-1, width)
+    flat[np.arange(width) >= np.fromiter(map(len, stretches), np.int64, len(stretches))[:, None]] = -1
+    odd = (flat == -2).any(1)
+    out: list[bytes] = [b""] * len(stretches)
+    for k in np.nonzero(odd)[0]:
+        out[k] = array("i", cut(stretches[k], voc, limit, int(base[k]))).tobytes()
+    rows = np.nonzero(~odd)[0]
+    sym, key = flat[rows], base[rows].astype(np.uint64)
+    true = voc.pair_ranks(sym[:, :-1], sym[:, 1:])
+    work = true.copy()
+    place = np.arange(width)
+    turn = 0
+    while len(rows) and width > 1:
+        best = work.min(1)
+        ended = best == NONE
+        if ended.any():
+            there = sym[ended] >= 0
+            packed, stop = sym[ended][there].astype(np.int32).tobytes(), (4 * np.cumsum(there.sum(1))).tolist()
+            for k, a, b in zip(rows[ended].tolist(), [0, *stop], stop):
+                out[k] = packed[a:b]
+            rows, sym, key, true, work, best = (x[~ended] for x in (rows, sym, key, true, work, best))
+            if not len(rows):
+                break
+        turn += 1
+        at = work.argmin(1)
+        skip = (((key ^ np.uint64(turn * 40503)) + best.astype(np.uint64) * np.uint64(69069)) * np.uint64(2654435761) & np.uint64(MASK)) < np.uint64(limit)
+        s = np.nonzero(skip)[0]
+        work[s, at[s]] = NONE
+        m = np.nonzero(~skip)[0]
+        if not len(m):
+            continue
+        i = at[m]
+        source = np.minimum(place + (place > i[:, None]), width - 1)
+        row = np.arange(len(m))
+        old = sym[m]
+        new = np.take_along_axis(old, source, 1)
+        new[:, -1] = -1
+        new[row, i] = voc.pair_ids[np.searchsorted(voc.pair_keys, old[row, i] * len(voc.text) + old[row, i + 1])]
+        ranks = np.take_along_axis(true[m], np.minimum(source[:, :-1], width - 2), 1)
+        ranks[:, -1] = NONE
+        right = np.where(i + 1 < width, new[row, np.minimum(i + 1, width - 1)], -1)
+        inside = i < width - 1
+        ranks[row[inside], i[inside]] = voc.pair_ranks(new[row, i], right)[inside]
+        left = i > 0
+        ranks[row[left], i[left] - 1] = voc.pair_ranks(new[row[left], i[left] - 1], new[row[left], i[left]])
+        sym[m], true[m], work[m] = new, ranks, ranks
+    if width == 1:
+        for k, ids in zip(rows, sym):
+            out[k] = ids.astype(np.int32).tobytes()
+    return out
+
+
 class Stream(dict):
-    """Packed ids of the stretches seen in one stream, up to a bound; a stretch not seen is cut."""
+    """Packed ids of the parts seen in one stream, up to a bound; a part not seen is cut.
+
+    A part is a stretch, or a stretch without its first space, or, when it begins with a line end, what follows that
+    character. No piece holds a line end beside another character, so no merge reaches over one."""
 
     def __init__(self, voc: Pieces, limit: int, key: int, keep: int):
         self.voc, self.limit, self.key, self.keep = voc, limit, key, keep
 
-    def __missing__(self, stretch: str) -> bytes:
-        base = xxhash.xxh3_64_intdigest(stretch.encode("utf-8", "surrogatepass"), seed=self.key) if self.limit else 0
-        packed = np.array(cut(stretch, self.voc, self.limit, base), np.int32).tobytes()
-        if len(stretch) <= 48:
-            if len(self) >= self.keep:
-                self.clear()
-            self[stretch] = packed
-        return packed
+    def _read(self, part: str) -> tuple[bytes, str, int]:
+        base = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=self.key) & MASK if self.limit else 0
+        if part[:1] == "\n":
+            return self.voc.line_end, part[1:], base
+        return b"", part if part[:1] == SPACE else SPACE + part, base
+
+    def __missing__(self, part: str) -> bytes:
+        head, stretch, base = self._read(part)
+        return head + array("i", cut(stretch, self.voc, self.limit, base)).tobytes()
+
+    def learn(self, parts) -> None:
+        """Cut the short parts that are not known, together."""
+        new = [x for x in parts if x not in self and len(x) <= 40]
+        if len(self) + len(new) > self.keep:
+            self.clear()
+        by_width: dict[int, list] = {}
+        for x in new:
+            head, stretch, base = self._read(x)
+            if stretch:
+                by_width.setdefault(-(-len(stretch) // 4), []).append((x, head, stretch, base))
+            else:
+                self[x] = head
+        for rows in by_width.values():
+            for start in range(0, len(rows), 20_000):
+                some = rows[start : start + 20_000]
+                packed = cut_many([r[2] for r in some], self.voc, self.limit, np.array([r[3] for r in some], np.uint64))
+                self.update((r[0], r[1] + p) for r, p in zip(some, packed))
 
 
 class Encoder:
-    def __init__(self, path: str = MODEL, drop: float = 0.1, seed: int = 1, streams: int = 2, keep: int = 400_000):
+    def __init__(self, path: str = MODEL, drop: float = 0.1, seed: int = 1, streams: int = 2, keep: int = 500_000):
         self.voc, self.seed = pieces(path), seed
-        self.known = [Stream(self.voc, int(drop * 2.0**64), seed * 65_537 + k, keep) for k in range(streams if drop else 1)]
+        self.known = [Stream(self.voc, int(drop * 2.0**32), seed * 65_537 + k, keep) for k in range(streams if drop else 1)]
+
+    def parts(self, text: str) -> list[str]:
+        if self.voc.lines_apart and SPACE not in text:
+            found = text.replace("\n", " \n").split(" ")
+            if "" not in found:
+                return found
+        return STRETCH.findall(SPACE + text.replace(" ", SPACE))
 
     def encode(self, text: str, doc_id) -> np.ndarray:
-        if not text:
-            return np.empty(0, np.int32)
-        found = STRETCH.findall(SPACE + text.replace(" ", SPACE))
-        n = len(self.known)
-        start = xxhash.xxh3_64_intdigest(f"{self.seed}|{doc_id}".encode()) if n > 1 else 0
-        packed = [b""] * len(found)
-        for k in range(n):  # the stream of the i-th stretch is (i + start) % n
-            packed[k::n] = map(self.known[(k + start) % n].__getitem__, found[k::n])
-        return np.frombuffer(b"".join(packed), np.int32)
+        return self.encode_batch([text], [doc_id])[0]
+
+    def encode_batch(self, texts, doc_ids, chunk: int = 4_000_000) -> list[np.ndarray | None]:
+        """Ids of each text, None for None; texts are taken in runs of about `chunk` characters."""
+        out: list[np.ndarray | None] = []
+        run: list[tuple[list[str], int] | None] = []
+        size = 0
+        for text, doc_id in zip(texts, doc_ids):
+            start = xxhash.xxh3_64_intdigest(f"{self.seed}|{doc_id}".encode()) if len(self.known) > 1 else 0
+            run.append(None if text is None else (self.parts(text) if text else [], start))
+            size += len(text or "")
+            if size >= chunk:
+                out += self._encode_run(run)
+                run, size = [], 0
+        return out + self._encode_run(run)
+
+    def _encode_run(self, run) -> list[np.ndarray | None]:
+        n = len(self.known)  # the stream of the i-th part is (i + start) % n
+        for k, known in enumerate(self.known):
+            known.learn(set().union(*(r[0][(k - r[1]) % n :: n] for r in run if r)))
+        out: list[np.ndarray | None] = []
+        for r in run:
+            if r is None:
+                out.append(None)
+                continue
+            packed = [b""] * len(r[0])
+            for k in range(n):
+                packed[k::n] = map(self.known[(k + r[1]) % n].__getitem__, r[0][k::n])
+            out.append(np.frombuffer(b"".join(packed), np.int32))
+        return out
 
 
 def decode_ids(ids, voc: Pieces) -> str:
@@ -199,7 +323,7 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         encoder = Encoder(model, drop, seed, streams)
         for ids, texts in batches:
-            yield pd.Series([None if t is None else encoder.encode(t, None if pd.isna(i) else int(i)) for i, t in zip(ids, texts)])
+            yield pd.Series(encoder.encode_batch([t if isinstance(t, str) else None for t in texts], [None if pd.isna(i) else int(i) for i in ids]))
 
     encode = F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn(out_col, encode(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
@@ -225,7 +349,7 @@ def op1_sentencepiece(spark, sf_dir):
         voc = encoder.voc
         value = np.array([b"" if i in voc.special else bytes([voc.value[i]]) if i in voc.value else p.encode() for i, p in enumerate(voc.text)], object)
         for b in batches:
-            rows = [None if t is None else encoder.encode(t, None if pd.isna(i) else int(i)) for i, t in zip(b["doc_id"], b["text"])]
+            rows = encoder.encode_batch(b["text"], [None if pd.isna(i) else int(i) for i in b["doc_id"]])
             back = [t is None or b"".join(value[r].tolist()).decode("utf-8", "replace").replace(SPACE, " ")[1:] == t for r, t in zip(rows, b["text"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": rows, "n_tokens": [None if r is None else len(r) for r in rows], "lossless": back})
 
