@@ -189,9 +189,13 @@ def test_sentencepiece(spark, odd, none):
         ids = [sentencepiece_dropout.Encoder(drop=drop, seed=3).encode(t, 9) for t in texts]
         assert [sentencepiece_dropout.decode_ids(i, voc) for i in ids] == texts
         assert all((a == b).all() for a, b in zip(ids, [sentencepiece_dropout.Encoder(drop=drop, seed=3).encode(t, 9) for t in texts]))
-    long = "internationalisation of tokenisation " * 20
+    long = " ".join(f"inter{a}national{b}isation of re{b}token{a}isation" for a in ("trans", "over", "sub") for b in ("hyper", "ultra", "pseudo", "quasi"))
     assert len({tuple(sentencepiece_dropout.Encoder(drop=0.3, seed=s).encode(long, 1)) for s in range(5)}) == 5
+    words = ["▁" + w for w in long.split()] + ["▁", "▁▁", "a", "▁日本", "▁x😀", "▁\x00"]
     for limit in (0, 2**29, 2**31):
+        base = np.arange(len(words), dtype=np.uint64) * np.uint64(2**27 + 5) % np.uint64(2**32)
+        many = sentencepiece_dropout.cut_many(words, voc, limit, base)
+        assert [np.frombuffer(p, np.int32).tolist() for p in many] == [sentencepiece_dropout.cut(w, voc, limit, int(b)) for w, b in zip(words, base)]
         word = "▁antidisestablishmentarianism"
         assert sentencepiece_dropout.merge_short(list(word), voc.rank, limit, 77) == sentencepiece_dropout.merge_long(list(word), voc.rank, limit, 77)
     coded = sentencepiece_dropout.encode_column(odd)
