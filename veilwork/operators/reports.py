@@ -16,9 +16,9 @@ def counts_by_type(detections: DataFrame) -> DataFrame:
 
 
 def counts_with_total(detections: DataFrame) -> DataFrame:
-    """A2: A1 and a row TOTAL, also when there is nothing."""
-    return detections.rollup("entity_type").agg(F.count("*").alias("n"), F.grouping("entity_type").alias("g")).select(
-        F.when(F.col("g") == 1, "TOTAL").otherwise(F.col("entity_type")).alias("entity_type"), "n")
+    """A2: A1 and a row TOTAL, also when there is nothing (a rollup of no rows has none). The total is added up from the counts."""
+    counts = detections.groupBy("entity_type").agg(F.count("*").alias("n"))
+    return counts.unionByName(counts.agg(F.lit("TOTAL").alias("entity_type"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
 
 
 def coverage(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
