@@ -144,6 +144,20 @@ def test_jaccard_join_brute_force(spark, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == _brute_groups(rows, k, percent)
 
 
+def test_jaccard_shared_passages(spark):
+    random.seed(8)
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(3)]
+    rows = []
+    for base in range(40):
+        own = [f"b{base}w{i}" for i in range(random.choice([10, 40, 200]))]
+        for copy in range(random.randrange(1, 4)):
+            rows.append(" ".join([random.choice(passages)] + own[copy:] + [f"e{copy}"]))
+    rows += [passages[0] + " " + " ".join(f"v{i % 2}y{j}" for j in range(i % 9)) for i in range(60)] + passages
+    rows = list(enumerate(rows))
+    got = jaccard_join.similar_groups(docs(spark, [(i, t, "s") for i, t in rows]), shingle=5, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == _brute_groups(rows, 5, 80)
+
+
 def test_jaccard_blocks_and_odd_rows(spark, odd, none, monkeypatch):
     monkeypatch.setattr(jaccard_join, "BLOCK_DOCS", 4)
     base = [f"w{i}" for i in range(60)]

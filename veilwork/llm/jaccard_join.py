@@ -8,6 +8,10 @@ shares a whole fragment, which one equi-grouping finds without counting frequenc
    size classes; a document near the top of its class gives keys for the next one too. Fragments empty in both sets say
    nothing, so F has slack for them; the few sets with more empty fragments than the slack also give the keys
    of a plain prefix filter, which keeps the join exact.
+   Below a similarity of 0.85 fragments are short, and one that lies in a passage of many documents joins texts
+   that have little else in common. There the first fragment alone finds: a set's head, its smallest shingles, is so long
+   that two linked heads overlap in more shingles than the slack. So each set may leave out its most
+   frequent head shingles, as many as the slack, and a linked pair still shares one that both keep (see Heads).
 2. Keys seen with two classes hang the classes on their smallest: as many edges as keys, never all pairs. Their
    connected parts are families; a linked pair is always in one family.
 3. Families are cut into bounded blocks; for each pair of blocks partial overlaps are counted fragment by
@@ -32,10 +36,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import components, drop_written, materialise, table
 
 RATIO = 1.4  # of the bounds of neighbouring size classes
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 1_500_000
+SLACK = 10  # per cent of a set's shingles that its head holds beyond what links need
 COLUMNS = 4096  # shingles of one fragment of the order when overlaps are counted
 
 
@@ -117,11 +122,38 @@ class Cuts:
         return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> DataFrame:
+class Heads:
+    """The first fragment of each set's order, long enough for more than slack shared shingles.
+
+    Of n shingles at least need = ceil(n * percent / 100) are shared with a linked set. The first n - need + 1 + e of
+    both sets share more than e, e being the smaller of the sets' slacks floor(n * SLACK / 100). The linked set has at least
+    need shingles itself, so floor(need * SLACK / 100) is at most e. Each set leaves out that many of its head shingles, the
+    most frequent by one order of all shingles; the rarest shared one has e more frequent beside it in both, and stays.
+    """
+
+    def __init__(self, percent: int):
+        self.percent = percent
+
+    def keys(self, s: np.ndarray) -> np.ndarray:
+        need = -(-len(s) * self.percent // 100)
+        return s[: len(s) - need + 1 + len(s) * SLACK // 100] if len(s) else s
+
+    def left_out(self):
+        return F.expr(f"((n * {self.percent} + 99) div 100) * {SLACK} div 100").cast("int")
+
+
+def _frequent_left_out(keys: DataFrame, counts: DataFrame, scheme: Heads) -> DataFrame:
+    """class, key without keys of one class and without each class's most frequent ones. Groups are one head each."""
+    mine = keys.join(counts, "key").groupBy("class", "n").agg(F.array_sort(F.collect_set(F.struct((-F.col("count")).alias("rare"), "key"))).alias("keys"))
+    rest = F.slice("keys", scheme.left_out() + 1, F.greatest(F.size("keys") - scheme.left_out(), F.lit(0)))
+    return mine.select("class", F.explode(F.transform(rest, lambda x: x["key"])).alias("key"))
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, scheme: Cuts | Heads) -> DataFrame:
     """doc_id, n, class (null: no shingles), keys. A class's keys come once per task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, cuts, seen = WordHashes(), Cuts(percent), set()
+        hashes, seen = WordHashes(), set()
         for batch in batches:
             n, cls, keys = [], [], []
             for text in batch["t"]:
@@ -134,7 +166,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) ->
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(c)
-                keys.append(cuts.keys(s).view(np.int64))
+                keys.append(scheme.keys(s).view(np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "class": pd.array(cls, dtype="Int64"), "keys": keys})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(
@@ -202,13 +234,19 @@ def by_group(names: list[str], work, batches: Iterator[pd.DataFrame]) -> Iterato
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other rows linked directly)."""
-    sets = materialise(_sets(docs, id_col, text_col, shingle, percent))
+    scheme = Cuts(percent) if percent >= 85 else Heads(percent)
+    found = materialise(_sets(docs, id_col, text_col, shingle, scheme))
+    sets = materialise(found.select("doc_id", "n", "class"))
     classes = materialise(sets.where("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.max("n").alias("n")))
-    keys = sets.select("class", F.explode("keys").alias("key"))
+    keys = found.select("class", "n", F.explode("keys").alias("key"))
+    if isinstance(scheme, Heads):
+        counts = materialise(keys.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"))
+        keys = materialise(_frequent_left_out(keys, counts, scheme))
     shared = materialise(keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "low"))
     stars = keys.join(shared, "key").where("class <> low").groupBy(F.col("class").alias("a"), F.col("low").alias("b")).agg(F.lit(1).alias("x"))
     family = materialise(components(stars.select("a", "b")))
+    drop_written(found)
     members = materialise(classes.join(family, classes["class"] == family["node"]).select("class", "first_id", "members", "n", F.col("component_id").alias("family")))
     blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     members = materialise(members.join(materialise(blocks), "family").withColumn("block", F.pmod(F.xxhash64("class"), "blocks")))
