@@ -13,6 +13,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_arrow_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches that Python workers get by bytes, not by rows alone, so that long texts do not add up.
+    This holds for the session's later plans, too; a smaller bound set by the user stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = spark.conf.get(name, None)
+    if not (found and found.isdigit() and int(found) <= size):
+        spark.conf.set(name, str(size))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, the warehouse on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)

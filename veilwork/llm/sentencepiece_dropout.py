@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_arrow_batches, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -222,13 +222,15 @@ def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) ->
 
 
 class Stream(dict):
-    """Packed ids of the parts seen in one stream, up to a bound; a part not seen is cut.
+    """Packed ids of the parts seen in one stream; a part not seen is cut. When `keep` are held, they become the older half,
+    the half before them goes, and parts that come up again return from the older half: twice `keep` parts at most.
 
     A part is a stretch, or a stretch without its first space, or, when it begins with a line end, what follows that
     character. No piece holds a line end beside another character, so no merge reaches over one."""
 
     def __init__(self, voc: Pieces, limit: int, key: int, keep: int):
         self.voc, self.limit, self.key, self.keep = voc, limit, key, keep
+        self.older: dict[str, bytes] = {}
 
     def _read(self, part: str) -> tuple[bytes, str, int]:
         base = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=self.key) & MASK if self.limit else 0
@@ -237,13 +239,17 @@ class Stream(dict):
         return b"", part if part[:1] == SPACE else SPACE + part, base
 
     def __missing__(self, part: str) -> bytes:
+        if (again := self.older.get(part)) is not None:
+            self[part] = again
+            return again
         head, stretch, base = self._read(part)
         return head + array("i", cut(stretch, self.voc, self.limit, base)).tobytes()
 
     def learn(self, parts) -> None:
         """Cut the short parts that are not known, together."""
-        new = [x for x in parts if x not in self and len(x) <= 40]
+        new = [x for x in parts if x not in self and x not in self.older and len(x) <= 40]
         if len(self) + len(new) > self.keep:
+            self.older = dict(self)
             self.clear()
         by_width: dict[int, list] = {}
         for x in new:
@@ -260,7 +266,7 @@ class Stream(dict):
 
 
 class Encoder:
-    def __init__(self, path: str = MODEL, drop: float = 0.1, seed: int = 1, streams: int = 2, keep: int = 500_000):
+    def __init__(self, path: str = MODEL, drop: float = 0.1, seed: int = 1, streams: int = 2, keep: int = 250_000):
         self.voc, self.seed = pieces(path), seed
         self.known = [Stream(self.voc, int(drop * 2.0**32), seed * 65_537 + k, keep) for k in range(streams if drop else 1)]
 
@@ -318,12 +324,15 @@ def decode_ids(ids, voc: Pieces) -> str:
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "tokens", model: str = MODEL,
                   drop: float = 0.1, seed: int = 1, streams: int = 2) -> DataFrame:
-    """docs with an array<int> column of ids; it replaces a column of that name."""
+    """docs with an array<int> column of ids; it replaces a column of that name.
+
+    For jobs whose executors hold more than this step: Arrow batches of 8 MB, small runs, and fewer kept cuts than op1 takes."""
+    bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        encoder = Encoder(model, drop, seed, streams)
+        encoder = Encoder(model, drop, seed, streams, keep=100_000)
         for ids, texts in batches:
-            yield pd.Series(encoder.encode_batch([t if isinstance(t, str) else None for t in texts], [None if pd.isna(i) else int(i) for i in ids]))
+            yield pd.Series(encoder.encode_batch([t if isinstance(t, str) else None for t in texts], [None if pd.isna(i) else int(i) for i in ids], chunk=1_000_000))
 
     encode = F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn(out_col, encode(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
