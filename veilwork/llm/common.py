@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,15 @@ def bound_arrow_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(name, str(size))
 
 
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system at a task's end; Spark keeps the worker for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, the warehouse on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, materialise, table
+from .common import components, drop_written, give_back, materialise, table
 
 RATIO = 1.4  # of the bounds of neighbouring size classes
 BLOCK_DOCS, BLOCK_SHINGLES = 384, 1_500_000
@@ -168,6 +168,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, scheme: Cuts | He
                     seen.add(c)
                 keys.append(scheme.keys(s).view(np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "class": pd.array(cls, dtype="Int64"), "keys": keys})
+        del hashes, seen
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(
         run, "doc_id long, n long, class long, keys array<long>")

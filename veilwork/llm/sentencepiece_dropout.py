@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, table
+from .common import bound_arrow_batches, give_back, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -333,6 +333,8 @@ def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         encoder = Encoder(model, drop, seed, streams, keep=100_000)
         for ids, texts in batches:
             yield pd.Series(encoder.encode_batch([t if isinstance(t, str) else None for t in texts], [None if pd.isna(i) else int(i) for i in ids], chunk=1_000_000))
+        del encoder
+        give_back()
 
     encode = F.pandas_udf(run, "array<int>", F.PandasUDFType.SCALAR_ITER)
     return docs.withColumn(out_col, encode(F.col(id_col).cast("long"), F.col(text_col).cast("string")))
