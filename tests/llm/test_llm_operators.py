@@ -191,6 +191,24 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_low_rank(spark):
+    """Vectors that fill a few of their dimensions: every link is found across cells and blocks."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2500, 5))
+    x = np.vstack([x, x + rng.normal(size=x.shape) * 0.2])
+    x = np.hstack([x, np.zeros((len(x), 123))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    root = jaccard_join.roots(link)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(link.sum(1), root))
+    first, parts = embedding_dedup.deal_blocks(u[:6], np.array([5, 40, 1, 3, 12, 9]), 10)
+    blocks = [set(range(a, a + b)) for a, b in zip(first, parts)]
+    assert parts.tolist() == [1, 4, 1, 1, 2, 1] and not any(blocks[1] & o for o in blocks[:1] + blocks[2:]) and set().union(*blocks) >= set(range(max(first)))
+
+
 def test_sentencepiece(spark, odd, none):
     import sentencepiece
 

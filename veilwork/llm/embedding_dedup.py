@@ -1,12 +1,10 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one vector kept per group.
 
-Centres are fitted on a bounded sample (at most `sample` vectors, by hash of the id); every vector is assigned. A vector v goes to its home
-cell, and is also shown to each cell c with v . (home - c) / |home - c| <= reach, where a partner's home may be. Two unit vectors of cosine t are
-sqrt(1 - t^2) apart across the plane between two centres at most, and that spread evenly over the dimensions on average: reach is
-`spread` times sqrt((1 - t^2) / dimensions), never more than the bound. spread=None takes the bound, by which no pair is lost; with the default of 3 a pair at the threshold itself
-is missed from one side about once in a thousand, closer ones hardly ever (recall is tested against brute force). Each vector meets its partners in its own
-home cell, so none counts twice. Cells are cut into blocks; a task gets one block of home vectors and one block of all
-the cell's vectors and returns link counts and a spanning forest, never the pairs. Equal vectors are joined first and count by their number.
+Centres are fitted on a bounded sample (at most `sample` vectors, by hash of the id); every vector is assigned to its home cell. Two unit vectors of
+cosine t are sqrt(1 - t^2) apart across the plane between two centres at most, so v can have a partner at home in c only if
+v . (home - c) / |home - c| <= sqrt(1 - t^2): no pair is lost by leaving out the other cells. Cells are dealt to blocks (near ones share one, large ones are cut), and
+a vector is sent, once each, to the blocks it can have partners in. A task gets the vectors of two blocks, compares them tile by tile, counts each pair for both of its vectors and
+returns link counts and a spanning forest, never the pairs. Equal vectors are joined first and count by their number. Data without clusters cost all pairs.
 
 Vectors that are null, empty, zero, hold null or non-finite components, or whose length differs from the first centre's, link with nothing.
 Null ids are passed through without links. Repeated rows count as separate vectors. Labels and other columns are not read.
@@ -21,9 +19,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, table
+from .common import bound_arrow_batches, components, materialise, table
 
-BLOCK = 1024
+TILE = 1024
+BLOCK_BYTES = 16 << 20
 
 
 def _units(arrays, dim: int) -> np.ndarray:
@@ -46,10 +45,34 @@ def fit_centres(valid: DataFrame, cells: int, sample: int, rounds: int, seed: in
     return np.unique(c, axis=0)
 
 
+def gaps(c: np.ndarray) -> np.ndarray:
+    """Distances between centres."""
+    return np.array([np.linalg.norm(c - one, axis=1) for one in c])
+
+
+def deal_blocks(centres: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: cells follow each other by nearness and share a block up to `most` vectors, larger ones are cut."""
+    first, parts = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64)
+    left, at, block, held = np.ones(len(centres), bool), 0, 0, 0
+    for _ in centres:
+        left[at] = False
+        if held and held + sizes[at] > most:
+            block, held = block + 1, 0
+        first[at], parts[at] = block, max(1, -(-int(sizes[at]) // most))
+        held += int(sizes[at])
+        if parts[at] > 1:
+            block, held = block + int(parts[at]), 0
+        at = int(np.argmax(np.where(left, centres @ centres[at], -2)))
+    return first, parts
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                    sample: int = 20_000, rounds: int = 6, most_cells: int = 256, seed: int = 7, spread: float | None = 3.0) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept."""
+                    sample: int = 20_000, rounds: int = 6, most_cells: int = 256, seed: int = 7, spread: float | None = None) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept.
+
+    A number for `spread` shows vectors to fewer cells and may lose pairs on data of low rank; no query sets it."""
     spark = vectors.sparkSession
+    bound_arrow_batches(spark)
     v = F.col(vector_col).cast("array<double>")
     bad = v.isNull() | (F.size(v) == 0) | F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(~bad, v).alias("v"))
@@ -62,62 +85,83 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     cells = int(max(1, min(most_cells, np.sqrt(n) / 2)))
     centres = fit_centres(groups.select(F.col("rep").alias("vec_id"), "v"), cells, sample, rounds, seed)
     shared = spark.sparkContext.broadcast(centres)  # at most most_cells vectors
-    dim, bound = centres.shape[1], float(np.sqrt(max(0.0, 1 - threshold**2))) + 1e-9
+    dim, bound = centres.shape[1], float(np.sqrt(max(0.0, 1 - threshold**2))) + 1e-6
     reach = bound if spread is None else min(bound, spread * bound / np.sqrt(dim))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        between = c @ c.T
-        gap = np.sqrt(np.maximum(2 - 2 * between, 1e-18))
         for batch in batches:
             batch = batch[batch["v"].map(len) == dim]
-            for start in range(0, len(batch), 256):  # a vector may go to many cells
-                b = batch.iloc[start : start + 256]
+            for start in range(0, len(batch), 1024):
+                b = batch.iloc[start : start + 1024]
                 x = _units(b["v"], dim)
-                dots = x @ c.T
-                home = np.argmax(dots, axis=1)
-                near = (dots[np.arange(len(x)), home][:, None] - dots) / gap[home] <= reach
-                near[np.arange(len(x)), home] = True
-                at, cell = np.nonzero(near)
-                yield pd.DataFrame({"rep": b["rep"].to_numpy()[at], "members": b["members"].to_numpy()[at], "cell": cell,
-                                    "home": home[at] == cell, "x": [x[i].tobytes() for i in at]})
-
-    placed = materialise(groups.select("rep", "members", "v").mapInPandas(assign, "rep long, members long, cell int, home boolean, x binary"))
-    count = materialise(placed.groupBy("cell").agg(F.greatest(F.lit(1), F.ceil(F.count_if("home") / BLOCK)).cast("int").alias("homes"),
-                                                   F.ceil(F.count("*") / BLOCK).cast("int").alias("alls")))
-    salt = F.xxhash64("rep").alias("salt")
-    salted = placed.join(F.broadcast(count), "cell").withColumn("salt", salt)  # at most most_cells rows
-    side = lambda d, own, other, n_own, n_other, flag: d.withColumn(own, F.pmod("salt", n_own).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.col(n_other) - 1))).select("cell", "p", "q", F.lit(flag).alias("left"), "rep", "members", "x")
-    left = side(salted.where("home"), "p", "q", "homes", "alls", True)
-    right = side(salted, "q", "p", "alls", "homes", False)
+                yield pd.DataFrame({"rep": b["rep"], "members": b["members"], "home": np.argmax(x @ shared.value.T, axis=1), "x": [one.tobytes() for one in x]})
+
+    placed = materialise(groups.select("rep", "members", "v").mapInPandas(assign, "rep long, members long, home int, x binary"))
+    sizes = np.zeros(len(centres), np.int64)
+    for home, count in placed.groupBy("home").count().collect():  # at most most_cells rows
+        sizes[home] = count
+    most = max(TILE, min(-(-n // 8), BLOCK_BYTES // (8 * dim)))
+    first, parts = deal_blocks(centres, sizes, most)
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = shared.value
+        gap = gaps(c)
+        lies = np.zeros((len(c), int((first + parts).max())), np.float32)  # which blocks a cell's vectors are in
+        for cell in np.nonzero(sizes)[0]:
+            lies[cell, first[cell] : first[cell] + parts[cell]] = 1
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                b = batch.iloc[start : start + 1024]
+                x = np.frombuffer(b"".join(b["x"]), np.float64).reshape(len(b), dim)
+                dots, home, row = x @ c.T, b["home"].to_numpy(), np.arange(len(b))
+                near = (gap[home] < 1e-6) | (dots[row, home][:, None] - dots <= reach * gap[home])
+                block = first[home] + b["salt"].to_numpy() % parts[home]
+                to = near.astype(np.float32) @ lies > 0
+                to[row, block] = True
+                yield pd.DataFrame({"rep": b["rep"], "members": b["members"], "x": b["x"], "block": block, "others": [np.nonzero(t)[0] for t in to]})
+
+    sent = placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).mapInPandas(send, "rep long, members long, x binary, block int, others array<int>")
+    sent = sent.select("rep", "members", "x", "block", F.explode("others").alias("other")).select(
+        F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("left"), "rep", "members", "x")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         from .jaccard_join import roots
 
-        a, b = rows[rows["left"]], rows[~rows["left"]]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"rep": [], "root": [], "links": []}, dtype="int64")
-        x = np.frombuffer(b"".join(a["x"]), np.float64).reshape(len(a), dim)
-        y = np.frombuffer(b"".join(b["x"]), np.float64).reshape(len(b), dim)
-        ia, ib = a["rep"].to_numpy(), b["rep"].to_numpy()
-        link = (x @ y.T >= threshold) & (ia[:, None] != ib[None, :])
-        some = link.any(0)
-        # a square matrix over both sides gives the forest
-        size = len(ia) + int(some.sum())
-        both = np.zeros((size, size), bool)
-        both[: len(ia), len(ia) :] = link[:, some]
-        both |= both.T
-        ids = np.concatenate([ia, ib[some]])
-        return pd.DataFrame({"rep": ids, "root": ids[roots(both)], "links": np.concatenate([link @ b["members"].to_numpy(), np.zeros(int(some.sum()), np.int64)])})
+        own = rows["p"].iloc[0] == rows["q"].iloc[0]
+        a = rows[rows["left"]]
+        b = a if own else rows[~rows["left"]]
+        x, y = (np.frombuffer(b"".join(d["x"]), np.float64).reshape(len(d), dim) for d in (a, b))
+        ia, ib, ma, mb = a["rep"].to_numpy(), b["rep"].to_numpy(), a["members"].to_numpy(), b["members"].to_numpy()
+        la = np.zeros(len(ia), np.int64)
+        lb = la if own else np.zeros(len(ib), np.int64)
+        out = []
+        for i in range(0, len(ia), TILE):
+            for j in range(i if own else 0, len(ib), TILE):
+                link = x[i : i + TILE] @ y[j : j + TILE].T >= threshold
+                if own and i == j:
+                    np.fill_diagonal(link, False)
+                s, t = np.nonzero(link)
+                if not len(s):
+                    continue
+                la[i : i + TILE] += np.bincount(s, mb[j + t], link.shape[0]).astype(np.int64)
+                if not (own and i == j):
+                    lb[j : j + TILE] += np.bincount(t, ma[i + s], link.shape[1]).astype(np.int64)
+                s, t = np.unique(s), np.unique(t)
+                both = np.zeros((len(s) + len(t),) * 2, bool)  # a square matrix over both sides gives the forest
+                both[: len(s), len(s) :] = link[np.ix_(s, t)]
+                both |= both.T
+                ids = np.concatenate([ia[i + s], ib[j + t]])
+                out.append((ids, ids[roots(both)], np.zeros(len(ids), np.int64)))
+        for ids, links in ((ia, la),) if own else ((ia, la), (ib, lb)):
+            out.append((ids[links > 0], ids[links > 0], links[links > 0]))
+        return pd.DataFrame(dict(zip(("rep", "root", "links"), map(np.concatenate, zip(*out)))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from .jaccard_join import by_group
 
-        return by_group(["cell", "p", "q"], compare, batches)
+        return by_group(["p", "q"], compare, batches)
 
-    linked = materialise(left.unionByName(right).repartition("cell", "p", "q").sortWithinPartitions("cell", "p", "q").mapInPandas(
-        run, "rep long, root long, links long"))
+    linked = materialise(sent.repartition("p", "q").sortWithinPartitions("p", "q").mapInPandas(run, "rep long, root long, links long"))
     comp = materialise(components(linked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
     total = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = groups.select("v", "rep", "members").join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
