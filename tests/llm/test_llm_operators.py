@@ -236,6 +236,30 @@ def test_sentencepiece(spark, odd, none):
     assert sentencepiece_dropout.encode_column(none).count() == 0
 
 
+def test_sentencepiece_draws_per_occurrence():
+    """One word in many documents and places gets many cuts, at the dropout's rate, and each is what cut() gives for its base."""
+    encoder = sentencepiece_dropout.Encoder(drop=0.1, seed=3)
+    text = " ".join(["internationalisation"] * 20)
+    rows = encoder.encode_batch([text] * 50, range(50))
+    assert len({tuple(r) for r in rows}) == 50
+    limit, drawn = int(0.1 * 2**32), []
+    for d, r in enumerate(rows):
+        cuts = [sentencepiece_dropout.cut("▁internationalisation", encoder.voc, limit, int(b)) for b in encoder.bases(d, 20)]
+        assert sum(cuts, []) == r.tolist()
+        drawn += map(tuple, cuts)
+    assert len(set(drawn)) >= 6
+    turns = int(encoder.cuts.turns.all[encoder.cuts.root["internationalisation"]])
+    plain = tuple(sentencepiece_dropout.cut("▁internationalisation", encoder.voc, 0, 0))
+    base = np.concatenate([encoder.bases(d, 20) for d in range(500)])
+    node = encoder.cuts.find(["internationalisation"] * len(base), base)
+    assert abs((node == encoder.cuts.root["internationalisation"]).mean() - 0.9**turns) < 0.02 and plain in drawn
+    mixed = ["a\nb  c", "naïve \U0001f600x " + "b" * 300 + " end\n\nx", "", None, "▁x y"] * 3
+    for drop in (0.0, 0.3, 0.9):
+        got = sentencepiece_dropout.Encoder(drop=drop, keep=5).encode_batch(mixed, range(15), chunk=5)
+        one = sentencepiece_dropout.Encoder(drop=drop).encode_batch(mixed, range(15))
+        assert all(a is b is None or a.tolist() == b.tolist() for a, b in zip(got, one))
+
+
 def test_token_counts(odd, none, real):
     voc = token_counts.pieces(token_counts.MODEL).id
     machine = token_counts.Automaton(voc)

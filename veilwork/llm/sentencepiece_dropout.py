@@ -3,11 +3,11 @@
 The vocabulary's pieces and scores come from a SentencePiece BPE model file (a parameter). Spaces become U+2581 and one is put in front, as the
 model does. No piece holds a space after another character, so a text is encoded stretch by stretch (spaces, then
 non-spaces), each with its own agenda of candidate merges, best score first, then leftmost. A candidate that comes up is skipped when the
-keyed hash of (seed, stream, stretch, turn, merged piece) falls under the dropout rate; skipped candidates are put back
+keyed hash of (seed, doc_id, place of the stretch in the text, turn, merged piece) falls under the dropout rate; skipped candidates are put back
 when a neighbouring merge succeeds, as in BPE-dropout. Rate 0 gives the model's own encoding.
 
-An occurrence's stream is a keyed hash of (seed, doc_id) plus its place in the text, modulo `streams`, so equal words are cut in up to `streams`
-ways and a stretch's cut can be kept for reuse; reruns agree. Characters that no piece covers become byte pieces. Decoding joins pieces and bytes
+Every occurrence of a word draws anew. Which turns were skipped decides a cut entirely, so what is kept for reuse is the cut of (stretch, skipped turns), never a draw (see Cuts);
+reruns agree. Characters that no piece covers become byte pieces. Decoding joins pieces and bytes
 and takes the front space away: it returns the text exactly, unless the text itself holds U+2581, which reads as a space.
 
 Null text gives null tokens, an empty text no tokens. Repeated rows are encoded alike. A null doc_id counts as its own key. Other columns stay
@@ -33,7 +33,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = 1 << 62
-MASK = (1 << 32) - 1
+MASK = (1 << 64) - 1
+MOST_TURNS = 60
 _loaded: dict[str, Pieces] = {}
 
 
@@ -63,14 +64,37 @@ class Pieces:
                 a, b = self.id.get(p[:c]), self.id.get(p[c:])
                 if a is not None and b is not None:
                     pairs[a * len(self.text) + b] = (r, self.id[p])
+        # Pairs by multiplicative hash: each slot holds the first pair that falls in it, the others are searched for
+        keys = np.array(sorted(pairs), np.int64)
+        self.slot_keys = np.full(1 << 20, -1, np.int64)
+        self.slot_pairs = np.zeros(1 << 20, np.int64)
+        slot, one = np.unique(self._slot(keys), return_index=True)
+        self.slot_keys[slot], self.slot_pairs[slot] = keys[one], one
+        self.late = np.zeros(1 << 20, bool)
+        self.late[np.delete(self._slot(keys), one)] = True
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_values, self.pair_ids = np.array([pairs[k] for k in sorted(pairs)], np.int64).reshape(-1, 2).T.copy()
 
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+
+    def pairs_at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Place of each pair of ids among pair_keys, -1 where there is no such merge or an id is negative."""
+        key = np.where((a >= 0) & (b >= 0), a * len(self.text) + b, -2)
+        slot = self._slot(key)
+        same = self.slot_keys[slot] == key
+        at = np.where(same, self.slot_pairs[slot], -1)
+        if (again := ~same & self.late[slot]).any():
+            sought = key[again]
+            near = np.minimum(np.searchsorted(self.pair_keys, sought), len(self.pair_keys) - 1)
+            at[again] = np.where(self.pair_keys[near] == sought, near, -1)
+        return at
+
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of each pair of ids, NONE where there is none or an id is negative."""
-        key = np.where((a >= 0) & (b >= 0), a * len(self.text) + b, -1)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_values[at], NONE)
+        at = self.pairs_at(a, b)
+        return np.where(at >= 0, self.pair_values[at], NONE)
 
     def bytes_of(self, text: str) -> list[int]:
         return [self.bytes[b] for b in text.encode("utf-8", "surrogatepass")]
@@ -82,6 +106,24 @@ def pieces(path: str) -> Pieces:
     return _loaded[path]
 
 
+def skips(base: int, turn: int, best: int, limit: int) -> bool:
+    """Whether the candidate of rank `best` that comes up at a turn is skipped: the keyed hash of an occurrence (base), turn and piece."""
+    x = base + turn * 0x9E3779B97F4A7C15 + best * 0xC2B2AE3D27D4EB4F & MASK
+    x = (x ^ x >> 32) * 0xD6E8FEB86659FD93 & MASK
+    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & MASK
+    return x >> 32 < limit
+
+
+def skips_many(base: np.ndarray, turn: int | np.ndarray, best: np.ndarray, limit: int) -> np.ndarray:
+    """The same for arrays."""
+    x = base + np.atleast_1d(turn).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + best.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x >> np.uint64(32) < np.uint64(limit)
+
+
 def merge_short(part: list[str], rank: dict[str, int], limit: int, base: int) -> list[str]:
     """Pieces of a short stretch: the agenda is the list of ranks of neighbouring pairs."""
     get = rank.get
@@ -94,7 +136,7 @@ def merge_short(part: list[str], rank: dict[str, int], limit: int, base: int) ->
             break
         i = agenda.index(best)
         turn += 1
-        if limit and ((base ^ turn * 40503) + best * 69069) * 2654435761 & MASK < limit:  # the keyed hash
+        if limit and skips(base, turn, best, limit):
             agenda[i] = NONE
             skipped.append((i, best))
             continue
@@ -134,7 +176,7 @@ def merge_long(part: list, rank: dict[str, int], limit: int, base: int) -> list[
         if right >= n or part[left] + part[right] != merged:
             continue  # one of the two has been merged away
         turn += 1
-        if limit and ((base ^ turn * 40503) + best * 69069) * 2654435761 & MASK < limit:
+        if limit and skips(base, turn, best, limit):
             skipped.append((best, left, merged))
             continue
         for again in skipped:
@@ -163,20 +205,19 @@ def cut(stretch: str, voc: Pieces, limit: int, base: int, short: int = 48) -> li
     return ids
 
 
-def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) -> list[bytes]:
-    """What cut() gives for short stretches, packed, all of them at once: every round takes the best candidate of each row.
-
-    Stretches are rows of symbols of one width; those with characters that are no pieces are left to cut()."""
+def symbols(stretches: list[str], voc: Pieces) -> np.ndarray:
+    """A row of ids of single characters for each stretch: -1 behind its end, -2 for characters that are no pieces."""
     width = max(map(len, stretches))
     codes = "".join([x.ljust(width, "\0") for x in stretches]).encode("utf-32-le", "surrogatepass")
     flat = voc.single[np.frombuffer(codes, np.uint32)].reshape(-1, width)
     flat[np.arange(width) >= np.fromiter(map(len, stretches), np.int64, len(stretches))[:, None]] = -1
-    odd = (flat == -2).any(1)
-    out: list[bytes] = [b""] * len(stretches)
-    for k in np.nonzero(odd)[0]:
-        out[k] = array("i", cut(stretches[k], voc, limit, int(base[k]))).tobytes()
-    rows = np.nonzero(~odd)[0]
-    sym, key = flat[rows], base[rows].astype(np.uint64)
+    return flat
+
+
+def merge_rows(flat: np.ndarray, voc: Pieces, decide) -> np.ndarray:
+    """Rows of ids merged to their end; every round takes the best candidate of each row, and decide(rows, turn, ranks) says which are skipped."""
+    final, width = flat.copy(), flat.shape[1]
+    rows, sym = np.arange(len(flat)), flat
     true = voc.pair_ranks(sym[:, :-1], sym[:, 1:])
     work = true.copy()
     place = np.arange(width)
@@ -185,16 +226,13 @@ def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) ->
         best = work.min(1)
         ended = best == NONE
         if ended.any():
-            there = sym[ended] >= 0
-            packed, stop = sym[ended][there].astype(np.int32).tobytes(), (4 * np.cumsum(there.sum(1))).tolist()
-            for k, a, b in zip(rows[ended].tolist(), [0, *stop], stop):
-                out[k] = packed[a:b]
-            rows, sym, key, true, work, best = (x[~ended] for x in (rows, sym, key, true, work, best))
+            final[rows[ended]] = sym[ended]
+            rows, sym, true, work, best = (x[~ended] for x in (rows, sym, true, work, best))
             if not len(rows):
                 break
         turn += 1
         at = work.argmin(1)
-        skip = (((key ^ np.uint64(turn * 40503)) + best.astype(np.uint64) * np.uint64(69069)) * np.uint64(2654435761) & np.uint64(MASK)) < np.uint64(limit)
+        skip = decide(rows, turn, best)
         s = np.nonzero(skip)[0]
         work[s, at[s]] = NONE
         m = np.nonzero(~skip)[0]
@@ -206,7 +244,7 @@ def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) ->
         old = sym[m]
         new = np.take_along_axis(old, source, 1)
         new[:, -1] = -1
-        new[row, i] = voc.pair_ids[np.searchsorted(voc.pair_keys, old[row, i] * len(voc.text) + old[row, i + 1])]
+        new[row, i] = voc.pair_ids[voc.pairs_at(old[row, i], old[row, i + 1])]
         ranks = np.take_along_axis(true[m], np.minimum(source[:, :-1], width - 2), 1)
         ranks[:, -1] = NONE
         right = np.where(i + 1 < width, new[row, np.minimum(i + 1, width - 1)], -1)
@@ -215,60 +253,179 @@ def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) ->
         left = i > 0
         ranks[row[left], i[left] - 1] = voc.pair_ranks(new[row[left], i[left] - 1], new[row[left], i[left]])
         sym[m], true[m], work[m] = new, ranks, ranks
-    if width == 1:
-        for k, ids in zip(rows, sym):
-            out[k] = ids.astype(np.int32).tobytes()
+    return final
+
+
+def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) -> list[bytes]:
+    """What cut() gives for short stretches, packed, all of them at once; those with characters that are no pieces are left to cut()."""
+    flat = symbols(stretches, voc)
+    odd = (flat == -2).any(1)
+    out: list[bytes] = [b""] * len(stretches)
+    for k in np.nonzero(odd)[0]:
+        out[k] = array("i", cut(stretches[k], voc, limit, int(base[k]))).tobytes()
+    rows, key = np.nonzero(~odd)[0], base[~odd].astype(np.uint64)
+    for k, ids in zip(rows, merge_rows(flat[rows], voc, lambda r, turn, best: skips_many(key[r], turn, best, limit))):
+        out[k] = ids[ids >= 0].astype(np.int32).tobytes()
     return out
 
 
-class Stream(dict):
-    """Packed ids of the parts seen in one stream; a part not seen is cut. When `keep` are held, they become the older half,
-    the half before them goes, and parts that come up again return from the older half: twice `keep` parts at most.
+class Grown:
+    """An array that grows at its end."""
+
+    def __init__(self, dtype):
+        self.all, self.n = np.empty(1024, dtype), 0
+
+    def extend(self, x) -> None:
+        if self.n + len(x) > len(self.all):
+            self.all = np.concatenate([self.all[: self.n], np.empty(max(len(x), self.n // 2 + 1024), self.all.dtype)])
+        self.all[self.n : self.n + len(x)] = x
+        self.n += len(x)
+
+
+class Cuts:
+    """Cuts of parts by their skipped turns, as trees: a part's root is its cut without a skip, and the child of a node at turn t is the cut with t skipped as well.
+
+    A node keeps the ranks that come up at its turns, so that an occurrence finds its first skip behind the node's last one, goes to that child and
+    ends where no turn is skipped: the cut that cut() gives for its base. Nothing that depends on an occurrence is kept. Long parts, parts with characters that are no pieces, and
+    nodes of more than MOST_TURNS turns are left to cut().
 
     A part is a stretch, or a stretch without its first space, or, when it begins with a line end, what follows that
     character. No piece holds a line end beside another character, so no merge reaches over one."""
 
-    def __init__(self, voc: Pieces, limit: int, key: int, keep: int):
-        self.voc, self.limit, self.key, self.keep = voc, limit, key, keep
-        self.older: dict[str, bytes] = {}
-
-    def _read(self, part: str) -> tuple[bytes, str, int]:
-        base = xxhash.xxh3_64_intdigest(part.encode("utf-8", "surrogatepass"), seed=self.key) & MASK if self.limit else 0
+    def __init__(self, voc: Pieces, limit: int, keep: int):
+        self.voc, self.limit, self.keep = voc, limit, keep
+        self.clear()
+
+    def clear(self) -> None:
+        self.root: dict[str, int] = {}
+        self.stretch: list[str] = []
+        self.ended: list[bool] = []  # begins with a line end
+        self.word, self.turns, self.mask, self.step, self.at, self.size = (Grown(t) for t in (np.int32, np.int64, np.uint64, np.int64, np.int64, np.int64))
+        self.best, self.child, self.ids, self.seen = (Grown(np.int32) for _ in range(4))
+
+    def shrink(self) -> None:
+        """Let the rarest nodes go, so that at most half of `keep` stay. An occurrence at a node has passed its parent, so parents stay with their children."""
+        n, least = self.word.n, 2
+        seen, word = self.seen.all[:n], self.word.all[:n]
+        while (seen >= least).sum() > self.keep // 2:
+            least *= 2
+        stay = seen >= least
+        to = np.where(stay, np.cumsum(stay) - 1, -2)
+        words, name = np.unique(word[stay], return_inverse=True)
+        old, root, stretch, ended = self.__dict__.copy(), self.root, self.stretch, self.ended
+        self.clear()
+        self.root = {x: int(to[k]) for x, k in root.items() if k >= 0 and stay[k]}
+        self.stretch, self.ended = [stretch[k] for k in words], [ended[k] for k in words]
+        for flat, start, size in ((("best", "child"), "step", "turns"), (("ids",), "at", "size")):
+            size = old[size].all[:n][stay]
+            begin = np.cumsum(size) - size
+            index = np.repeat(old[start].all[:n][stay] - begin, size) + np.arange(int(size.sum()))
+            for f in flat:
+                x = old[f].all[index]
+                getattr(self, f).extend(np.where(x >= 0, to[x], x) if f == "child" else x)
+            getattr(self, start).extend(begin)
+        self.word.extend(name)
+        self.seen.extend(seen[stay] // 2)
+        for f in ("mask", "turns", "size"):
+            getattr(self, f).extend(old[f].all[:n][stay])
+
+    def read(self, part: str) -> tuple[bool, str]:
         if part[:1] == "\n":
-            return self.voc.line_end, part[1:], base
-        return b"", part if part[:1] == SPACE else SPACE + part, base
-
-    def __missing__(self, part: str) -> bytes:
-        if (again := self.older.get(part)) is not None:
-            self[part] = again
-            return again
-        head, stretch, base = self._read(part)
-        return head + array("i", cut(stretch, self.voc, self.limit, base)).tobytes()
-
-    def learn(self, parts) -> None:
-        """Cut the short parts that are not known, together."""
-        new = [x for x in parts if x not in self and x not in self.older and len(x) <= 40]
-        if len(self) + len(new) > self.keep:
-            self.older = dict(self)
-            self.clear()
-        by_width: dict[int, list] = {}
-        for x in new:
-            head, stretch, base = self._read(x)
-            if stretch:
-                by_width.setdefault(-(-len(stretch) // 4), []).append((x, head, stretch, base))
-            else:
-                self[x] = head
-        for rows in by_width.values():
-            for start in range(0, len(rows), 20_000):
-                some = rows[start : start + 20_000]
-                packed = cut_many([r[2] for r in some], self.voc, self.limit, np.array([r[3] for r in some], np.uint64))
-                self.update((r[0], r[1] + p) for r, p in zip(some, packed))
+            return True, part[1:]
+        return False, part if part[:1] == SPACE else SPACE + part
+
+    def direct(self, part: str, base: int) -> np.ndarray:
+        ended, stretch = self.read(part)
+        ids = array("i", cut(stretch, self.voc, self.limit, base)).tobytes()
+        return np.frombuffer(self.voc.line_end + ids if ended else ids, np.int32)
+
+    def _grow(self, words: np.ndarray, masks: np.ndarray) -> np.ndarray:
+        """New nodes of words with the turns of masks skipped; -1 where cut() has to do it."""
+        out = np.full(len(words), -1, np.int64)
+        width = np.fromiter((len(self.stretch[w]) for w in words), np.int64, len(words))
+        line = np.frombuffer(self.voc.line_end, np.int32)
+        for w in np.unique(-(-width // 4)):
+            every = np.nonzero(-(-width // 4) == w)[0]
+            for some in (every[k : k + 4_000] for k in range(0, len(every), 4_000)):
+                flat = symbols([self.stretch[k] for k in words[some]], self.voc) if w else np.full((len(some), 1), -1)
+                some, flat = some[~(flat == -2).any(1)], flat[~(flat == -2).any(1)]
+                log, turns, mask = np.zeros((len(some), MOST_TURNS), np.int32), np.zeros(len(some), np.int64), masks[some]
+
+                def decide(rows, turn, best):
+                    turns[rows] = turn
+                    if turn > MOST_TURNS:
+                        return np.zeros(len(rows), bool)
+                    log[rows, turn - 1] = best
+                    return (mask[rows] >> np.uint64(turn - 1) & np.uint64(1)).astype(bool)
+
+                final = merge_rows(flat, self.voc, decide)
+                ended = np.fromiter((self.ended[k] for k in words[some]), bool, len(some))
+                final = np.hstack([np.where(ended[:, None], line, -1), final])
+                fit = turns <= MOST_TURNS
+                some, final, log, turns = some[fit], final[fit], log[fit], turns[fit]
+                out[some] = self.word.n + np.arange(len(some))
+                self.word.extend(words[some])
+                self.seen.extend(np.zeros(len(some), np.int32))
+                self.mask.extend(masks[some])
+                self.turns.extend(turns)
+                self.step.extend(self.best.n + np.cumsum(turns) - turns)
+                size = (final >= 0).sum(1)
+                self.size.extend(size)
+                self.at.extend(self.ids.n + np.cumsum(size) - size)
+                self.ids.extend(final[final >= 0])
+                self.best.extend(log[np.arange(MOST_TURNS) < turns[:, None]])
+                self.child.extend(np.full(int(turns.sum()), -2, np.int32))
+        return out
+
+    def _count(self, nodes: np.ndarray) -> None:
+        self.seen.all[: self.seen.n] += np.bincount(nodes, minlength=self.seen.n).astype(np.int32)
+
+    def find(self, parts: list[str], base: np.ndarray) -> np.ndarray:
+        """Node of each occurrence; -1 where cut() has to do it."""
+        if self.word.n > self.keep:
+            self.shrink()
+        new = list(set(parts) - self.root.keys())
+        if new:
+            short = [x for x in new if len(x) <= 40]
+            first = len(self.stretch)
+            for ended, stretch in map(self.read, short):
+                self.ended.append(ended)
+                self.stretch.append(stretch)
+            self.root.update(dict.fromkeys(new, -1))
+            self.root.update(zip(short, self._grow(np.arange(first, first + len(short)), np.zeros(len(short), np.uint64)).tolist()))
+        node = np.fromiter(map(self.root.__getitem__, parts), np.int64, len(parts))
+        self._count(node[node >= 0])
+        live = np.nonzero(node >= 0)[0] if self.limit else np.empty(0, np.int64)
+        turn = np.ones(len(live), np.int64)
+        while len(live):
+            hit, hit_turn = [], []
+            while len(live):
+                on = turn <= self.turns.all[node[live]]
+                live, turn = live[on], turn[on]
+                skip = skips_many(base[live], turn, self.best.all[self.step.all[node[live]] + turn - 1], self.limit)
+                hit.append(live[skip])
+                hit_turn.append(turn[skip])
+                live, turn = live[~skip], turn[~skip] + 1
+            live, turn = np.concatenate(hit), np.concatenate(hit_turn)
+            slot = self.step.all[node[live]] + turn - 1
+            to = self.child.all[slot]
+            if (to == -2).any():
+                where, one = np.unique(slot[to == -2], return_index=True)
+                parent, t = node[live[to == -2][one]], turn[to == -2][one]
+                self.child.all[where] = -1
+                made = self._grow(self.word.all[parent], self.mask.all[parent] | np.uint64(1) << (t - 1).astype(np.uint64))
+                self.child.all[where] = made
+                to = self.child.all[slot]
+            node[live] = to
+            self._count(to[to >= 0])
+            live, turn = live[to >= 0], turn[to >= 0] + 1
+        return node
 
 
 class Encoder:
-    def __init__(self, path: str = MODEL, drop: float = 0.1, seed: int = 1, streams: int = 2, keep: int = 250_000):
+    def __init__(self, path: str = MODEL, drop: float = 0.1, seed: int = 1, keep: int = 500_000):
         self.voc, self.seed = pieces(path), seed
-        self.known = [Stream(self.voc, int(drop * 2.0**32), seed * 65_537 + k, keep) for k in range(streams if drop else 1)]
+        self.cuts = Cuts(self.voc, int(drop * 2.0**32), keep)
 
     def parts(self, text: str) -> list[str]:
         if self.voc.lines_apart and SPACE not in text:
@@ -277,17 +434,23 @@ class Encoder:
                 return found
         return STRETCH.findall(SPACE + text.replace(" ", SPACE))
 
+    def bases(self, doc_id, n: int) -> np.ndarray:
+        """Keys of the draws of a text's n parts."""
+        start = xxhash.xxh3_64_intdigest(f"{self.seed}|{doc_id}".encode())
+        x = np.uint64(start) + np.arange(n, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
+        x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+        return x ^ x >> np.uint64(32)
+
     def encode(self, text: str, doc_id) -> np.ndarray:
         return self.encode_batch([text], [doc_id])[0]
 
     def encode_batch(self, texts, doc_ids, chunk: int = 4_000_000) -> list[np.ndarray | None]:
         """Ids of each text, None for None; texts are taken in runs of about `chunk` characters."""
         out: list[np.ndarray | None] = []
-        run: list[tuple[list[str], int] | None] = []
+        run: list[tuple[str | None, object]] = []
         size = 0
         for text, doc_id in zip(texts, doc_ids):
-            start = xxhash.xxh3_64_intdigest(f"{self.seed}|{doc_id}".encode()) if len(self.known) > 1 else 0
-            run.append(None if text is None else (self.parts(text) if text else [], start))
+            run.append((text, doc_id))
             size += len(text or "")
             if size >= chunk:
                 out += self._encode_run(run)
@@ -295,19 +458,30 @@ class Encoder:
         return out + self._encode_run(run)
 
     def _encode_run(self, run) -> list[np.ndarray | None]:
-        n = len(self.known)  # the stream of the i-th part is (i + start) % n
-        for k, known in enumerate(self.known):
-            known.learn(set().union(*(r[0][(k - r[1]) % n :: n] for r in run if r)))
-        out: list[np.ndarray | None] = []
-        for r in run:
-            if r is None:
-                out.append(None)
-                continue
-            packed = [b""] * len(r[0])
-            for k in range(n):
-                packed[k::n] = map(self.known[(k + r[1]) % n].__getitem__, r[0][k::n])
-            out.append(np.frombuffer(b"".join(packed), np.int32))
-        return out
+        every: list[str] = []
+        bases, edge = [np.empty(0, np.uint64)], [0]
+        for text, doc_id in run:
+            if text:
+                found = self.parts(text)
+                every += found
+                bases.append(self.bases(doc_id, len(found)))
+            edge.append(len(every))
+        base, cuts = np.concatenate(bases), self.cuts
+        node = cuts.find(every, base)
+        lone = np.nonzero(node < 0)[0]
+        apart = [cuts.direct(every[k], int(base[k])) for k in lone]
+        size = cuts.size.all[node]
+        size[lone] = [len(x) for x in apart]
+        start = np.concatenate([[0], np.cumsum(size)])
+        from_ = cuts.at.all[node]
+        from_[lone] = 0
+        index = np.repeat(from_ - start[:-1], size)
+        index += np.arange(start[-1])
+        tokens = cuts.ids.all[np.minimum(index, len(cuts.ids.all) - 1, out=index)]
+        for k, x in zip(lone, apart):
+            tokens[start[k] : start[k + 1]] = x
+        ends = start[edge].tolist()
+        return [None if text is None else tokens[a:b] for (text, _), a, b in zip(run, ends, ends[1:])]
 
 
 def decode_ids(ids, voc: Pieces) -> str:
@@ -323,14 +497,14 @@ def decode_ids(ids, voc: Pieces) -> str:
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "tokens", model: str = MODEL,
-                  drop: float = 0.1, seed: int = 1, streams: int = 2) -> DataFrame:
+                  drop: float = 0.1, seed: int = 1) -> DataFrame:
     """docs with an array<int> column of ids; it replaces a column of that name.
 
     For jobs whose executors hold more than this step: Arrow batches of 8 MB, small runs, and fewer kept cuts than op1 takes."""
     bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        encoder = Encoder(model, drop, seed, streams, keep=100_000)
+        encoder = Encoder(model, drop, seed, keep=200_000)
         for ids, texts in batches:
             yield pd.Series(encoder.encode_batch([t if isinstance(t, str) else None for t in texts], [None if pd.isna(i) else int(i) for i in ids], chunk=1_000_000))
         del encoder
@@ -353,6 +527,7 @@ def decode_column(tokens: DataFrame, token_col: str = "tokens", out_col: str = "
 
 def op1_sentencepiece(spark, sf_dir):
     """Ids of every whole text, their number, and whether decoding them returned the text."""
+    bound_arrow_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -360,8 +535,10 @@ def op1_sentencepiece(spark, sf_dir):
         voc = encoder.voc
         value = np.array([b"" if i in voc.special else bytes([voc.value[i]]) if i in voc.value else p.encode() for i, p in enumerate(voc.text)], object)
         for b in batches:
-            rows = encoder.encode_batch(b["text"], [None if pd.isna(i) else int(i) for i in b["doc_id"]])
+            rows = encoder.encode_batch(b["text"], [None if pd.isna(i) else int(i) for i in b["doc_id"]], chunk=2_000_000)
             back = [t is None or b"".join(value[r].tolist()).decode("utf-8", "replace").replace(SPACE, " ")[1:] == t for r, t in zip(rows, b["text"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": rows, "n_tokens": [None if r is None else len(r) for r in rows], "lossless": back})
+        del encoder
+        give_back()
 
     return docs.mapInPandas(run, "doc_id long, tokens array<int>, n_tokens long, lossless boolean")
