@@ -325,6 +325,33 @@ def test_html(spark):
     assert html_text.extract_text(df.limit(0)).count() == 0
 
 
+def _texts(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_templates_inside_main(spark):
+    box = "<div class='x1'><p>Follow us</p><p>All rights kept</p></div>"
+    rows = [(i, f"http://m.example/{i}", f"<body><main><p>Own text {i}</p><p>Said {i % 4}</p>{box}</main></body>") for i in range(12)]
+    rows += [(20 + i, f"http://few.example/{i}", f"<body><main><p>Own text {i}</p>{box}</main></body>") for i in range(5)]
+    rows += [(40, "http://w.example/", "<div class='content has-sidebar'><article><header><h1>T</h1></header><p>Text</p></article></div><div class='related'><article>no</article></div>"),
+             (41, "http://w.example/", "<div><article>Text</article></div><div class='sidebar'><article>no</article></div>"),
+             (42, "http://w.example/", "<p>Text</p><div class='comments'><article>no</article></div>"), (43, "http://w.example/", "<div hidden class='sidebar'><main>no</main></div><p>Text</p>")]
+    got = _texts(spark, rows)
+    assert all(got[i] == f"Own text {i}\n\nSaid {i % 4}" for i in range(12))
+    assert all(got[20 + i] == f"Own text {i}\n\nFollow us\n\nAll rights kept" for i in range(5))
+    assert got[40] == "T\n\nText" and got[41] == got[42] == got[43] == "Text"
+
+
+def test_html_counts_contents(spark):
+    page = "<body><div><p>Story {n}</p><p>More of {n}</p></div>{rest}</body>"
+    rows = [(i, f"http://c.example/p?track={i}", page.format(n="one", rest="")) for i in range(8)]  # one story at many urls
+    rows += [(10 + i, f"http://c.example/q{i}", page.format(n=i, rest="")) for i in range(60)]
+    rows += [(100 + i, f"http://c.example/blog/{i}", page.format(n=f"b{i}", rest="<div><p>Blog motto</p></div>")) for i in range(6)]
+    got = _texts(spark, rows)
+    assert all(got[i] == "Story one\n\nMore of one" for i in range(8)) and all(got[10 + i] == f"Story {i}\n\nMore of {i}" for i in range(60))
+    assert all(got[100 + i] == f"Story b{i}\n\nMore of b{i}" for i in range(6))  # on 6 of 67 contents of the host, but all of its section
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 

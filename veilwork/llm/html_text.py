@@ -1,12 +1,13 @@
 """Main text of web pages by site template removal.
 
-1. Each page is cut into block elements; every block element's subtree outside the article gets a hash of its tags and text. 2. Spark counts, per host, the pages that
-hold a subtree. 3. Subtrees on at least `least_pages` pages and `least_share` of a host's pages are deleted from that host's pages, together with elements whose tag, role or
-class says what they are (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments). What is left of article or main, or of the body where there is neither, is
-the text: blocks in page order, white space runs turned into one space, joined by an empty line. Text inside an article that recurs on other pages stays.
+1. Each page is cut into block elements; every block element's subtree gets a hash of its tags and text. 2. Spark counts, per host and per section (first folder of the path), the distinct
+contents that hold a subtree: pages that read the same without this step are one content. 3. Subtrees outside the article on at least `least_pages` contents and `least_share` of those of the host or section are
+deleted from its pages, subtrees inside article or main on at least `least_in_main` and `share_in_main`, together with elements whose tag, role or
+class says what they are (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments); a layout class on a wrapper of the article deletes nothing. What is left of article or main, or of the body where there is neither, is
+the text: blocks in page order, white space runs turned into one space, joined by an empty line.
 
 Null and empty html give an empty text; broken markup is read as far as it goes (unclosed elements end with their parent). A null url is a host of its own. Repeated rows
-give equal rows and count as one page. Other columns are not read.
+give equal rows and count once. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,30 +34,60 @@ BOILER = frozenset("nav header footer aside form menu dialog search".split())
 ENDS_P = BLOCK - {"body", "html"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|sidebar|side-bar|nav\w*|menu\w*|breadcrumbs?|comments?|disqus\w*|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|popup|modal|widget\w*|masthead|site-header|site-footer|page-header|page-footer|header|footer|skip-link|pagination|pager)(?=$|[\s_-])", re.I)
+# Marks of what is no part of an article even where it is built of article elements
+OTHER_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond|related|recommend\w*)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 
-def _boiler(tag: str, attributes: str, in_main: bool) -> bool:
+def _boiler(tag: str, attributes: str, in_main: bool) -> int:
+    """2 for what its tag, role or class says is no article text, 1 for a class of the page's layout alone, which may stand on a wrapper of the article, else 0."""
     if tag in BOILER and not (tag == "header" and in_main):
-        return True
+        return 2
+    found = 0
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, value in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'")
             if name in ("class", "id"):
-                if tag not in ("body", "html", "article", "main") and MARK.search(value) or tag == "article" and re.search(r"(?i)\bcomment|\brepl(?:y|ies)", value):
-                    return True
+                if tag == "article" and re.search(r"(?i)\bcomment|\brepl(?:y|ies)", value):
+                    return 2
+                if tag not in ("body", "html", "article", "main") and MARK.search(value):
+                    found = 1
+                    if OTHER_TEXT.search(value):
+                        return 2
             elif name == "role":
                 if value.lower() in ROLES:
-                    return True
+                    return 2
             elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-    return False
+                return 2
+    return found
 
 
 class Page:
     """parent, tag, boiler, main (inside an article or main) per node; blocks: (node, text); hash per node."""
 
     def __init__(self, html: str):
+        self._wrappers: set[int] = set()
+        self._read(html)
+        if wrappers := self._around_article():
+            self._wrappers = wrappers
+            self._read(html)
+
+    def _around_article(self) -> set[int]:
+        """Nodes with a layout class that hold the main element, or the articles where no other is left."""
+        out: set[int] = set()
+        tags = ("main",) if any(self.main) else ("article", "main")
+        for n, tag in enumerate(self.tag):
+            if tag in tags and self.boiler[n] and not self.own[n]:
+                up, n = set(), self.parent[n]
+                while n > 0:
+                    up.add(n)
+                    n = self.parent[n]
+                if all(self.own[k] < 2 for k in up):
+                    out |= {k for k in up if self.own[k]}
+        return out
+
+    def _read(self, html: str) -> None:
+        self.own = [0]
         self.parent, self.tag, self.boiler, self.main = [-1], ["#"], [False], [False]
         self.content: list[list] = [[]]
         self.blocks: list[tuple[int, str]] = []
@@ -98,7 +129,10 @@ class Page:
                 self._flush()
             return
         top = self._stack[-1]
-        boiler = tag in NO_TEXT or _boiler(tag, attributes, self.main[top])
+        own = 2 if tag in NO_TEXT else _boiler(tag, attributes, self.main[top])
+        if len(self.parent) in self._wrappers:
+            own = 0
+        boiler = own > 0
         if tag not in BLOCK and not boiler:
             return
         self._flush()
@@ -111,6 +145,7 @@ class Page:
         node = len(self.parent)
         self.parent.append(top)
         self.tag.append(tag)
+        self.own.append(own)
         self.boiler.append(boiler or self.boiler[top])
         self.main.append(not self.boiler[node] and (self.main[top] or tag in ("article", "main")))
         self.content.append([])
@@ -130,7 +165,7 @@ class Page:
             self._flush()
 
     def hashes(self) -> list[int | None]:
-        """A signed 64-bit hash of each subtree's tags and text; None without text."""
+        """A signed 64-bit hash of each subtree's tags and text, odd inside an article or main; None without text."""
         out: list[int | None] = [None] * len(self.parent)
         for node in range(len(self.parent) - 1, -1, -1):  # children come after their parents
             parts = [x if isinstance(x, str) else out[x] for x in self.content[node]]
@@ -138,11 +173,11 @@ class Page:
             if parts:
                 h = xxhash.xxh3_64_intdigest(repr((self.tag[node], parts)).encode("utf-8", "surrogatepass"))
                 out[node] = h - (1 << 64) if h >> 63 else h
-        return out
+        return [h if h is None else h & ~1 | main for h, main in zip(out, self.main)]
 
     def templates(self) -> set[int]:
-        """Hashes of the subtrees that may be deleted: block elements below the body and outside the article."""
-        has_main = {n for n in range(len(self.parent)) if self.main[n]}
+        """Hashes of the subtrees that may be deleted: block elements below the body, and those below an article or main, but none that holds one whole."""
+        has_main = {n for n in range(len(self.parent)) if self.main[n] and not self.main[self.parent[n]]}
         holds = set()
         for n in has_main:
             while n >= 0 and n not in holds:
@@ -154,7 +189,7 @@ class Page:
         drop = list(self.boiler)
         if gone:
             for n, h in enumerate(self.hashes()):
-                if h in gone and not self.main[n]:
+                if h in gone and not (self.main[n] and not self.main[self.parent[n]]):
                     drop[n] = True
         for n in range(1, len(drop)):
             drop[n] = drop[n] or drop[self.parent[n]]
@@ -162,23 +197,31 @@ class Page:
         return "\n\n".join(t for n, t in self.blocks if not drop[n] and (self.main[n] or not main))
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, least_share: float = 0.1) -> DataFrame:
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, least_share: float = 0.1,
+                 least_in_main: int = 10, share_in_main: float = 0.5) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), host.alias("host"))
+    section = F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), host.alias("host"), section.alias("section"))
     rows = rows.withColumn("page", F.xxhash64("page_id", "url", "html"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"page": b["page"], "host": b["host"], "subtrees": [sorted(Page(h).templates()) for h in b["html"]]})
-
-    found = materialise(rows.select("page", "host", "html").mapInPandas(cut, "page long, host string, subtrees array<long>"))
-    nodes = found.select("page", "host", F.explode("subtrees").alias("subtree"))
-    hosts = found.groupBy("host").agg(F.approx_count_distinct("page").alias("pages"))
-    common = nodes.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    common = common.join(hosts, "host").where(F.col("n") >= least_share * F.col("pages")).select("host", "subtree")
-    gone = nodes.join(materialise(common), ["host", "subtree"], "left_semi").groupBy("page").agg(F.collect_set("subtree").alias("gone"))  # at most a page's own subtrees
+            read = [Page(h) for h in b["html"]]
+            content = [xxhash.xxh3_64_intdigest(p.text(set()).encode("utf-8", "surrogatepass")) >> 1 for p in read]
+            yield pd.DataFrame({"page": b["page"], "host": b["host"], "section": b["section"], "content": content, "subtrees": [sorted(p.templates()) for p in read]})
+
+    found = materialise(rows.select("page", "host", "section", "html").mapInPandas(cut, "page long, host string, section string, content long, subtrees array<long>"))
+    whole, part = F.concat("host", F.lit("/")), F.concat("host", F.lit("/"), "section", F.lit("/"))
+    areas = found.withColumn("area", F.explode(F.when(F.col("section") == "", F.array(whole)).otherwise(F.array(whole, part))))
+    nodes = areas.select("page", "area", "content", F.explode("subtrees").alias("subtree"))
+    totals = areas.select("area", "content").distinct().groupBy("area").agg(F.count("*").alias("pages"))
+    common = nodes.select("area", "subtree", "content").distinct().groupBy("area", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    inside = F.col("subtree").bitwiseAND(F.lit(1)) == 1
+    enough = F.when(inside, (F.col("n") >= least_in_main) & (F.col("n") >= share_in_main * F.col("pages"))).otherwise(F.col("n") >= least_share * F.col("pages"))
+    common = common.join(totals, "area").where(enough).select("area", "subtree")
+    gone = nodes.join(materialise(common), ["area", "subtree"], "left_semi").groupBy("page").agg(F.collect_set("subtree").alias("gone"))  # at most a page's own subtrees
     joined = rows.select("page_id", "url", "html", "page").join(materialise(gone), "page", "left")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
