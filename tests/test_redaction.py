@@ -177,3 +177,12 @@ def test_function_recognizer_and_empty_tables(spark):
     none = X.analyze_units(D.detect(units(spark, ["a"]).limit(0)))
     assert A.coverage(none).collect()[0].asDict() == {"total_units": 0, "units_with_pii": 0, "total_pii_count": 0}
     assert [tuple(r) for r in A.counts_with_total(X.explode_detections(none)).collect()] == [("TOTAL", 0)]
+
+
+def test_prefilter_keeps_units_with_spans(spark):
+    from veilwork.operators.filters import prefilter_units
+
+    rows = [(1, "Rajesh Kumar signed.", [0]), (2, "Nothing was signed.", []), (3, "Nothing was signed.", None), (4, "ab", [0]), (5, "Call 5", None)]
+    units = spark.createDataFrame(rows, "doc_id long, text string, spans array<int>")
+    assert sorted(r.doc_id for r in prefilter_units(units).collect()) == [1, 5]
+    assert [r.doc_id for r in prefilter_units(units.drop("spans")).collect()] == [5]

@@ -16,7 +16,11 @@ def has_cue(text: Column) -> Column:
 
 
 def prefilter_units(units: DataFrame, text_col: str = "text") -> DataFrame:
-    return units.where(has_cue(F.col(text_col)))
+    """F1; where units have spans found elsewhere, those with a span stay without a cue as well."""
+    keep = has_cue(F.col(text_col))
+    if "spans" in units.columns:
+        keep |= (F.length(strip_chars(F.col(text_col))) >= 3) & (F.coalesce(F.size("spans"), F.lit(0)) > 0)
+    return units.where(keep)
 
 
 def keep_supported(spans: Column) -> Column:
