@@ -7,7 +7,6 @@ the shared folder and reads it again for the next. All stages but the last retur
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from veilwork.llm import exact_dedup, jaccard_join, mixing, quality, sentencepiece_dropout
 from veilwork.llm.common import materialise, table
@@ -30,10 +29,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mixture takes it: not at all, once or twice."""
-    taken = mixing.mix(docs).where("taken").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), "copy")
-    taken = materialise(taken.distinct())
-    same = docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].eqNullSafe(taken["__source"])
-    return docs.join(taken.hint("merge"), same).select(*[docs[c] for c in docs.columns])
+    return mixing.mixed_rows(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -35,7 +35,7 @@ def give_back() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, the warehouse on a cluster."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, the warehouse on a cluster unless that is a folder of one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master
@@ -43,9 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
         if local:
             spark.conf.set("spark.checkpoint.dir", found)
+        elif found.startswith("file:") or found.startswith("/"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found
 
 
+def row_key(id_col, text_col) -> F.Column:
+    """Never null; equal for rows of equal id and text only, so that rows which repeat an id with another text are told apart."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    named = F.coalesce(F.concat(F.lit("i"), F.col(id_col).cast("string")), F.lit("n"))
+    return F.concat_ws(":", named, F.octet_length(text).cast("string"), F.xxhash64(text).cast("string"))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, once: bool = False) -> DataFrame:
+    """The rows of docs, all columns, whose row_key() is not in gone(key); with `once` only one of the rows of a key. One plan at every size, one shuffle."""
+    keyed = docs.withColumn("__key", row_key(id_col, text_col))
+    gone = materialise(gone.select(F.col("key").alias("__gone")).distinct())
+    left = keyed.join(gone.hint("merge"), F.col("__key") == F.col("__gone"), "left_anti")
+    if once:
+        left = left.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__nth = 1")
+    return left.select(*[left[c] for c in docs.columns])
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage ends, lost executors cost nothing
     before it, and joins of two such tables have plain exchanges that adaptive execution may split when skewed."""
@@ -82,15 +101,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not last[0]:
             break
+        # Minima are written before they are joined back: a join of two tables may be split where a node has very many neighbours
         both = edges.union(edges.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+        large = both.where("v > u").join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = materialise(large.where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        drop_written(low)
+        low = materialise(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "w"))
+        hung = large.join(low, F.col("u") == F.col("w")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select(F.col("w").alias("u"), F.col("m").alias("v")))
         small = materialise(hung.where("u <> v").distinct())
-        drop_written(large)
-        drop_written(edges)
+        for x in (low, large, edges):
+            drop_written(x)
         edges, now = small, sign(small)
         if now == last:
             break
