@@ -1,7 +1,7 @@
 """License scan by diagonal voting. Native columns only.
 
 Every rolling word pair of every whole text is joined by hash to the word pairs of the templates (a fixed list of a
-few dozen rows, so its broadcast is bounded); the pair's words are compared too, so hash collisions never count. Hits are
+few hundred rows, so its broadcast is bounded); the pair's words are compared too, so hash collisions never count. Hits are
 added up by (document, template, diagonal), diagonal = word place in the text minus place in the template. A phrase
 stands exactly where a diagonal has all its pairs. For notices, diagonals at most `gap` apart are merged (words left out
 or put in), and the merged span counts when it covers `cover` of the notice's pairs.
@@ -12,6 +12,7 @@ an internal row number. Other columns are not read. Empty tables give empty resu
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,17 +23,31 @@ from .common import materialise, table
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose exact places are counted.
 PHRASES = (("cc-by", "cc by"), ("gpl", "general public license"), ("reserved", "all rights reserved"))
-#: Notices found with gaps: label and normalised text.
+#: Notices found with gaps: label and text (usual headers and passages of the licenses). Their words are taken as those of the documents are.
 NOTICES = (
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl", "subject to the terms of the mozilla public license"),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a
+        copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is
+        distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
+    ("bsd", """Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form
+        must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""),
+    ("cc-by-nc", "licensed under CC BY-NC 4.0"),
+    ("cc-by-sa", "licensed under CC BY-SA 4.0"),
+    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("gpl", "this work is licensed under the GNU General Public License version 3"),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software
+        Foundation, either version 3 of the License, or (at your option) any later version."""),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "released under the MIT License"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal
+        in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software,
+        and to permit persons to whom the Software is furnished to do so"""),
+    ("mpl", "subject to the terms of the Mozilla Public License"),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one"),
     ("public-domain", "released into the public domain"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary"),
 )
 GAP, COVER = 2, 0.7
 
@@ -43,11 +58,15 @@ def lower_ascii(col):
         F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall(WORD, text.translate({c: c + 32 for c in range(65, 91)}))
+
+
 def template_pairs(spark: SparkSession, phrases=PHRASES, notices=NOTICES) -> DataFrame:
     """template id, label, exact, pairs in the template, place, and the pair's two words."""
-    rows = []
+    rows = []  # a few hundred
     for k, (label, text, exact) in enumerate([(a, b, True) for a, b in phrases] + [(a, b, False) for a, b in notices]):
-        words = text.split()
+        words = template_words(text)
         rows += [(k, label, exact, len(words) - 1, i, a, b) for i, (a, b) in enumerate(zip(words, words[1:]))]
     schema = "template int, label string, exact boolean, n_pairs int, place int, first string, second string"
     return spark.createDataFrame(rows, schema).withColumn("pair", F.xxhash64("first", "second"))
@@ -59,15 +78,14 @@ def license_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     row, label, exact, start and stop (word places, stop not included), coverage (share of the template's pairs)."""
     words = F.regexp_extract_all(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), F.lit(WORD), F.lit(0))
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words.alias("words"))
-    pairs = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))),
-                        lambda w, i: F.xxhash64(w, F.get("words", i + 1)))
-    # posexplode_outer keeps documents without any pair: one reading of the texts gives both results
-    rolling = base.select("row", "doc_id", "words", F.posexplode_outer(pairs).alias("at", "pair"))
-    found = template_pairs(docs.sparkSession, phrases, notices)
-    same = (F.get("words", F.col("at")) == F.col("first")) & (F.get("words", F.col("at") + 1) == F.col("second"))
-    joined = rolling.join(F.broadcast(found.withColumnRenamed("pair", "p")), (F.col("pair") == F.col("p")) & same, "left")
-    kept = joined.where("template IS NOT NULL OR coalesce(at, 0) = 0").select(
-        "row", "doc_id", F.size("words").cast("long").alias("n_words"), "at", "template", "label", "exact", "n_pairs", "place")
+    # Only the exploded pair and scalars go on: the words array must not be copied along with each pair. The outer explode keeps documents without any pair
+    pairs = F.arrays_zip(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))).alias("first"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("second"))
+    rolling = base.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.posexplode_outer(pairs).alias("at", "p"))
+    rolling = rolling.withColumn("pair", F.xxhash64("p.first", "p.second"))
+    found = template_pairs(docs.sparkSession, phrases, notices).select("template", "label", "exact", "n_pairs", "place", F.col("pair").alias("hash"), F.col("first").alias("f"), F.col("second").alias("s"))
+    same = (F.col("pair") == F.col("hash")) & (F.col("p.first") == F.col("f")) & (F.col("p.second") == F.col("s"))
+    joined = rolling.join(F.broadcast(found), same, "left")
+    kept = joined.where("template IS NOT NULL OR coalesce(at, 0) = 0").select("row", "doc_id", "n_words", "at", "template", "label", "exact", "n_pairs", "place")
     kept = materialise(kept)
     documents = kept.select("row", "doc_id", "n_words").distinct()
     hits = kept.where("template IS NOT NULL").withColumn("diagonal", F.col("at") - F.col("place"))
@@ -101,7 +119,7 @@ def scan_licenses(docs: DataFrame, **options) -> DataFrame:
 
 
 def _sql() -> str:
-    texts = [(k, label, text, k < len(PHRASES)) for k, (label, text) in enumerate(PHRASES + NOTICES)]
+    texts = [(k, label, " ".join(template_words(text)), k < len(PHRASES)) for k, (label, text) in enumerate(PHRASES + NOTICES)]
     values = ", ".join(f"({k}, '{label}', '{text}', {exact})" for k, label, text, exact in texts)
     return rf"""
 WITH t0(template, label, body, exact) AS (VALUES {values}),
