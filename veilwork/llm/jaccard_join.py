@@ -4,21 +4,20 @@ The global order of shingles is the order of their 64-bit hashes. Cut into F fra
 most D shingles agree in at least F - D fragments, and the rest only adds partial overlaps. So with F > D every linked pair
 shares a whole fragment, which one equi-grouping finds without counting frequencies:
 
-1. Each document gives its set size, the class of its set, and one key per non-empty fragment. Fragment counts come from
+1. Each document gives its set size, the class of its set, one key per non-empty fragment, and a sketch. Fragment counts come from
    size classes; a document near the top of its class gives keys for the next one too. Fragments empty in both sets say
    nothing, so F has slack for them; the few sets with more empty fragments than the slack also give the keys
-   of a plain prefix filter, which keeps the join exact.
-   Below a similarity of 0.85 fragments are short, and one that lies in a passage of many documents joins texts
-   that have little else in common. There the first fragment alone finds: a set's head, its smallest shingles, is so long
-   that two linked heads overlap in more shingles than the slack. So each set may leave out its most
-   frequent head shingles, as many as the slack, and a linked pair still shares one that both keep (see Heads).
-2. Keys seen with two classes hang the classes on their smallest: as many edges as keys, never all pairs. Their
-   connected parts are families; a linked pair is always in one family.
+   of a plain prefix filter, which keeps the join exact. The sketch has one byte of hash for each of a larger number of fine fragments.
+2. Sets that share a key are compared by their sketches: fine fragments that differ are counted, each of them
+   stands for a shingle of one set only, and the pair goes on when the sum is no more than linked sets can differ in. Passages that many documents share
+   give keys in common, but not such pairs. Groups of a key are walked from set to set (no pair is met twice once both are reached), cut into bounded blocks where they are large.
+   The connected parts of what goes on are families; a linked pair is always in one.
 3. Families are cut into bounded blocks; for each pair of blocks partial overlaps are counted fragment by
    fragment of the order, summed per pair, and compared with the threshold exactly. A spanning forest and link counts
    leave the task, not the pairs.
 
-Equal sets are one class throughout, so groups of copies cost one member. A class is a 64-bit hash of the sorted set.
+Equal sets are one class throughout, so groups of copies cost one member. A class is a 64-bit hash of the sorted set. Very large sets have more fine fragments than a sketch keeps (MOST_SKETCH);
+those it keeps are a random part of the order, and the bound is 7 standard deviations over what linked sets are expected to differ in there, so that less than one link in 10^10 is lost.
 
 Text is lower-cased A-Z only; words are runs without ASCII white space. With fewer words than a shingle the whole sequence is one
 shingle; null, empty or blank texts have no shingles and link with nothing. Rows repeating a doc_id are joined like
@@ -36,11 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop_written, give_back, materialise, table
+from .common import bound_arrow_batches, components, drop_written, give_back, materialise, row_key, table, without_rows
 
 RATIO = 1.4  # of the bounds of neighbouring size classes
-BLOCK_DOCS, BLOCK_SHINGLES = 384, 1_500_000
-SLACK = 10  # per cent of a set's shingles that its head holds beyond what links need
+BLOCK_DOCS, BLOCK_SHINGLES = 384, 600_000
+FINE, MOST_SKETCH = 3.5, 256  # fine fragments for each shingle that linked sets can differ in, and most of them kept
+SMALL, KEY_BLOCK = 8, 1024  # sets of a key that are compared pair by pair, and in a block of a larger one
 COLUMNS = 4096  # shingles of one fragment of the order when overlaps are counted
 
 
@@ -56,7 +56,7 @@ class WordHashes(dict):
     """Hashes of words; the words seen are kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -84,7 +84,7 @@ class Cuts:
         self.low = [self.least]
         while self.low[-1] < 1 << 40:
             self.low.append(math.ceil(self.low[-1] * RATIO) + 1)
-        self.parts, self.slack = [], []
+        self.parts, self.slack, self.fine = [], [], []
         for low, high in zip(self.low, self.low[1:]):
             d, slack = self.apart(high - 1, high - 1), 1
             for _ in range(20):
@@ -93,6 +93,7 @@ class Cuts:
                 slack = math.ceil(empty + 4 * math.sqrt(empty)) + 1
             self.parts.append(d + 1 + slack)
             self.slack.append(slack)
+            self.fine.append(max(8, math.ceil(FINE * d)))
 
     def apart(self, a: int, b: int) -> int:
         """Most shingles that two linked sets of these sizes hold in one only."""
@@ -104,7 +105,8 @@ class Cuts:
         k = int(np.searchsorted(self.low, n, side="right")) - 1
         return [k, k + 1] if n * 100 // self.percent >= self.low[k + 1] else [k]
 
-    def keys(self, s: np.ndarray) -> np.ndarray:
+    def marks(self, s: np.ndarray) -> list[tuple[int, bytes, np.ndarray]]:
+        """(size class, sketch, keys) of each of a set's size classes."""
         out = []
         mixed = None
         for k in self.labels(len(s)):
@@ -115,64 +117,107 @@ class Cuts:
             edge = np.concatenate([[0], bounds, [len(s)]])
             full = edge[1:] > edge[:-1]
             sums = (mixed[edge[1:]] - mixed[edge[:-1]])[full]
-            out.append(_mix(sums ^ _mix(np.arange(f, dtype=np.uint64)[full] + np.uint64((k + 1) << 34))))
+            keys = _mix(sums ^ _mix(np.arange(f, dtype=np.uint64)[full] + np.uint64((k + 1) << 34)))
             if f - int(full.sum()) > self.slack[k]:
                 prefix = s[: len(s) - -(-len(s) * self.percent // 100) + 1]
-                out.append(_mix(prefix ^ _mix(np.full(len(prefix), (k + 1) << 50, np.uint64))))
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-class Heads:
-    """The first fragment of each set's order, long enough for more than slack shared shingles.
-
-    Of n shingles at least need = ceil(n * percent / 100) are shared with a linked set. The first n - need + 1 + e of
-    both sets share more than e, e being the smaller of the sets' slacks floor(n * SLACK / 100). The linked set has at least
-    need shingles itself, so floor(need * SLACK / 100) is at most e. Each set leaves out that many of its head shingles, the
-    most frequent by one order of all shingles; the rarest shared one has e more frequent beside it in both, and stays.
-    """
-
-    def __init__(self, percent: int):
-        self.percent = percent
-
-    def keys(self, s: np.ndarray) -> np.ndarray:
-        need = -(-len(s) * self.percent // 100)
-        return s[: len(s) - need + 1 + len(s) * SLACK // 100] if len(s) else s
-
-    def left_out(self):
-        return F.expr(f"((n * {self.percent} + 99) div 100) * {SLACK} div 100").cast("int")
+                keys = np.concatenate([keys, _mix(prefix ^ _mix(np.full(len(prefix), (k + 1) << 50, np.uint64)))])
+            fine = self.fine[k]
+            width = min(fine, MOST_SKETCH)
+            edge = np.searchsorted(s, (np.arange(1, width + (fine > width), dtype=np.float64) * (2.0**64 / fine)).astype(np.uint64))
+            edge = np.concatenate([[0], edge, [len(s)] if fine == width else []]).astype(np.int64)
+            sketch = (_mix(mixed[edge[1:]] - mixed[edge[:-1]]) >> np.uint64(56)).astype(np.uint8)
+            out.append((k, sketch.tobytes(), keys))
+        return out
+
+    def most_apart(self, label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Most fine fragments of a sketch that differ between linked sets of sizes a and b."""
+        d = (100 - self.percent) * (a + b) // (100 + self.percent)
+        share = np.minimum(1.0, MOST_SKETCH / np.array(self.fine)[label])
+        return np.where(share == 1, d, np.floor(d * share + 7 * np.sqrt(d * share) + 7))
+
+
+def walk(rows: np.ndarray, sketch: np.ndarray, size: np.ndarray, label: np.ndarray, scheme: Cuts, edges: list) -> None:
+    """Edges of a spanning forest of the pairs among rows whose sketches are near enough."""
+    left = rows
+    while len(left):
+        first, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            some, front = front[:16], front[16:]
+            apart = (sketch[some][:, None, :] != sketch[left][None, :, :]).sum(2)
+            near = (apart <= scheme.most_apart(label[left][None, :], size[some][:, None], size[left][None, :])).any(0)
+            found = left[near]
+            edges.append((found, np.full(len(found), first)))
+            front, left = np.concatenate([front, found]), left[~near]
+
+
+def near_in_groups(b: pd.DataFrame, scheme: Cuts) -> pd.DataFrame:
+    """Edges (a, b) of sets near enough to be linked, for whole groups of rows (key, p, q, class, n, label, sketch) in order."""
+    by = b[["key", "p", "q"]].to_numpy()
+    change = np.concatenate([[0], np.nonzero((by[1:] != by[:-1]).any(1))[0] + 1, [len(b)]])
+    group = np.repeat(np.arange(len(change) - 1), np.diff(change))
+    many = np.diff(change)[group]
+    cls, size, label = (b[c].to_numpy() for c in ("class", "n", "label"))
+    sketch = np.frombuffer(b"".join(x.ljust(MOST_SKETCH, b"\0") for x in b["sketch"]), np.uint8).reshape(len(b), MOST_SKETCH)
+    edges = []
+    for d in range(1, SMALL):
+        i = np.nonzero((many[:-d] <= SMALL) & (group[d:] == group[:-d]))[0] if d < len(b) else np.empty(0, np.int64)
+        near = (sketch[i] != sketch[i + d]).sum(1) <= scheme.most_apart(label[i], size[i], size[i + d])
+        edges.append((i[near], i[near] + d))
+    for g in np.unique(group[many > SMALL]):
+        rows = np.arange(change[g], change[g + 1])
+        walk(rows[np.unique(cls[rows], return_index=True)[1]], sketch, size, label, scheme, edges)
+    a, c = (cls[np.concatenate(x)] for x in zip(*edges))
+    return pd.DataFrame({"a": a, "b": c})[a != c].drop_duplicates()
+
+
+def near_edges(tagged: DataFrame, scheme: Cuts) -> DataFrame:
+    """Edges (a, b) from rows (key, p, q, class, n, label, sketch): groups of (key, p, q) are taken whole, in runs of a batch."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            b = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(b):
+                continue
+            by = b[["key", "p", "q"]].to_numpy()
+            last = np.nonzero((by != by[-1]).any(1))[0]
+            at = int(last[-1]) + 1 if len(last) else 0
+            if at:
+                yield near_in_groups(b.iloc[:at], scheme)
+            rest = b.iloc[at:]
+        if rest is not None:
+            yield near_in_groups(rest, scheme)
+        del rest
+        give_back()
 
-def _frequent_left_out(keys: DataFrame, counts: DataFrame, scheme: Heads) -> DataFrame:
-    """class, key without keys of one class and without each class's most frequent ones. Groups are one head each."""
-    mine = keys.join(counts, "key").groupBy("class", "n").agg(F.array_sort(F.collect_set(F.struct((-F.col("count")).alias("rare"), "key"))).alias("keys"))
-    rest = F.slice("keys", scheme.left_out() + 1, F.greatest(F.size("keys") - scheme.left_out(), F.lit(0)))
-    return mine.select("class", F.explode(F.transform(rest, lambda x: x["key"])).alias("key"))
+    return tagged.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, scheme: Cuts | Heads) -> DataFrame:
-    """doc_id, n, class (null: no shingles), keys. A class's keys come once per task."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, scheme: Cuts, with_key: bool) -> DataFrame:
+    """doc_id, key, n, class (null: no shingles), marks. A class's marks come once per task."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, seen = WordHashes(), set()
         for batch in batches:
-            n, cls, keys = [], [], []
+            n, cls, marks = [], [], []
             for text in batch["t"]:
                 s = shingle_set(text, k, hashes)
                 c = int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())))) if len(s) else None
                 n.append(len(s))
                 cls.append(c)
                 if c is None or c in seen:
-                    keys.append(None)
+                    marks.append(None)
                     continue
-                if len(seen) < 1_000_000:
+                if len(seen) < 200_000:
                     seen.add(c)
-                keys.append(scheme.keys(s).view(np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n": n, "class": pd.array(cls, dtype="Int64"), "keys": keys})
+                marks.append([{"label": m[0], "sketch": m[1], "keys": m[2].view(np.int64)} for m in scheme.marks(s)])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "key": batch["key"], "n": n, "class": pd.array(cls, dtype="Int64"), "marks": marks})
         del hashes, seen
         give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t")).mapInPandas(
-        run, "doc_id long, n long, class long, keys array<long>")
+    key = row_key(id_col, text_col) if with_key else F.lit(None).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.col(text_col).alias("t")).mapInPandas(
+        run, "doc_id long, key string, n long, class long, marks array<struct<label: int, sketch: binary, keys: array<long>>>")
 
 
 def overlap_links(sets: list[np.ndarray], left: np.ndarray, within: bool, percent: int) -> np.ndarray:
@@ -234,21 +279,26 @@ def by_group(names: list[str], work, batches: Iterator[pd.DataFrame]) -> Iterato
         yield work(pd.concat(rest) if len(rest) > 1 else rest[0])
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other rows linked directly)."""
-    scheme = Cuts(percent) if percent >= 85 else Heads(percent)
-    found = materialise(_sets(docs, id_col, text_col, shingle, scheme))
-    sets = materialise(found.select("doc_id", "n", "class"))
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, with_key: bool = False) -> DataFrame:
+    """Per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable by links), n_links (other rows linked directly), and with_key its row_key() and a number of its group."""
+    bound_arrow_batches(docs.sparkSession)
+    scheme = Cuts(percent)
+    found = materialise(_sets(docs, id_col, text_col, shingle, scheme, with_key))
+    sets = materialise(found.select("doc_id", "key", "n", "class"))
     classes = materialise(sets.where("class IS NOT NULL").groupBy("class").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("members"), F.max("n").alias("n")))
-    keys = found.select("class", "n", F.explode("keys").alias("key"))
-    if isinstance(scheme, Heads):
-        counts = materialise(keys.groupBy("key").agg(F.count("*").alias("count")).where("count > 1"))
-        keys = materialise(_frequent_left_out(keys, counts, scheme))
-    shared = materialise(keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key", "low"))
-    stars = keys.join(shared, "key").where("class <> low").groupBy(F.col("class").alias("a"), F.col("low").alias("b")).agg(F.lit(1).alias("x"))
-    family = materialise(components(stars.select("a", "b")))
+    marks = found.select("class", "n", F.explode("marks").alias("m")).select("class", "n", "m.label", "m.sketch", "m.keys")
+    keys = marks.select("class", "label", F.explode("keys").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low <> high")
+    shared = materialise(shared.select("key", F.ceil(F.col("rows") / KEY_BLOCK).cast("int").alias("blocks")))
+    hits = keys.join(shared, "key")
+    sketches = marks.select("class", "label", "n", "sketch").dropDuplicates(["class", "label"])
+    tagged = hits.join(materialise(sketches), ["class", "label"]).withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
+    tagged = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "class", "n", "label", "sketch")
+    near = materialise(near_edges(tagged, scheme).distinct())
     drop_written(found)
+    family = materialise(components(near))
     members = materialise(classes.join(family, classes["class"] == family["node"]).select("class", "first_id", "members", "n", F.col("component_id").alias("family")))
     blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
     members = materialise(members.join(materialise(blocks), "family").withColumn("block", F.pmod(F.xxhash64("class"), "blocks")))
@@ -263,6 +313,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             own = [len(s) > 0 and int(np.int64(np.uint64(xxhash.xxh64_intdigest(s.tobytes())))) == c for s, c in zip(found, b["class"])]
             b = b.assign(tokens=[s.tobytes() for s in found])[own]
             yield b[["class", "family", "block", "blocks", "members", "tokens"]]
+        del hashes
+        give_back()
 
     loaded = wanted.select("class", "family", "block", "blocks", "members", "t").mapInPandas(
         tokens, "class long, family long, block long, blocks long, members long, tokens binary")
@@ -284,16 +336,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     lowest = classes.join(comp, "class").groupBy("component_id").agg(F.min("first_id").alias("lowest"))
     links = linked.groupBy("class").agg(F.sum("links").alias("links"))
     known = classes.join(comp.join(materialise(lowest), "component_id"), "class", "left").join(links, "class", "left").select(
-        F.col("class").alias("c"), F.coalesce("lowest", "first_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"))
-    return sets.select("doc_id", "n", "class").join(materialise(known), F.col("class") == F.col("c"), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+        F.col("class").alias("c"), F.coalesce("component_id", "class").alias("group"), F.coalesce("lowest", "first_id").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("links"))
+    return sets.join(materialise(known), F.col("class") == F.col("c"), "left").select(
+        *(["key", "group"] if with_key else []), "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, with one document of each group of linked documents: that of the smallest id."""
-    gone = similar_groups(docs, id_col, text_col, shingle, percent).where("doc_id <> component_id")
-    gone = materialise(gone.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone.hint("merge"), docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of docs, all columns, with one row of each group of linked documents: one of the smallest id. Texts without shingles all stay."""
+    rows = materialise(similar_groups(docs, id_col, text_col, shingle, percent, with_key=True).where("n_shingles > 0"))
+    heads = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Rows that repeat the smallest id of their group with other texts: the one of the smallest key stays
+    first = rows.where(heads).groupBy("group").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
+    again = rows.where(heads).join(first, "group").where("key <> first").select("key")
+    return without_rows(docs, rows.where(~heads).select("key").unionByName(again), id_col, text_col, once=True)
 
 
 SQL = r"""
