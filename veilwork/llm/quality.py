@@ -1,12 +1,13 @@
 """Quality classifier by co-training: a view of the text and a view of the page's metadata.
 
-Text view: shares of kinds of characters, repetition, word and line lengths, from the whole text. Metadata view: lang and source (hashed into a few slots) and
-length. Each view is a ridge logistic regression; over rounds each gives its most confident pseudo-labels of unlabelled documents to
-the other. Both are then calibrated on the labels and joined by a logistic regression of their log odds; the joint score rates all documents.
+Text view: shares of kinds of characters, repetition, word and line lengths, and the words themselves, hashed into slots, from the whole text. Metadata view: lang and source (hashed
+into a few slots) and length. Each view is a ridge logistic regression. In every round each scores all documents that have no label in Spark, and its most
+confident ones (`give` a class, those it is `sure` of) become pseudo-labels of the other. Both are then calibrated: a logistic regression joins
+their log odds on the labels, each from a model that has not seen the row's fold. The joint score rates all documents.
 
-Training reads at most `sample` labelled and `pool` unlabelled documents (by hash of the id); counts and scores cover all rows and whole texts.
+At most `sample` labelled rows (by hash of the id) are read for fitting, and `give` documents a class, view and round; all else covers all rows and whole texts.
 Null texts count as empty, null lang, source or n_chars are values of their own. Without labels of both kinds every score is 1 and nothing is rejected. Repeated label rows count
-once per (id, label); rows repeating a doc_id are scored alike. A column of documents named like an output is not read.
+once per (id, label); rows repeating a doc_id are scored by their own text and columns, and kept or dropped one by one. A column of documents named like an output is not read.
 """
 
 from __future__ import annotations
@@ -19,23 +20,26 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bound_arrow_batches, drop_written, give_back, materialise, row_key, table, without_rows
+from .jaccard_join import WordHashes
 
-TEXT_SIZE, META_SIZE, SLOTS = 16, 42, 32
+WORD_SLOTS, META_SIZE, SLOTS = 192, 42, 32
 KINDS = np.zeros(256, int)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 stop, 7 bang, 8 pipe, 9 odd sign, 10 beyond ASCII
 KINDS[128:] = 10
 for _kind, _chars in ((1, b"abcdefghijklmnopqrstuvwxyz"), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b" \t\r"), (5, b"\n"), (6, b".,;:?'\"()-"), (7, b"!"), (8, b"|"), (9, b"#$%&*@<>=+/\\^_`{}[]~")):
     KINDS[list(_chars)] = _kind
 
 
-def text_view(text: str | None) -> list[float]:
+def text_view(text: str | None, hashes: WordHashes) -> np.ndarray:
     raw = (text or "").encode("utf-8", "surrogatepass")
     n = max(1, len(raw))
     kinds = np.bincount(KINDS, weights=np.bincount(np.frombuffer(raw, np.uint8), minlength=256), minlength=11) / n
-    words = raw.split()
+    words = raw.lower().split()
     lines = raw.split(b"\n")
-    distinct = len(set(words)) / max(1, len(words))
-    return [*kinds, distinct, distinct * np.log1p(len(words)), len(set(lines)) / len(lines), (n / max(1, len(words))) ** 0.5, np.log1p(n / len(lines))]
+    found = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    slots = np.sqrt(np.bincount((found % np.uint64(WORD_SLOTS)).astype(np.int64), minlength=WORD_SLOTS) / max(1, len(words)))
+    distinct = len(np.unique(found)) / max(1, len(words))
+    return np.concatenate([kinds, [distinct, distinct * np.log1p(len(words)), len(set(lines)) / len(lines), (n / max(1, len(words))) ** 0.5, np.log1p(n / len(lines))], slots])
 
 
 def meta_view(lang, source, n_chars) -> list[float]:
@@ -48,16 +52,20 @@ def meta_view(lang, source, n_chars) -> list[float]:
 
 
 def views(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, a, b: the two views of every row."""
+    """doc_id, key (of the row), a, b: the two views of every row."""
+    bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "a": [text_view(t) for t in b["t"]],
-                                "b": [meta_view(*x) for x in zip(b["lang"], b["source"], b["n_chars"])]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "a": [text_view(t, hashes).astype(np.float32) for t in b["t"]],
+                                "b": [np.array(meta_view(*x), np.float32) for x in zip(b["lang"], b["source"], b["n_chars"])]})
+        del hashes
+        give_back()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"), F.col("lang").cast("string").alias("lang"),
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"), F.col("lang").cast("string").alias("lang"),
                        F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars")).mapInPandas(
-        run, "doc_id long, a array<double>, b array<double>")
+        run, "doc_id long, key string, a array<float>, b array<float>")
 
 
 class Logistic:
@@ -86,70 +94,96 @@ class Logistic:
         return np.clip(self._z(x) @ self.w, -30, 30)
 
 
-def co_train(a: np.ndarray, b: np.ndarray, y: np.ndarray, pool_a: np.ndarray, pool_b: np.ndarray, rounds: int = 3, give: int = 500, sure: float = 0.97):
-    """(text model, metadata model, joint model) from labelled rows and a pool without labels."""
-    given = {"a": (np.empty(0, int), np.empty(0)), "b": (np.empty(0, int), np.empty(0))}  # what each view was given: rows, labels
-
-    def fit(view: str) -> Logistic:
-        x, pool = (a, pool_a) if view == "a" else (b, pool_b)
-        rows, labels = given[view]
-        return Logistic(np.vstack([x, pool[rows]]), np.concatenate([y, labels]), np.concatenate([np.ones(len(y)), np.full(len(rows), 0.5)]))
-
-    text, meta = fit("a"), fit("b")
-    for _ in range(rounds if len(pool_a) else 0):
-        for giver, pool, to in ((text, pool_a, "b"), (meta, pool_b, "a")):
-            p = 1 / (1 + np.exp(-giver.logit(pool)))
-            p[given[to][0]] = 0.5
-            rows = np.concatenate([np.argsort(-p, kind="stable")[:give], np.argsort(p, kind="stable")[:give]])
-            rows = np.unique(rows[(p[rows] >= sure) | (p[rows] <= 1 - sure)])
-            given[to] = (np.concatenate([given[to][0], rows]), np.concatenate([given[to][1], (p[rows] > 0.5).astype(float)]))
-        text, meta = fit("a"), fit("b")
-    joint = Logistic(np.stack([text.logit(a), meta.logit(b)], 1), y)
-    return text, meta, joint
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, pool: int = 10_000, rounds: int = 3):
-    """The three models, or None without labels of both kinds."""
-    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "quality").distinct()
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    free = docs.where("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(pool)
-    ids = materialise(free.join(known.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("quality", F.lit(None).cast("int")).unionByName(
-        chosen.select("doc_id", F.col("quality").cast("int").alias("quality"))))
-    rows = views(docs.join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi"))  # at most sample + pool ids
-    got = rows.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "quality").select("quality", "a", "b").toPandas()
-    a, b = (np.array(got[c].tolist(), float).reshape(len(got), -1) for c in ("a", "b"))
-    has = got["quality"].notna().to_numpy()
-    y = got["quality"].to_numpy(float)[has]
-    if not len(y) or y.min() == y.max():
-        return None
-    return co_train(a[has], b[has], y, a[~has], b[~has], rounds)
+def fit_view(x: np.ndarray, y: np.ndarray, given: tuple[np.ndarray, np.ndarray], rows=slice(None)) -> Logistic:
+    """A view's model from labelled rows and the pseudo-labels it was given, which weigh half. They are standardised together."""
+    gx, gy = given
+    return Logistic(np.vstack([x[rows], gx]), np.concatenate([y[rows], gy]), np.concatenate([np.ones(len(y[rows])), np.full(len(gy), 0.5)]))
 
 
-def score_documents(docs: DataFrame, models) -> DataFrame:
-    """doc_id, p_text, p_meta, score: calibrated chances of good quality."""
-    if models is None:
-        one = F.lit(1.0)
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), one.alias("p_text"), one.alias("p_meta"), one.alias("score"))
+def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray, given_a, given_b, folds: np.ndarray) -> Logistic:
+    """The joint model, from log odds of each row by models that were fitted without the row's fold."""
+    odds = np.zeros((len(y), 2))
+    for f in np.unique(folds):
+        rest, here = folds != f, folds == f
+        if len(np.unique(y[rest])) < 2:
+            rest = np.ones(len(y), bool)
+        odds[here, 0] = fit_view(a, y, given_a, rest).logit(a[here])
+        odds[here, 1] = fit_view(b, y, given_b, rest).logit(b[here])
+    return Logistic(odds, y)
+
+
+def _matrix(column, size: int) -> np.ndarray:
+    return np.array(list(column), float).reshape(-1, size)
+
+
+def _scored(seen: DataFrame, models) -> DataFrame:
+    """doc_id, key, p_text, p_meta (and score, with a joint model) of rows of views()."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         text, meta, joint = models
         p = lambda z: 1 / (1 + np.exp(-z))
         for batch in batches:
             if len(batch):
-                a, b = text.logit(np.array(batch["a"].tolist(), float)), meta.logit(np.array(batch["b"].tolist(), float))
-                yield pd.DataFrame({"doc_id": batch["doc_id"], "p_text": p(a), "p_meta": p(b), "score": p(joint.logit(np.stack([a, b], 1)))})
+                a, b = text.logit(_matrix(batch["a"], len(text.mean))), meta.logit(_matrix(batch["b"], len(meta.mean)))
+                yield pd.DataFrame({"doc_id": batch["doc_id"], "key": batch["key"], "p_text": p(a), "p_meta": p(b),
+                                    "score": p(joint.logit(np.stack([a, b], 1))) if joint else 0.0})
 
-    return views(docs).mapInPandas(run, "doc_id long, p_text double, p_meta double, score double")
+    return seen.mapInPandas(run, "doc_id long, key string, p_text double, p_meta double, score double")
+
+
+def pseudo_labels(scored: DataFrame, giver: str, give: int, sure: float) -> DataFrame:
+    """key, label: the documents that a view is most sure of, at most `give` a class. Ties go by hash of the key."""
+    p = F.col(giver)
+    ends = [scored.where(p >= sure).orderBy(F.desc(giver), F.xxhash64("key"), "key").limit(give).select("key", F.lit(1.0).alias("label")),
+            scored.where(p <= 1 - sure).orderBy(F.asc(giver), F.xxhash64("key"), "key").limit(give).select("key", F.lit(0.0).alias("label"))]
+    return ends[0].unionByName(ends[1])
+
+
+def train(seen: DataFrame, labels: DataFrame, sample: int = 20_000, rounds: int = 2, give: int = 500, sure: float = 0.97, n_folds: int = 3):
+    """The three models from views() of all documents, written; None without labels of both kinds."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
+    chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
+    got = seen.join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "key").limit(sample).select("doc_id", "quality", "a", "b").toPandas()
+    a, b, y = _matrix(got["a"], 16 + WORD_SLOTS), _matrix(got["b"], META_SIZE), got["quality"].to_numpy(float)
+    if not len(y) or y.min() == y.max():
+        return None
+    none = lambda x: (np.empty((0, x.shape[1])), np.empty(0))
+    given = {"a": none(a), "b": none(b)}
+    text, meta = fit_view(a, y, given["a"]), fit_view(b, y, given["b"])
+    labelled = known.select("doc_id").distinct()
+    taken: dict[str, set[str]] = {"a": set(), "b": set()}
+    for _ in range(rounds):
+        scored = materialise(_scored(seen, (text, meta, None)).join(labelled, "doc_id", "left_anti"))
+        for giver, to in (("p_text", "b"), ("p_meta", "a")):
+            told = {r[0]: r[1] for r in pseudo_labels(scored, giver, give, sure).collect() if r[0] not in taken[to]}  # at most 2 * give
+            if not told:
+                continue
+            keys = seen.sparkSession.createDataFrame(list(told.items()), "key string, label double")
+            rows = seen.join(F.broadcast(keys), "key").dropDuplicates(["key"]).orderBy("key").select("key", to, "label").toPandas()
+            x, label = given[to]
+            given[to] = (np.vstack([x, _matrix(rows[to], x.shape[1])]), np.concatenate([label, rows["label"].to_numpy(float)]))
+            taken[to] |= set(rows["key"])
+        drop_written(scored)
+        text, meta = fit_view(a, y, given["a"]), fit_view(b, y, given["b"])
+    folds = np.array([xxhash.xxh32_intdigest(str(i)) % n_folds for i in got["doc_id"]])
+    return text, meta, calibrate(a, b, y, given["a"], given["b"], folds)
+
+
+def score_documents(seen: DataFrame, models) -> DataFrame:
+    """doc_id, key, p_text, p_meta, score: chances of good quality, of rows of views()."""
+    if models is None:
+        return seen.select("doc_id", "key", *[F.lit(1.0).alias(x) for x in ("p_text", "p_meta", "score")])
+    return _scored(seen, models)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.35) -> DataFrame:
-    """The rows of docs, all columns, that the classifier does not reject; rows without an id stay."""
-    bad = score_documents(docs, train(docs, labels)).where((F.col("score") < least) & F.col("doc_id").isNotNull())
-    bad = materialise(bad.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(bad.hint("merge"), docs["doc_id"] == bad["__gone"], "left_anti")
+    """The rows of docs, all columns, that the classifier does not reject."""
+    seen = materialise(views(docs))
+    bad = score_documents(seen, train(seen, labels)).where(F.col("score") < least)
+    return without_rows(docs, bad, "doc_id", "text")
 
 
 def op6_quality(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    scored = score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    seen = materialise(views(table(spark, sf_dir, "documents")))
+    scored = score_documents(seen, train(seen, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "p_text", "p_meta", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
