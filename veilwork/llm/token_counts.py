@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_arrow_batches, give_back, table
 from .sentencepiece_dropout import MODEL, SPACE, pieces
 
 
@@ -84,6 +84,7 @@ class Counts(dict):
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, keep: int = 1_000_000) -> DataFrame:
     """doc_id, n_words, n_unknown, n_tokens (unknown words count 1) per row."""
+    bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = Counts(model, keep)
@@ -96,6 +97,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out = pd.DataFrame(rows, columns=["n_words", "n_unknown", "n_tokens"]).astype("Int64")
             out.insert(0, "doc_id", b["doc_id"].to_numpy())
             yield out
+        del counts
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInPandas(
         run, "doc_id long, n_words long, n_unknown long, n_tokens long")

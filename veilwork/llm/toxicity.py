@@ -4,7 +4,7 @@ A sentence's score is sigmoid(b + sum of the weights of its distinct words in th
 1 - (1 - leak) * product(1 - sentence score). Vocabulary: words much more frequent in toxic training documents, found with Spark over the training rows.
 Training reads at most `sample` labelled rows (by hash of the id; rows of equal text once), never held-out ones (crc32(id) % 5 = 0); every whole text is scored.
 
-Null and empty texts have no sentences and score the leak. Labels, lang, source and the id never enter a score. Repeated label rows count once per (id, label). Without labels of both
+Null and empty texts have no sentences and score the leak. Labels, lang, source and the id never enter a score. A text that rows of both labels hold, or an id with both, counts as toxic. Without labels of both
 kinds every score is the share of toxic labels (0 if none). Rows repeating a doc_id are scored alike.
 """
 
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bound_arrow_batches, give_back, materialise, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
@@ -32,8 +32,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """doc_id, text, toxic of at most `sample` labelled rows that are not held out."""
     chosen = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "toxic").distinct().where(~held_out("doc_id"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")  # at most `sample` rows
-    return materialise(rows.dropDuplicates(["text"]))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text IS NOT NULL")  # at most `sample` ids
+    rows = rows.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").cast("int").alias("toxic"))
+    return materialise(rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample))
 
 
 def choose_words(rows: DataFrame, most: int, least: int = 4) -> list[str]:
@@ -64,6 +65,14 @@ def sentence_hits(text: str | None, index: dict[str, int]) -> list[tuple[int, in
     return out
 
 
+def sentence_score(words: list[int], weights: np.ndarray, bias: float) -> float:
+    return float(1 / (1 + np.exp(-np.clip(bias + weights[words].sum(), -30, 30))))
+
+
+def noisy_or(scores: list[float], leak: float) -> float:
+    return float(1 - (1 - leak) * np.prod([1 - x for x in scores]))
+
+
 def fit(bags: list[tuple[int, list[list[int]]]], n_words: int, steps: int = 400, rate: float = 0.1, ridge: float = 2e-4):
     """(weights, bias, leak) by full-batch Adam on the noisy-or likelihood. bags: (label, sentences)."""
     y = np.array([b[0] for b in bags], float)
@@ -111,6 +120,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, most_words:
 
 def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", offending: float = 0.5) -> DataFrame:
     """doc_id, score, sentences (start, stop, score of those at or over `offending`; code points, stop not included)."""
+    bound_arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_words words
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,10 +129,11 @@ def score_documents(docs: DataFrame, model, id_col: str = "doc_id", text_col: st
             scores, places = [], []
             for t in b["t"]:
                 hits = sentence_hits(t, index)
-                p = [1 / (1 + np.exp(-np.clip(bias + weights[h[2]].sum(), -30, 30))) for h in hits]
-                scores.append(float(1 - (1 - leak) * np.prod([1 - x for x in p])))
+                p = [sentence_score(h[2], weights, bias) for h in hits]
+                scores.append(noisy_or(p, leak))
                 places.append([{"start": h[0], "stop": h[1], "score": float(x)} for h, x in zip(hits, p) if x >= offending])
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": scores, "sentences": places})
+        give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInPandas(
         run, "doc_id long, score double, sentences array<struct<start: int, stop: int, score: double>>")
