@@ -6,9 +6,9 @@ non-spaces), each with its own agenda of candidate merges, best score first, the
 keyed hash of (seed, doc_id, place of the stretch in the text, turn, merged piece) falls under the dropout rate; skipped candidates are put back
 when a neighbouring merge succeeds, as in BPE-dropout. Rate 0 gives the model's own encoding.
 
-Every occurrence of a word draws anew. Which turns were skipped decides a cut entirely, so what is kept for reuse is the cut of (stretch, skipped turns), never a draw (see Cuts);
-reruns agree. Characters that no piece covers become byte pieces. Decoding joins pieces and bytes
-and takes the front space away: it returns the text exactly, unless the text itself holds U+2581, which reads as a space.
+Every occurrence of a word draws anew. What is kept for reuse follows from no draw: the graph of states that a stretch can pass through (see Cuts);
+reruns agree. Characters that no piece covers become byte pieces, and so does U+2581 itself, which marks spaces in the pieces. Decoding joins pieces and bytes
+and takes the front space away: it returns every text exactly.
 
 Null text gives null tokens, an empty text no tokens. Repeated rows are encoded alike. A null doc_id counts as its own key. Other columns stay
 when asked for by encode_column().
@@ -19,7 +19,9 @@ from __future__ import annotations
 import heapq
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -34,7 +36,7 @@ SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 NONE = 1 << 62
 MASK = (1 << 64) - 1
-MOST_TURNS = 60
+MOST_SHORT = 40  # characters of a part whose cuts are kept; a state has a bit for each place inside
 _loaded: dict[str, Pieces] = {}
 
 
@@ -50,7 +52,8 @@ class Pieces:
         self.special = {i for i in range(len(self.text)) if model.is_control(i) or model.is_unknown(i)}
         self.id = {p: i for i, p in enumerate(self.text) if not model.is_byte(i) and i not in self.special}
         self.rank = {p: int(-model.get_score(i)) for p, i in self.id.items() if len(p) > 1}
-        self.value = {i: b for b, i in self.bytes.items()}
+        value = {i: b for b, i in self.bytes.items()}
+        self.said = np.array([b"" if i in self.special else bytes([value[i]]) if i in value else p.replace(SPACE, " ").encode() for i, p in enumerate(self.text)], object)
         self.lines_apart = not any("\n" in p for p in self.id)
 
         self.line_end = array("i", self.bytes_of("\n")).tobytes()
@@ -207,7 +210,7 @@ def cut(stretch: str, voc: Pieces, limit: int, base: int, short: int = 48) -> li
 
 def symbols(stretches: list[str], voc: Pieces) -> np.ndarray:
     """A row of ids of single characters for each stretch: -1 behind its end, -2 for characters that are no pieces."""
-    width = max(map(len, stretches))
+    width = max(1, *map(len, stretches))
     codes = "".join([x.ljust(width, "\0") for x in stretches]).encode("utf-32-le", "surrogatepass")
     flat = voc.single[np.frombuffer(codes, np.uint32)].reshape(-1, width)
     flat[np.arange(width) >= np.fromiter(map(len, stretches), np.int64, len(stretches))[:, None]] = -1
@@ -256,16 +259,19 @@ def merge_rows(flat: np.ndarray, voc: Pieces, decide) -> np.ndarray:
     return final
 
 
-def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) -> list[bytes]:
-    """What cut() gives for short stretches, packed, all of them at once; those with characters that are no pieces are left to cut()."""
+def cut_many(stretches: list[str], voc: Pieces, limit: int, base: np.ndarray) -> np.ndarray:
+    """What cut() gives for stretches of like length, all of them at once, as rows with -1 for nothing; those with characters that are no pieces are left to cut()."""
     flat = symbols(stretches, voc)
-    odd = (flat == -2).any(1)
-    out: list[bytes] = [b""] * len(stretches)
-    for k in np.nonzero(odd)[0]:
-        out[k] = array("i", cut(stretches[k], voc, limit, int(base[k]))).tobytes()
-    rows, key = np.nonzero(~odd)[0], base[~odd].astype(np.uint64)
-    for k, ids in zip(rows, merge_rows(flat[rows], voc, lambda r, turn, best: skips_many(key[r], turn, best, limit))):
-        out[k] = ids[ids >= 0].astype(np.int32).tobytes()
+    fine = ~(flat == -2).any(1)
+    key = base[fine].astype(np.uint64)
+    done = merge_rows(flat[fine], voc, lambda r, turn, best: skips_many(key[r], turn, best, limit))
+    if fine.all():
+        return done
+    odd = {k: cut(stretches[k], voc, limit, int(base[k])) for k in np.nonzero(~fine)[0].tolist()}
+    out = np.full((len(flat), max(flat.shape[1], *map(len, odd.values()))), -1, np.int64)
+    out[fine, : flat.shape[1]] = done
+    for k, ids in odd.items():
+        out[k, : len(ids)] = ids
     return out
 
 
@@ -283,11 +289,13 @@ class Grown:
 
 
 class Cuts:
-    """Cuts of parts by their skipped turns, as trees: a part's root is its cut without a skip, and the child of a node at turn t is the cut with t skipped as well.
+    """Cuts of parts as graphs of states. A state is how a part is cut at the moment (a bit for each place between two characters where a piece begins);
+    after a merge nothing that was skipped before it counts, so a state decides all that can follow but the draws.
 
-    A node keeps the ranks that come up at its turns, so that an occurrence finds its first skip behind the node's last one, goes to that child and
-    ends where no turn is skipped: the cut that cut() gives for its base. Nothing that depends on an occurrence is kept. Long parts, parts with characters that are no pieces, and
-    nodes of more than MOST_TURNS turns are left to cut().
+    A node is a state of which the best `skipped` candidates are skipped. It keeps the ranks that come up from there as long as nothing more is skipped, the
+    states they come up in, and the ids that this ends in. An occurrence draws turn by turn, goes at a skip to the child for it, and ends where no turn is skipped: with the cut that
+    cut() gives for its base. Nothing that depends on an occurrence is kept. What stands once in a run of texts (a part, or a skip in it), long parts and parts with
+    characters that are no pieces get no node: such an occurrence is cut apart, by the same draws.
 
     A part is a stretch, or a stretch without its first space, or, when it begins with a line end, what follows that
     character. No piece holds a line end beside another character, so no merge reaches over one."""
@@ -298,13 +306,19 @@ class Cuts:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
+        self.known: dict[int, int] = {}  # node of a word, state and number of skipped candidates
         self.stretch: list[str] = []
         self.ended: list[bool] = []  # begins with a line end
-        self.word, self.turns, self.mask, self.step, self.at, self.size = (Grown(t) for t in (np.int32, np.int64, np.uint64, np.int64, np.int64, np.int64))
+        self.word, self.turns, self.skipped, self.step, self.at, self.size = (Grown(t) for t in (np.int32, np.int32, np.int32, np.int64, np.int64, np.int64))
         self.best, self.child, self.ids, self.seen = (Grown(np.int32) for _ in range(4))
+        self.state = Grown(np.uint64)
+
+    @staticmethod
+    def _names(word: np.ndarray, state: np.ndarray, skipped: np.ndarray) -> list[int]:
+        return [w << 46 | s << 6 | j for w, s, j in zip(word.tolist(), state.tolist(), skipped.tolist())]
 
     def shrink(self) -> None:
-        """Let the rarest nodes go, so that at most half of `keep` stay. An occurrence at a node has passed its parent, so parents stay with their children."""
+        """Let the rarest nodes go, so that at most half of `keep` stay."""
         n, least = self.word.n, 2
         seen, word = self.seen.all[:n], self.word.all[:n]
         while (seen >= least).sum() > self.keep // 2:
@@ -312,11 +326,13 @@ class Cuts:
         stay = seen >= least
         to = np.where(stay, np.cumsum(stay) - 1, -2)
         words, name = np.unique(word[stay], return_inverse=True)
-        old, root, stretch, ended = self.__dict__.copy(), self.root, self.stretch, self.ended
+        number = dict(zip(words.tolist(), range(len(words))))
+        old, root, known, stretch, ended = self.__dict__.copy(), self.root, self.known, self.stretch, self.ended
         self.clear()
         self.root = {x: int(to[k]) for x, k in root.items() if k >= 0 and stay[k]}
+        self.known = {number[x >> 46] << 46 | x & (1 << 46) - 1: int(to[k]) for x, k in known.items() if stay[k]}
         self.stretch, self.ended = [stretch[k] for k in words], [ended[k] for k in words]
-        for flat, start, size in ((("best", "child"), "step", "turns"), (("ids",), "at", "size")):
+        for flat, start, size in ((("best", "child", "state"), "step", "turns"), (("ids",), "at", "size")):
             size = old[size].all[:n][stay]
             begin = np.cumsum(size) - size
             index = np.repeat(old[start].all[:n][stay] - begin, size) + np.arange(int(size.sum()))
@@ -326,7 +342,7 @@ class Cuts:
             getattr(self, start).extend(begin)
         self.word.extend(name)
         self.seen.extend(seen[stay] // 2)
-        for f in ("mask", "turns", "size"):
+        for f in ("skipped", "turns", "size"):
             getattr(self, f).extend(old[f].all[:n][stay])
 
     def read(self, part: str) -> tuple[bool, str]:
@@ -334,91 +350,180 @@ class Cuts:
             return True, part[1:]
         return False, part if part[:1] == SPACE else SPACE + part
 
-    def direct(self, part: str, base: int) -> np.ndarray:
-        ended, stretch = self.read(part)
-        ids = array("i", cut(stretch, self.voc, self.limit, base)).tobytes()
-        return np.frombuffer(self.voc.line_end + ids if ended else ids, np.int32)
-
-    def _grow(self, words: np.ndarray, masks: np.ndarray) -> np.ndarray:
-        """New nodes of words with the turns of masks skipped; -1 where cut() has to do it."""
+    def apart(self, parts: list[str], base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences that have no node, each by its own draws: all ids, and where each one's begin and how many they are."""
+        begin, size, pool, n = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [], 0
+        ended, stretch = zip(*map(self.read, parts))
+        ended, long = np.array(ended), np.fromiter(map(len, stretch), np.int64, len(parts))
+        group = np.where(long > MOST_SHORT, -1 - np.arange(len(parts)), -(-long // 3))
+        by = np.argsort(group, kind="stable")
+        for every in np.split(by, np.nonzero(np.diff(group[by]))[0] + 1):
+            for some in (every[k : k + 8_000] for k in range(0, len(every), 8_000)):
+                if group[some[0]] < 0:
+                    rows = np.array([cut(stretch[some[0]], self.voc, self.limit, int(base[some[0]]))], np.int64)
+                else:
+                    rows = cut_many([stretch[k] for k in some.tolist()], self.voc, self.limit, base[some])
+                rows = np.hstack([np.where(ended[some][:, None], np.frombuffer(self.voc.line_end, np.int32), -1), rows])
+                size[some] = (rows >= 0).sum(1)
+                begin[some] = n + np.cumsum(size[some]) - size[some]
+                pool.append(rows[rows >= 0].astype(np.int32))
+                n += len(pool[-1])
+        return np.concatenate(pool), begin, size
+
+    def _pieces(self, stretch: str, state: int) -> tuple[list[int], list[int]]:
+        """Ids and first places of a state's pieces."""
+        places = [0]
+        while state:
+            low = state & -state
+            places.append(low.bit_length())
+            state ^= low
+        return [self.voc.id[stretch[a:b]] for a, b in zip(places, [*places[1:], len(stretch)])], places
+
+    def _grow(self, words: np.ndarray, states: np.ndarray, skipped: np.ndarray) -> np.ndarray:
+        """New nodes; -1 for characters that are no pieces."""
         out = np.full(len(words), -1, np.int64)
-        width = np.fromiter((len(self.stretch[w]) for w in words), np.int64, len(words))
-        line = np.frombuffer(self.voc.line_end, np.int32)
-        for w in np.unique(-(-width // 4)):
-            every = np.nonzero(-(-width // 4) == w)[0]
+        pieces = np.fromiter((len(self.stretch[w]) for w in words), np.int64, len(words))
+        whole = skipped == 0
+        pieces[~whole] = np.bitwise_count(states[~whole]) + 1
+        group = np.where(pieces > 0, -(-pieces // 3) * 2, 0) + whole
+        for g in np.unique(group):
+            every = np.nonzero(group == g)[0]
             for some in (every[k : k + 4_000] for k in range(0, len(every), 4_000)):
-                flat = symbols([self.stretch[k] for k in words[some]], self.voc) if w else np.full((len(some), 1), -1)
-                some, flat = some[~(flat == -2).any(1)], flat[~(flat == -2).any(1)]
-                log, turns, mask = np.zeros((len(some), MOST_TURNS), np.int32), np.zeros(len(some), np.int64), masks[some]
-
-                def decide(rows, turn, best):
-                    turns[rows] = turn
-                    if turn > MOST_TURNS:
-                        return np.zeros(len(rows), bool)
-                    log[rows, turn - 1] = best
-                    return (mask[rows] >> np.uint64(turn - 1) & np.uint64(1)).astype(bool)
-
-                final = merge_rows(flat, self.voc, decide)
-                ended = np.fromiter((self.ended[k] for k in words[some]), bool, len(some))
-                final = np.hstack([np.where(ended[:, None], line, -1), final])
-                fit = turns <= MOST_TURNS
-                some, final, log, turns = some[fit], final[fit], log[fit], turns[fit]
-                out[some] = self.word.n + np.arange(len(some))
-                self.word.extend(words[some])
-                self.seen.extend(np.zeros(len(some), np.int32))
-                self.mask.extend(masks[some])
-                self.turns.extend(turns)
-                self.step.extend(self.best.n + np.cumsum(turns) - turns)
-                size = (final >= 0).sum(1)
-                self.size.extend(size)
-                self.at.extend(self.ids.n + np.cumsum(size) - size)
-                self.ids.extend(final[final >= 0])
-                self.best.extend(log[np.arange(MOST_TURNS) < turns[:, None]])
-                self.child.extend(np.full(int(turns.sum()), -2, np.int32))
+                self._grow_some(some, words[some], states[some], skipped[some], int(pieces[some].max()), out)
         return out
 
+    def _grow_some(self, some, words, states, skipped, width: int, out: np.ndarray) -> None:
+        voc = self.voc
+        if not width:
+            sym = places = np.full((len(some), 1), -1)
+        elif not skipped[0]:
+            sym = symbols([self.stretch[k] for k in words], voc)
+            fine = ~(sym == -2).any(1)
+            some, words, states, skipped, sym = some[fine], words[fine], states[fine], skipped[fine], sym[fine]
+            places = np.broadcast_to(np.arange(width), sym.shape)
+        else:
+            sym, places = np.full((len(some), width), -1), np.zeros((len(some), width), np.int64)
+            for k, (w, s) in enumerate(zip(words.tolist(), states.tolist())):
+                ids, at = self._pieces(self.stretch[w], s)
+                sym[k, : len(ids)], places[k, : len(ids)] = ids, at
+        final, rows, now = sym.copy(), np.arange(len(some)), states.copy()
+        true = voc.pair_ranks(sym[:, :-1], sym[:, 1:])
+        work = true.copy()
+        for j in range(int(skipped.max(initial=0)) if width > 1 else 0):
+            k = np.nonzero(skipped > j)[0]
+            work[k, work[k].argmin(1)] = NONE
+        turns, log, log_state = np.zeros(len(some), np.int32), np.zeros((len(some), width), np.int32), np.zeros((len(some), width), np.uint64)
+        place = np.arange(width)
+        turn = 0
+        while len(rows) and width > 1:
+            i = work.argmin(1)
+            best = work[np.arange(len(rows)), i]
+            ended = best == NONE
+            if ended.any():
+                final[rows[ended]] = sym[ended]
+                rows, sym, true, places, now, best, i = (x[~ended] for x in (rows, sym, true, places, now, best, i))
+                if not len(rows):
+                    break
+            log[rows, turn], log_state[rows, turn] = best, now
+            turn += 1
+            turns[rows] = turn
+            row = np.arange(len(rows))
+            merged = voc.pair_ids[voc.pairs_at(sym[row, i], sym[row, i + 1])]
+            now = now & ~(np.uint64(1) << (places[row, i + 1] - 1).astype(np.uint64))
+            source = np.minimum(place + (place > i[:, None]), width - 1)
+            sym, places = np.take_along_axis(sym, source, 1), np.take_along_axis(places, source, 1)
+            sym[:, -1] = -1
+            sym[row, i] = merged
+            true = np.take_along_axis(true, np.minimum(source[:, :-1], width - 2), 1)
+            true[:, -1] = NONE
+            inside = np.nonzero(i < width - 1)[0]
+            true[inside, i[inside]] = voc.pair_ranks(merged[inside], sym[inside, i[inside] + 1])
+            left = np.nonzero(i)[0]
+            true[left, i[left] - 1] = voc.pair_ranks(sym[left, i[left] - 1], merged[left])
+            work = true
+        ended = np.fromiter((self.ended[k] for k in words), bool, len(some))
+        final = np.hstack([np.where(ended[:, None], np.frombuffer(voc.line_end, np.int32), -1), final])
+        node = self.word.n + np.arange(len(some))
+        out[some] = node
+        if self.limit:
+            self.known.update(zip(self._names(words, states, skipped), node.tolist()))
+        for f, x in (("word", words), ("skipped", skipped), ("seen", np.zeros(len(some), np.int32)), ("turns", turns), ("step", self.best.n + np.cumsum(turns) - turns)):
+            getattr(self, f).extend(x)
+        size = (final >= 0).sum(1)
+        self.size.extend(size)
+        self.at.extend(self.ids.n + np.cumsum(size) - size)
+        self.ids.extend(final[final >= 0])
+        on = np.arange(width) < turns[:, None]
+        self.best.extend(log[on])
+        self.state.extend(log_state[on])
+        self.child.extend(np.full(int(turns.sum()), -2, np.int32))
+
     def _count(self, nodes: np.ndarray) -> None:
         self.seen.all[: self.seen.n] += np.bincount(nodes, minlength=self.seen.n).astype(np.int32)
 
-    def find(self, parts: list[str], base: np.ndarray) -> np.ndarray:
-        """Node of each occurrence; -1 where cut() has to do it."""
-        if self.word.n > self.keep:
-            self.shrink()
-        new = list(set(parts) - self.root.keys())
-        if new:
-            short = [x for x in new if len(x) <= 40]
+    def _roots(self, parts: list[str]) -> np.ndarray:
+        node = np.fromiter(map(self.root.get, parts, repeat(-1)), np.int64, len(parts))
+        new = np.nonzero(node == -1)[0].tolist()
+        fresh = [x for x, n in Counter(parts[k] for k in new).items() if n > 1 and x not in self.root]
+        if fresh:
+            short = [x for x in fresh if len(x) <= MOST_SHORT]
             first = len(self.stretch)
             for ended, stretch in map(self.read, short):
                 self.ended.append(ended)
                 self.stretch.append(stretch)
-            self.root.update(dict.fromkeys(new, -1))
-            self.root.update(zip(short, self._grow(np.arange(first, first + len(short)), np.zeros(len(short), np.uint64)).tolist()))
-        node = np.fromiter(map(self.root.__getitem__, parts), np.int64, len(parts))
+            self.root.update(dict.fromkeys(fresh, -1))
+            words = np.arange(first, first + len(short))
+            states = np.array([(1 << max(0, len(self.stretch[w]) - 1)) - 1 for w in words.tolist()], np.uint64)
+            self.root.update(zip(short, self._grow(words, states, np.zeros(len(short), np.int64)).tolist()))
+            node[new] = [self.root.get(parts[k], -1) for k in new]
+        return node
+
+    def _children(self, parent: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """Nodes for a skip at slots of parents; known states are found again."""
+        first = slot == self.step.all[parent]
+        word, state, skipped = self.word.all[parent], self.state.all[slot], np.where(first, self.skipped.all[parent] + 1, 1)
+        names = self._names(word, state, skipped)
+        found = [self.known.get(x, -1) for x in names]
+        new = {x: k for k, x in enumerate(names) if found[k] < 0}
+        if new:
+            k = np.fromiter(new.values(), np.int64, len(new))
+            self._grow(word[k], state[k], skipped[k])
+            found = [self.known[x] for x in names]
+        return np.array(found, np.int64)
+
+    def find(self, parts: list[str], base: np.ndarray) -> np.ndarray:
+        """Node of each occurrence; -1 for those that are better cut apart: parts and skips that stand once among these, long and odd ones."""
+        if self.word.n > self.keep:
+            self.shrink()
+        node = self._roots(parts)
         self._count(node[node >= 0])
         live = np.nonzero(node >= 0)[0] if self.limit else np.empty(0, np.int64)
         turn = np.ones(len(live), np.int64)
         while len(live):
-            hit, hit_turn = [], []
-            while len(live):
-                on = turn <= self.turns.all[node[live]]
-                live, turn = live[on], turn[on]
-                skip = skips_many(base[live], turn, self.best.all[self.step.all[node[live]] + turn - 1], self.limit)
-                hit.append(live[skip])
-                hit_turn.append(turn[skip])
-                live, turn = live[~skip], turn[~skip] + 1
-            live, turn = np.concatenate(hit), np.concatenate(hit_turn)
-            slot = self.step.all[node[live]] + turn - 1
+            hits = []
+            slot, end = self.step.all[node[live]], None
+            end = slot + self.turns.all[node[live]]
+            key = base[live]
+            while True:
+                on = slot < end
+                live, turn, slot, end, key = live[on], turn[on], slot[on], end[on], key[on]
+                if not len(live):
+                    break
+                skip = skips_many(key, turn, self.best.all[slot], self.limit)
+                hits.append((live[skip], turn[skip], slot[skip]))
+                on = ~skip
+                live, turn, slot, end, key = live[on], turn[on] + 1, slot[on] + 1, end[on], key[on]
+            live, turn, slot = (np.concatenate(x) for x in zip(*hits)) if hits else (live, turn, slot)
             to = self.child.all[slot]
-            if (to == -2).any():
-                where, one = np.unique(slot[to == -2], return_index=True)
-                parent, t = node[live[to == -2][one]], turn[to == -2][one]
-                self.child.all[where] = -1
-                made = self._grow(self.word.all[parent], self.mask.all[parent] | np.uint64(1) << (t - 1).astype(np.uint64))
-                self.child.all[where] = made
+            missing = to == -2
+            if missing.any():
+                where, one, times = np.unique(slot[missing], return_index=True, return_counts=True)
+                one, where = one[times > 1], where[times > 1]
+                self.child.all[where] = self._children(node[live[missing][one]], where)
                 to = self.child.all[slot]
-            node[live] = to
-            self._count(to[to >= 0])
+            node[live] = np.maximum(to, -1)
             live, turn = live[to >= 0], turn[to >= 0] + 1
+            self._count(node[live])
         return node
 
 
@@ -428,7 +533,7 @@ class Encoder:
         self.cuts = Cuts(self.voc, int(drop * 2.0**32), keep)
 
     def parts(self, text: str) -> list[str]:
-        if self.voc.lines_apart and SPACE not in text:
+        if self.voc.lines_apart:
             found = text.replace("\n", " \n").split(" ")
             if "" not in found:
                 return found
@@ -457,11 +562,22 @@ class Encoder:
                 run, size = [], 0
         return out + self._encode_run(run)
 
+    def _encode_marked(self, text: str, doc_id) -> np.ndarray:
+        """Ids of a text that holds U+2581 itself: that character goes by its bytes, no merge reaches over it."""
+        places = [STRETCH.findall((SPACE if not k else "") + x.replace(" ", SPACE)) for k, x in enumerate(text.split(SPACE))]
+        base = iter(self.bases(doc_id, sum(map(len, places))).tolist())
+        ids: list[int] = []
+        for k, stretches in enumerate(places):
+            ids += self.voc.bytes_of(SPACE) if k else []
+            for x in stretches:
+                ids += cut(x, self.voc, self.cuts.limit, next(base))
+        return np.array(ids, np.int32)
+
     def _encode_run(self, run) -> list[np.ndarray | None]:
         every: list[str] = []
         bases, edge = [np.empty(0, np.uint64)], [0]
         for text, doc_id in run:
-            if text:
+            if text and SPACE not in text:
                 found = self.parts(text)
                 every += found
                 bases.append(self.bases(doc_id, len(found)))
@@ -469,31 +585,23 @@ class Encoder:
         base, cuts = np.concatenate(bases), self.cuts
         node = cuts.find(every, base)
         lone = np.nonzero(node < 0)[0]
-        apart = [cuts.direct(every[k], int(base[k])) for k in lone]
-        size = cuts.size.all[node]
-        size[lone] = [len(x) for x in apart]
+        size, from_ = cuts.size.all[np.maximum(node, 0)], cuts.at.all[np.maximum(node, 0)]
+        kept = cuts.ids.all[: cuts.ids.n]
+        if len(lone):
+            pool, from_[lone], size[lone] = cuts.apart([every[k] for k in lone.tolist()], base[lone])
+            from_[lone] += len(kept)
+            kept = np.concatenate([kept, pool])
         start = np.concatenate([[0], np.cumsum(size)])
-        from_ = cuts.at.all[node]
-        from_[lone] = 0
         index = np.repeat(from_ - start[:-1], size)
         index += np.arange(start[-1])
-        tokens = cuts.ids.all[np.minimum(index, len(cuts.ids.all) - 1, out=index)]
-        for k, x in zip(lone, apart):
-            tokens[start[k] : start[k + 1]] = x
+        tokens = kept[index]
         ends = start[edge].tolist()
-        return [None if text is None else tokens[a:b] for (text, _), a, b in zip(run, ends, ends[1:])]
+        return [None if text is None else self._encode_marked(text, i) if SPACE in text else tokens[a:b] for (text, i), a, b in zip(run, ends, ends[1:])]
 
 
 def decode_ids(ids, voc: Pieces) -> str:
     """The text of a list of ids, byte pieces included; control pieces give nothing."""
-    out = bytearray()
-    for i in ids:
-        i = int(i)
-        if i in voc.value:
-            out.append(voc.value[i])
-        elif i not in voc.special:
-            out += voc.text[i].encode()
-    return out.decode("utf-8", "replace").replace(SPACE, " ")[1:]
+    return b"".join(voc.said[np.asarray(ids, np.int64)].tolist()).decode("utf-8", "replace")[1:]
 
 
 def encode_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "tokens", model: str = MODEL,
@@ -532,11 +640,9 @@ def op1_sentencepiece(spark, sf_dir):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = Encoder()
-        voc = encoder.voc
-        value = np.array([b"" if i in voc.special else bytes([voc.value[i]]) if i in voc.value else p.encode() for i, p in enumerate(voc.text)], object)
         for b in batches:
             rows = encoder.encode_batch(b["text"], [None if pd.isna(i) else int(i) for i in b["doc_id"]], chunk=2_000_000)
-            back = [t is None or b"".join(value[r].tolist()).decode("utf-8", "replace").replace(SPACE, " ")[1:] == t for r, t in zip(rows, b["text"])]
+            back = [None if t is None else decode_ids(r, encoder.voc) == t for r, t in zip(rows, b["text"])]
             yield pd.DataFrame({"doc_id": b["doc_id"], "tokens": rows, "n_tokens": [None if r is None else len(r) for r in rows], "lossless": back})
         del encoder
         give_back()
