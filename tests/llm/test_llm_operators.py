@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilwork.llm import embedding_dedup, exact_dedup, html_text, jaccard_join, license_scan, mixing, quality, sentencepiece_dropout, token_counts, toxicity
-from veilwork.llm.common import components
+from veilwork.llm.common import components, materialise
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, slot int, label string, words int, hit boolean"
@@ -59,17 +59,40 @@ def test_exact_dedup(odd, none):
     rows = exact_dedup.duplicate_groups(odd, digest_all=True).collect()
     assert len(rows) == len(ODD)
     by = {r.doc_id: r for r in rows}
-    assert (by[3].keep_id, by[3].group_size, by[3].kept) == (4, 4, False) and by[4].kept and by[5].kept and by[6].kept
+    assert (by[3].keep_id, by[3].group_size, by[3].kept) == (4, 4, False) and by[5].kept and by[6].kept
+    assert sorted(r.kept for r in rows if r.doc_id == 4) == [False, True]  # of rows that repeat id and text one stays
     assert by[None].keep_id == 4 and not by[None].kept
     assert by[1].keep_id == 2 and by[1].text_sha256 == hashlib.sha256(b"").hexdigest()
     assert by[6].text_sha256 == hashlib.sha256(b"word " * 30_000).hexdigest()
     # without digest_all only rows that survive the prefix step are digested
     assert [r.text_sha256 for r in exact_dedup.duplicate_groups(odd).where("doc_id = 6").collect()] == [None]
     left = exact_dedup.drop_duplicates(odd)
-    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [0, 2, 4, 4, 5, 6]
+    assert left.columns == odd.columns and sorted(r.doc_id or 0 for r in left.collect()) == [2, 4, 5, 6]
     assert exact_dedup.duplicate_groups(none).count() == 0
 
 
+def test_clashing_ids(spark):
+    """Rows that repeat an id with another text are documents of their own in every step that drops or repeats rows."""
+    words = [f"w{i}" for i in range(60)]
+    long = [" ".join(words[:k] + [f"x{k}"] + words[k + 1 :]) for k in range(3)]  # near copies
+    df = docs(spark, [(5, "A text", "a"), (5, "B text", "a"), (9, "B text", "a"), (None, "C", "a"), (None, "C", "a"), (None, "D", "a"), (1, long[0], "a"), (1, long[1], "a"), (1, "A loner", "b"), (7, long[2], "b")])
+    left = exact_dedup.drop_duplicates(df)
+    assert sorted((r.doc_id or 0, r.text) for r in left.where(F.length("text") < 9).collect()) == [(0, "C"), (0, "D"), (1, "A loner"), (5, "A text"), (9, "B text")]
+    near = sorted((r.doc_id or 0, r.text) for r in jaccard_join.one_per_group(df).collect())
+    assert len(near) == 6 and sum(t in long for _, t in near) == 1 and (5, "A text") in near and (1, "A loner") in near and (5, "B text") in near and (9, "B text") not in near
+    per = mixing.taken_words(df).collect()
+    mixed = mixing.mixed_rows(df)
+    assert len(per) == 10 and mixed.columns == df.columns
+    times, got = {}, {}
+    for r in per:
+        n = r.taken // r.size
+        times[r.doc_id, r.source, r.size] = times.get((r.doc_id, r.source, r.size), 0) + n
+    for r in mixed.collect():
+        k = (r.doc_id, r.source, len(r.text.split()))
+        got[k] = got.get(k, 0) + 1
+    assert got == {k: n for k, n in times.items() if n}
+
+
 def test_same_prefix_and_length_differ(spark):
     a, b = "p" * 300 + "x", "p" * 300 + "y"
     got = exact_dedup.duplicate_groups(docs(spark, [(1, a, "s"), (2, b, "s"), (3, a, "s")])).collect()
@@ -89,7 +112,7 @@ def test_mixing(spark, odd, none, real):
     again = mixing.taken_words(real.repartition(5)).collect()
     assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
     got = mixing.taken_words(odd).collect()
-    assert len(got) == len(ODD) - 1 and sum(r.taken for r in got) <= 1.5 * sum(len((t or "").split()) for _, t, _ in ODD)
+    assert len(got) == len(ODD) and all(r.taken in (0, r.size, 2 * r.size) for r in got) and sum(r.taken for r in got) <= 1.5 * sum(len((t or "").split()) for _, t, _ in ODD)
     assert mixing.taken_words(none).count() == 0
     assert [r.taken for r in mixing.taken_words(docs(spark, [(1, None, "a"), (2, "", None)])).collect()] == [0, 0]
 
@@ -106,6 +129,22 @@ def test_license_scan(spark, odd, none):
     assert license_scan.scan_licenses(odd).count() == len(ODD) and license_scan.scan_licenses(none).count() == 0
 
 
+def test_license_scan_of_long_texts(spark):
+    """Time in proportion to words: each pair goes on without the text's other words."""
+    import time
+
+    base = " ".join(f"w{i % 977}" for i in range(240_000))
+    took = []
+    for _ in range(2):
+        start = time.time()
+        r = license_scan.scan_licenses(docs(spark, [(1, base + " all rights reserved " + base, "a")])).collect()[0]
+        took.append(time.time() - start)
+    assert (r.n_words, r.first_word, r.n_base) == (480_003, 240_000, 1) and took[1] < 20
+    body = "This program is free software: you may redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License, or (at your option) any later version."
+    spans = license_scan.license_spans(docs(spark, [(1, "x y " + body, "a")]))[1].where("NOT exact").collect()
+    assert [s.label for s in spans if s.start == 2 and s.stop >= 30] == ["gpl"] and all(s.coverage < 1 for s in spans if s.stop >= 30)
+
+
 def _brute_groups(rows, k, percent):
     sets = {}
     for i, t in rows:
@@ -166,7 +205,7 @@ def test_jaccard_blocks_and_odd_rows(spark, odd, none, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == _brute_groups(rows, 3, 80)
     got = jaccard_join.similar_groups(odd).collect()
     assert len(got) == len(ODD) and {r.component_id for r in got if r.doc_id in (3, 4, 5, None)} == {3}
-    assert sorted(r.doc_id or 0 for r in jaccard_join.one_per_group(odd).collect()) == [0, 1, 2, 3, 6]
+    assert sorted(r.doc_id or 0 for r in jaccard_join.one_per_group(odd).collect()) == [1, 2, 3, 6]
     assert jaccard_join.similar_groups(none).count() == 0
 
 
@@ -209,6 +248,22 @@ def test_embeddings_of_low_rank(spark):
     assert parts.tolist() == [1, 4, 1, 1, 2, 1] and not any(blocks[1] & o for o in blocks[:1] + blocks[2:]) and set().union(*blocks) >= set(range(max(first)))
 
 
+def _agenda(word, voc, limit, base):
+    """Brute force: every turn looks at all neighbouring pairs anew."""
+    part, skipped, turn = list(word), set(), 0
+    while True:
+        offers = [(voc.rank[a + b], i) for i, (a, b) in enumerate(zip(part, part[1:])) if a + b in voc.rank and i not in skipped]
+        if not offers:
+            return [i for p in part for i in ([voc.id[p]] if p in voc.id else voc.bytes_of(p))]
+        turn += 1
+        rank, i = min(offers)
+        if sentencepiece_dropout.skips(base, turn, rank, limit):
+            skipped.add(i)
+            continue
+        skipped = set()
+        part[i : i + 2] = [part[i] + part[i + 1]]
+
+
 def test_sentencepiece(spark, odd, none):
     import sentencepiece
 
@@ -227,9 +282,14 @@ def test_sentencepiece(spark, odd, none):
     for limit in (0, 2**29, 2**31):
         base = np.arange(len(words), dtype=np.uint64) * np.uint64(2**27 + 5) % np.uint64(2**32)
         many = sentencepiece_dropout.cut_many(words, voc, limit, base)
-        assert [np.frombuffer(p, np.int32).tolist() for p in many] == [sentencepiece_dropout.cut(w, voc, limit, int(b)) for w, b in zip(words, base)]
+        assert [p[p >= 0].tolist() for p in many] == [sentencepiece_dropout.cut(w, voc, limit, int(b)) for w, b in zip(words, base)]
+        assert [sentencepiece_dropout.cut(w, voc, limit, int(b)) for w, b in zip(words, base)] == [_agenda(w, voc, limit, int(b)) for w, b in zip(words, base)]
         word = "▁antidisestablishmentarianism"
         assert sentencepiece_dropout.merge_short(list(word), voc.rank, limit, 77) == sentencepiece_dropout.merge_long(list(word), voc.rank, limit, 77)
+    marked = ["a▁b", "▁", " ▁▁ x▁ ", "日▁本"]
+    assert [sentencepiece_dropout.decode_ids(exact.encode(t, 1), voc) for t in marked] == marked
+    repeated = sentencepiece_dropout.encode_column(docs(spark, [(8, long, "a")] * 3)).collect()
+    assert len(repeated) == 3 and len({tuple(r.tokens) for r in repeated}) == 1
     coded = sentencepiece_dropout.encode_column(odd)
     back = sentencepiece_dropout.decode_column(coded).collect()
     assert all(r.decoded == r.text for r in back) and len(back) == len(ODD)
@@ -244,7 +304,7 @@ def test_sentencepiece_draws_per_occurrence():
     assert len({tuple(r) for r in rows}) == 50
     limit, drawn = int(0.1 * 2**32), []
     for d, r in enumerate(rows):
-        cuts = [sentencepiece_dropout.cut("▁internationalisation", encoder.voc, limit, int(b)) for b in encoder.bases(d, 20)]
+        cuts = [_agenda("▁internationalisation", encoder.voc, limit, int(b)) for b in encoder.bases(d, 20)]
         assert sum(cuts, []) == r.tolist()
         drawn += map(tuple, cuts)
     assert len(set(drawn)) >= 6
@@ -253,6 +313,8 @@ def test_sentencepiece_draws_per_occurrence():
     base = np.concatenate([encoder.bases(d, 20) for d in range(500)])
     node = encoder.cuts.find(["internationalisation"] * len(base), base)
     assert abs((node == encoder.cuts.root["internationalisation"]).mean() - 0.9**turns) < 0.02 and plain in drawn
+    many = {tuple(x) for r in encoder.encode_batch(["internationalisation"] * 1000, range(1000)) for x in [r.tolist()]}
+    assert len(many) >= 6  # one word in 1,000 documents
     mixed = ["a\nb  c", "naïve \U0001f600x " + "b" * 300 + " end\n\nx", "", None, "▁x y"] * 3
     for drop in (0.0, 0.3, 0.9):
         got = sentencepiece_dropout.Encoder(drop=drop, keep=5).encode_batch(mixed, range(15), chunk=5)
@@ -297,18 +359,86 @@ def test_toxicity(spark, odd, none):
     assert toxicity.score_documents(odd, empty).where("score <> 0").count() == 0
 
 
+def test_noisy_or_and_labels(spark):
+    w, bias, leak = np.array([1.5, -0.3, 2.0]), -1.0, 0.02
+    model = ({"bad": 0, "meh": 1, "awful": 2}, w, bias, leak)
+    text = "Bad meh day. Nothing here! An awful, awful\nbad thing?"
+    plain = lambda *k: 1 / (1 + np.exp(-(bias + sum(w[i] for i in k))))
+    r = toxicity.score_documents(docs(spark, [(1, text, "a"), (1, text, "a"), (2, "x", "b")]), model).collect()
+    assert r[0].score == r[1].score == pytest.approx(1 - (1 - leak) * (1 - plain(0, 1)) * (1 - plain(2)) * (1 - plain(0))) and r[2].score == pytest.approx(leak)
+    # the likelihood's gradient: a step along it never makes the fit worse
+    bags = [(1, [[0], [1]]), (0, [[1]]), (1, [[2, 0]]), (0, []), (0, [[1], [1]])] * 20
+    weights, b, k = toxicity.fit(bags, 3)
+    p = [toxicity.noisy_or([toxicity.sentence_score(s, weights, b) for s in x], k) for _, x in bags]
+    assert all((v > 0.5) == (y == 1) for v, (y, _) in zip(p, bags)) and weights[0] > weights[1] < weights[2]
+    rows = [(i, t, "en", "a", None, "x", 7, "y", 1, True) for i, t in ((1, "same"), (2, "same"), (3, "other"), (4, None), (9, "fine"), (9, "again"))]
+    both = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (3, 1), (9, 0), (4, 1)], "doc_id long, toxic int")
+    for parts in (1, 3, 5):
+        got = {r.text: r.toxic for r in toxicity.training_rows(spark.createDataFrame(rows, DOCS).repartition(parts), both, 100).collect()}
+        assert set(got) <= {"same", "other", "fine", "again"} and got.get("other", 1) == 1 and ("same" not in got or got["same"] == 1)
+
+
+def test_token_counts_whole_table(real):
+    """Every row against greedy longest match over its words."""
+    voc = token_counts.pieces(token_counts.MODEL).id
+    longest = max(map(len, voc))
+
+    def greedy(s):
+        n = i = 0
+        while i < len(s):
+            j = next((j for j in range(min(len(s), i + longest), i, -1) if s[i:j] in voc), None)
+            if j is None:
+                return 0
+            n, i = n + 1, j
+        return n
+
+    known = {}
+    got = {r.doc_id: r for r in token_counts.count_tokens(real).collect()}
+    for r in real.collect():
+        counts = [known[w] if w in known else known.setdefault(w, greedy("▁" + w)) for w in r.text.split()]
+        assert (got[r.doc_id].n_words, got[r.doc_id].n_unknown, got[r.doc_id].n_tokens) == (len(counts), counts.count(0), sum(counts) + counts.count(0))
+
+
 def test_quality(spark, odd, none):
     sf = "/root/testdata/sf0.01"
     documents, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
     train, test = labels.where("doc_id % 3 <> 0"), labels.where("doc_id % 3 = 0")
-    models = quality.train(documents, train)
-    r = quality.score_documents(documents, models).join(test, "doc_id").toPandas()
+    seen = materialise(quality.views(documents))
+    models = quality.train(seen, train)
+    r = quality.score_documents(seen, models).join(test, "doc_id").toPandas()
     assert ((r.score >= 0.5) == (r.quality == 1)).mean() > 0.95
-    assert quality.score_documents(odd, models).count() == len(ODD) and quality.score_documents(none, models).count() == 0
+    rows = quality.score_documents(quality.views(odd), models).collect()
+    assert len(rows) == len(ODD) and len({r.score for r in rows if r.doc_id == 4}) == 1 and all(0 <= r.score <= 1 for r in rows)
+    assert quality.score_documents(quality.views(none), models).count() == 0
     kept = quality.keep_good(odd, labels.limit(0))
     assert kept.count() == len(ODD) and kept.columns == odd.columns
 
 
+def test_quality_round_brute_force(spark):
+    """One exchange of pseudo-labels and the calibration against plain computations."""
+    scored = spark.createDataFrame([(f"k{i}", i / 40) for i in range(41)] + [("t1", 1.0), ("t2", 0.0)], "key string, p_text double")
+    got = {r.key: r.label for r in quality.pseudo_labels(scored, "p_text", 3, 0.9).collect()}
+    sure = {k: p for k, p in [(f"k{i}", i / 40) for i in range(41)] + [("t1", 1.0), ("t2", 0.0)] if p >= 0.9 or p <= 0.1}
+    assert len(got) == 6 and set(got) <= set(sure) and all(v == (sure[k] > 0.5) for k, v in got.items())
+    assert {"k40", "t1", "k39"} <= set(got) and {"k0", "t2", "k1"} <= set(got)
+    rng = np.random.default_rng(3)
+    y = (rng.random(300) < 0.5).astype(float)
+    a, b = rng.normal(size=(300, 4)) + y[:, None], rng.normal(size=(300, 3)) + 0.2 * y[:, None]
+    folds = np.arange(300) % 3
+    extra = (rng.normal(size=(20, 4)) + 1, np.ones(20))
+    none = (np.empty((0, 3)), np.empty(0))
+    joint = quality.calibrate(a, b, y, extra, none, folds)
+    odds = np.zeros((300, 2))
+    for i in range(300):  # each row by models of the other folds
+        rest = folds != folds[i]
+        if i < 3:
+            plain = quality.Logistic(np.vstack([a[rest], extra[0]]), np.concatenate([y[rest], extra[1]]), np.concatenate([np.ones(rest.sum()), np.full(20, 0.5)]))
+            odds[i, 0] = plain.logit(a[i : i + 1])[0]
+            assert odds[i, 0] == pytest.approx(quality.fit_view(a, y, extra, rest).logit(a[i : i + 1])[0])
+    p = 1 / (1 + np.exp(-joint.logit(np.array([[3.0, 0.5], [-3.0, -0.5]]))))
+    assert p[0] > 0.7 and p[1] < 0.3
+
+
 PAGE = """<html><head><title>t</title><script>if (a < b) x("<p>no</p>")</script></head><body><div class="topline"><p>Site motto for all</p></div>
 <div><h1>Head {n}</h1><p>Text &amp; more &eacute; {n}<br>next&nbsp;line<ul><li>one {n}<li>two {n}</ul><p>last {n}</div><div><span>Bottom line</span></div></body></html>"""
 

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import bound_arrow_batches, components, drop_written, give_back, materialise, row_key, table, without_rows
 
 RATIO = 1.4  # of the bounds of neighbouring size classes
-BLOCK_DOCS, BLOCK_SHINGLES = 384, 600_000
+BLOCK_DOCS, BLOCK_SHINGLES = 128, 600_000
 FINE, MOST_SKETCH = 3.5, 256  # fine fragments for each shingle that linked sets can differ in, and most of them kept
 SMALL, KEY_BLOCK = 8, 1024  # sets of a key that are compared pair by pair, and in a block of a larger one
 COLUMNS = 4096  # shingles of one fragment of the order when overlaps are counted
