@@ -121,6 +121,72 @@ def test_evaluation(spark):
     assert got == {"PERSON": (1, 2, 1), "OVERALL": (1, 2, 1)}  # the unit without ground truth does not count
 
 
+def test_evaluation_of_two_files(spark, tmp_path):
+    """Entries are numbered from 0 in each file: a match in one must not hide a miss in the other."""
+    entry = {"unit_id": "u", "entity_type": "PERSON", "start": 0, "end": 10, "text": "ab"}
+    (tmp_path / "t").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / f"t/{name}.json").write_text(json.dumps({"entries": [entry], "absent_types": {"US_SSN": f"none in {name}"}}))
+    det = spark.createDataFrame([("a", "u", "PERSON", 0, 10, 0), ("a", "v", "PERSON", 0, 10, 1)], "doc_id string, unit_id string, entity_type string, start int, end int, det_id long")
+    got = {r.entity_type: (r.tp, r.fp, r.fn, r.recall) for r in E.evaluate_file(det, str(tmp_path / "t")).collect()}
+    assert got == {"PERSON": (1, 0, 1, 0.5), "OVERALL": (1, 0, 1, 0.5)}
+    absent = E.absent_types(files.read_ground_truth(spark, str(tmp_path / "t"))[1]).collect()
+    assert sorted(tuple(r) for r in absent) == [("a", "US_SSN", "none in a"), ("b", "US_SSN", "none in b")]
+    none = E.evaluate(det.limit(0), det.limit(0).withColumnRenamed("det_id", "gt_id")).collect()
+    assert [tuple(r)[:4] for r in none] in ([], [("OVERALL", 0, 0, 0)])
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 20), st.integers(1, 9), st.booleans()), max_size=14))
+def test_greedy_matches_equal_a_plain_loop(spark, raw):
+    rows = [(1, f"u{u}", "X", a, a + n, i) for i, (u, a, n, is_det) in enumerate(raw) if is_det]
+    true = [(1, f"u{u}", "X", a, a + n, i) for i, (u, a, n, is_det) in enumerate(raw) if not is_det]
+    columns = "doc_id long, unit_id string, entity_type string, start int, end int, "
+    used, want = set(), []
+    for d in rows:
+        for g in true:
+            over = min(d[4], g[4]) - max(d[3], g[3])
+            if g[5] not in used and d[1] == g[1] and over > 0 and over / (g[4] - g[3]) >= 0.5:
+                used.add(g[5])
+                want.append((d[5], g[5]))
+                break
+    got = E.match_spans(spark.createDataFrame(rows, columns + "det_id long"), spark.createDataFrame(true, columns + "gt_id long")).collect()
+    assert sorted((r.det_id, r.gt_id) for r in got) == sorted(want)
+
+
+def test_custom_types_and_thresholds(spark):
+    own = D.Custom().register("badge", "BADGE", regex=r"B-\d{4}", score=0.6, label="[BADGE]", threshold=0.5, priority=0)
+    own.register("caller", "CALLER", fn=lambda t: [("CALLER", 0, 2, 0.9)] if t.startswith("me") else [], threshold=0.8)
+    df = D.detect(units(spark, ["see B-1234 or a@x.com", "me B-12"]), extra=own.recognizers)
+    out = X.redact_labels(X.analyze_units(df, types=own.types), types=own.types).orderBy("unit_ord").collect()
+    assert [r.redacted for r in out] == ["see [BADGE] or [REDACTED: EMAIL]", "[REDACTED: CALLER] B-12"]
+    strict = X.analyze_units(df, thresholds={"BADGE": 0.7}, types=own.types).orderBy("unit_ord").first()
+    assert [s.entity_type for s in strict.spans] == ["EMAIL_ADDRESS"]
+    kept = X.explode_detections(X.analyze_units(df, types=own.types), types=own.types).where("entity_type = 'BADGE'").first()
+    assert (kept.text, kept.replacement) == ("B-1234", "[BADGE]")
+    with pytest.raises(ValueError):
+        own.register("x", "X")
+
+
+def test_nested_report_and_corpus_ids(spark):
+    rows = [("b", 0, "u0", 0, 3, "PERSON", " Al B ", "[P]", 0.9), ("a", 1, "u1", 4, 6, "PERSON", "Cy D", "[P]", 0.9), (None, 0, "u0", 0, 2, "PERSON", "Ed F", "[P]", 0.9), ("b", 0, "u0", 5, 9, "PERSON", "Cy D", "[P]", 0.9)]
+    det = spark.createDataFrame(rows, "doc_id string, unit_ord int, unit_id string, start int, end int, entity_type string, text string, replacement string, score double")
+    for chunks in (2, 1024):
+        assert {r.original: r.idx for r in K.assign_fake_ids_corpus(det, chunks=chunks).collect()} == {"Ed F": 0, "Cy D": 1, "Al B": 2}
+    assert K.assign_fake_ids_corpus(det.limit(0)).count() == 0
+    analysed = spark.createDataFrame([("a", 1, [1]), ("b", 0, [1, 2]), ("c", 0, [])], "doc_id string, unit_ord int, spans array<int>")
+    report = {r.doc_id: r for r in A.document_report(analysed, det, nested=True, mapping=K.replacement_map(det)).collect()}
+    assert [(d.start, d.text) for d in report["b"].detections] == [(0, " Al B "), (5, "Cy D")] and [m.original for m in report["b"].replacement_map] == ["Al B", "Cy D"]
+    assert report["c"].detections == [] and report["c"].replacement_map == [] and report["c"].total_pii_count == 0
+
+
+def test_leaks_and_changes_are_found(spark):
+    df = X.redact_labels(X.analyze_units(D.detect(units(spark, ["mail a@x.com now", "mail b@x.com now"]))))
+    df = df.withColumn("redacted", F.when(F.col("unit_ord") == 0, F.col("text")).otherwise(F.col("redacted")))
+    assert [r.text for r in A.leaks(df, X.explode_detections(df)).collect()] == ["a@x.com"]
+    assert [r.unit_ord for r in A.changed_outside(df.withColumn("redacted", F.when(F.col("unit_ord") == 1, F.concat("redacted", F.lit("!"))).otherwise(F.col("redacted")))).collect()] == [0, 1]
+
+
 def docx(paragraphs, footer):
     w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
     p = lambda runs: "<w:p>" + "".join(f"<w:r><w:t xml:space='preserve'>{t}</w:t></w:r>" for t in runs) + "</w:p>"
@@ -138,9 +204,16 @@ def test_docx(spark, tmp_path):
     (tmp_path / "in/a.DOCX").write_bytes(docx([["Contact: ", "John", " Doe", ", email: john.doe@example.com"], [" "]], "Page 1"))
     (tmp_path / "in/b.docx").write_bytes(b"not a zip")
     (tmp_path / "in/c.txt").write_bytes(b"no")
+    whole = files.docx_bytes([["a"]])
+    (tmp_path / "in/d.docx").write_bytes(whole[:40] + b"\x00" * 30 + whole[70:])  # damaged inside
+    with zipfile.ZipFile(tmp_path / "in/e.docx", "w") as z:
+        z.writestr("word/document.xml", "<x/>")  # no body
     got = files.units_from_docx(spark, str(tmp_path / "in"))
     rows = {r.unit_id: r for r in got.collect()}
     assert set(rows) == {"body-para-0", "table-0-r0-c0-para-0", "table-0-r0-c1-para-0", "section-0-footer-para-0"}
+    raw = spark.read.format("binaryFile").load(str(tmp_path / "in"))
+    assert sorted(r.doc_id[-6:] for r in files.units_of_docx(raw, errors=True).collect()) == ["b.docx", "d.docx", "e.docx"]
+    assert files.units_of_docx(raw, max_bytes=10).count() == 0
     out = {r.unit_id: r for r in X.redact_runs(X.analyze_units(D.detect(got))).collect()}
     assert [r.text for r in out["body-para-0"].runs] == ["Contact: ", "John", " Doe", ", email: [REDACTED: EMAIL]"]
     with pytest.raises(ValueError):
@@ -153,9 +226,15 @@ def test_ground_truth_report_and_stream(spark, tmp_path):
     (tmp_path / "b.json").write_text(json.dumps([entry]))
     entries, absent = files.read_ground_truth(spark, str(tmp_path / "a.json"))
     assert [r.gt_id for r in entries.orderBy("gt_id").collect()] == [0, 1]
-    assert [tuple(r) for r in E.absent_types(absent).collect()] == [("US_SSN", "none")]
+    assert [tuple(r) for r in E.absent_types(absent).collect()] == [("a", "US_SSN", "none")]
     assert files.read_ground_truth(spark, str(tmp_path / "b.json"))[0].count() == 1
 
+    det = spark.createDataFrame([("d", "PERSON", 0, "ab"), ("d", "US_SSN", 1, "cd")], "doc_id string, entity_type string, start int, text string")
+    files.write_detections(det, str(tmp_path / "det"))
+    files.write_report(det.groupBy("doc_id").count(), str(tmp_path / "rep"))
+    assert spark.read.parquet(str(tmp_path / "det")).where("entity_type = 'US_SSN'").first().text == "cd"
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "rep")).select("doc_id", "count").collect()] == [("d", 2)]
+
     from veilwork.streaming.redact import redact_stream, redacted_units
 
     src = units(spark, [h[1] for h in HITS])

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.matching import strip_chars
+from ..functions.stored import new_path, stored
 from ..operators import detect as D
 from ..operators import evaluate as E
 from ..operators import fakes as K
 from ..operators import filters as FI
 from ..operators import redact as X
 from ..operators import reports as A
+from ..sources import files as W
 from ..sources.units import template_rows, units_from_table
 from . import sql as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 UNIT = ("doc_id", "unit_ord", "unit_id")
-PLAIN = ("email", "indian_phone", "intl_phone", "card", "ipv4")  # recognizers whose types the documents hold
 
 
 def query(name: str, sql: str | None = None):
@@ -51,7 +51,7 @@ def spans(units: DataFrame) -> DataFrame:
 
 
 def doc_analysis(spark, sf_dir) -> DataFrame:
-    return X.analyze_units(D.detect(doc_units(spark, sf_dir), PLAIN))
+    return X.analyze_units(D.detect(doc_units(spark, sf_dir)))
 
 
 def template_analysis(spark, sf_dir) -> DataFrame:
@@ -59,7 +59,7 @@ def template_analysis(spark, sf_dir) -> DataFrame:
 
 
 def _doc(rest: str) -> str:
-    return f"WITH {Q.analysed(Q.DOC_UNITS, PLAIN)} {rest}"
+    return f"WITH {Q.analysed(Q.DOC_UNITS)} {rest}"
 
 
 def _tpl(rest: str) -> str:
@@ -146,6 +146,17 @@ def u1(spark, sf_dir):
     return spans(D.detect(doc_units(spark, sf_dir), ["shout"], extra={"shout": D.regex_recognizer("SHOUT", "[A-Z]{4,}!!", 0.8)}))
 
 
+CUSTOM = D.Custom().register("shout", "SHOUT", regex="[A-Z]{4,}!!", score=0.8, label="[SHOUTED]", threshold=0.75, priority=2)
+_shout = f"found AS ({Q._rows('cu', 'SHOUT', 0.8, 'shout')})"
+
+
+@query("u1_custom_type", f"WITH {Q.DOC_UNITS}, {Q._places('cu', '[A-Z]{4,}!!')}, {_shout}, {Q.redacted(repr('[SHOUTED]'), 'found')} SELECT doc_id, unit_ord, unit_id, redacted FROM red")
+def u1_type(spark, sf_dir):
+    """A type of the caller's own, from detection to redaction."""
+    units = X.analyze_units(D.detect(doc_units(spark, sf_dir), ["shout"], extra=CUSTOM.recognizers), types=CUSTOM.types)
+    return X.redact_labels(units, types=CUSTOM.types).select(*UNIT, "redacted")
+
+
 # Candidates that the false-positive rules decide, dealt over the customers.
 CANDIDATES = ("the Company", "our Bank", "Our Company ABC Limited", "SEBI", "RBI.", "ABC", "Weighted Average Price of shares", "we require funds", "prepared by Care Analytics Private Limited",
               "Alpha Technologies", "registered under the Act", "Reserve Bank", "“Zen Corp.”", "Limited", "XYZ & Associates LLP", "Mumbai", "Taluka Khed", "Rajesh Kumar", "FEMA", "ABCD EFG", "ABCDE FGHIJ",
@@ -191,15 +202,24 @@ def f3(spark, sf_dir):
     return spans(units.withColumn("spans", FI.filter_by_threshold(F.col("spans"))))
 
 
+LOWER = {"PHONE_NUMBER": 0.8, "PERSON": 0.95, "US_SSN": 0.5}
+
+
+@query("f3_threshold_argument", f"WITH {Q.found(Q.TEMPLATE_UNITS)} {SPANS} found WHERE score >= CASE entity_type " + " ".join(f"WHEN '{t}' THEN {v}" for t, v in LOWER.items()) + f" ELSE {Q.by_type('entity_type', 1, S.DEFAULT_THRESHOLD)} END")
+def f3_argument(spark, sf_dir):
+    units = D.detect(templates(spark, sf_dir))
+    return spans(units.withColumn("spans", FI.filter_by_threshold(F.col("spans"), LOWER)))
+
+
 @query("f8_combined_filter", f"WITH {Q.found(Q.TEMPLATE_UNITS)}, {Q.FILTERED} {SPANS} filtered")
 def f8(spark, sf_dir):
     units = D.detect(templates(spark, sf_dir))
     return spans(units.withColumn("spans", FI.filter_spans(F.col("spans"), F.col("text"))))
 
 
-@query("r1_resolve_overlaps", f"WITH {Q.found(Q.DOC_UNITS, PLAIN)}, {Q.resolved('found')} {SPANS} kept")
+@query("r1_resolve_overlaps", f"WITH {Q.found(Q.DOC_UNITS)}, {Q.resolved('found')} {SPANS} kept")
 def r1(spark, sf_dir):
-    units = D.detect(doc_units(spark, sf_dir), PLAIN)
+    units = D.detect(doc_units(spark, sf_dir))
     return spans(units.withColumn("spans", X.resolve_overlaps(F.col("spans"))))
 
 
@@ -225,7 +245,7 @@ def x1_templates(spark, sf_dir):
 
 @query("x2_redact_fakes", _tpl(f", {Q.MAPPED}, valued AS (SELECT k.*, m.replacement FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m USING (doc_id, entity_type, original)), {Q.redacted('replacement', 'valued')} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
 def x2(spark, sf_dir):
-    units = template_analysis(spark, sf_dir).persist()  # read three times; lost blocks are computed again
+    units = stored(template_analysis(spark, sf_dir))  # read three times
     return X.redact_fakes(units, K.replacement_map(X.explode_detections(units))).select(*UNIT, "redacted")
 
 
@@ -254,7 +274,7 @@ def template_detections(spark, sf_dir) -> DataFrame:
 @query("x4_detections_with_fakes", _tpl(f""", {Q.MAPPED} SELECT k.doc_id, unit_ord, unit_id, k.entity_type, st AS "start", en AS "end", round(score, 3) AS score, {Q.SAID} AS text, m.replacement
 FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m ON k.doc_id = m.doc_id AND k.entity_type = m.entity_type AND k.original = m.original"""))
 def x4_fakes(spark, sf_dir):
-    units = template_analysis(spark, sf_dir).persist()
+    units = stored(template_analysis(spark, sf_dir))
     return X.explode_detections(units, mapping=K.replacement_map(X.explode_detections(units)))
 
 
@@ -269,6 +289,13 @@ def k1_corpus(spark, sf_dir):
     return K.assign_fake_ids_corpus(template_detections(spark, sf_dir))
 
 
+@query("k1_fake_index_corpus_strings", _tpl(f""", f AS (SELECT entity_type, {Q.STRIPPED} AS original, min({{'d': 'doc-' || doc_id, 'u': unit_ord, 's': st}}) AS f FROM kept GROUP BY ALL)
+SELECT entity_type, original, row_number() OVER (PARTITION BY entity_type ORDER BY f, original) - 1 AS idx FROM f"""))
+def k1_strings(spark, sf_dir):
+    named = template_detections(spark, sf_dir).withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    return K.assign_fake_ids_corpus(named, chunks=16)
+
+
 FAKE_KINDS = (*S.TYPES, "NRP")
 
 
@@ -304,10 +331,10 @@ def a3(spark, sf_dir):
 
 
 @query("a3_coverage_conversations", f"""WITH units AS (SELECT conv_id AS doc_id, CAST(turn AS INT) AS unit_ord, CAST(turn AS VARCHAR) AS unit_id, text FROM conversations WHERE text IS NOT NULL),
-{Q.found('z AS (SELECT 1)', PLAIN)}, {Q.FILTERED}, {Q.resolved('filtered')}{COVERED} SELECT doc_id, {COVER} FROM per GROUP BY doc_id""")
+{Q.found('z AS (SELECT 1)')}, {Q.FILTERED}, {Q.resolved('filtered')}{COVERED} SELECT doc_id, {COVER} FROM per GROUP BY doc_id""")
 def a3_conversations(spark, sf_dir):
     units = table(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("unit_ord"), F.col("turn").cast("string").alias("unit_id"), "text")
-    return A.coverage(X.analyze_units(D.detect(units, PLAIN)), ["doc_id"])
+    return A.coverage(X.analyze_units(D.detect(units)), ["doc_id"])
 
 
 @query("a4_document_report", _doc(f"{COVERED}, c AS (SELECT doc_id, entity_type, count(*) AS n FROM kept GROUP BY ALL), j AS (SELECT doc_id, string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) AS counts FROM c GROUP BY ALL) "
@@ -319,6 +346,22 @@ def a4(spark, sf_dir):
     return report.withColumn("counts", told).drop("counts_by_type")
 
 
+NESTED = f""", {Q.MAPPED}, n AS (SELECT k.doc_id, string_agg(unit_ord || ':' || st || '-' || en || ' ' || {Q.SAID} || ' > ' || m.replacement, '; ' ORDER BY unit_ord, st) AS told
+  FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m ON k.doc_id = m.doc_id AND k.entity_type = m.entity_type AND k.original = m.original GROUP BY k.doc_id),
+r AS (SELECT doc_id, string_agg(entity_type || ' ' || idx || ' ' || original || ' > ' || replacement, '; ' ORDER BY entity_type, idx) AS mapped FROM mapped GROUP BY doc_id)"""
+
+
+@query("a4_nested_report", _tpl(f"{COVERED}{NESTED} SELECT doc_id, {COVER}, coalesce(any_value(told), '') AS detections, coalesce(any_value(mapped), '') AS replacement_map FROM per LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) GROUP BY doc_id"))
+def a4_nested(spark, sf_dir):
+    units = stored(template_analysis(spark, sf_dir))
+    mapping = stored(K.replacement_map(X.explode_detections(units)))
+    report = A.document_report(units, X.explode_detections(units, mapping=mapping), nested=True, mapping=mapping)
+    one = lambda x: F.concat(x["unit_ord"].cast("string"), F.lit(":"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string"), F.lit(" "), x["text"], F.lit(" > "), x["replacement"])
+    two = lambda x: F.concat_ws(" ", x["entity_type"], x["idx"].cast("string"), x["original"], F.lit(">"), x["replacement"])
+    return report.select("doc_id", "total_units", "units_with_pii", "total_pii_count", F.array_join(F.transform("detections", one), "; ").alias("detections"),
+                         F.array_join(F.transform("replacement_map", two), "; ").alias("replacement_map"))
+
+
 @query("a5_distinct_types", _doc("SELECT DISTINCT entity_type FROM kept"))
 def a5(spark, sf_dir):
     return A.distinct_types(X.explode_detections(doc_analysis(spark, sf_dir)))
@@ -339,15 +382,21 @@ def f7(spark, sf_dir):
     return FI.search_detections(X.explode_detections(doc_analysis(spark, sf_dir)), "IP_ADDRESS", "19")
 
 
-@query("q1_leaks", _tpl(f", {Q.redacted(Q.LABEL)} SELECT k.doc_id, k.unit_ord, entity_type, st AS \"start\", en AS \"end\", {Q.SAID.replace('text', 'k.text')} AS text FROM kept k JOIN red r USING (doc_id, unit_ord) WHERE contains(redacted, {Q.SAID.replace('text', 'k.text')})"))
+LEFT = f"{Q.redacted(Q.LABEL)}, leaky AS (SELECT * REPLACE (CASE WHEN doc_id % 7 = 0 THEN text ELSE redacted END AS redacted) FROM red)"
+
+
+@query("q1_leaks", _tpl(f", {LEFT} SELECT k.doc_id, k.unit_ord, entity_type, st AS \"start\", en AS \"end\", {Q.SAID.replace('text', 'k.text')} AS text FROM kept k JOIN leaky r USING (doc_id, unit_ord) WHERE contains(redacted, {Q.SAID.replace('text', 'k.text')})"))
 def q1(spark, sf_dir):
-    units = X.redact_labels(template_analysis(spark, sf_dir))
-    return A.leaks(units, X.explode_detections(units))
+    """Every seventh document is left as it was, so that there are leaks to be found."""
+    units = stored(X.redact_labels(template_analysis(spark, sf_dir)))
+    return A.leaks(units.withColumn("redacted", F.when(F.col("doc_id") % 7 == 0, F.col("text")).otherwise(F.col("redacted"))), X.explode_detections(units))
 
 
-@query("q2_preserved", f"WITH {Q.DOC_UNITS} SELECT count(*) AS units, 0::BIGINT AS changed FROM units")
+@query("q2_preserved", f"WITH {Q.DOC_UNITS} SELECT count(*) AS units, count(*) FILTER (doc_id % 5 = 0) AS changed FROM units")
 def q2(spark, sf_dir):
+    """Redaction changes nothing outside the spans; a word put behind every fifth document's units is found."""
     units = X.redact_labels(doc_analysis(spark, sf_dir))
+    units = stored(units.withColumn("redacted", F.when(F.col("doc_id") % 5 == 0, F.concat("redacted", F.lit(" more"))).otherwise(F.col("redacted"))))
     return units.select(F.lit(0).alias("c")).unionByName(A.changed_outside(units).select(F.lit(1).alias("c"))).agg(F.count_if(F.col("c") == 0).alias("units"), F.count_if(F.col("c") == 1).alias("changed"))
 
 
@@ -380,31 +429,118 @@ OUT = f"""{DET}, {CAND}, o AS (SELECT entity_type, 'tp' AS outcome FROM cand UNI
 
 @query("e3_e4_outcomes", _tpl(f", {OUT} SELECT entity_type, outcome, count(*) AS n FROM o GROUP BY ALL"))
 def e3(spark, sf_dir):
-    return E.outcomes(*sides(spark, sf_dir)).groupBy("entity_type", "outcome").agg(F.count("*").alias("n"))
+    return E.outcomes(*sides(spark, sf_dir))
 
 
-@query("e5_e6_metrics", _tpl(f""", {OUT}, t AS (SELECT entity_type, outcome FROM o UNION ALL SELECT entity_type, NULL FROM gt UNION ALL SELECT entity_type, NULL FROM det),
+METRICS = _tpl(f""", {OUT}, t AS (SELECT entity_type, outcome FROM o UNION ALL SELECT entity_type, NULL FROM gt UNION ALL SELECT entity_type, NULL FROM det),
 c AS (SELECT entity_type, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM t GROUP BY ROLLUP (entity_type)),
 p AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM c)
 SELECT coalesce(entity_type, 'OVERALL') AS entity_type, tp, fp, fn, precision, recall, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1,
-  entity_type IS NULL OR entity_type IN (SELECT entity_type FROM gt) AS in_gt FROM p"""))
+  entity_type IS NULL OR entity_type IN (SELECT entity_type FROM gt) AS in_gt FROM p""")
+
+
+@query("e5_e6_metrics", METRICS)
 def e5(spark, sf_dir):
     return E.evaluate(*sides(spark, sf_dir))
 
 
+# Files: written from a table into the shared folder and read back.
+def truth_files(spark, sf_dir) -> str:
+    """A ground-truth file a document of the templates: its entries in order, and the types that it lacks. Returns the folder."""
+    path = new_path(spark, "truth")
+    entry = F.struct("unit_ord", "g.start", "unit_id", "g.entity_type", "g.end", F.expr("substring(text, g.start + 1, g.end - g.start)").alias("text"))
+    rows = templates(spark, sf_dir).select("doc_id", "unit_ord", "unit_id", "text", F.explode("gt").alias("g")).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # ten units
+    lacking = F.array_except(F.array(*map(F.lit, S.TYPES)), F.transform("entries", lambda e: e["entity_type"]))
+    absent = F.map_from_arrays(lacking, F.transform(lacking, lambda _: F.lit("none in this document")))
+    rows = rows.select("doc_id", F.to_json(F.struct("entries", absent.alias("absent_types"))).alias("value"))
+    rows.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    return path
+
+
+BY_FOLDER = r"doc_id=(\d+)/[^/]*$"
+
+
+@query("s4_ground_truth", _tpl("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord, st) - 1 AS INT) AS gt_id, unit_id, entity_type, st AS \"start\", en AS \"end\", "
+                                f"{Q.SAID} AS text FROM truth JOIN (SELECT doc_id, unit_ord, text FROM units) USING (doc_id, unit_ord)"))
+def s4(spark, sf_dir):
+    return W.read_ground_truth(spark, truth_files(spark, sf_dir), BY_FOLDER)[0]
+
+
+_kinds = ", ".join(map(Q.q, S.TYPES))
+
+
+@query("e7_absent_types", f"WITH {Q.TEMPLATE_UNITS}, d AS (SELECT DISTINCT doc_id FROM truth), t AS (SELECT doc_id, unnest([{_kinds}]) AS entity_type FROM d) "
+                          "SELECT CAST(doc_id AS VARCHAR) AS doc_id, entity_type, 'none in this document' AS reason FROM t WHERE (doc_id, entity_type) NOT IN (SELECT (doc_id, entity_type) FROM truth)")
+def e7(spark, sf_dir):
+    return E.absent_types(W.read_ground_truth(spark, truth_files(spark, sf_dir), BY_FOLDER)[1])
+
+
+@query("e_metrics_from_files", METRICS)
+def e_files(spark, sf_dir):
+    """E5, E6 with the truth read from files whose entries are numbered from 0 in each."""
+    det = sides(spark, sf_dir)[0].withColumn("doc_id", F.col("doc_id").cast("string"))
+    return E.evaluate(det, W.read_ground_truth(spark, truth_files(spark, sf_dir), BY_FOLDER)[0])
+
+
+@query("s2_docx_units", f"""WITH {Q.TEMPLATE_UNITS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) - 1 AS i FROM units),
+f AS (SELECT *, max(i) OVER (PARTITION BY doc_id) + 1 AS n FROM o)
+SELECT doc_id || CASE WHEN doc_id % 3 = 0 THEN '.DOCX' ELSE '.docx' END AS doc_id, CAST(i AS INT) AS unit_ord, CASE WHEN i < 7 THEN 'body-para-' || i ELSE 'table-0-r0-c' || (i - 7) || '-para-0' END AS unit_id, text,
+  CAST(2 AS INT) AS n_runs FROM f WHERE doc_id % 3 < 2""")
+def s2(spark, sf_dir):
+    """.docx files made of the templates' documents (seven paragraphs, then a table, every line in two runs; every third one named otherwise) through the gate and the walker."""
+    import pandas as pd
+
+    lines = templates(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_ord", "text"))).alias("l"))  # ten lines a document
+    ending = F.element_at(F.array(F.lit(".DOCX"), F.lit(".docx"), F.lit(".txt")), (F.col("doc_id") % 3 + 1).cast("int"))
+    named = lines.select(F.concat(F.col("doc_id").cast("string"), ending).alias("path"), F.transform("l", lambda x: x["text"]).alias("lines"))
+
+    def make(batches):
+        for b in batches:
+            halves = [[[t[: len(t) // 2], t[len(t) // 2 :]] for t in x] for x in b["lines"]]
+            content = [W.docx_bytes(h[:7], h[7:]) for h in halves]
+            yield pd.DataFrame({"path": b["path"], "length": [len(c) for c in content], "content": content})
+
+    files = named.mapInPandas(make, "path string, length long, content binary")
+    return W.units_of_docx(files).select(*UNIT, "text", F.size("runs").alias("n_runs"))
+
+
+@query("s3_gate", "SELECT doc_id, octet_length(encode(text)) AS length FROM documents WHERE doc_id % 3 < 2 AND octet_length(encode(text)) <= 2000")
+def s3(spark, sf_dir):
+    ending = F.element_at(F.array(F.lit(".DOCX"), F.lit(".docx"), F.lit(".doc")), (F.col("doc_id") % 3 + 1).cast("int"))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), ending).alias("path"), F.octet_length("text").cast("bigint").alias("length"))
+    return W.docx_gate(files, 2000).select("doc_id", "length")
+
+
+@query("s5_report", _tpl(f"{COVERED}, c AS (SELECT doc_id, entity_type, count(*) AS n FROM kept GROUP BY ALL), j AS (SELECT doc_id, string_agg(entity_type || '=' || n, ',' ORDER BY entity_type) AS counts FROM c GROUP BY ALL) "
+                         f"SELECT doc_id, {COVER}, coalesce(any_value(counts), '') AS counts FROM per LEFT JOIN j USING (doc_id) GROUP BY doc_id"))
+def s5(spark, sf_dir):
+    units, path = template_analysis(spark, sf_dir), new_path(spark, "report")
+    W.write_report(A.document_report(units, X.explode_detections(units)), path)
+    back = spark.read.schema("doc_id bigint, total_units bigint, units_with_pii bigint, total_pii_count bigint, counts_by_type map<string,bigint>").json(path)
+    told = F.array_join(F.array_sort(F.transform(F.map_entries("counts_by_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return back.withColumn("counts", told).drop("counts_by_type")
+
+
+@query("s5_detections", _tpl(DETECTION))
+def s5_detections(spark, sf_dir):
+    path = new_path(spark, "detections")
+    W.write_detections(template_detections(spark, sf_dir), path)
+    return spark.read.parquet(path).select(*UNIT, "entity_type", "start", "end", "score", "text", "replacement")
+
+
+@query("s6_redacted", _tpl(f", {Q.redacted(Q.LABEL)} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
+def s6(spark, sf_dir):
+    path = new_path(spark, "redacted")
+    W.write_redacted(X.redact_labels(template_analysis(spark, sf_dir)).select(*UNIT, "redacted"), f"{sf_dir}/customer.parquet", path)
+    return spark.read.parquet(path)
+
+
 @query("t1_stream_redaction", _tpl(f", {Q.redacted(Q.LABEL)} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
 def t1(spark, sf_dir):
     """The templates' units written as arriving files, redacted by the stream, and what it wrote."""
-    import tempfile
-    import uuid
-
     from ..streaming.redact import redact_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
-        shared = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir")
-    base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = new_path(spark, "stream")
     templates(spark, sf_dir).select(*UNIT, "text").write.parquet(f"{base}/in")
     redact_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out")

@@ -164,3 +164,23 @@ def add_external_spans(units: DataFrame, found: DataFrame, keys: Sequence[str] =
     per = found.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).alias("__found"))  # a unit's own spans
     known = F.coalesce("spans", _none()) if "spans" in units.columns else _none()
     return units.join(per, list(keys), "left").withColumn("spans", F.concat(known, F.coalesce("__found", _none()))).drop("__found")
+
+
+class Custom:
+    """The caller's own recognizers together with their types' labels, thresholds and priorities.
+
+    detect(units, extra=custom.recognizers), then analyze_units, redact_labels and explode_detections with types=custom.types."""
+
+    def __init__(self) -> None:
+        self.recognizers: dict[str, Callable[[Column], Column]] = {}
+        self.types: dict[str, tuple[str, float, int]] = {}
+
+    def register(self, name: str, entity_type: str, regex: str | None = None, fn: Callable | None = None, score: float = 0.85, label: str | None = None,
+                 threshold: float = S.DEFAULT_THRESHOLD, priority: int = S.DEFAULT_PRIORITY) -> Custom:
+        """A recognizer by pattern or by function. A type of the schema keeps its own row unless a label is given."""
+        if (regex is None) == (fn is None):
+            raise ValueError("give either regex or fn")
+        self.recognizers[name] = regex_recognizer(entity_type, regex, score, name) if regex else function_recognizer(fn, name)
+        if entity_type not in S.TYPES or label:
+            self.types[entity_type] = (label or f"[REDACTED: {entity_type}]", float(threshold), int(priority))
+        return self

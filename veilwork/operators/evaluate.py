@@ -2,72 +2,82 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 UNIT = ("doc_id", "unit_id")
 
 
+def _overlaps(ds: Column, de: Column, gs: Column, ge: Column, least: float) -> Column:
+    overlap = F.least(de, ge) - F.greatest(ds, gs)
+    return (overlap > 0) & (ge > gs) & (overlap / (ge - gs) >= least)
+
+
 def match_candidates(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT) -> DataFrame:
     """Pairs of one unit and type whose overlap is at least `least` of the true span. det has det_id, truth gt_id; both start and end."""
     keys = [*unit, "entity_type"]
     d = det.select(*keys, "det_id", F.col("start").alias("ds"), F.col("end").alias("de"))
     g = truth.select(*keys, "gt_id", F.col("start").alias("gs"), F.col("end").alias("ge"))
-    overlap = F.least("de", "ge") - F.greatest("ds", "gs")
-    return d.join(g, keys).where((overlap > 0) & (F.col("ge") > F.col("gs")) & (overlap / (F.col("ge") - F.col("gs")) >= least)).select(*keys, "det_id", "gt_id", "ds", "de", "gs", "ge")
+    return d.join(g, keys).where(_overlaps(F.col("ds"), F.col("de"), F.col("gs"), F.col("ge"), least)).select(*keys, "det_id", "gt_id", "ds", "de", "gs", "ge")
+
+
+def matched_units(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT) -> DataFrame:
+    """E2 to E4 in one shuffle by unit: per unit and type of either side n_det, n_gt, matched (array of det_id, gt_id), and whether the unit has any ground truth.
+
+    In order of det_id each detection takes its first candidate, by gt_id, that is still free. Ids need be unique within a unit only. The arrays hold a unit's own spans."""
+    kinds = dict(det.select("det_id").dtypes + truth.select("gt_id").dtypes)
+    span = lambda name: F.struct(F.col(name).alias("id"), "start", "end")
+    d = det.select(*unit, "entity_type", span("det_id").alias("d"), F.lit(None).cast(f"struct<id:{kinds['gt_id']},start:int,end:int>").alias("g"))
+    g = truth.select(*unit, "entity_type", F.lit(None).cast(d.schema["d"].dataType).alias("d"), span("gt_id").alias("g"))
+    both = d.unionByName(g).repartition(*unit).groupBy(*unit, "entity_type").agg(F.array_sort(F.collect_list("d")).alias("d"), F.array_sort(F.collect_list("g")).alias("g"))
+
+    def step(acc: Column, x: Column) -> Column:
+        free = F.filter("g", lambda y: _overlaps(x["start"], x["end"], y["start"], y["end"], least) & ~F.exists(acc, lambda m: m["gt_id"] == y["id"]))
+        return F.when(F.size(free) > 0, F.concat(acc, F.array(F.struct(x["id"].alias("det_id"), F.get(free, F.lit(0))["id"].alias("gt_id"))))).otherwise(acc)
+
+    none = F.array().cast(f"array<struct<det_id:{kinds['det_id']},gt_id:{kinds['gt_id']}>>")
+    told = F.max(F.size("g") > 0).over(Window.partitionBy(*unit))
+    return both.select(*unit, "entity_type", F.size("d").alias("n_det"), F.size("g").alias("n_gt"), F.aggregate("d", none, step).alias("matched"), told.alias("unit_in_gt"))
 
 
 def match_spans(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT) -> DataFrame:
-    """One-to-one matches: in order of det_id each detection takes its first candidate (by gt_id) that is still free.
+    """One-to-one matches."""
+    return matched_units(det, truth, least, unit).select(*unit, "entity_type", F.explode("matched").alias("m")).select(*unit, "entity_type", "m.det_id", "m.gt_id")
 
-    Candidates of one unit and type are few; they are folded in a task after the equi-join, pre-sorted by Spark."""
-    keys = [*unit, "entity_type"]
-    pairs = match_candidates(det, truth, least, unit).select(*keys, "det_id", "gt_id")
-    schema = pairs.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, used_d, used_g = None, set(), set()
-        for b in batches:
-            keep = []
-            for row in b.itertuples(index=False):
-                key = tuple(row[: len(keys)])
-                if key != at:
-                    at, used_d, used_g = key, set(), set()
-                free = row.det_id not in used_d and row.gt_id not in used_g
-                if free:
-                    used_d.add(row.det_id)
-                    used_g.add(row.gt_id)
-                keep.append(free)
-            yield b[keep]
-
-    return pairs.repartition(*keys).sortWithinPartitions(*keys, "det_id", "gt_id").mapInPandas(run, schema)
+
+def _counts(det: DataFrame, truth: DataFrame, least: float, unit: Sequence[str]) -> DataFrame:
+    """entity_type, tp, fp, fn, n_gt per unit and type. A detection without a match counts only in units that have any ground truth."""
+    tp = F.size("matched")
+    return matched_units(det, truth, least, unit).select(
+        "entity_type", tp.alias("tp"), F.when(F.col("unit_in_gt"), F.col("n_det") - tp).otherwise(0).alias("fp"), (F.col("n_gt") - tp).alias("fn"), "n_gt")
 
 
 def outcomes(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT) -> DataFrame:
-    """entity_type and outcome (tp, fp, fn) per counted span. A detection without a match counts only in units that have any ground truth."""
-    matched = match_spans(det, truth, least, unit)
-    tp = matched.select("entity_type", F.lit("tp").alias("outcome"))
-    missed = truth.join(matched.select("gt_id"), "gt_id", "left_anti").select("entity_type", F.lit("fn").alias("outcome"))
-    wrong = det.join(matched.select("det_id"), "det_id", "left_anti").join(truth.select(*unit).distinct(), list(unit), "left_semi").select("entity_type", F.lit("fp").alias("outcome"))
-    return tp.unionByName(missed).unionByName(wrong)
+    """entity_type, outcome (tp, fp, fn) and n, the number of such spans, where there are any."""
+    counts = _counts(det, truth, least, unit).groupBy("entity_type").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")])
+    each = F.explode(F.array(*[F.struct(F.lit(x).alias("outcome"), F.col(x).alias("n")) for x in ("tp", "fp", "fn")]))
+    return counts.select("entity_type", each.alias("o")).select("entity_type", "o.outcome", "o.n").where("n > 0")
 
 
 def evaluate(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT) -> DataFrame:
     """Per type of either side and OVERALL: tp, fp, fn, precision, recall, f1 (0 on a zero denominator), in_gt."""
-    rows = outcomes(det, truth, least, unit)
-    types = det.select("entity_type").unionByName(truth.select("entity_type")).distinct().withColumn("outcome", F.lit(None).cast("string"))
-    n = rows.unionByName(types).rollup("entity_type").agg(*[F.count_if(F.col("outcome") == x).alias(x) for x in ("tp", "fp", "fn")], F.grouping("entity_type").alias("g"))
+    n = _counts(det, truth, least, unit).rollup("entity_type").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("tp", "fp", "fn", "n_gt")], F.grouping("entity_type").alias("g"))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
     n = n.withColumns({"precision": share(F.col("tp"), F.col("tp") + F.col("fp")), "recall": share(F.col("tp"), F.col("tp") + F.col("fn"))})
     n = n.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
-    known = truth.select("entity_type").distinct().withColumn("in_gt", F.lit(True))
-    return n.join(known, "entity_type", "left").select(F.when(F.col("g") == 1, "OVERALL").otherwise(F.col("entity_type")).alias("entity_type"),
-                                                       "tp", "fp", "fn", "precision", "recall", "f1", (F.coalesce("in_gt", F.lit(False)) | (F.col("g") == 1)).alias("in_gt"))
+    return n.select(F.when(F.col("g") == 1, "OVERALL").otherwise(F.col("entity_type")).alias("entity_type"), "tp", "fp", "fn", "precision", "recall", "f1", ((F.col("n_gt") > 0) | (F.col("g") == 1)).alias("in_gt"))
+
+
+def evaluate_file(det: DataFrame, path: str, least: float = 0.5) -> DataFrame:
+    """E5, E6 against ground-truth files, one a document (see read_ground_truth); det has doc_id (a string like the files' names), unit_id, det_id, entity_type, start, end."""
+    from ..sources.files import read_ground_truth
+
+    return evaluate(det, read_ground_truth(det.sparkSession, path)[0], least)
 
 
 def absent_types(absent: DataFrame) -> DataFrame:
-    """entity_type and reason from a column absent_types (map), sorted."""
-    return absent.select(F.explode("absent_types").alias("entity_type", "reason")).orderBy("entity_type")
+    """The other columns (doc_id), entity_type and reason from a column absent_types (map), sorted by type."""
+    others = [c for c in absent.columns if c != "absent_types"]
+    return absent.select(*others, F.explode("absent_types").alias("entity_type", "reason")).orderBy("entity_type", *others)

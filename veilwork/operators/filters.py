@@ -23,14 +23,21 @@ def prefilter_units(units: DataFrame, text_col: str = "text") -> DataFrame:
     return units.where(keep)
 
 
-def keep_supported(spans: Column) -> Column:
-    """F2."""
-    return F.filter(spans, lambda s: s["entity_type"].isin(*S.TYPES))
+def keep_supported(spans: Column, types: dict | None = None) -> Column:
+    """the nine types, and the caller's own (see detect.Custom)."""
+    return F.filter(spans, lambda s: s["entity_type"].isin(*S.TYPES, *(types or ())))
 
 
-def filter_by_threshold(spans: Column) -> Column:
-    """F3."""
-    return F.filter(spans, lambda s: s["score"] >= S.of_type(s["entity_type"], 1, S.DEFAULT_THRESHOLD))
+def filter_by_threshold(spans: Column, thresholds: dict[str, float] | None = None, types: dict | None = None) -> Column:
+    """a score of at least the type's threshold; thresholds given by type take the place of the tables'."""
+
+    def least(kind: Column) -> Column:
+        told = S.of_type(kind, 1, S.DEFAULT_THRESHOLD, types)
+        for name, value in (thresholds or {}).items():
+            told = F.when(kind == name, F.lit(float(value))).otherwise(told)
+        return told
+
+    return F.filter(spans, lambda s: s["score"] >= least(s["entity_type"]))
 
 
 def is_org_fp(candidate: Column) -> Column:
@@ -55,13 +62,13 @@ def is_person_fp(candidate: Column) -> Column:
             | (capitals & (bare.isin(*S.PERSON_ACRONYMS) | F.forall(F.split(bare, r"\s+"), lambda w: F.length(w) <= 4))))
 
 
-def filter_spans(spans: Column, text: Column | None) -> Column:
+def filter_spans(spans: Column, text: Column | None, thresholds: dict[str, float] | None = None, types: dict | None = None) -> Column:
     """F8: supported types, then no false organisations and persons (when the text is given), then thresholds."""
-    kept = keep_supported(spans)
+    kept = keep_supported(spans, types)
     if text is not None:
         said = lambda s: piece(text, s["start"], s["end"])
         kept = F.filter(kept, lambda s: ~((s["entity_type"] == "ORGANIZATION") & is_org_fp(said(s))) & ~((s["entity_type"] == "PERSON") & is_person_fp(said(s))))
-    return filter_by_threshold(kept)
+    return filter_by_threshold(kept, thresholds, types)
 
 
 def search_detections(detections: DataFrame, entity_type: str | None = None, query: str | None = None) -> DataFrame:

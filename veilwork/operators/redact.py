@@ -12,9 +12,9 @@ from ..functions.matching import piece, strip_chars
 from .filters import filter_spans
 
 
-def resolve_overlaps(spans: Column) -> Column:
+def resolve_overlaps(spans: Column, types: dict | None = None) -> Column:
     """Greedy by priority, length, score, then start and type; touching spans do not overlap; result by start."""
-    order = lambda s: F.struct(S.of_type(s["entity_type"], 2, S.DEFAULT_PRIORITY).alias("p"), (s["start"] - s["end"]).alias("l"), (-s["score"]).alias("q"),
+    order = lambda s: F.struct(S.of_type(s["entity_type"], 2, S.DEFAULT_PRIORITY, types).alias("p"), (s["start"] - s["end"]).alias("l"), (-s["score"]).alias("q"),
                                s["start"].alias("a"), s["entity_type"].alias("t"), s.alias("s"))
     ranked = F.array_sort(F.transform(spans, order))
 
@@ -27,12 +27,12 @@ def resolve_overlaps(spans: Column) -> Column:
     return F.transform(by_start, lambda x: x["s"])
 
 
-def analyze_units(units: DataFrame, order: str = "filter_first", text_col: str = "text") -> DataFrame:
-    """R2: spans filtered and resolved in either order; resolve_first filters without looking at the text."""
+def analyze_units(units: DataFrame, order: str = "filter_first", text_col: str = "text", thresholds: dict[str, float] | None = None, types: dict | None = None) -> DataFrame:
+    """R2: spans filtered and resolved in either order; resolve_first filters without looking at the text. types: the caller's own (see detect.Custom)."""
     text, spans = F.col(text_col), F.col("spans")
     if order == "filter_first":
-        return units.withColumn("spans", filter_spans(spans, text)).withColumn("spans", resolve_overlaps(F.col("spans")))
-    return units.withColumn("spans", resolve_overlaps(spans)).withColumn("spans", filter_spans(F.col("spans"), None))
+        return units.withColumn("spans", filter_spans(spans, text, thresholds, types)).withColumn("spans", resolve_overlaps(F.col("spans"), types))
+    return units.withColumn("spans", resolve_overlaps(spans, types)).withColumn("spans", filter_spans(F.col("spans"), None, thresholds, types))
 
 
 def replaced(text: Column, spans: Column, value) -> Column:
@@ -44,8 +44,8 @@ def replaced(text: Column, spans: Column, value) -> Column:
     return F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], piece(text, acc["at"], F.length(text))))
 
 
-def label(s: Column) -> Column:
-    return S.of_type(s["entity_type"], 0, F.concat(F.lit("[REDACTED: "), s["entity_type"], F.lit("]")))
+def label(s: Column, types: dict | None = None) -> Column:
+    return S.of_type(s["entity_type"], 0, F.concat(F.lit("[REDACTED: "), s["entity_type"], F.lit("]")), types)
 
 
 def one_per_span(units: DataFrame, columns) -> DataFrame:
@@ -53,9 +53,9 @@ def one_per_span(units: DataFrame, columns) -> DataFrame:
     return units.select(*columns, F.explode_outer("spans").alias("s")).where("s IS NOT NULL")
 
 
-def redact_labels(units: DataFrame, text_col: str = "text") -> DataFrame:
+def redact_labels(units: DataFrame, text_col: str = "text", types: dict | None = None) -> DataFrame:
     """A column redacted."""
-    return units.withColumn("redacted", replaced(F.col(text_col), F.col("spans"), label))
+    return units.withColumn("redacted", replaced(F.col(text_col), F.col("spans"), lambda s: label(s, types)))
 
 
 def redact_fakes(units: DataFrame, mapping: DataFrame, scope: Sequence[str] = ("doc_id",), keys: Sequence[str] = ("doc_id", "unit_ord"), text_col: str = "text") -> DataFrame:
@@ -90,10 +90,11 @@ def redact_runs(units: DataFrame, value=label) -> DataFrame:
     return units.withColumn("runs", F.transform("runs", run))
 
 
-def explode_detections(units: DataFrame, keys: Sequence[str] = ("doc_id", "unit_ord", "unit_id"), text_col: str = "text", mapping: DataFrame | None = None, scope: Sequence[str] = ("doc_id",)) -> DataFrame:
+def explode_detections(units: DataFrame, keys: Sequence[str] = ("doc_id", "unit_ord", "unit_id"), text_col: str = "text", mapping: DataFrame | None = None, scope: Sequence[str] = ("doc_id",),
+                       types: dict | None = None) -> DataFrame:
     """One row per span: keys, entity_type, start, end, score (3 places), text, replacement (label, or the mapping's value)."""
     rows = one_per_span(units, dict.fromkeys([*keys, text_col])).select(
-        *keys, "s.entity_type", "s.start", "s.end", F.round("s.score", 3).alias("score"), piece(F.col(text_col), F.col("s.start"), F.col("s.end")).alias("text"), label(F.col("s")).alias("replacement"))
+        *keys, "s.entity_type", "s.start", "s.end", F.round("s.score", 3).alias("score"), piece(F.col(text_col), F.col("s.start"), F.col("s.end")).alias("text"), label(F.col("s"), types).alias("replacement"))
     if mapping is None:
         return rows
     values = mapping.select(*scope, "entity_type", F.col("original").alias("__original"), F.col("replacement").alias("__value"))

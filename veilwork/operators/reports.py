@@ -27,11 +27,21 @@ def coverage(units: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return units.groupBy(*by).agg(F.count("*").alias("total_units"), F.count_if(n > 0).alias("units_with_pii"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("total_pii_count"))
 
 
-def document_report(units: DataFrame, detections: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """A4: A3 per document with the counts of its types as a map. Counts are aggregated by (document, type) first."""
+def document_report(units: DataFrame, detections: DataFrame, by: Sequence[str] = ("doc_id",), nested: bool = False, mapping: DataFrame | None = None) -> DataFrame:
+    """A4: A3 per document with the counts of its types as a map. Counts are aggregated by (document, type) first.
+
+    nested adds detections (array, in document order), a mapping (K12) replacement_map (array); both hold what one document has."""
+    by = list(by)
     counts = detections.groupBy(*by, "entity_type").agg(F.count("*").alias("n"))
     maps = counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("counts_by_type"))
-    return coverage(units, by).join(maps, list(by), "left").withColumn("counts_by_type", F.coalesce("counts_by_type", F.create_map().cast("map<string,bigint>")))
+    out = coverage(units, by).join(maps, by, "left").withColumn("counts_by_type", F.coalesce("counts_by_type", F.create_map().cast("map<string,bigint>")))
+    parts = {"detections": (detections, ("unit_ord", "start", "unit_id", "entity_type", "end", "score", "text", "replacement"))} if nested else {}
+    if mapping is not None:
+        parts["replacement_map"] = (mapping, ("entity_type", "idx", "original", "replacement"))
+    for name, (rows, fields) in parts.items():
+        per = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+        out = out.join(per, by, "left").withColumn(name, F.coalesce(name, F.array().cast(per.schema[name].dataType)))
+    return out
 
 
 def distinct_types(detections: DataFrame) -> DataFrame:

@@ -55,16 +55,21 @@ CONTEXT = {
     "PHONE_NUMBER": ("phone", "tel", "telephone", "mobile", "fax", "contact", "call", "helpline", "number", "no.", "nos."),
     "US_SSN": ("ssn", "social security", "social security number", "ss#", "ss #", "tax id", "taxpayer id"),
 }
-CUES = ("ltd limited llp pvt corp inc road nagar street floor office bank mumbai pune delhi director officer person contact").split()
+CUES = (
+    "ltd", "limited", "llp", "pvt", "corp", "inc", "road", "nagar", "street", "floor", "office", "bank", "mumbai", "pune", "delhi", "director",
+    "officer", "person", "contact",
+)
 
 # What is not an organisation.
-STRIP_CHARS = " \t\n\r‘’“”\"'()"
 GENERIC_COMPANY = r"(?i)^(the|our|this|such|any|said|a|an)\s+(company|bank|corporation|trust|fund|enterprise|organisation|organization|institution)\s*$"
 BARE_SUFFIX = r"(?i)^(private\s+limited|pvt\.?\s*ltd\.?|llp|limited|corporation|inc\.?|trust|fund|bank|securities)\s*$"
 ORG_GENERIC_START = r"(?i)^(our|the|this|such|any|said)\s+(company|bank|board|committee|issuer|promoter|trust)"
 ORG_GENUINE = r"(?i)\b(Private\s+Limited|Pvt\.?\s*Ltd\.?|Limited|LLP|Inc\.?|Corp\.?)\b"
 ORG_ACRONYM = r"^[A-Z]{1,5}\.?$"
-ORG_ACRONYMS = "SSN CEO CFO COO MD CMD MCA RBI ROC CIN DIN PAN TAN GST IPO NSE BSE SEBI SCRR ICDR SCRA FEMA IFRS KMP KMPS WTD".split()
+ORG_ACRONYMS = (
+    "SSN", "CEO", "CFO", "COO", "MD", "CMD", "MCA", "RBI", "ROC", "CIN", "DIN", "PAN", "TAN", "GST", "IPO", "NSE", "BSE", "SEBI", "SCRR", "ICDR",
+    "SCRA", "FEMA", "IFRS", "KMP", "KMPS", "WTD",
+)
 ORG_EXACT = (r"(?i)^(the\s+)?(company|bank|corporation|trust|fund|enterprise|organisation|organization|institution|group|committee|authority|board|sebi|nse|bse"
              r"|ipo|rbi|roc|mca|cin|din|pan|tan|gst|ssn|ceo|cfo|coo|md|cmd|llp|ltd|pvt|inc|corp|co\.|co|goods\s+and\s+services|goods\s+&\s+services"
              r"|securities|securities\s+law|capital\s+market|reserve\s+bank|stock\s+exchange)\s*\.?$")
@@ -72,35 +77,56 @@ ORG_PHRASE = (r"(?i)^(weighted\s+average\s+price|details\s+of\s+price|exemption\
               r"|we\s+(require|will|meet|perform|maintain|strive|intend|propose|expect)|company\s+and\s+all)")
 ORG_SUFFIX_END = (r"(?i)\b(Private\s+Limited|Pvt\.?\s*Ltd\.?|Public\s+Limited|Limited|LLP|Corporation|Corp\.?|Incorporated|Inc\.?|Holdings|Technologies|Solutions|"
                   r"Services|Industries|Enterprises|Investments|Finance|Securities)\s*\.?$")
-ORG_VERBS = ("was were is are been being have has had originally incorporated registered pursuant provisions section clause regulation regulations under against "
-             "repetition holding allotted transferred shifted situated require requires required perform performs performed strive strives meet meets maintain "
-             "maintains finance weighted complying certified conversion constitute include includes including affect affects protect invest propose intend "
-             "intends expect expects").split()
+ORG_VERBS = (
+    "was", "were", "is", "are", "been", "being", "have", "has", "had", "originally", "incorporated", "registered", "pursuant", "provisions",
+    "section", "clause", "regulation", "regulations", "under", "against", "repetition", "holding", "allotted", "transferred", "shifted", "situated",
+    "require", "requires", "required", "perform", "performs", "performed", "strive", "strives", "meet", "meets", "maintain", "maintains", "finance",
+    "weighted", "complying", "certified", "conversion", "constitute", "include", "includes", "including", "affect", "affects", "protect", "invest",
+    "propose", "intend", "intends", "expect", "expects",
+)
 
 # What is not a person.
-PERSON_ACRONYMS = ("SCRR SEBI ICDR SCRA FEMA IFRS RBI NSE BSE MCA ROC CIN DIN PAN TAN GST IPO KMP WTD CMD CFO COO CSR AGM EGM MOA AOA NRI FPI QIB HNI SME MSME "
-                   "NBFC RERA PMLA IRDA PFRDA").split()
-PERSON_WORDS = ("email telephone website contact phone fax mobile fiscals fiscal annexure schedule appendix enclosure prospectus memorandum compliance "
-                "indebtedness taluka taluk tehsil district village gram nagar mauje ward sector block plot survey").split()
-PERSON_PLACES = ("mumbai pune delhi bangalore bengaluru chennai hyderabad kolkata ahmedabad surat jaipur lucknow kanpur nagpur baner khed chakan vikhroli bandra "
-                 "andheri kurla thane navi vasai nashik aurangabad solapur kolhapur ahmednagar ahilyanagar parner shirur birdewadi churchgate nariman worli dadar "
-                 "powai goregaon marol sakinaka jogeshwari malad kandivali borivali supa palve khurd").split()
+PERSON_ACRONYMS = (
+    "SCRR", "SEBI", "ICDR", "SCRA", "FEMA", "IFRS", "RBI", "NSE", "BSE", "MCA", "ROC", "CIN", "DIN", "PAN", "TAN", "GST", "IPO", "KMP", "WTD", "CMD",
+    "CFO", "COO", "CSR", "AGM", "EGM", "MOA", "AOA", "NRI", "FPI", "QIB", "HNI", "SME", "MSME", "NBFC", "RERA", "PMLA", "IRDA", "PFRDA",
+)
+PERSON_WORDS = (
+    "email", "telephone", "website", "contact", "phone", "fax", "mobile", "fiscals", "fiscal", "annexure", "schedule", "appendix", "enclosure",
+    "prospectus", "memorandum", "compliance", "indebtedness", "taluka", "taluk", "tehsil", "district", "village", "gram", "nagar", "mauje", "ward",
+    "sector", "block", "plot", "survey",
+)
+PERSON_PLACES = (
+    "mumbai", "pune", "delhi", "bangalore", "bengaluru", "chennai", "hyderabad", "kolkata", "ahmedabad", "surat", "jaipur", "lucknow", "kanpur",
+    "nagpur", "baner", "khed", "chakan", "vikhroli", "bandra", "andheri", "kurla", "thane", "navi", "vasai", "nashik", "aurangabad", "solapur",
+    "kolhapur", "ahmednagar", "ahilyanagar", "parner", "shirur", "birdewadi", "churchgate", "nariman", "worli", "dadar", "powai", "goregaon", "marol",
+    "sakinaka", "jogeshwari", "malad", "kandivali", "borivali", "supa", "palve", "khurd",
+)
 
 # Pools of fake values.
-FAKE_PERSONS = ("Ananya Sharma,Vikram Mehta,Priya Nair,Rohan Verma,Deepa Iyer,Arjun Patel,Sneha Joshi,Rahul Gupta,Kavita Singh,Amit Kumar,Pooja Rao,Suresh Reddy,"
-                "Meera Pillai,Kiran Bhat,Neha Desai,Ajay Mishra,Sunita Tiwari,Rajiv Saxena,Divya Pandey,Manoj Chauhan,Ravi Krishnan,Lata Bhatt,Sanjay Malhotra,"
-                "Geeta Agarwal,Nikhil Bansal,Rekha Srivastava,Vivek Chaudhary,Asha Ghosh,Pramod Tripathi,Swati Das").split(",")
-FAKE_DOMAINS = "example.com sample.org testmail.in fakeemail.co.in demomail.com placeholder.in".split()
-FAKE_WORDS = "Alpha Beta Delta Omega Apex Prime Unity Nova Zenith Sigma Crest Vega Orion Atlas Titan Nexus Vertex Horizon".split()
-FAKE_CATEGORIES = "Technologies Solutions Industries Services Analytics Enterprises Holdings Ventures Consulting Systems".split()
+FAKE_PERSONS = (
+    "Ananya Sharma", "Vikram Mehta", "Priya Nair", "Rohan Verma", "Deepa Iyer", "Arjun Patel", "Sneha Joshi", "Rahul Gupta", "Kavita Singh",
+    "Amit Kumar", "Pooja Rao", "Suresh Reddy", "Meera Pillai", "Kiran Bhat", "Neha Desai", "Ajay Mishra", "Sunita Tiwari", "Rajiv Saxena",
+    "Divya Pandey", "Manoj Chauhan", "Ravi Krishnan", "Lata Bhatt", "Sanjay Malhotra", "Geeta Agarwal", "Nikhil Bansal", "Rekha Srivastava",
+    "Vivek Chaudhary", "Asha Ghosh", "Pramod Tripathi", "Swati Das",
+)
+FAKE_DOMAINS = (
+    "example.com", "sample.org", "testmail.in", "fakeemail.co.in", "demomail.com", "placeholder.in",
+)
+FAKE_WORDS = (
+    "Alpha", "Beta", "Delta", "Omega", "Apex", "Prime", "Unity", "Nova", "Zenith", "Sigma", "Crest", "Vega", "Orion", "Atlas", "Titan", "Nexus",
+    "Vertex", "Horizon",
+)
+FAKE_CATEGORIES = (
+    "Technologies", "Solutions", "Industries", "Services", "Analytics", "Enterprises", "Holdings", "Ventures", "Consulting", "Systems",
+)
 FAKE_STREETS = ("123, Sample Nagar", "456, Demo Colony", "789, Placeholder Road", "101, Example Lane", "202, Test Building, MG Road", "303, Model Society, FC Road")
 FAKE_CITIES = ("Pune", "Mumbai", "Bangalore", "Delhi", "Chennai")
 FAKE_PINS = (411001, 411045, 400001, 400051, 560001, 110001)
 
 
-def of_type(kind: Column, which: int, default) -> Column:
-    """Label (0), threshold (1) or priority (2) of an entity type; default for others."""
+def of_type(kind: Column, which: int, default, types: dict | None = None) -> Column:
+    """Label (0), threshold (1) or priority (2) of an entity type, the caller's own types included; default for others."""
     out = F
-    for name, row in TYPES.items():
+    for name, row in (TYPES | (types or {})).items():
         out = out.when(kind == name, F.lit(row[which]))
     return out.otherwise(default)

@@ -73,17 +73,18 @@ def walk_docx(content: bytes) -> Iterator[tuple[str, list[str]]]:
                     yield from _part(ElementTree.fromstring(z.read(path)), f"section-{s}-{kind}")
 
 
-def units_from_docx(spark: SparkSession, path: str, max_bytes: int = MOST_BYTES) -> DataFrame:
-    """Units of the .docx files under a path, with their runs; blank units are left out. A file that is no readable .docx gives none."""
+def units_of_docx(files: DataFrame, max_bytes: int = MOST_BYTES, errors: bool = False) -> DataFrame:
+    """S2 for a table of files (path, length, content): units with their runs; blank units are left out. A file that is no readable .docx, for whatever reason, gives none;
+    with `errors` the result is those files instead: doc_id, error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                rows = []
+                rows, error = [], None
                 try:
                     units = list(walk_docx(content))
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
+                except Exception as e:  # damaged, encrypted or foreign archives fail in many ways; one file must not end the job
+                    units, error = [], type(e).__name__
                 for i, (unit_id, runs) in enumerate(units):
                     at, out = 0, []
                     for k, text in enumerate(runs):
@@ -91,23 +92,43 @@ def units_from_docx(spark: SparkSession, path: str, max_bytes: int = MOST_BYTES)
                         at += len(text)
                     if "".join(runs).strip():
                         rows.append((name, i, unit_id, "".join(runs), out))
-                yield pd.DataFrame(rows, columns=["doc_id", "unit_ord", "unit_id", "text", "runs"])
+                if errors:
+                    yield pd.DataFrame([(name, error)] if error else [], columns=["doc_id", "error"])
+                else:
+                    yield pd.DataFrame(rows, columns=["doc_id", "unit_ord", "unit_id", "text", "runs"])
+
+    return docx_gate(files, max_bytes).select("path", "content").mapInPandas(run, "doc_id string, error string" if errors else UNITS)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return docx_gate(files, max_bytes).select("path", "content").mapInPandas(run, UNITS)
+
+def units_from_docx(spark: SparkSession, path: str, max_bytes: int = MOST_BYTES) -> DataFrame:
+    """Units of the .docx files under a path."""
+    return units_of_docx(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), max_bytes)
+
+
+def docx_bytes(paragraphs: list[list[str]], cells: list[list[str]] = ()) -> bytes:
+    """A .docx of paragraphs (texts of their runs), and a table of one row if there are cells."""
+    text = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    para = lambda runs: "<w:p>" + "".join(f'<w:r><w:t xml:space="preserve">{text(t)}</w:t></w:r>' for t in runs) + "</w:p>"
+    table = "<w:tbl><w:tr>" + "".join(f"<w:tc>{para(c)}</w:tc>" for c in cells) + "</w:tr></w:tbl>" if len(cells) else ""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{W[1:-1]}"><w:body>{"".join(map(para, paragraphs))}{table}</w:body></w:document>')
+    return out.getvalue()
 
 
 ENTRY = "struct<unit_id:string,entity_type:string,start:int,end:int,text:string>"
 
 
-def read_ground_truth(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries with gt_id in file order, one row with the map absent_types). An object with entries, or a bare list."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    both = raw.select("file", F.from_json("value", f"struct<entries:array<{ENTRY}>,absent_types:map<string,string>>").alias("o"),
+def read_ground_truth(spark: SparkSession, path: str, document: str = r"([^/]+?)(?:\.[A-Za-z]+)?$") -> tuple[DataFrame, DataFrame]:
+    """(entries with doc_id and gt_id in file order, a row with doc_id and the map absent_types a file). A file holds an object with entries, or a bare list.
+
+    doc_id is what group 1 of the pattern `document` finds in the file's path (its name without the ending); gt_id starts from 0 in every file."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), document, 1).alias("doc_id"), "value")
+    both = raw.select("doc_id", F.from_json("value", f"struct<entries:array<{ENTRY}>,absent_types:map<string,string>>").alias("o"),
                       F.from_json("value", f"array<{ENTRY}>").alias("l"), F.trim("value").startswith("[").alias("bare"))
-    chosen = both.select("file", F.when(F.col("bare"), F.col("l")).otherwise(F.col("o.entries")).alias("e"), F.coalesce("o.absent_types", F.create_map().cast("map<string,string>")).alias("absent_types"))
-    entries = chosen.select("file", F.posexplode("e").alias("gt_id", "x")).select("file", "gt_id", "x.*")
-    return entries, chosen.select("absent_types")
+    chosen = both.select("doc_id", F.when(F.col("bare"), F.col("l")).otherwise(F.col("o.entries")).alias("e"), F.coalesce("o.absent_types", F.create_map().cast("map<string,string>")).alias("absent_types"))
+    entries = chosen.select("doc_id", F.posexplode("e").alias("gt_id", "x")).select("doc_id", "gt_id", "x.*")
+    return entries, chosen.select("doc_id", "absent_types")
 
 
 def write_report(report: DataFrame, path: str) -> None:
