@@ -472,6 +472,42 @@ def test_html_templates_inside_main(spark):
     assert got[40] == "T\n\nText" and got[41] == got[42] == got[43] == "Text"
 
 
+def test_html_inside_articles(spark):
+    """Titles and sections keep what their class names might say; removed elements inside a line leave it whole."""
+    rows = [(1, "http://i.example/", "<main><header class='entry-header'><h1>Title</h1></header><section class='related-work'><p>Prior art</p></section><div class='post-header'>By me</div></main>"),
+            (2, "http://i.example/", "<article><p>see <svg><text>no</text></svg> icon, <button>no</button>a <span class='ad'>no</span>line <select><option>no</select>on</p><p>E = <math><mi>m</mi></math>c</p></article>"),
+            (3, "http://i.example/", "<body><p>one <span class='notice'>no</span>two</p><p>a <button>no<p>three</body>"),
+            (4, "http://i.example/", "<article><p>x</p><div class='comments'><p>no</p></div><ul class='comment-list'><li>no</ul><p>y</p></article>")]
+    got = _texts(spark, rows)
+    assert got[1] == "Title\n\nPrior art\n\nBy me" and got[2] == "see icon, a line on\n\nE = mc"
+    assert got[3].startswith("one two\n\na") and got[4] == "x\n\ny"
+
+
+def test_html_counting_brute_force(spark):
+    """Counts of contents per host, section and subtree against a plain loop; repeated rows change nothing."""
+    random.seed(9)
+    bits = [f"<div><p>Part {k}</p></div>" for k in range(14)]
+    rows = [(i, f"http://{random.choice('ab')}.example/{random.choice(['', 'x/', 'y/'])}{i}",
+             "<body>" + "".join(random.sample(bits, 5)) + random.choice(["<article><p>Own %d</p>%s</article>", "<p>Own %d</p>%s"]) % (i % 25, random.choice(bits[:3])) + "</body>") for i in range(90)]
+    read = {i: html_text.Page(h) for i, _, h in rows}
+    contents, holders = {}, {}
+    for i, url, _ in rows:
+        host, rest = url[7:].split("/", 1)
+        areas = [host] + ([f"{host}/{rest.split('/')[0]}"] if "/" in rest else [])
+        for area in areas:
+            contents.setdefault(area, set()).add(read[i].text(set()))
+            for h in read[i].templates():
+                holders.setdefault((area, h), set()).add(read[i].text(set()))
+    gone = {(a, h) for (a, h), c in holders.items() if (len(c) >= 10 and len(c) >= 0.5 * len(contents[a]) if h & 1 else len(c) >= 5 and len(c) >= 0.1 * len(contents[a]))}
+    want = {}
+    for i, url, _ in rows:
+        host, rest = url[7:].split("/", 1)
+        areas = [host] + ([f"{host}/{rest.split('/')[0]}"] if "/" in rest else [])
+        want[i] = read[i].text({h for a, h in gone if a in areas})
+    assert gone and _texts(spark, rows) == want == _texts(spark, rows + rows[:40] * 3)
+    assert sum(want[i] != read[i].text(set()) for i in want) > 20
+
+
 def test_html_counts_contents(spark):
     page = "<body><div><p>Story {n}</p><p>More of {n}</p></div>{rest}</body>"
     rows = [(i, f"http://c.example/p?track={i}", page.format(n="one", rest="")) for i in range(8)]  # one story at many urls

@@ -2,9 +2,9 @@
 
 1. Each page is cut into block elements; every block element's subtree gets a hash of its tags and text. 2. Spark counts, per host and per section (first folder of the path), the distinct
 contents that hold a subtree: pages that read the same without this step are one content. 3. Subtrees outside the article on at least `least_pages` contents and `least_share` of those of the host or section are
-deleted from its pages, subtrees inside article or main on at least `least_in_main` and `share_in_main`, together with elements whose tag, role or
-class says what they are (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments); a layout class on a wrapper of the article deletes nothing. What is left of article or main, or of the body where there is neither, is
-the text: blocks in page order, white space runs turned into one space, joined by an empty line.
+deleted from its pages, subtrees inside article or main on at least `least_in_main` and `share_in_main`. 4. What does not recur word for word, such as a page's own menu, advert or
+reader comments, is known by its tag, role or class; layout classes count outside article and main only, and not on a wrapper of the article, inside those it takes a mark of adverts or comments. What is left of article or main, or of the body where there is neither, is
+the text: blocks in page order, white space runs turned into one space, joined by an empty line. Removed elements inside a line do not cut its block.
 
 Null and empty html give an empty text; broken markup is read as far as it goes (unclosed elements end with their parent). A null url is a host of its own. Repeated rows
 give equal rows and count once. Other columns are not read.
@@ -21,13 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import bound_arrow_batches, give_back, materialise, table
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 # HTML's elements by what they do to the text.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
-NO_TEXT = frozenset("script style template noscript iframe object svg math canvas audio video select datalist textarea title head button".split())
+NO_TEXT = frozenset("script style template noscript iframe object svg canvas audio video select datalist textarea title head button".split())
 RAW = frozenset("script style textarea title iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav header footer aside form menu dialog search".split())
@@ -35,6 +35,7 @@ ENDS_P = BLOCK - {"body", "html"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|sidebar|side-bar|nav\w*|menu\w*|breadcrumbs?|comments?|disqus\w*|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|popup|modal|widget\w*|masthead|site-header|site-footer|page-header|page-footer|header|footer|skip-link|pagination|pager)(?=$|[\s_-])", re.I)
 # Marks of what is no part of an article even where it is built of article elements
+IN_MAIN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond)(?=$|[\s_-])", re.I)
 OTHER_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond|related|recommend\w*)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -50,7 +51,9 @@ def _boiler(tag: str, attributes: str, in_main: bool) -> int:
             if name in ("class", "id"):
                 if tag == "article" and re.search(r"(?i)\bcomment|\brepl(?:y|ies)", value):
                     return 2
-                if tag not in ("body", "html", "article", "main") and MARK.search(value):
+                if in_main and IN_MAIN.search(value) and tag not in ("article", "main"):
+                    return 2
+                if not in_main and tag not in ("body", "html", "article", "main") and MARK.search(value):
                     found = 1
                     if OTHER_TEXT.search(value):
                         return 2
@@ -92,9 +95,10 @@ class Page:
         self.content: list[list] = [[]]
         self.blocks: list[tuple[int, str]] = []
         self._stack, self._buffer = [0], []
+        self._mute = 0  # place in the stack of a removed element inside a line: its text is left out, the line goes on behind it
         at = 0
         while (m := TOKEN.search(html, at)) is not None:
-            if m.start() > at:
+            if m.start() > at and not self._mute:
                 self._buffer.append(html[at : m.start()])
             at = m.end()
             if m[2] is None:
@@ -108,7 +112,7 @@ class Page:
                 at = end.end() if end else len(html)
                 continue
             self._open(tag, m[3])
-        if at < len(html):
+        if at < len(html) and not self._mute:
             self._buffer.append(html[at:])
         self._flush()
 
@@ -117,12 +121,12 @@ class Page:
             text = " ".join(unescape("".join(self._buffer)).split())
             self._buffer.clear()
             if text:
-                node = self._stack[-1]
+                node = self._stack[self._mute - 1]  # the innermost element, or the one that holds what is left out
                 self.content[node].append(text)
                 self.blocks.append((node, text))
 
     def _open(self, tag: str, attributes: str) -> None:
-        if tag in ("br", "hr"):
+        if tag in ("br", "hr") and not self._mute:
             self._buffer.append(" ")
         if tag in VOID:
             if tag == "hr":
@@ -135,7 +139,8 @@ class Page:
         boiler = own > 0
         if tag not in BLOCK and not boiler:
             return
-        self._flush()
+        if tag in BLOCK:
+            self._flush()
         if tag in ENDS_P and "p" in (self.tag[n] for n in self._stack[-1:]):
             self._stack.pop()
         if tag in SAME_ENDS:
@@ -152,13 +157,18 @@ class Page:
         self.content[top].append(node)
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
             self._stack.append(node)
+            if tag not in BLOCK and not self._mute:
+                self._mute = len(self._stack) - 1
 
     def _close(self, tag: str) -> None:
         if tag in VOID:
             return
         for depth in range(len(self._stack) - 1, 0, -1):
             if self.tag[self._stack[depth]] == tag:
-                self._flush()
+                if tag in BLOCK:
+                    self._flush()
+                if depth <= self._mute:
+                    self._mute = 0
                 del self._stack[depth:]
                 return
         if tag in BLOCK:
@@ -197,9 +207,22 @@ class Page:
         return "\n\n".join(t for n, t in self.blocks if not drop[n] and (self.main[n] or not main))
 
 
+def common_subtrees(found: DataFrame, least_pages: int, least_share: float, least_in_main: int, share_in_main: float) -> tuple[DataFrame, DataFrame]:
+    """(page, area, content, subtree) of all subtrees, and (area, subtree) of those to be deleted: from rows (page, host, section, content, subtrees). An area is a host or a section of one."""
+    whole, part = F.concat("host", F.lit("/")), F.concat("host", F.lit("/"), "section", F.lit("/"))
+    areas = found.withColumn("area", F.explode(F.when(F.col("section") == "", F.array(whole)).otherwise(F.array(whole, part))))
+    nodes = areas.select("page", "area", "content", F.explode("subtrees").alias("subtree"))
+    totals = materialise(areas.select("area", "content").distinct().groupBy("area").agg(F.count("*").alias("pages")))
+    common = nodes.select("area", "subtree", "content").distinct().groupBy("area", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
+    inside = F.col("subtree").bitwiseAND(F.lit(1)) == 1
+    enough = F.when(inside, (F.col("n") >= least_in_main) & (F.col("n") >= share_in_main * F.col("pages"))).otherwise(F.col("n") >= least_share * F.col("pages"))
+    return nodes, materialise(materialise(common).join(totals, "area").where(enough).select("area", "subtree"))
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_pages: int = 5, least_share: float = 0.1,
                  least_in_main: int = 10, share_in_main: float = 0.5) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars."""
+    bound_arrow_batches(pages.sparkSession)
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/?#]*)", 1)), F.lit(""))
     section = F.coalesce(F.regexp_extract(F.col(url_col), r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1), F.lit(""))
@@ -213,15 +236,8 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
             yield pd.DataFrame({"page": b["page"], "host": b["host"], "section": b["section"], "content": content, "subtrees": [sorted(p.templates()) for p in read]})
 
     found = materialise(rows.select("page", "host", "section", "html").mapInPandas(cut, "page long, host string, section string, content long, subtrees array<long>"))
-    whole, part = F.concat("host", F.lit("/")), F.concat("host", F.lit("/"), "section", F.lit("/"))
-    areas = found.withColumn("area", F.explode(F.when(F.col("section") == "", F.array(whole)).otherwise(F.array(whole, part))))
-    nodes = areas.select("page", "area", "content", F.explode("subtrees").alias("subtree"))
-    totals = areas.select("area", "content").distinct().groupBy("area").agg(F.count("*").alias("pages"))
-    common = nodes.select("area", "subtree", "content").distinct().groupBy("area", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= least_pages)
-    inside = F.col("subtree").bitwiseAND(F.lit(1)) == 1
-    enough = F.when(inside, (F.col("n") >= least_in_main) & (F.col("n") >= share_in_main * F.col("pages"))).otherwise(F.col("n") >= least_share * F.col("pages"))
-    common = common.join(totals, "area").where(enough).select("area", "subtree")
-    gone = nodes.join(materialise(common), ["area", "subtree"], "left_semi").groupBy("page").agg(F.collect_set("subtree").alias("gone"))  # at most a page's own subtrees
+    nodes, common = common_subtrees(found, least_pages, least_share, least_in_main, share_in_main)
+    gone = nodes.join(common, ["area", "subtree"], "left_semi").groupBy("page").agg(F.collect_set("subtree").alias("gone"))  # at most a page's own subtrees
     joined = rows.select("page_id", "url", "html", "page").join(materialise(gone), "page", "left")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
