@@ -220,32 +220,52 @@ def test_embeddings(spark):
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
     root = jaccard_join.roots(link)
-    for spread in (None, 3.0):
-        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, spread=spread).collect()}
-        found = sum(got[i].n_links for i in range(len(x)))
-        assert found <= link.sum() and found >= (1.0 if spread is None else 0.98) * link.sum()
-        if spread is None:
-            assert all((got[i].n_links, got[i].component_id) == (link[i].sum(), root[i]) for i in range(len(x)))
+    for sigmas in (None, 4.0):
+        got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, sigmas=sigmas, cell_size=20).collect()}
+        assert all((got[i].n_links, got[i].component_id) == (link[i].sum(), root[i]) for i in range(len(x)))
         assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(1000, 1005))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_embeddings_of_low_rank(spark):
-    """Vectors that fill a few of their dimensions: every link is found across cells and blocks."""
+@pytest.mark.parametrize(("n", "rank", "dim"), [(2500, 5, 128), (3000, 64, 64)])
+def test_embeddings_recall(spark, n, rank, dim):
+    """Thousands of planted pairs near the threshold, on vectors of low and of full rank, over many cells: every link is found and counted once."""
     rng = np.random.default_rng(6)
-    x = rng.normal(size=(2500, 5))
-    x = np.vstack([x, x + rng.normal(size=x.shape) * 0.2])
-    x = np.hstack([x, np.zeros((len(x), 123))])
+    x = rng.normal(size=(n, rank))
+    noise = rng.normal(size=x.shape)
+    noise *= (np.linalg.norm(x, axis=1) / np.linalg.norm(noise, axis=1) * rng.uniform(0.28, 0.33, n))[:, None]
+    x = np.vstack([x, x + noise])
+    x = np.hstack([x, np.zeros((len(x), dim - rank))])
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
+    assert link.sum() > n
     root = jaccard_join.roots(link)
+    rows = [(i, v) for i, v in enumerate(x.tolist())] + [(10**6, [1.0, 2.0]), (10**6 + 1, [2.0, 4.1]), (10**6 + 2, [-1.0])]  # other lengths link among themselves
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, cell_size=60).collect()}
+    found = sum(got[i].n_links for i in range(len(x)))
+    assert 0.98 * link.sum() <= found <= link.sum()
+    assert np.mean([got[i].component_id == root[i] for i in range(len(x))]) > 0.98
+    assert (got[10**6].n_links, got[10**6 + 1].component_id, got[10**6 + 2].n_links) == (1, 10**6, 0)
+    exact = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, cell_size=60, sigmas=None).collect()}
+    assert [(exact[i].n_links, exact[i].component_id) for i in range(len(x))] == list(zip(link.sum(1), root))
+    print("recall", found / link.sum())
+
+
+def test_embedding_blocks(spark, monkeypatch):
+    """Cells cut into blocks count each pair once."""
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    monkeypatch.setattr(embedding_dedup, "BLOCK_BYTES", 16 * 8 * 6)
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 6))
+    x = np.vstack([x, x + rng.normal(size=x.shape) * 0.1, x[:3]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
-    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
-    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(link.sum(1), root))
-    first, parts = embedding_dedup.deal_blocks(u[:6], np.array([5, 40, 1, 3, 12, 9]), 10)
-    blocks = [set(range(a, a + b)) for a, b in zip(first, parts)]
-    assert parts.tolist() == [1, 4, 1, 1, 2, 1] and not any(blocks[1] & o for o in blocks[:1] + blocks[2:]) and set().union(*blocks) >= set(range(max(first)))
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, cell_size=40, sigmas=None).collect()}
+    assert [(got[i].n_links, got[i].component_id) for i in range(len(x))] == list(zip(link.sum(1), jaccard_join.roots(link)))
 
 
 def _agenda(word, voc, limit, base):

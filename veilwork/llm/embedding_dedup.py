@@ -1,12 +1,15 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one vector kept per group.
 
-Centres are fitted on a bounded sample (at most `sample` vectors, by hash of the id); every vector is assigned to its home cell. Two unit vectors of
-cosine t are sqrt(1 - t^2) apart across the plane between two centres at most, so v can have a partner at home in c only if
-v . (home - c) / |home - c| <= sqrt(1 - t^2): no pair is lost by leaving out the other cells. Cells are dealt to blocks (near ones share one, large ones are cut), and
-a vector is sent, once each, to the blocks it can have partners in. A task gets the vectors of two blocks, compares them tile by tile, counts each pair for both of its vectors and
-returns link counts and a spanning forest, never the pairs. Equal vectors are joined first and count by their number. Data without clusters cost all pairs.
+Centres are fitted on a bounded sample (at most `sample` vectors of a length, by hash of the id); their number grows with the vectors, a cell for each `cell_size`. Every vector is assigned to its home cell and visits some others.
+The plane between the centres of two cells lies between the partners of a pair with homes there; two unit vectors of cosine t are r = sqrt(2 - 2t) apart, so the nearer one
+is at most r / 2 from the plane. It is enough that this one visits the other's home. How far partners lie apart across a plane is measured:
+`sigmas` times r times the share of the spread of a cell's sample along the lines between centres, the largest of its neighbours'; half of that is the reach, and r / 2, which loses no pair, is the most. Tests measure
+recall (1.00 of thousands of planted pairs); sigmas=None takes r / 2 everywhere, the exact join.
 
-Vectors that are null, empty, zero, hold null or non-finite components, or whose length differs from the first centre's, link with nothing.
+In a cell, blocks of home vectors are multiplied by blocks of all its vectors, tile by tile. A pair counts for both vectors, once: where each visits the other, in the lower cell.
+Tasks return link counts and a spanning forest, never the pairs. Equal vectors are joined first and count by their number.
+
+Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths never link.
 Null ids are passed through without links. Repeated rows count as separate vectors. Labels and other columns are not read.
 """
 
@@ -19,10 +22,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_arrow_batches, components, materialise, table
+from .common import bound_arrow_batches, components, give_back, materialise, table
+from .jaccard_join import by_group, roots
 
 TILE = 1024
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+FITTED_LENGTHS = 16  # vector lengths that get centres of their own, most frequent first; those of other lengths are one cell each
 
 
 def _units(arrays, dim: int) -> np.ndarray:
@@ -30,11 +35,8 @@ def _units(arrays, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
 
 
-def fit_centres(valid: DataFrame, cells: int, sample: int, rounds: int, seed: int) -> np.ndarray:
-    """Spherical k-means on at most `sample` vectors: centres (cells x dim), unit length."""
-    rows = valid.orderBy(F.xxhash64("vec_id", F.lit(seed))).limit(sample).select("v").collect()
-    dim = len(rows[0][0])
-    x = _units([r[0] for r in rows if len(r[0]) == dim], dim)
+def fit_centres(x: np.ndarray, cells: int, rounds: int) -> np.ndarray:
+    """Spherical k-means on unit vectors: centres of unit length."""
     c = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
     for _ in range(rounds):
         near = np.argmax(x @ c.T, axis=1)
@@ -50,27 +52,35 @@ def gaps(c: np.ndarray) -> np.ndarray:
     return np.array([np.linalg.norm(c - one, axis=1) for one in c])
 
 
-def deal_blocks(centres: np.ndarray, sizes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """First block and number of blocks of each cell: cells follow each other by nearness and share a block up to `most` vectors, larger ones are cut."""
-    first, parts = np.zeros(len(centres), np.int64), np.ones(len(centres), np.int64)
-    left, at, block, held = np.ones(len(centres), bool), 0, 0, 0
-    for _ in centres:
-        left[at] = False
-        if held and held + sizes[at] > most:
-            block, held = block + 1, 0
-        first[at], parts[at] = block, max(1, -(-int(sizes[at]) // most))
-        held += int(sizes[at])
-        if parts[at] > 1:
-            block, held = block + int(parts[at]), 0
-        at = int(np.argmax(np.where(left, centres @ centres[at], -2)))
-    return first, parts
+def reaches(x: np.ndarray, c: np.ndarray, apart: float, sigmas: float | None, neighbours: int = 12, least: int = 24) -> np.ndarray:
+    """How far from a plane the vectors of each cell still visit the cell behind it."""
+    out = np.full(len(c), apart / 2 + 1e-6)
+    if sigmas is None or len(c) < 2:
+        return out
+    home, gap = np.argmax(x @ c.T, axis=1), gaps(c)
+    for cell in range(len(c)):
+        rest = x[home == cell] - c[cell]
+        if len(rest) >= least:
+            near = np.argsort(gap[cell], kind="stable")[1 : neighbours + 1]
+            lines = (c[near] - c[cell]) / np.maximum(gap[cell][near], 1e-12)[:, None]
+            share = ((rest @ lines.T) ** 2).mean(0) / max(1e-12, (rest**2).sum(1).mean())
+            out[cell] = min(out[cell], sigmas * apart * float(np.sqrt(share.max())) / 2)
+    return out
+
+
+def visits(x: np.ndarray, c: np.ndarray, gap: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each vector, and which cells it is in."""
+    dots = x @ c.T
+    home = np.argmax(dots, axis=1)
+    row = np.arange(len(x))
+    into = dots[row, home][:, None] - dots <= reach[home][:, None] * gap[home]
+    into[row, home] = True
+    return home, into
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                    sample: int = 20_000, rounds: int = 6, most_cells: int = 256, seed: int = 7, spread: float | None = None) -> DataFrame:
-    """Per vector: vec_id, n_links, component_id, kept.
-
-    A number for `spread` shows vectors to fewer cells and may lose pairs on data of low rank; no query sets it."""
+                    sample: int = 20_000, rounds: int = 6, cell_size: int = 1024, seed: int = 7, sigmas: float | None = 4.0) -> DataFrame:
+    """Per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     bound_arrow_batches(spark)
     v = F.col(vector_col).cast("array<double>")
@@ -78,60 +88,48 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(~bad, v).alias("v"))
     valid = rows.where("v IS NOT NULL AND vec_id IS NOT NULL")
     # Equal vectors: by a hash of all components and the vector itself
-    groups = materialise(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")).withColumn("h", F.xxhash64("v")))
-    if groups.isEmpty():
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    n = groups.count()
-    cells = int(max(1, min(most_cells, np.sqrt(n) / 2)))
-    centres = fit_centres(groups.select(F.col("rep").alias("vec_id"), "v"), cells, sample, rounds, seed)
-    shared = spark.sparkContext.broadcast(centres)  # at most most_cells vectors
-    dim, bound = centres.shape[1], float(np.sqrt(max(0.0, 1 - threshold**2))) + 1e-6
-    reach = bound if spread is None else min(bound, spread * bound / np.sqrt(dim))
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[batch["v"].map(len) == dim]
-            for start in range(0, len(batch), 1024):
-                b = batch.iloc[start : start + 1024]
-                x = _units(b["v"], dim)
-                yield pd.DataFrame({"rep": b["rep"], "members": b["members"], "home": np.argmax(x @ shared.value.T, axis=1), "x": [one.tobytes() for one in x]})
-
-    placed = materialise(groups.select("rep", "members", "v").mapInPandas(assign, "rep long, members long, home int, x binary"))
-    sizes = np.zeros(len(centres), np.int64)
-    for home, count in placed.groupBy("home").count().collect():  # at most most_cells rows
-        sizes[home] = count
-    most = max(TILE, min(-(-n // 8), BLOCK_BYTES // (8 * dim)))
-    first, parts = deal_blocks(centres, sizes, most)
-
-    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = shared.value
-        gap = gaps(c)
-        lies = np.zeros((len(c), int((first + parts).max())), np.float32)  # which blocks a cell's vectors are in
-        for cell in np.nonzero(sizes)[0]:
-            lies[cell, first[cell] : first[cell] + parts[cell]] = 1
+    groups = materialise(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")).withColumn("dim", F.size("v")))
+    apart = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    model = {}  # by vector length: centres, distances between them, reaches
+    for dim, n in groups.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(FITTED_LENGTHS).collect():
+        cells = int(max(1, min(n // cell_size, sample // 8)))
+        most = min(sample, max(4_000, 32 * cells))
+        x = _units([r[0] for r in groups.where(F.col("dim") == dim).orderBy(F.xxhash64("rep", F.lit(seed))).limit(most).select("v").collect()], dim)
+        c = fit_centres(x, cells, rounds)
+        model[dim] = (c, gaps(c), reaches(x, c, apart, sigmas))
+    shared = spark.sparkContext.broadcast(model)  # at most sample / 8 centres a length
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), 1024):
-                b = batch.iloc[start : start + 1024]
-                x = np.frombuffer(b"".join(b["x"]), np.float64).reshape(len(b), dim)
-                dots, home, row = x @ c.T, b["home"].to_numpy(), np.arange(len(b))
-                near = (gap[home] < 1e-6) | (dots[row, home][:, None] - dots <= reach * gap[home])
-                block = first[home] + b["salt"].to_numpy() % parts[home]
-                to = near.astype(np.float32) @ lies > 0
-                to[row, block] = True
-                yield pd.DataFrame({"rep": b["rep"], "members": b["members"], "x": b["x"], "block": block, "others": [np.nonzero(t)[0] for t in to]})
-
-    sent = placed.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(1 << 40))).mapInPandas(send, "rep long, members long, x binary, block int, others array<int>")
-    sent = sent.select("rep", "members", "x", "block", F.explode("others").alias("other")).select(
-        F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("left"), "rep", "members", "x")
+            for dim, b in batch.groupby("dim"):
+                for start in range(0, len(b), 1024):
+                    part = b.iloc[start : start + 1024]
+                    x = _units(part["v"], dim)
+                    if dim in shared.value:
+                        home, into = visits(x, *shared.value[dim])
+                    else:
+                        home, into = np.zeros(len(x), int), np.ones((len(x), 1), bool)
+                    yield pd.DataFrame({"dim": part["dim"], "rep": part["rep"], "members": part["members"], "home": home, "cells": [np.nonzero(i)[0] for i in into], "x": [one.tobytes() for one in x]})
+        give_back()
+
+    placed = materialise(groups.select("dim", "rep", "members", "v").mapInPandas(place, "dim int, rep long, members long, home int, cells array<int>, x binary"))
+    lie = placed.select("dim", "rep", F.explode("cells").alias("cell"))
+    most = F.greatest(F.lit(TILE), F.lit(BLOCK_BYTES) / (8 * F.col("dim")))
+    blocks = materialise(lie.groupBy("dim", "cell").agg(F.count("*").alias("n")).select("dim", "cell", F.ceil(F.col("n") / most).cast("int").alias("blocks")))
+    sent = placed.withColumn("cell", F.explode("cells")).join(blocks, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "cell"), F.col("blocks")).cast("int"))
+    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "dim", "cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("left"), "home", "cells", "rep", "members", "x")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        from .jaccard_join import roots
-
-        own = rows["p"].iloc[0] == rows["q"].iloc[0]
+        dim, cell, own = rows["dim"].iloc[0], rows["cell"].iloc[0], rows["p"].iloc[0] == rows["q"].iloc[0]
         a = rows[rows["left"]]
         b = a if own else rows[~rows["left"]]
-        x, y = (np.frombuffer(b"".join(d["x"]), np.float64).reshape(len(d), dim) for d in (a, b))
-        ia, ib, ma, mb = a["rep"].to_numpy(), b["rep"].to_numpy(), a["members"].to_numpy(), b["members"].to_numpy()
+        sides = []
+        for d in (a, b):
+            cells = d["cells"].to_numpy()
+            seen = np.repeat(np.arange(len(d)), [len(k) for k in cells]) << 32 | np.concatenate([*cells, np.empty(0, np.int64)]).astype(np.int64)
+            sides.append((np.frombuffer(b"".join(d["x"]), np.float64).reshape(len(d), dim), d["rep"].to_numpy(), d["members"].to_numpy(), d["home"].to_numpy(np.int64), seen))
+        (x, ia, ma, ha, sa), (y, ib, mb, hb, sb) = sides
         la = np.zeros(len(ia), np.int64)
         lb = la if own else np.zeros(len(ib), np.int64)
         out = []
@@ -140,7 +138,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 link = x[i : i + TILE] @ y[j : j + TILE].T >= threshold
                 if own and i == j:
                     np.fill_diagonal(link, False)
+                link &= (ha[i : i + TILE] == cell)[:, None] | (hb[j : j + TILE] == cell)[None, :]
                 s, t = np.nonzero(link)
+                # A pair with homes in two cells that each visit the other's is counted in the lower cell
+                here, there = ha[i + s] == cell, hb[j + t] == cell
+                twice = np.where(here, np.isin(i + s << 32 | hb[j + t], sa), np.isin(j + t << 32 | ha[i + s], sb)) & ~(here & there)
+                other = np.where(here, hb[j + t], ha[i + s])
+                drop = twice & (other < cell)
+                link[s[drop], t[drop]] = False
+                s, t = s[~drop], t[~drop]
                 if not len(s):
                     continue
                 la[i : i + TILE] += np.bincount(s, mb[j + t], link.shape[0]).astype(np.int64)
@@ -157,11 +163,11 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return pd.DataFrame(dict(zip(("rep", "root", "links"), map(np.concatenate, zip(*out)))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from .jaccard_join import by_group
-
-        return by_group(["p", "q"], compare, batches)
+        yield from by_group(["dim", "cell", "p", "q"], compare, batches)
+        give_back()
 
-    linked = materialise(sent.repartition("p", "q").sortWithinPartitions("p", "q").mapInPandas(run, "rep long, root long, links long"))
+    keys = ("dim", "cell", "p", "q")
+    linked = materialise(sent.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "rep long, root long, links long"))
     comp = materialise(components(linked.where("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b"))))
     total = linked.groupBy("rep").agg(F.sum("links").alias("links"))
     known = groups.select("v", "rep", "members").join(total, "rep", "left").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
