@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import bound_arrow_batches, drop_written, give_back, materialise, row_key, table, without_rows
 from .jaccard_join import WordHashes
 
-WORD_SLOTS, META_SIZE, SLOTS = 192, 42, 32
+WORD_SLOTS, META_SIZE, SLOTS = 64, 42, 32
 KINDS = np.zeros(256, int)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 stop, 7 bang, 8 pipe, 9 odd sign, 10 beyond ASCII
 KINDS[128:] = 10
 for _kind, _chars in ((1, b"abcdefghijklmnopqrstuvwxyz"), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b" \t\r"), (5, b"\n"), (6, b".,;:?'\"()-"), (7, b"!"), (8, b"|"), (9, b"#$%&*@<>=+/\\^_`{}[]~")):
@@ -139,7 +139,7 @@ def pseudo_labels(scored: DataFrame, giver: str, give: int, sure: float) -> Data
     return ends[0].unionByName(ends[1])
 
 
-def train(seen: DataFrame, labels: DataFrame, sample: int = 20_000, rounds: int = 2, give: int = 500, sure: float = 0.97, n_folds: int = 3):
+def train(seen: DataFrame, labels: DataFrame, sample: int = 10_000, rounds: int = 2, give: int = 500, sure: float = 0.97, n_folds: int = 3):
     """The three models from views() of all documents, written; None without labels of both kinds."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
