@@ -220,9 +220,12 @@ def test_embeddings(spark):
     link = u @ u.T >= 0.95
     np.fill_diagonal(link, False)
     root = jaccard_join.roots(link)
-    for sigmas in (None, 4.0):
+    for sigmas in (None, 2.5):
         got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, sigmas=sigmas, cell_size=20).collect()}
-        assert all((got[i].n_links, got[i].component_id) == (link[i].sum(), root[i]) for i in range(len(x)))
+        found = sum(got[i].n_links for i in range(len(x)))
+        assert 0.98 * link.sum() <= found <= link.sum()
+        if sigmas is None:
+            assert all((got[i].n_links, got[i].component_id) == (link[i].sum(), root[i]) for i in range(len(x)))
         assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(1000, 1005))
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 

@@ -3,10 +3,10 @@
 Centres are fitted on a bounded sample (at most `sample` vectors of a length, by hash of the id); their number grows with the vectors, a cell for each `cell_size`. Every vector is assigned to its home cell and visits some others.
 The plane between the centres of two cells lies between the partners of a pair with homes there; two unit vectors of cosine t are r = sqrt(2 - 2t) apart, so the nearer one
 is at most r / 2 from the plane. It is enough that this one visits the other's home. How far partners lie apart across a plane is measured:
-`sigmas` times r times the share of the spread of a cell's sample along the lines between centres, the largest of its neighbours'; half of that is the reach, and r / 2, which loses no pair, is the most. Tests measure
-recall (1.00 of thousands of planted pairs); sigmas=None takes r / 2 everywhere, the exact join.
+`sigmas` times r times the share of the spread of a cell's sample along the lines to its neighbours' centres; half of that is the reach (a pair that is further apart is still found where the plane lies near one of them), and r / 2, which loses no pair, is the most. Tests measure
+recall (of thousands of planted pairs, on data of low and full rank); sigmas=None takes r / 2 everywhere, the exact join.
 
-In a cell, blocks of home vectors are multiplied by blocks of all its vectors, tile by tile. A pair counts for both vectors, once: where each visits the other, in the lower cell.
+In a cell, blocks of its home vectors are multiplied by blocks of all its vectors, tile by tile; visitors are not compared with each other. A pair counts for both vectors, once: where each visits the other, in the lower cell.
 Tasks return link counts and a spanning forest, never the pairs. Equal vectors are joined first and count by their number.
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different lengths never link.
@@ -64,7 +64,7 @@ def reaches(x: np.ndarray, c: np.ndarray, apart: float, sigmas: float | None, ne
             near = np.argsort(gap[cell], kind="stable")[1 : neighbours + 1]
             lines = (c[near] - c[cell]) / np.maximum(gap[cell][near], 1e-12)[:, None]
             share = ((rest @ lines.T) ** 2).mean(0) / max(1e-12, (rest**2).sum(1).mean())
-            out[cell] = min(out[cell], sigmas * apart * float(np.sqrt(share.max())) / 2)
+            out[cell] = min(out[cell], sigmas * apart * float(np.sqrt(share.mean())) / 2)
     return out
 
 
@@ -79,7 +79,7 @@ def visits(x: np.ndarray, c: np.ndarray, gap: np.ndarray, reach: np.ndarray) ->
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                    sample: int = 20_000, rounds: int = 6, cell_size: int = 1024, seed: int = 7, sigmas: float | None = 4.0) -> DataFrame:
+                    sample: int = 20_000, rounds: int = 6, cell_size: int = 1024, seed: int = 7, sigmas: float | None = 2.5) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     bound_arrow_batches(spark)
@@ -113,52 +113,47 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         give_back()
 
     placed = materialise(groups.select("dim", "rep", "members", "v").mapInPandas(place, "dim int, rep long, members long, home int, cells array<int>, x binary"))
-    lie = placed.select("dim", "rep", F.explode("cells").alias("cell"))
+    lie = placed.withColumn("cell", F.explode("cells"))
     most = F.greatest(F.lit(TILE), F.lit(BLOCK_BYTES) / (8 * F.col("dim")))
-    blocks = materialise(lie.groupBy("dim", "cell").agg(F.count("*").alias("n")).select("dim", "cell", F.ceil(F.col("n") / most).cast("int").alias("blocks")))
-    sent = placed.withColumn("cell", F.explode("cells")).join(blocks, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "cell"), F.col("blocks")).cast("int"))
-    sent = sent.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "dim", "cell", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), (F.col("block") <= F.col("other")).alias("left"), "home", "cells", "rep", "members", "x")
+    blocks = materialise(lie.groupBy("dim", "cell").agg(F.count_if(F.col("home") == F.col("cell")).alias("h"), F.count("*").alias("n")).where("h > 0").select(
+        "dim", "cell", F.ceil(F.col("h") / most).cast("int").alias("rows"), F.ceil(F.col("n") / most).cast("int").alias("columns")))
+    # Home vectors as rows of a product with each block of columns, all vectors of the cell as columns with each block of rows
+    part = lambda n: F.pmod(F.xxhash64("rep", "cell"), F.col(n)).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    told = lie.join(blocks, ["dim", "cell"])
+    as_rows = F.when(F.col("home") == F.col("cell"), F.transform(upto("columns"), lambda q: F.struct(F.lit(True).alias("left"), part("rows").alias("p"), q.alias("q"))))
+    as_columns = F.transform(upto("rows"), lambda p: F.struct(F.lit(False).alias("left"), p.alias("p"), part("columns").alias("q")))
+    sent = told.withColumn("to", F.explode(F.concat(as_columns, F.coalesce(as_rows, F.array().cast("array<struct<left:boolean,p:int,q:int>>"))))).select(
+        "dim", "cell", "to.p", "to.q", "to.left", "home", "cells", "rep", "members", "x")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        dim, cell, own = rows["dim"].iloc[0], rows["cell"].iloc[0], rows["p"].iloc[0] == rows["q"].iloc[0]
-        a = rows[rows["left"]]
-        b = a if own else rows[~rows["left"]]
+        dim, cell = rows["dim"].iloc[0], rows["cell"].iloc[0]
         sides = []
-        for d in (a, b):
+        for d in (rows[rows["left"]], rows[~rows["left"]]):
             cells = d["cells"].to_numpy()
             seen = np.repeat(np.arange(len(d)), [len(k) for k in cells]) << 32 | np.concatenate([*cells, np.empty(0, np.int64)]).astype(np.int64)
             sides.append((np.frombuffer(b"".join(d["x"]), np.float64).reshape(len(d), dim), d["rep"].to_numpy(), d["members"].to_numpy(), d["home"].to_numpy(np.int64), seen))
-        (x, ia, ma, ha, sa), (y, ib, mb, hb, sb) = sides
-        la = np.zeros(len(ia), np.int64)
-        lb = la if own else np.zeros(len(ib), np.int64)
-        out = []
+        (x, ia, ma, _, sa), (y, ib, mb, hb, _) = sides
+        la, lb = np.zeros(len(ia), np.int64), np.zeros(len(ib), np.int64)
+        out = [(np.empty(0, np.int64),) * 3]
         for i in range(0, len(ia), TILE):
-            for j in range(i if own else 0, len(ib), TILE):
-                link = x[i : i + TILE] @ y[j : j + TILE].T >= threshold
-                if own and i == j:
-                    np.fill_diagonal(link, False)
-                link &= (ha[i : i + TILE] == cell)[:, None] | (hb[j : j + TILE] == cell)[None, :]
-                s, t = np.nonzero(link)
-                # A pair with homes in two cells that each visit the other's is counted in the lower cell
-                here, there = ha[i + s] == cell, hb[j + t] == cell
-                twice = np.where(here, np.isin(i + s << 32 | hb[j + t], sa), np.isin(j + t << 32 | ha[i + s], sb)) & ~(here & there)
-                other = np.where(here, hb[j + t], ha[i + s])
-                drop = twice & (other < cell)
-                link[s[drop], t[drop]] = False
-                s, t = s[~drop], t[~drop]
+            for j in range(0, len(ib), TILE):
+                s, t = np.nonzero(x[i : i + TILE] @ y[j : j + TILE].T >= threshold)
+                s, t = s + i, t + j
+                # Home pairs in order of their ids; a pair with homes in two cells that each visit the other's in the lower cell
+                keep = np.where(hb[t] == cell, ia[s] < ib[t], (hb[t] > cell) | ~np.isin(s << 32 | hb[t], sa))
+                s, t = s[keep], t[keep]
                 if not len(s):
                     continue
-                la[i : i + TILE] += np.bincount(s, mb[j + t], link.shape[0]).astype(np.int64)
-                if not (own and i == j):
-                    lb[j : j + TILE] += np.bincount(t, ma[i + s], link.shape[1]).astype(np.int64)
-                s, t = np.unique(s), np.unique(t)
-                both = np.zeros((len(s) + len(t),) * 2, bool)  # a square matrix over both sides gives the forest
-                both[: len(s), len(s) :] = link[np.ix_(s, t)]
+                la += np.bincount(s, mb[t], len(la)).astype(np.int64)
+                lb += np.bincount(t, ma[s], len(lb)).astype(np.int64)
+                us, ut = np.unique(s), np.unique(t)
+                both = np.zeros((len(us) + len(ut),) * 2, bool)  # a square matrix over both sides gives the forest
+                both[np.searchsorted(us, s), len(us) + np.searchsorted(ut, t)] = True
                 both |= both.T
-                ids = np.concatenate([ia[i + s], ib[j + t]])
+                ids = np.concatenate([ia[us], ib[ut]])
                 out.append((ids, ids[roots(both)], np.zeros(len(ids), np.int64)))
-        for ids, links in ((ia, la),) if own else ((ia, la), (ib, lb)):
+        for ids, links in ((ia, la), (ib, lb)):
             out.append((ids[links > 0], ids[links > 0], links[links > 0]))
         return pd.DataFrame(dict(zip(("rep", "root", "links"), map(np.concatenate, zip(*out)))))
 
