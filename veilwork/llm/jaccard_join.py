@@ -40,7 +40,7 @@ from .common import bound_arrow_batches, components, drop_written, give_back, ma
 RATIO = 1.4  # of the bounds of neighbouring size classes
 BLOCK_DOCS, BLOCK_SHINGLES = 128, 600_000
 FINE, MOST_SKETCH = 3.5, 256  # fine fragments for each shingle that linked sets can differ in, and most of them kept
-SMALL, KEY_BLOCK = 8, 1024  # sets of a key that are compared pair by pair, and in a block of a larger one
+SMALL, FEW, KEY_BLOCK = 8, 64, 1024  # sets of a key that are compared pair by pair, that are looked up as one group, and in a block of a larger one
 COLUMNS = 4096  # shingles of one fragment of the order when overlaps are counted
 
 
@@ -290,14 +290,19 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = found.select("class", "n", F.explode("marks").alias("m")).select("class", "n", "m.label", "m.sketch", "m.keys")
     keys = marks.select("class", "label", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    shared = materialise(shared.select("key", F.ceil(F.col("rows") / KEY_BLOCK).cast("int").alias("blocks")))
-    hits = keys.join(shared, "key")
-    sketches = marks.select("class", "label", "n", "sketch").dropDuplicates(["class", "label"])
-    tagged = hits.join(materialise(sketches), ["class", "label"]).withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
-    tagged = tagged.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "class", "n", "label", "sketch")
-    near = materialise(near_edges(tagged, scheme).distinct())
+    hits = materialise(keys.join(materialise(shared.select("key", "rows")), "key").select("key", "class", "label", "rows"))
+    sketches = materialise(marks.select("class", "label", "n", "sketch").dropDuplicates(["class", "label"]))
     drop_written(found)
+    # Near copies share most of their keys: small groups of the same sets are compared once, whatever the key
+    few = hits.where(F.col("rows") <= FEW).groupBy("key").agg(F.array_sort(F.collect_set("class")).alias("members"), F.min("label").alias("label"))
+    few = few.groupBy("label", "members").agg(F.min("key").alias("key")).select("key", "label", F.lit(0).alias("p"), F.lit(0).alias("q"), F.explode("members").alias("class"))
+    many = hits.where(F.col("rows") > FEW).withColumn("blocks", F.ceil(F.col("rows") / KEY_BLOCK).cast("int"))
+    many = many.withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = many.select("key", "label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "class")
+    tagged = few.unionByName(many).join(sketches, ["class", "label"]).select("key", "p", "q", "class", "n", "label", "sketch")
+    near = materialise(near_edges(tagged, scheme).distinct())
+    drop_written(hits)
+    drop_written(sketches)
     family = materialise(components(near))
     members = materialise(classes.join(family, classes["class"] == family["node"]).select("class", "first_id", "members", "n", F.col("component_id").alias("family")))
     blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long").alias("blocks"))
