@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import bound_arrow_batches, drop_written, give_back, materialise, row_key, table, without_rows
 from .jaccard_join import WordHashes
 
-WORD_SLOTS, META_SIZE, SLOTS = 64, 42, 32
+WORD_SLOTS, META_SIZE, SLOTS = 192, 42, 32
+ROWS = 4096  # of a design matrix that are standardised at once
 KINDS = np.zeros(256, int)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 stop, 7 bang, 8 pipe, 9 odd sign, 10 beyond ASCII
 KINDS[128:] = 10
 for _kind, _chars in ((1, b"abcdefghijklmnopqrstuvwxyz"), (2, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (3, b"0123456789"), (4, b" \t\r"), (5, b"\n"), (6, b".,;:?'\"()-"), (7, b"!"), (8, b"|"), (9, b"#$%&*@<>=+/\\^_`{}[]~")):
@@ -52,37 +53,42 @@ def meta_view(lang, source, n_chars) -> list[float]:
 
 
 def views(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key (of the row), a, b: the two views of every row."""
+    """doc_id, key (of the row), a, b: the two views of every row, as bytes of 32-bit floats."""
     bound_arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "a": [text_view(t, hashes).astype(np.float32) for t in b["t"]],
-                                "b": [np.array(meta_view(*x), np.float32) for x in zip(b["lang"], b["source"], b["n_chars"])]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "key": b["key"], "a": [text_view(t, hashes).astype(np.float32).tobytes() for t in b["t"]],
+                                "b": [np.array(meta_view(*x), np.float32).tobytes() for x in zip(b["lang"], b["source"], b["n_chars"])]})
         del hashes
         give_back()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("key"), F.col(text_col).cast("string").alias("t"), F.col("lang").cast("string").alias("lang"),
                        F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars")).mapInPandas(
-        run, "doc_id long, key string, a array<float>, b array<float>")
+        run, "doc_id long, key string, a binary, b binary")
 
 
 class Logistic:
-    """Ridge logistic regression by Newton steps on standardised columns."""
+    """Ridge logistic regression by Newton steps on standardised columns; the rows are standardised block by block, so that memory holds x and little more."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0):
-        self.mean, self.scale = x.mean(0), x.std(0)
+        self.mean, self.scale = x.mean(0, dtype=float), x.std(0, dtype=float)
         self.scale[self.scale < 1e-9] = np.inf
-        z = self._z(x)
         weight = np.ones(len(y)) if weight is None else weight
-        self.w = np.zeros(z.shape[1])
-        penalty = np.full(z.shape[1], ridge)
+        size = x.shape[1] + 1
+        self.w = np.zeros(size)
+        penalty = np.full(size, ridge)
         penalty[-1] = 1e-6
         for _ in range(25):
-            p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
-            step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + np.diag(penalty) + 1e-9 * np.eye(len(penalty)),
-                                   z.T @ (weight * (y - p)) - penalty * self.w)
+            gram, pull = np.diag(penalty) + 1e-9 * np.eye(size), -penalty * self.w
+            for at in range(0, len(y), ROWS):
+                here = slice(at, at + ROWS)
+                z = self._z(x[here])
+                p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
+                gram += (z * (weight[here] * p * (1 - p))[:, None]).T @ z
+                pull += z.T @ (weight[here] * (y[here] - p))
+            step = np.linalg.solve(gram, pull)
             self.w += step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
             if np.abs(step).max() < 1e-6:
                 break
@@ -91,7 +97,7 @@ class Logistic:
         return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
 
     def logit(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(self._z(x) @ self.w, -30, 30)
+        return np.concatenate([np.empty(0), *[np.clip(self._z(x[at : at + ROWS]) @ self.w, -30, 30) for at in range(0, len(x), ROWS)]])
 
 
 def fit_view(x: np.ndarray, y: np.ndarray, given: tuple[np.ndarray, np.ndarray], rows=slice(None)) -> Logistic:
@@ -113,7 +119,7 @@ def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray, given_a, given_b, fol
 
 
 def _matrix(column, size: int) -> np.ndarray:
-    return np.array(list(column), float).reshape(-1, size)
+    return np.frombuffer(b"".join(column), np.float32).reshape(-1, size)
 
 
 def _scored(seen: DataFrame, models) -> DataFrame:
@@ -139,7 +145,7 @@ def pseudo_labels(scored: DataFrame, giver: str, give: int, sure: float) -> Data
     return ends[0].unionByName(ends[1])
 
 
-def train(seen: DataFrame, labels: DataFrame, sample: int = 10_000, rounds: int = 2, give: int = 500, sure: float = 0.97, n_folds: int = 3):
+def train(seen: DataFrame, labels: DataFrame, sample: int = 20_000, rounds: int = 2, give: int = 500, sure: float = 0.97, n_folds: int = 3):
     """The three models from views() of all documents, written; None without labels of both kinds."""
     known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample))
@@ -147,7 +153,7 @@ def train(seen: DataFrame, labels: DataFrame, sample: int = 10_000, rounds: int
     a, b, y = _matrix(got["a"], 16 + WORD_SLOTS), _matrix(got["b"], META_SIZE), got["quality"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return None
-    none = lambda x: (np.empty((0, x.shape[1])), np.empty(0))
+    none = lambda x: (np.empty((0, x.shape[1]), np.float32), np.empty(0))
     given = {"a": none(a), "b": none(b)}
     text, meta = fit_view(a, y, given["a"]), fit_view(b, y, given["b"])
     labelled = known.select("doc_id").distinct()
