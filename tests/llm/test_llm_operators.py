@@ -183,6 +183,25 @@ def test_jaccard_join_brute_force(spark, k, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == _brute_groups(rows, k, percent)
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_jaccard_keys_at_the_limit(percent):
+    """Sets that differ in as many shingles as linked ones can share a key, at every size and however the difference lies between the two."""
+    rng, scheme = np.random.default_rng(5), jaccard_join.Cuts(percent)
+    keys = lambda s: {k for m in scheme.marks(np.unique(s)) for k in m[2].tolist()}
+    tried = 0
+    for n in [*range(scheme.least, 60), 75, 90, 120, 180, 250, 326, 450, 700, 1300]:
+        for share in np.linspace(0, 1, 9):
+            a = rng.integers(0, 2**64, n, dtype=np.uint64)
+            gone = int(share * n * (100 - percent) / 100)
+            new = (n - gone) * 100 // percent - n
+            if new < 0 or gone + new == 0:
+                continue
+            b = np.concatenate([a[gone:], rng.integers(0, 2**64, new, dtype=np.uint64)])
+            assert 100 * (n - gone) >= percent * (n + new) and keys(a) & keys(b)
+            tried += 1
+    assert tried > 300
+
+
 def test_jaccard_shared_passages(spark):
     random.seed(8)
     passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(3)]

@@ -4,10 +4,11 @@ The global order of shingles is the order of their 64-bit hashes. Cut into F fra
 most D shingles agree in at least F - D fragments, and the rest only adds partial overlaps. So with F > D every linked pair
 shares a whole fragment, which one equi-grouping finds without counting frequencies:
 
-1. Each document gives its set size, the class of its set, one key per non-empty fragment, and a sketch. Fragment counts come from
-   size classes; a document near the top of its class gives keys for the next one too. Fragments empty in both sets say
-   nothing, so F has slack for them; the few sets with more empty fragments than the slack also give the keys
-   of a plain prefix filter, which keeps the join exact. The sketch has one byte of hash for each of a larger number of fine fragments.
+1. Each document gives its set size, the class of its set, keys of its first D + 1 non-empty fragments, and a sketch. No more are needed: all fragments
+   before the first one that two linked sets hold alike differ, and at most D do, so that one is among the first D + 1 of both. Fragment counts come from
+   size classes; a document near the top of its class gives keys for the next one too. F has slack for empty fragments;
+   the few sets with no more than D others also give the keys of a plain prefix filter: two of them may have no fragment alike, while a set
+   with more has one alike with every partner. The sketch has one byte of hash for each of a larger number of fine fragments.
 2. Sets that share a key are compared by their sketches: fine fragments that differ are counted, each of them
    stands for a shingle of one set only, and the pair goes on when the sum is no more than linked sets can differ in. Passages that many documents share
    give keys in common, but not such pairs. Groups of a key are walked from set to set (no pair is met twice once both are reached), cut into bounded blocks where they are large.
@@ -84,7 +85,7 @@ class Cuts:
         self.low = [self.least]
         while self.low[-1] < 1 << 40:
             self.low.append(math.ceil(self.low[-1] * RATIO) + 1)
-        self.parts, self.slack, self.fine = [], [], []
+        self.parts, self.fine = [], []
         for low, high in zip(self.low, self.low[1:]):
             d, slack = self.apart(high - 1, high - 1), 1
             for _ in range(20):
@@ -92,7 +93,6 @@ class Cuts:
                 empty = f * math.exp(-(low * percent / 100) / f)
                 slack = math.ceil(empty + 4 * math.sqrt(empty)) + 1
             self.parts.append(d + 1 + slack)
-            self.slack.append(slack)
             self.fine.append(max(8, math.ceil(FINE * d)))
 
     def apart(self, a: int, b: int) -> int:
@@ -105,6 +105,11 @@ class Cuts:
         k = int(np.searchsorted(self.low, n, side="right")) - 1
         return [k, k + 1] if n * 100 // self.percent >= self.low[k + 1] else [k]
 
+    def differ(self, n: int, k: int) -> int:
+        """Most shingles in one only of a set of size n and one that it is to be found with in size class k."""
+        top = n * 100 // self.percent
+        return self.apart(n, min(top, self.low[k + 1] - 1) if n >= self.low[k] else top)
+
     def marks(self, s: np.ndarray) -> list[tuple[int, bytes, np.ndarray]]:
         """(size class, sketch, keys) of each of a set's size classes."""
         out = []
@@ -116,9 +121,10 @@ class Cuts:
             bounds = np.searchsorted(s, (np.arange(1, f, dtype=np.float64) * (2.0**64 / f)).astype(np.uint64))
             edge = np.concatenate([[0], bounds, [len(s)]])
             full = edge[1:] > edge[:-1]
-            sums = (mixed[edge[1:]] - mixed[edge[:-1]])[full]
-            keys = _mix(sums ^ _mix(np.arange(f, dtype=np.uint64)[full] + np.uint64((k + 1) << 34)))
-            if f - int(full.sum()) > self.slack[k]:
+            d = self.differ(len(s), k)
+            first = np.nonzero(full)[0][: d + 1]
+            keys = _mix((mixed[edge[first + 1]] - mixed[edge[first]]) ^ _mix(first.astype(np.uint64) + np.uint64((k + 1) << 34)))
+            if len(first) <= d:
                 prefix = s[: len(s) - -(-len(s) * self.percent // 100) + 1]
                 keys = np.concatenate([keys, _mix(prefix ^ _mix(np.full(len(prefix), (k + 1) << 50, np.uint64)))])
             fine = self.fine[k]
