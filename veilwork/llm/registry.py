@@ -9,8 +9,11 @@ from . import (
     jaccard_join,
     license_scan,
     mixing,
+    periodic_runs,
+    phrase_fingerprint,
     quality,
     sentencepiece_dropout,
+    spelling_variants,
     token_counts,
     toxicity,
 )
@@ -26,6 +29,9 @@ QUERIES = {
     "op4_license_scan": license_scan.op4_license_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_mixing": mixing.op3_mixing,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_phrase_fingerprint": phrase_fingerprint.op13_phrase_fingerprint,
 }
 
 SQL = {
@@ -34,4 +40,5 @@ SQL = {
     "op4_license_scan": license_scan.SQL,
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_mixing": mixing.SQL,
+    "op11_spelling_variants": spelling_variants.SQL,
 }
