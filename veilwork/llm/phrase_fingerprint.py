@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,27 +28,32 @@ from .common import bound_arrow_batches, drop_written, give_back, materialise, t
 KEEP = 128
 
 
-def parse(data: bytes, seen: set[bytes], at: int = 0) -> tuple[list[bytes], list[int]]:
-    """Phrases of data from `at` on and where they end; seen, the dictionary, grows. A dictionary holds every prefix of its phrases, so the longest known piece
-    can be looked for from the last phrase's length up or down."""
-    phrases, ends, n, size = [], [], len(data), 1
-    while at < n:
-        j = min(at + size, n)
-        if data[at:j] in seen:
-            j += 1
-            while j <= n and data[at:j] in seen:
+def parse(data: bytes, begun: Iterable[bytes] = (), at: int = 0) -> list[bytes]:
+    """The phrases of data from `at` on, after those begun with. A dictionary holds every prefix of its phrases, so the longest known piece can be looked for from a
+    guess (the mean length so far) up or down. 0xFF, no byte of UTF-8, ends the text; a last piece that is known is no phrase."""
+    seen = dict.fromkeys((b"", *begun))  # in order of their taking in
+    end, n = len(data), len(seen)
+    data += b"\xff"
+    while at < end:
+        j = at + 1 + at // n
+        n += 1
+        piece = data[at:j]
+        if piece in seen:
+            while piece in seen:
                 j += 1
-            if j > n:
-                break  # the rest is known
+                piece = data[at:j]
         else:
-            while j - 1 > at and data[at : j - 1] not in seen:
+            shorter = data[at : j - 1]
+            while shorter not in seen:
                 j -= 1
-        piece = data[at:j]
-        seen.add(piece)
-        phrases.append(piece)
-        ends.append(j)
-        size, at = j - at, j
-    return phrases, ends
+                piece = shorter
+                shorter = data[at : j - 1]
+        seen[piece] = None
+        at = j
+    phrases = list(seen)[1:]
+    if phrases and phrases[-1].endswith(b"\xff"):
+        phrases.pop()
+    return phrases
 
 
 def smallest(phrases: list[bytes], keep: int = KEEP) -> np.ndarray:
@@ -56,7 +61,12 @@ def smallest(phrases: list[bytes], keep: int = KEEP) -> np.ndarray:
     h = np.fromiter(map(zlib.crc32, phrases), np.uint64, len(phrases))
     h = (h ^ np.uint64(0x5851F42D)) * np.uint64(0x9E3779B97F4A7C15)  # CRC32 is linear: multiply and fold twice
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))[:keep]
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    if len(h) > 4 * keep:  # sort only what is likely to be needed
+        low = np.unique(np.partition(h, 2 * keep)[: 2 * keep])
+        if len(low) >= keep:
+            return low[:keep]
+    return np.unique(h)[:keep]
 
 
 def encoded(kept: np.ndarray) -> str:
@@ -82,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            made = [parse(t.as_py(), set())[0] for t in b.column(2)]
+            made = [parse(t.as_py()) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, made), pa.int64()), pa.array([encoded(smallest(p, keep)) for p in made], pa.string())],
                                              ["doc_id", "n_chars", "n_phrases", "fingerprint"])
         give_back()
@@ -139,17 +149,16 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
-    def finished(data: bytes, text: str, phrases: list, ends: list, kept: np.ndarray, after: tuple) -> tuple:
+    def finished(data: bytes, text: str, phrases: list[bytes], kept: np.ndarray, after: tuple) -> tuple:
         cut = len(text) - len(text) // part
         start = text[:cut].encode()
         edited = start + after[1][: len(text) // part].encode()
         if edited == data:
             other = kept
         else:
-            same = np.searchsorted(ends, len(start), "right")  # these phrases were told by bytes that both texts have
-            begun = phrases[:same]
-            more, _ = parse(edited, set(begun), ends[same - 1] if same else 0)
-            other = smallest(begun + more, keep)
+            ends = np.cumsum(np.fromiter(map(len, phrases), np.int64, len(phrases)))
+            same = int(np.searchsorted(ends, len(start), "right"))  # these phrases were told by bytes that both texts have
+            other = smallest(parse(edited, phrases[:same], int(ends[same - 1]) if same else 0), keep)
         return len(text), hashlib.sha256(edited).hexdigest(), encoded(kept), encoded(other), share(kept, other, keep), share(kept, after[0], keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,12 +170,12 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     continue  # further guests are repeats of the first
                 data = t.as_py()
                 text = data.decode()
-                phrases, ends = parse(data, set())
+                phrases = parse(data)
                 kept = smallest(phrases, keep)
                 if waiting:
                     ids.append(waiting[0])
                     out.append(finished(*waiting[1:], (kept, text)))
-                waiting, done = (b.column(1).slice(i, 1), data, text, phrases, ends, kept), guest
+                waiting, done = (b.column(1).slice(i, 1), data, text, phrases, kept), guest
             if out:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *(pa.array(c, k) for c, k in zip(zip(*out), kinds))], names)
         give_back()
