@@ -245,10 +245,21 @@ def x1_templates(spark, sf_dir):
 
 @query("x2_redact_fakes", _tpl(f", {Q.MAPPED}, valued AS (SELECT k.*, m.replacement FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m USING (doc_id, entity_type, original)), {Q.redacted('replacement', 'valued')} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
 def x2(spark, sf_dir):
+    return X.redact_with(X.with_fakes(template_analysis(spark, sf_dir))).select(*UNIT, "redacted")
+
+
+@query("x2_redact_fakes_mapping", SQL["x2_redact_fakes"])
+def x2_mapping(spark, sf_dir):
+    """The same by a mapping that is joined."""
     units = stored(template_analysis(spark, sf_dir))  # read three times
     return X.redact_fakes(units, K.replacement_map(X.explode_detections(units))).select(*UNIT, "redacted")
 
 
+@query("x2_redact_fakes_documents", _doc(f", {Q.MAPPED}, valued AS (SELECT k.*, m.replacement FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m USING (doc_id, entity_type, original)), {Q.redacted('replacement', 'valued')} SELECT doc_id, unit_ord, unit_id, redacted FROM red"))
+def x2_documents(spark, sf_dir):
+    return X.redact_with(X.with_fakes(doc_analysis(spark, sf_dir))).select(*UNIT, "redacted")
+
+
 @query("x3_redact_runs", _tpl(f""", {Q.redacted(Q.LABEL)} SELECT doc_id, unit_ord, redacted AS joined, CAST(3 AS INT) AS n_runs FROM red"""))
 def x3(spark, sf_dir):
     """The runs are three pieces of each text; joined after redaction they must be the redacted text."""
@@ -274,8 +285,7 @@ def template_detections(spark, sf_dir) -> DataFrame:
 @query("x4_detections_with_fakes", _tpl(f""", {Q.MAPPED} SELECT k.doc_id, unit_ord, unit_id, k.entity_type, st AS "start", en AS "end", round(score, 3) AS score, {Q.SAID} AS text, m.replacement
 FROM (SELECT *, {Q.STRIPPED} AS original FROM kept) k JOIN mapped m ON k.doc_id = m.doc_id AND k.entity_type = m.entity_type AND k.original = m.original"""))
 def x4_fakes(spark, sf_dir):
-    units = stored(template_analysis(spark, sf_dir))
-    return X.explode_detections(units, mapping=K.replacement_map(X.explode_detections(units)))
+    return X.explode_detections(X.with_fakes(template_analysis(spark, sf_dir)), values_col="fakes")
 
 
 @query("k1_fake_index", _tpl(f", {Q.MAPPED} SELECT * FROM ids"))
@@ -544,3 +554,71 @@ def t1(spark, sf_dir):
     templates(spark, sf_dir).select(*UNIT, "text").write.parquet(f"{base}/in")
     redact_stream(spark, f"{base}/in", f"{base}/out", f"{base}/state").awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+@query("t1_stream_fakes", SQL["x2_redact_fakes"])
+def t1_fakes(spark, sf_dir):
+    """Documents of the templates arrive in three parts, two files a micro-batch; the last part comes after a restart from the checkpoint."""
+    from ..streaming.fakes import redact_stream_fakes, redacted_so_far
+
+    base, units = new_path(spark, "stream"), templates(spark, sf_dir).select(*UNIT, "text")
+    run = lambda: redact_stream_fakes(spark, f"{base}/in", f"{base}/out", f"{base}/known", f"{base}/state", files=2, compact=2).awaitTermination()
+    for low, high in ((0, 2), (3, 6), (7, 9)):
+        units.where(F.col("unit_ord").between(low, high)).repartition(2, "doc_id").write.mode("append").parquet(f"{base}/in")
+        if low:
+            run()
+    return redacted_so_far(spark, f"{base}/out")
+
+
+def counted_output(spark, sf_dir) -> tuple[str, dict[str, int]]:
+    """Redacted units of the documents, written and counted in one pass."""
+    path = new_path(spark, "counted")
+    return path, W.write_counted(X.redact_labels(doc_analysis(spark, sf_dir)), f"{sf_dir}/documents.parquet", path)
+
+
+COUNTED = "SELECT unnest(['total_units', 'units_with_pii', 'total_pii_count']) AS name, unnest([count(*), count(*) FILTER (n > 0), CAST(coalesce(sum(n), 0) AS BIGINT)]) AS n FROM per UNION ALL SELECT entity_type, count(*) FROM kept GROUP BY ALL"
+
+
+@query("a1_a3_counts_while_writing", _doc(f"{COVERED} {COUNTED}"))
+def a1_observed(spark, sf_dir):
+    counts = counted_output(spark, sf_dir)[1]
+    return spark.createDataFrame([(name, n) for name, n in counts.items() if n or name not in S.TYPES], "name string, n bigint")  # a row a type
+
+
+@query("s6_redacted_while_counting", SQL["x1_redact_labels"])
+def s6_counted(spark, sf_dir):
+    return spark.read.parquet(counted_output(spark, sf_dir)[0]).select(*UNIT, "redacted")
+
+
+@query("a4_report_from_output", SQL["a4_document_report"])
+def a4_output(spark, sf_dir):
+    report = A.counts_of(spark.read.parquet(counted_output(spark, sf_dir)[0]))
+    told = F.array_join(F.transform(F.map_entries("counts_by_type"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return report.withColumn("counts", told).drop("counts_by_type")
+
+
+# F1 as a switch: every unit comes back, those without a cue with no spans.
+SWITCHED = f"WITH {Q.TEMPLATE_UNITS.replace('units AS', 'every AS', 1)}, units AS (SELECT * FROM every WHERE length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 3 AND ({CUE})), {Q.found('z AS (SELECT 1)')}, n AS (SELECT doc_id, unit_ord, count(*) AS n FROM found GROUP BY ALL) SELECT e.doc_id, e.unit_ord, CAST(coalesce(n, 0) AS INT) AS n FROM every e LEFT JOIN n USING (doc_id, unit_ord)"
+
+
+@query("f1_switch_on", SWITCHED)
+def f1_on(spark, sf_dir):
+    return D.detect(templates(spark, sf_dir), prefilter=True).select("doc_id", "unit_ord", F.size("spans").alias("n"))
+
+
+@query("f1_switch_off", SWITCHED.replace(f"({CUE})", "true").replace(">= 3", ">= 0"))
+def f1_off(spark, sf_dir):
+    return D.detect(templates(spark, sf_dir)).select("doc_id", "unit_ord", F.size("spans").alias("n"))
+
+
+@query("f1_switch_on_documents", SWITCHED.replace(Q.TEMPLATE_UNITS.replace('units AS', 'every AS', 1), Q.DOC_UNITS.replace('units AS', 'every AS', 1)))
+def f1_on_documents(spark, sf_dir):
+    return D.detect(doc_units(spark, sf_dir), prefilter=True).select("doc_id", "unit_ord", F.size("spans").alias("n"))
+
+
+@query("d13_boost_in_analysis", rf"""WITH {Q.found(Q.TEMPLATE_UNITS).replace('found AS (', 'plain AS (')}, w AS (SELECT *, string_split_regex(regexp_replace(lower(substring(text, 1, st)), '^\s+|\s+$', '', 'g'), '\s+') AS w FROM plain),
+k AS (SELECT * EXCLUDE (w), array_to_string(w[greatest(len(w) - 4, 1):], ' ') AS near FROM w),
+found AS (SELECT * EXCLUDE (near) REPLACE (CASE WHEN {_terms} THEN least(score + 0.35::DOUBLE, 1.0::DOUBLE) ELSE score END AS score) FROM k), {Q.FILTERED}, {Q.resolved('filtered')} {SPANS} kept""")
+def d13_analysis(spark, sf_dir):
+    """All recognizers with scores raised before the thresholds; differs from r2_filter_first where a phone stands behind its word."""
+    return spans(X.analyze_units(D.detect(templates(spark, sf_dir), boost=True)))

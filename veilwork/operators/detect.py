@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import lru_cache, reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.matching import groups, matches, piece, spans_of, strip_chars
+from ..functions.matching import chunks, greedily, groups, let, matches, piece, piece_in, spans_of, strip_chars
 
 STRIP = "\\s‘’“”\"'()"
 
@@ -46,62 +48,75 @@ def is_generic_company(candidate: Column) -> Column:
 
 def companies(text: Column, ignore_case: bool = True) -> Column:
     flag = "(?i)" if ignore_case else ""
-    found = F.filter(matches(text, flag + S.COMPANY), lambda p: ~is_generic_company(piece(text, p["start"], p["end"])))
+    found = let(chunks(text), lambda cut: F.filter(matches(text, flag + S.COMPANY), lambda p: ~is_generic_company(piece_in(cut, p["start"], p["end"]))))
     return _guard(text.rlike(rf"{flag}\s(?:{S.SUFFIXES})\b"), spans_of(found, "ORGANIZATION", 0.85, "company_suffix"))
 
 
+def may_name_person(text: Column) -> Column:
+    """Whether there is an honorific, or a label's last word and a colon or hyphen, without which there is no person."""
+    has = lambda words: reduce(or_, [text.contains(w) for w in words])
+    return has(S.HONORIFICS) | ((text.contains(":") | text.contains("-")) & has(S.PERSON_LABELS))
+
+
 def persons(text: Column) -> Column:
-    return _guard(text.rlike(S.PERSON), spans_of(groups(text, S.PERSON), "PERSON", 0.90, "person_context"))
+    return _guard(may_name_person(text), spans_of(groups(text, S.PERSON), "PERSON", 0.90, "person_context"))
 
 
 def births(text: Column) -> Column:
     """Three date shapes, kept when a birth phrase stands in the 60 characters before."""
     shapes = F.concat(*[matches(text, p) for p in S.DATES])
-    told = F.filter(shapes, lambda p: piece(text, F.greatest(p["start"] - 60, F.lit(0)), p["start"]).rlike(S.BIRTH))
+    told = let(chunks(text), lambda cut: F.filter(shapes, lambda p: piece_in(cut, F.greatest(p["start"] - 60, F.lit(0)), p["start"]).rlike(S.BIRTH)))
     return _guard(text.rlike(S.BIRTH), spans_of(told, "DATE_OF_BIRTH", 0.90, "dob"))
 
 
 def addresses(text: Column, window: int = 200) -> Column:
     """PIN codes with a keyword, place or label nearby, and labels with an address after them; spans inside a better one go."""
 
-    def by_pin(p: Column) -> Column:
-        low, high = F.greatest(p["start"] - window, F.lit(0)), F.least(p["end"] + window, F.length(text))
-        around = piece(text, low, high)
-        word, place = around.rlike(S.ADDRESS_WORD), around.rlike(S.PLACE)
-        label = piece(text, F.greatest(p["start"] - 120, F.lit(0)), p["start"]).rlike(S.ADDRESS_LABEL)
-        before = F.reverse(piece(text, low, p["start"]))
-        line = F.locate("\n", before)
-        start = F.when(line > 0, p["start"] - line + 1).otherwise(low)
-        blank = F.locate("\n\n", piece(text, p["end"], high))
-        end = F.when(blank > 0, p["end"] + blank - 1).otherwise(high)
-        score = F.lit(0.50) + F.when(word, 0.15).otherwise(0.0) + F.when(place, 0.10).otherwise(0.0) + F.when(label, 0.20).otherwise(0.0)
-        return F.struct(F.lit("ADDRESS").alias("entity_type"), start.alias("start"), end.alias("end"), F.when(word | place | label, F.least(score, F.lit(0.95))).alias("score"), F.lit("address_pin").alias("recognizer"))
-
-    def by_label(p: Column) -> Column:
-        high = F.least(p["end"] + 300, F.length(text))
-        ahead = piece(text, p["end"], high)
-        blank = F.locate("\n\n", ahead)
-        end = F.when(blank > 0, p["end"] + blank - 1).otherwise(high)
-        told = ahead.rlike(S.ADDRESS_WORD) | ahead.rlike(S.PLACE) | ahead.rlike(S.PIN)
-        return F.struct(F.lit("ADDRESS").alias("entity_type"), p["start"].alias("start"), end.alias("end"), F.when(told, 0.70).alias("score"), F.lit("address_label").alias("recognizer"))
-
-    found = F.concat(F.transform(matches(text, S.PIN), by_pin).cast(S.SPANS), F.transform(matches(text, S.ADDRESS_LABEL), by_label).cast(S.SPANS))
+    def by_pin(cut: Column, size: Column, p: Column) -> Column:
+        low, high = F.greatest(p["start"] - window, F.lit(0)), F.least(p["end"] + window, size)
+        around = piece_in(cut, low, high)
+        label = piece_in(cut, F.greatest(p["start"] - 120, F.lit(0)), p["start"]).rlike(S.ADDRESS_LABEL)
+        line = F.locate("\n", F.reverse(piece_in(cut, low, p["start"])))
+        blank = F.locate("\n\n", piece_in(cut, p["end"], high))
+        found = F.struct(low.alias("low"), high.alias("high"), around.rlike(S.ADDRESS_WORD).alias("word"), around.rlike(S.PLACE).alias("place"), label.alias("label"), line.alias("line"), blank.alias("blank"))
+
+        def span(x: Column) -> Column:
+            start = F.when(x["line"] > 0, p["start"] - x["line"] + 1).otherwise(x["low"])
+            end = F.when(x["blank"] > 0, p["end"] + x["blank"] - 1).otherwise(x["high"])
+            score = F.lit(0.50) + F.when(x["word"], 0.15).otherwise(0.0) + F.when(x["place"], 0.10).otherwise(0.0) + F.when(x["label"], 0.20).otherwise(0.0)
+            told = x["word"] | x["place"] | x["label"]
+            return F.struct(F.lit("ADDRESS").alias("entity_type"), start.alias("start"), end.alias("end"), F.when(told, F.least(score, F.lit(0.95))).alias("score"), F.lit("address_pin").alias("recognizer"))
+
+        return let(found, span)
+
+    def by_label(cut: Column, size: Column, p: Column) -> Column:
+        high = F.least(p["end"] + 300, size)
+
+        def span(ahead: Column) -> Column:
+            blank = F.locate("\n\n", ahead)
+            end = F.when(blank > 0, p["end"] + blank - 1).otherwise(high)
+            told = ahead.rlike(S.ADDRESS_WORD) | ahead.rlike(S.PLACE) | ahead.rlike(S.PIN)
+            return F.struct(F.lit("ADDRESS").alias("entity_type"), p["start"].alias("start"), end.alias("end"), F.when(told, 0.70).alias("score"), F.lit("address_label").alias("recognizer"))
+
+        return let(piece_in(cut, p["end"], high), span)
+
+    def both(known: Column) -> Column:
+        each = lambda pattern, f: F.transform(matches(text, pattern), lambda p: f(known["cut"], known["size"], p)).cast(S.SPANS)
+        return F.concat(each(S.PIN, by_pin), each(S.ADDRESS_LABEL, by_label))
+
+    found = let(F.struct(chunks(text).alias("cut"), F.length(text).alias("size")), both)
     return _guard(text.rlike(S.PIN) | text.rlike(S.ADDRESS_LABEL), drop_contained(F.filter(found, lambda s: s["score"].isNotNull())))
 
 
 def drop_contained(spans: Column) -> Column:
-    """By score, best first (ties in the order given); a span wholly inside one kept before goes."""
+    """By score, best first (ties in the order given); a span wholly inside one kept before goes. The result is by score again."""
     ranked = F.array_sort(F.transform(spans, lambda s, i: F.struct((-s["score"]).alias("o"), i.alias("i"), s.alias("s"))))
-
-    def step(kept: Column, x: Column) -> Column:
-        inside = F.exists(kept, lambda k: (k["start"] <= x["s"]["start"]) & (k["end"] >= x["s"]["end"]))
-        return F.when(inside, kept).otherwise(F.concat(kept, F.array(x["s"])))
-
-    return F.aggregate(ranked, _none(), step)
+    kept = greedily(F.transform(ranked, lambda x: x["s"]), "k.s.start <= x.s.start AND k.s.end >= x.s.end")
+    return F.transform(F.array_sort(F.transform(kept, lambda s: F.struct((-s["score"]).alias("o"), s["recognizer"].alias("r"), s["start"].alias("a"), s.alias("s")))), lambda x: x["s"])
 
 
 def cards(text: Column) -> Column:
-    found = F.filter(matches(text, S.CARD), lambda p: F.call_function("luhn_check", F.regexp_replace(piece(text, p["start"], p["end"]), "[ -]", "")))
+    found = let(chunks(text), lambda cut: F.filter(matches(text, S.CARD), lambda p: F.call_function("luhn_check", F.regexp_replace(piece_in(cut, p["start"], p["end"]), "[ -]", ""))))
     return _guard(text.rlike(r"\d{4}[ -]?\d"), spans_of(found, "CREDIT_CARD", 1.0, "card"))
 
 
@@ -115,32 +130,80 @@ RECOGNIZERS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: A bit a recognizer, in this order.
+BITS = {name: 1 << i for i, name in enumerate(RECOGNIZERS)}
+
+
+def triggers(text: Column) -> Column:
+    """Bits of the recognizers that may find something, from one lower-casing, one look for a digit and plain searches for pieces that their patterns cannot do without."""
+
+    def bits(known: Column) -> Column:
+        digit, low = known["digit"], known["low"]
+        has = lambda words: reduce(or_, [low.contains(w) for w in words])
+        may = {
+            "email": text.contains("@"), "indian_phone": digit, "intl_phone": digit & text.contains("+"), "ssn": digit & text.contains("-"), "company": has(S.SUFFIX_PARTS),
+            "person": may_name_person(text), "dob": digit & has(S.BIRTH_PARTS), "address": digit | has(S.LABEL_PARTS), "card": digit, "ipv4": digit & text.contains("."),
+        }
+        return reduce(lambda a, b: a.bitwiseOR(b), [F.when(may[name], bit).otherwise(0) for name, bit in BITS.items()])
+
+    return F.when(text.isNull(), 0).otherwise(let(F.struct(F.lower(text).alias("low"), text.rlike("[0-9]").alias("digit")), bits))
+
+
+def has_cue(text: Column) -> Column:
+    """at least three characters once stripped, and an @, a digit or a cue word."""
+    return (text.rlike("[@0-9]") | let(F.lower(text), lambda low: reduce(or_, [low.contains(w) for w in S.CUES]))) & text.rlike(r"\S[\s\S]+\S")
+
+
 def boost_by_context(spans: Column, text: Column, by: float = 0.35, words: int = 5, most: float = 1.0, terms=None) -> Column:
     """A higher score where a context term of the span's type stands in the words just before it."""
+    listed = terms or S.CONTEXT
 
     def boosted(s: Column) -> Column:
         before = F.split(strip_chars(F.lower(piece(text, F.lit(0), s["start"]))), r"\s+")
-        near = F.array_join(F.slice(before, F.greatest(F.size(before) - words + 1, F.lit(1)), words), " ")
-        told = F.lit(False)
-        for kind, listed in (terms or S.CONTEXT).items():
-            for term in listed:
-                told = told | ((s["entity_type"] == kind) & near.contains(term))
-        return s.withField("score", F.when(told, F.least(s["score"] + by, F.lit(most))).otherwise(s["score"]))
+        near = let(before, lambda b: F.array_join(F.slice(b, F.greatest(F.size(b) - words + 1, F.lit(1)), words), " "))
+        told = let(near, lambda n: reduce(or_, [(s["entity_type"] == kind) & n.contains(term) for kind, those in listed.items() for term in those]))
+        return F.when(s["entity_type"].isin(*listed), s.withField("score", F.when(told, F.least(s["score"] + by, F.lit(most))).otherwise(s["score"]))).otherwise(s)
 
     return F.transform(spans, boosted)
 
 
-def detect(units: DataFrame, names: Sequence[str] | None = None, text_col: str = "text", extra: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+@lru_cache(maxsize=64)
+def _found(text_col: str, names: tuple[str, ...], boost: bool, jvm: object) -> Column:
+    """What the recognizers find under their bits. Kept, since it takes some thousand calls into the JVM (the last argument) to build."""
+    text = F.col(text_col)
+    found = F.concat(*[_guard(F.col("__triggers").bitwiseAND(BITS[n]) != 0, RECOGNIZERS[n](text)) for n in names])
+    return boost_by_context(found, text) if boost else found
+
+
+#: Sorted, each span once; array_distinct() compares structs in pairs.
+_DISTINCT = "s -> filter(s, (x, i) -> i = 0 OR NOT (x <=> s[i - 1]))"
+
+
+def detect(units: DataFrame, names: Sequence[str] | None = None, text_col: str = "text", extra: dict[str, Callable[[Column], Column]] | None = None, prefilter: bool = False,
+           boost: bool = False) -> DataFrame:
     """Units with a column spans: what the named recognizers find (all of them by default), joined to spans already there.
 
-    extra holds the caller's own recognizers (U1). Null and blank texts give no spans."""
+    A column of bits, computed once, says which recognizers may hit; each runs under its bit. prefilter (F1 as a switch): units without a cue, and without spans found
+    elsewhere, come back with the spans they have, that is none; every unit comes back. boost (D13): scores raised by context words, before any threshold. extra holds the
+    caller's own recognizers (U1), which run on every unit that the switch lets through. Null and blank texts give no spans."""
     text = F.col(text_col)
-    known = RECOGNIZERS | (extra or {})
-    found = F.concat(*[known[n](text) for n in (names or known)])
-    found = F.when(text.rlike(r"\S"), found).otherwise(_none())
-    if "spans" in units.columns:
-        found = F.concat(F.coalesce("spans", _none()), found)
-    return units.withColumn("spans", F.array_distinct(found))
+    extra = extra or {}
+    known = RECOGNIZERS | extra
+    here = F.coalesce("spans", _none()) if "spans" in units.columns else None
+    open_ = text.rlike(r"\S")
+    if prefilter:
+        open_ &= has_cue(text) if here is None else has_cue(text) | ((F.size(here) > 0) & text.rlike(r"\S[\s\S]+\S"))
+    every = 1 << len(BITS)  # the bit of the caller's own
+    units = units.withColumn("__triggers", F.when(open_, triggers(text) + every).otherwise(0))
+    parts = [] if here is None else [here]
+    if own := tuple(n for n in (names or known) if n not in extra):
+        parts.append(_found(text_col, own, boost, units.sparkSession._jvm))
+    for n in (names or known):
+        if n in extra:
+            found = _guard(F.col("__triggers") != 0, extra[n](text))
+            parts.append(boost_by_context(found, text) if boost else found)
+    spans = F.element_at(F.call_function("transform", F.array(F.array_sort(F.concat(*parts))), F.expr(_DISTINCT)), 1)
+    return units.withColumn("spans", spans).drop("__triggers")
 
 
 def regex_recognizer(kind: str, pattern: str, score: float, name: str = "custom") -> Callable[[Column], Column]:

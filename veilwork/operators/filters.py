@@ -6,17 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as S
-from ..functions.matching import piece, strip_chars
-from .detect import STRIP
-
-
-def has_cue(text: Column) -> Column:
-    """long enough, and with an @, a digit or a cue word."""
-    return (F.length(strip_chars(text)) >= 3) & (text.rlike("[@0-9]") | F.lower(text).rlike("|".join(S.CUES)))
+from ..functions.matching import chunks, let, piece_in, strip_chars
+from .detect import STRIP, has_cue
 
 
 def prefilter_units(units: DataFrame, text_col: str = "text") -> DataFrame:
-    """F1; where units have spans found elsewhere, those with a span stay without a cue as well."""
+    """F1 as a filter of rows (detect() has it as a switch that keeps them); where units have spans found elsewhere, those with a span stay without a cue as well."""
     keep = has_cue(F.col(text_col))
     if "spans" in units.columns:
         keep |= (F.length(strip_chars(F.col(text_col))) >= 3) & (F.coalesce(F.size("spans"), F.lit(0)) > 0)
@@ -66,8 +61,9 @@ def filter_spans(spans: Column, text: Column | None, thresholds: dict[str, float
     """F8: supported types, then no false organisations and persons (when the text is given), then thresholds."""
     kept = keep_supported(spans, types)
     if text is not None:
-        said = lambda s: piece(text, s["start"], s["end"])
-        kept = F.filter(kept, lambda s: ~((s["entity_type"] == "ORGANIZATION") & is_org_fp(said(s))) & ~((s["entity_type"] == "PERSON") & is_person_fp(said(s))))
+        false = lambda said, kind: F.when(kind == "ORGANIZATION", is_org_fp(said)).otherwise(is_person_fp(said))
+        asked = lambda s: s["entity_type"].isin("ORGANIZATION", "PERSON")
+        kept = let(chunks(text), lambda cut: F.filter(kept, lambda s: ~asked(s) | ~let(piece_in(cut, s["start"], s["end"]), lambda said: false(said, s["entity_type"]))))
     return filter_by_threshold(kept, thresholds, types)
 
 

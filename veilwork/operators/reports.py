@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from .. import schema as S
+
 CARDS = ("EMAIL_ADDRESS", "PHONE_NUMBER", "PERSON", "ORGANIZATION", "ADDRESS")
 
 
@@ -44,6 +46,25 @@ def document_report(units: DataFrame, detections: DataFrame, by: Sequence[str] =
     return out
 
 
+def observed(units: DataFrame, types: dict | None = None) -> tuple[DataFrame, Observation]:
+    """A1 to A3 counted while units with resolved spans pass by: units, and what holds the counts once they have been written (see sources.files.write_counted).
+
+    Three counts and one for each entity type reach the driver. The step is narrow, so the writing stage is the one that counts, and a task that runs again counts once."""
+    n, seen = F.size("spans"), Observation()
+    of = lambda kind: F.sum(F.size(F.filter("spans", lambda s: s["entity_type"] == kind)))
+    kinds = [of(kind).alias(kind) for kind in (*S.TYPES, *(types or ()))]
+    return units.observe(seen, F.count("*").alias("total_units"), F.count_if(n > 0).alias("units_with_pii"), F.sum(n).alias("total_pii_count"), *kinds), seen
+
+
+def counts_of(units: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """A4 from written units that have kinds (the types of their spans): no text is read and nothing is detected again."""
+    by = list(by)
+    per = units.select(*by, F.size("kinds").alias("n")).groupBy(*by).agg(F.count("*").alias("total_units"), F.count_if(F.col("n") > 0).alias("units_with_pii"), F.sum("n").cast("bigint").alias("total_pii_count"))
+    counts = units.select(*by, F.explode("kinds").alias("entity_type")).groupBy(*by, "entity_type").agg(F.count("*").alias("n"))
+    maps = counts.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entity_type", "n")))).alias("counts_by_type"))  # at most one entry a type
+    return per.join(maps, by, "left").withColumn("counts_by_type", F.coalesce("counts_by_type", F.create_map().cast("map<string,bigint>")))
+
+
 def distinct_types(detections: DataFrame) -> DataFrame:
     """A5."""
     return detections.select("entity_type").distinct()

@@ -48,6 +48,12 @@ ADDRESS_LABEL = (r"(?i)\b(registered\s+office|corporate\s+office|correspondence\
                  r"|contact\s+address)\s*(?::\s*|\s+at\s+)")
 PLACE = (r"(?i)\b(maharashtra|karnataka|gujarat|delhi|tamil\s*nadu|telangana|rajasthan|uttar\s*pradesh|west\s*bengal|pune|mumbai|bengaluru|bangalore|hyderabad"
          r"|chennai|kolkata|ahmedabad|surat|jaipur|lucknow|nagpur|thane|nashik|aurangabad|solapur|amravati|navi\s*mumbai)\b")
+# What a match of these patterns cannot do without: ends of labels and honorifics as written; the others lower-cased.
+HONORIFICS = ("Mr.", "Ms.", "Mrs.", "Dr.", "Shri", "Smt")
+PERSON_LABELS = ("Person", "Director", "Promoter", "Secretary", "Officer", "Auditor", "Executive", "Manager", "Partner", "CFO", "CEO", "MD", "Name")
+SUFFIX_PARTS = ("limited", "ltd", "llp", "corp", "inc", "holdings", "securities", "technologies", "solutions", "services", "infrastructure", "industries", "enterprises", "investments", "finance")
+BIRTH_PARTS = ("dob", "birth", "born", "d.o.b")
+LABEL_PARTS = ("office", "address")
 
 # Words that raise a score, and cues without which a unit is skipped.
 CONTEXT = {

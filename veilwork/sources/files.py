@@ -152,3 +152,13 @@ def write_redacted(units: DataFrame, in_path: str, out_path: str) -> None:
     if a == b or b.startswith(a + "/") or a.startswith(b + "/"):
         raise ValueError("the output would be written over the input")
     units.write.mode("overwrite").parquet(out_path)
+
+
+def write_counted(units: DataFrame, in_path: str, out_path: str, columns=("doc_id", "unit_ord", "unit_id", "redacted"), types: dict | None = None) -> dict[str, int]:
+    """S6 with A1 to A3 in the same pass: writes the columns and kinds (the types of the spans) of units that have spans, and returns total_units, units_with_pii, total_pii_count
+    and the number of spans of each entity type. A report by document comes from the output (reports.counts_of), so nothing is detected twice."""
+    from ..operators.reports import observed
+
+    counted, seen = observed(units, types)
+    write_redacted(counted.select(*columns, F.transform("spans", lambda s: s["entity_type"]).alias("kinds")), in_path, out_path)
+    return {name: n or 0 for name, n in seen.get.items()}

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 
 def units_from_table(df: DataFrame, id_cols: Sequence[str] = ("doc_id",), text_col: str = "text", sep: str = "\n") -> DataFrame:
-    """One row per paragraph that is not blank: id columns, unit_ord (counted before blanks are dropped), unit_id, text."""
-    parts = F.split(F.col(text_col), sep, -1)
+    """One row per paragraph that is not blank: id columns, unit_ord (counted before blanks are dropped), unit_id, text. sep is taken as it stands, not as a pattern."""
+    parts = F.split(F.col(text_col), "\\Q" + sep.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
     rows = df.select(*id_cols, F.posexplode(parts).alias("unit_ord", "text"))
     return rows.where(F.col("text").rlike(r"\S")).select(*id_cols, "unit_ord", F.concat(F.lit("body-para-"), F.col("unit_ord").cast("string")).alias("unit_id"), "text")
 
