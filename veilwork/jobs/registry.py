@@ -622,3 +622,30 @@ found AS (SELECT * EXCLUDE (near) REPLACE (CASE WHEN {_terms} THEN least(score +
 def d13_analysis(spark, sf_dir):
     """All recognizers with scores raised before the thresholds; differs from r2_filter_first where a phone stands behind its word."""
     return spans(X.analyze_units(D.detect(templates(spark, sf_dir), boost=True)))
+
+
+@query("d14_distinct_texts", SQL["d14_detect_documents"])
+def d14_distinct(spark, sf_dir):
+    return spans(D.detect_distinct(doc_units(spark, sf_dir)))
+
+
+# Planted competitors: up to three detections and two true spans on one place, decided by their order.
+RIVALS = """dets AS (SELECT doc_id, unit_id, entity_type, det_id * 4 + i AS det_id, CASE i WHEN 2 THEN st + 1 ELSE st END AS st, CASE i WHEN 0 THEN st + (en - st) // 2 + 1 ELSE en END AS en FROM
+    (SELECT *, (doc_id * 10 + CAST(substr(unit_id, 11) AS BIGINT)) * 100000 + st AS det_id, unnest(range(3)) AS i FROM truth)),
+  trues AS (SELECT doc_id, unit_id, entity_type, gt_id * 4 + i AS gt_id, st, en FROM (SELECT *, (doc_id * 10 + CAST(substr(unit_id, 11) AS BIGINT)) * 100000 + st AS gt_id, unnest(range(1 + st % 2)) AS i FROM truth)),
+  dl AS (SELECT doc_id, unit_id, entity_type, list({'i': det_id, 'a': st, 'e': en, 'g': CAST(NULL AS BIGINT)} ORDER BY det_id) AS d FROM dets GROUP BY ALL),
+  gl AS (SELECT doc_id, unit_id, entity_type, list({'i': gt_id, 'a': st, 'e': en} ORDER BY gt_id) AS g FROM trues GROUP BY ALL),
+  free AS (SELECT *, list_reduce(d, lambda acc, x: CASE WHEN len(list_filter(g, lambda y: least(y.e, x.e) - greatest(y.a, x.a) > 0 AND (least(y.e, x.e) - greatest(y.a, x.a)) / (y.e - y.a) >= 0.5 AND NOT list_contains(list_transform(acc, lambda m: m.g), y.i))) = 0 THEN acc
+    ELSE list_append(acc, {'i': x.i, 'a': x.a, 'e': x.e, 'g': list_filter(g, lambda y: least(y.e, x.e) - greatest(y.a, x.a) > 0 AND (least(y.e, x.e) - greatest(y.a, x.a)) / (y.e - y.a) >= 0.5 AND NOT list_contains(list_transform(acc, lambda m: m.g), y.i))[1].i}) END, d[1:0]) AS m FROM dl JOIN gl USING (doc_id, unit_id, entity_type))"""
+
+
+@query("e2_match_rivals", f"WITH {Q.TEMPLATE_UNITS}, {RIVALS} SELECT doc_id, unit_id, entity_type, x.i AS det_id, x.g AS gt_id FROM (SELECT *, unnest(m) AS x FROM free)")
+def e2_rivals(spark, sf_dir):
+    """Greedy matching where several detections and true spans want one another."""
+    truth = sides(spark, sf_dir)[1]
+    n = F.col("i")
+    det = truth.withColumn("i", F.explode(F.array(*[F.lit(i) for i in range(3)]))).select(
+        "doc_id", "unit_id", "entity_type", (F.col("gt_id") * 4 + n).alias("det_id"), F.when(n == 2, F.col("start") + 1).otherwise(F.col("start")).alias("start"),
+        F.when(n == 0, F.col("start") + F.floor((F.col("end") - F.col("start")) / 2).cast("int") + 1).otherwise(F.col("end")).alias("end"))
+    twice = truth.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("start") % 2))).withColumn("gt_id", F.col("gt_id") * 4 + F.col("i")).drop("i")
+    return E.match_spans(det, twice)

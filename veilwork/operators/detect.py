@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..functions.matching import chunks, greedily, groups, let, matches, piece, piece_in, spans_of, strip_chars
+from ..functions.stored import stored
 
 STRIP = "\\s‘’“”\"'()"
 
@@ -206,6 +207,19 @@ def detect(units: DataFrame, names: Sequence[str] | None = None, text_col: str =
     return units.withColumn("spans", spans).drop("__triggers")
 
 
+def detect_distinct(units: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """D14 with every distinct text analysed once (H9): for corpora whose headers, footers and stock paragraphs recur.
+
+    The dictionary of texts, keyed by hash and text, is counted down before the shuffle; only texts that have spans are written, and they are joined back to all units by both
+    keys, which adaptive execution splits where one text is very frequent. Repeated units stay, null
+    texts have no spans."""
+    key = F.xxhash64(F.col(text_col))
+    words = units.where(F.col(text_col).rlike(r"\S")).select(key.alias("__hash"), F.col(text_col).alias("__text")).groupBy("__hash", "__text").agg(F.count("*").alias("__n"))
+    hits = stored(detect(words, text_col="__text", **options).where(F.size("spans") > 0).select("__hash", "__text", "spans"))
+    found = units.join(hits, (key == F.col("__hash")) & (F.col(text_col) == F.col("__text")), "left")
+    return found.withColumn("spans", F.coalesce("spans", _none())).drop("__hash", "__text")
+
+
 def regex_recognizer(kind: str, pattern: str, score: float, name: str = "custom") -> Callable[[Column], Column]:
     """A recognizer from a pattern that does not match empty."""
     return lambda text: spans_of(matches(text, pattern), kind, score, name)

@@ -15,31 +15,44 @@ def _overlaps(ds: Column, de: Column, gs: Column, ge: Column, least: float) -> C
     return (overlap > 0) & (ge > gs) & (overlap / (ge - gs) >= least)
 
 
-def match_candidates(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT) -> DataFrame:
-    """Pairs of one unit and type whose overlap is at least `least` of the true span. det has det_id, truth gt_id; both start and end."""
+def match_candidates(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT, width: int = 128) -> DataFrame:
+    """Pairs of one unit and type whose overlap is at least `least` of the true span. det has det_id, truth gt_id; both start and end.
+
+    Spans are joined by the stretches of `width` code points that they touch, a pair in the first one that both do, so a unit with very many spans is many keys and pairs that
+    are far apart never meet."""
     keys = [*unit, "entity_type"]
-    d = det.select(*keys, "det_id", F.col("start").alias("ds"), F.col("end").alias("de"))
-    g = truth.select(*keys, "gt_id", F.col("start").alias("gs"), F.col("end").alias("ge"))
-    return d.join(g, keys).where(_overlaps(F.col("ds"), F.col("de"), F.col("gs"), F.col("ge"), least)).select(*keys, "det_id", "gt_id", "ds", "de", "gs", "ge")
+    bins = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / width), F.floor((F.col(high) - 1) / width)))
+    d = det.where("start < end").select(*keys, "det_id", F.col("start").alias("ds"), F.col("end").alias("de"), bins("start", "end").alias("bin"))
+    g = truth.where("start < end").select(*keys, "gt_id", F.col("start").alias("gs"), F.col("end").alias("ge"), bins("start", "end").alias("bin"))
+    pairs = d.join(g, [*keys, "bin"]).where(F.col("bin") == F.floor(F.greatest("ds", "gs") / width))
+    return pairs.where(_overlaps(F.col("ds"), F.col("de"), F.col("gs"), F.col("ge"), least)).select(*keys, "det_id", "gt_id", "ds", "de", "gs", "ge")
 
 
 def matched_units(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT) -> DataFrame:
-    """E2 to E4 in one shuffle by unit: per unit and type of either side n_det, n_gt, matched (array of det_id, gt_id), and whether the unit has any ground truth.
+    """E2 to E4 in one shuffle by unit: per group of spans of a unit and type that overlap one another, directly or by others, n_det, n_gt, matched (array of det_id, gt_id), and
+    whether the unit has any ground truth.
 
-    In order of det_id each detection takes its first candidate, by gt_id, that is still free. Ids need be unique within a unit only. The arrays hold a unit's own spans."""
+    In order of det_id each detection takes its first candidate, by gt_id, that is still free. Groups cannot compete, so they are folded apart: a unit with very many spans is
+    many short arrays. Ids need be unique within a unit only."""
     kinds = dict(det.select("det_id").dtypes + truth.select("gt_id").dtypes)
-    span = lambda name: F.struct(F.col(name).alias("id"), "start", "end")
+    span = lambda name: F.struct(F.col(name).alias("id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
     d = det.select(*unit, "entity_type", span("det_id").alias("d"), F.lit(None).cast(f"struct<id:{kinds['gt_id']},start:int,end:int>").alias("g"))
     g = truth.select(*unit, "entity_type", F.lit(None).cast(d.schema["d"].dataType).alias("d"), span("gt_id").alias("g"))
-    both = d.unionByName(g).repartition(*unit).groupBy(*unit, "entity_type").agg(F.array_sort(F.collect_list("d")).alias("d"), F.array_sort(F.collect_list("g")).alias("g"))
+    start, end = (F.coalesce(f"d.{x}", f"g.{x}") for x in ("start", "end"))
+    order = Window.partitionBy(*unit, "entity_type").orderBy(start, end)
+    begins = start >= F.coalesce(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), start)
+    both = d.unionByName(g).repartition(*unit).withColumn("__begins", begins.cast("int"))
+    both = both.withColumn("__group", F.sum("__begins").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    both = both.groupBy(*unit, "entity_type", "__group").agg(F.array_sort(F.collect_list("d")).alias("d"), F.array_sort(F.collect_list("g")).alias("g"))
 
     def step(acc: Column, x: Column) -> Column:
         free = F.filter("g", lambda y: _overlaps(x["start"], x["end"], y["start"], y["end"], least) & ~F.exists(acc, lambda m: m["gt_id"] == y["id"]))
         return F.when(F.size(free) > 0, F.concat(acc, F.array(F.struct(x["id"].alias("det_id"), F.get(free, F.lit(0))["id"].alias("gt_id"))))).otherwise(acc)
 
     none = F.array().cast(f"array<struct<det_id:{kinds['det_id']},gt_id:{kinds['gt_id']}>>")
+    matched = F.when((F.size("d") > 0) & (F.size("g") > 0), F.aggregate("d", none, step)).otherwise(none)
     told = F.max(F.size("g") > 0).over(Window.partitionBy(*unit))
-    return both.select(*unit, "entity_type", F.size("d").alias("n_det"), F.size("g").alias("n_gt"), F.aggregate("d", none, step).alias("matched"), told.alias("unit_in_gt"))
+    return both.select(*unit, "entity_type", F.size("d").alias("n_det"), F.size("g").alias("n_gt"), matched.alias("matched"), told.alias("unit_in_gt"))
 
 
 def match_spans(det: DataFrame, truth: DataFrame, least: float = 0.5, unit: Sequence[str] = UNIT) -> DataFrame:

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
 
 from .. import schema as S
 from ..functions.matching import strip_chars
@@ -21,23 +20,21 @@ def assign_fake_ids(detections: DataFrame, scope: Sequence[str] = ("doc_id",), p
     return first.select(*keys, "original", (F.row_number().over(order) - 1).cast("bigint").alias("idx"))
 
 
-def assign_fake_ids_corpus(detections: DataFrame, position: Sequence[str] = ("doc_id", "unit_ord", "start"), chunks: int = 1024) -> DataFrame:
-    """K1 over a whole corpus without a window per type, for ids of any type that can be ordered.
-
-    Distinct values are dealt to at most `chunks` ranges of the position's leading id (a null id comes first), whose bounds are a sample of the ids by hash; they are ranked inside a range, and the
-    sizes of the ranges before it are added."""
-    first = stored(detections.withColumn("original", strip_chars(F.col("text"))).groupBy("entity_type", "original").agg(F.min(F.struct(*position)).alias("first")))
-    lead = F.col(f"first.{position[0]}")
-    ids = first.select(lead.alias("id")).where("id IS NOT NULL").distinct()
-    bounds = sorted(r[0] for r in ids.orderBy(F.xxhash64("id"), "id").limit(chunks - 1).collect())  # at most chunks - 1 ids
-    kind = first.select(lead.alias("id")).schema["id"].dataType
-    edges = F.array(*[F.lit(x).cast(kind) for x in bounds]) if bounds else F.array().cast(ArrayType(kind))
-    first = first.withColumn("chunk", F.when(lead.isNull(), -1).otherwise(F.size(F.filter(edges, lambda x: x <= lead))))
-    inside = Window.partitionBy("entity_type", "chunk").orderBy("first", "original")
-    before = Window.partitionBy("entity_type").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # at most chunks rows a type
-    offsets = first.groupBy("entity_type", "chunk").agg(F.count("*").alias("n")).select("entity_type", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    ranked = first.withColumn("rank", F.row_number().over(inside) - 1)
-    return ranked.join(offsets, ["entity_type", "chunk"]).select("entity_type", "original", (F.col("rank") + F.col("offset")).cast("bigint").alias("idx"))
+def assign_fake_ids_corpus(detections: DataFrame, position: Sequence[str] = ("doc_id", "unit_ord", "start"), chunks: int | None = None) -> DataFrame:
+    """K1 over a whole corpus without a window per type, for ids of any type that can be ordered (a null id comes first).
+
+    Distinct values are dealt to `chunks` ranges (spark.sql.shuffle.partitions by default) of (type, first place, value), sorted inside and numbered as they are written, so a
+    document with very many values is cut as well. The index is the number inside the chunk, less the chunk's first of that type, plus the values of the type in chunks before."""
+    spark = detections.sparkSession
+    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    first = detections.withColumn("original", strip_chars(F.col("text"))).groupBy("entity_type", "original").agg(F.min(F.struct(*position)).alias("first"))
+    ranges = first.repartitionByRange(chunks, "entity_type", "first", "original").sortWithinPartitions("entity_type", "first", "original")
+    dealt = stored(ranges.select("entity_type", "original", F.spark_partition_id().alias("chunk"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("place")))
+    sizes = dealt.groupBy("entity_type", "chunk").agg(F.count("*").alias("n"), F.min("place").alias("low"))
+    before = Window.partitionBy("entity_type").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)  # at most a row a chunk
+    offsets = sizes.select(F.col("entity_type").alias("t"), F.col("chunk").alias("c"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("low")).alias("offset"))
+    joined = dealt.join(offsets, dealt["entity_type"].eqNullSafe(F.col("t")) & (F.col("chunk") == F.col("c")))
+    return joined.select("entity_type", "original", (F.col("place") + F.col("offset")).cast("bigint").alias("idx"))
 
 
 def _pick(pool, idx: Column) -> Column:
