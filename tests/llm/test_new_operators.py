@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.llm import periodic_runs, phrase_fingerprint, spelling_variants
+from veilwork.llm import html_text, periodic_runs, phrase_fingerprint, spelling_variants
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, word string, n int, form string, guest boolean, range int, t binary, tie string, h int"
@@ -222,3 +223,22 @@ def test_fingerprints(spark, real):
     assert got == want
     edited = np.mean([x[4] for x in want.values()])
     assert edited > 0.55 > 0.3 > np.mean([x[5] for x in want.values()])
+
+
+def test_broken_pages_stay_linear():
+    """A megabyte of broken markup of each kind within seconds; a quadratic parser needs an hour."""
+    pages = ["<a href='x' " * 90_000, "<a '>' " * 140_000 + '"', "<div>" * 200_000, "<div>" * 100_000 + "</p></i></section>" * 50_000, "<nav>" + "<article>" * 100_000, "<li>a" * 200_000, "<a" * 500_000,
+             "<div class=sidebar>" * 60_000 + "<article>" * 60_000]
+    start = time.time()
+    for html in pages:
+        page = html_text.Page(html)
+        page.text(set())
+        page.templates()
+    assert time.time() - start < 60
+
+
+def test_what_is_no_article_text():
+    text = lambda html: html_text.Page(html).text(set())
+    assert text("<article>A<div class='cookie-notice'>We use cookies</div><div class=newsletter>Subscribe now</div><div class='share-buttons'>Share</div><p>B</p></article>") == "A\n\nB"
+    assert text("<main><p>A</p></main><article>Teaser</article>") == "A" and text("<article>A</article><article>B</article>") == "A\n\nB"
+    assert text("<p>one < two</p><p title='a>b'>three") == "one < two\n\nthree" and text("<p>a</i></section>b<p>c <a href=\"x>d") == "a\n\nb\n\nc d"

@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_arrow_batches, give_back, materialise, table
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:(?:"[^"]*"|'[^']*')[^>"']*)*)>""", re.S)
+OPENING = re.compile(r"<!--|<[!?]|<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 # HTML's elements by what they do to the text.
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split())
@@ -35,7 +36,7 @@ ENDS_P = BLOCK - {"body", "html"}
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 MARK = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|sidebar|side-bar|nav\w*|menu\w*|breadcrumbs?|comments?|disqus\w*|replies|respond|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|popup|modal|widget\w*|masthead|site-header|site-footer|page-header|page-footer|header|footer|skip-link|pagination|pager)(?=$|[\s_-])", re.I)
 # Marks of what is no part of an article even where it is built of article elements
-IN_MAIN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond)(?=$|[\s_-])", re.I)
+IN_MAIN = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond|cookies?|consent|newsletter|subscribe|signup|sharing|share-(?:bar|buttons?|links?)|social-(?:bar|buttons?|links?))(?=$|[\s_-])", re.I)
 OTHER_TEXT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|comments?|disqus\w*|replies|respond|related|recommend\w*)(?=$|[\s_-])", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
@@ -77,17 +78,17 @@ class Page:
 
     def _around_article(self) -> set[int]:
         """Nodes with a layout class that hold the main element, or the articles where no other is left."""
-        out: set[int] = set()
+        passed: set[int] = set()
+        hard = [False]  # below or at an element that cannot be a wrapper
         tags = ("main",) if any(self.main) else ("article", "main")
-        for n, tag in enumerate(self.tag):
-            if tag in tags and self.boiler[n] and not self.own[n]:
-                up, n = set(), self.parent[n]
-                while n > 0:
-                    up.add(n)
-                    n = self.parent[n]
-                if all(self.own[k] < 2 for k in up):
-                    out |= {k for k in up if self.own[k]}
-        return out
+        for n in range(1, len(self.tag)):
+            hard.append(hard[self.parent[n]] or self.own[n] == 2)
+            if self.tag[n] in tags and self.boiler[n] and not self.own[n] and not hard[n]:
+                up = self.parent[n]
+                while up > 0 and up not in passed:
+                    passed.add(up)
+                    up = self.parent[up]
+        return {n for n in passed if self.own[n]}
 
     def _read(self, html: str) -> None:
         self.own = [0]
@@ -96,26 +97,56 @@ class Page:
         self.blocks: list[tuple[int, str]] = []
         self._stack, self._buffer = [0], []
         self._mute = 0  # place in the stack of a removed element inside a line: its text is left out, the line goes on behind it
-        at = 0
-        while (m := TOKEN.search(html, at)) is not None:
-            if m.start() > at and not self._mute:
-                self._buffer.append(html[at : m.start()])
-            at = m.end()
-            if m[2] is None:
+        self._open_tags: dict[str, int] = {}
+        self._broken = at = 0
+        while (m := OPENING.search(html, at)) is not None:
+            start, opened = m.start(), m[2] is not None
+            if m[0] == "<!--":
+                end = html.find("-->", start + 4)
+                end = len(html) if end < 0 else end + 2
+            else:
+                end = self._tag_end(html, m.end()) if opened else html.find(">", m.end())
+                if end < 0:
+                    break  # no ">" from here on, so no element either
+            if start > at and not self._mute:
+                self._buffer.append(html[at:start])
+            at = end + 1
+            if not opened:
                 continue
-            tag = m[2].lower()
+            tag, attributes = m[2].lower(), html[m.end() : end]
             if m[1]:
                 self._close(tag)
                 continue
-            if tag in RAW and not m[3].rstrip().endswith("/"):
-                end = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+            if tag in RAW and not attributes.rstrip().endswith("/"):
+                found = re.compile(f"</{tag}\\s*>", re.I).search(html, at)
+                at = found.end() if found else len(html)
                 continue
-            self._open(tag, m[3])
+            self._open(tag, attributes)
         if at < len(html) and not self._mute:
             self._buffer.append(html[at:])
         self._flush()
 
+    def _tag_end(self, html: str, at: int) -> int:
+        """Place of the ">" that ends a tag, outside of quotes; -1 without one. Where a quote is never closed, quotes count for nothing up to it, so that no part is read again and again."""
+        i = at
+        while at >= self._broken:
+            m = STOP.search(html, i)
+            if m is None:
+                self._broken = len(html)
+                break
+            if m[0] == ">":
+                return m.start()
+            i = html.find(m[0], m.end()) + 1
+            if not i:
+                self._broken = m.end()
+        return html.find(">", at)
+
+    def _pop(self, depth: int) -> None:
+        """Ends the open elements from a place in the stack on."""
+        for n in self._stack[depth:]:
+            self._open_tags[self.tag[n]] -= 1
+        del self._stack[depth:]
+
     def _flush(self) -> None:
         if self._buffer:
             text = " ".join(unescape("".join(self._buffer)).split())
@@ -141,11 +172,11 @@ class Page:
             return
         if tag in BLOCK:
             self._flush()
-        if tag in ENDS_P and "p" in (self.tag[n] for n in self._stack[-1:]):
-            self._stack.pop()
+        if tag in ENDS_P and self.tag[self._stack[-1]] == "p":
+            self._pop(-1)
         if tag in SAME_ENDS:
             while self.tag[self._stack[-1]] in SAME_ENDS[tag]:
-                self._stack.pop()
+                self._pop(-1)
         top = self._stack[-1]
         node = len(self.parent)
         self.parent.append(top)
@@ -157,22 +188,22 @@ class Page:
         self.content[top].append(node)
         if not attributes.rstrip().endswith("/") or tag in BLOCK:
             self._stack.append(node)
+            self._open_tags[tag] = self._open_tags.get(tag, 0) + 1
             if tag not in BLOCK and not self._mute:
                 self._mute = len(self._stack) - 1
 
     def _close(self, tag: str) -> None:
         if tag in VOID:
             return
-        for depth in range(len(self._stack) - 1, 0, -1):
-            if self.tag[self._stack[depth]] == tag:
-                if tag in BLOCK:
-                    self._flush()
-                if depth <= self._mute:
-                    self._mute = 0
-                del self._stack[depth:]
-                return
         if tag in BLOCK:
             self._flush()
+        if self._open_tags.get(tag):  # else a stray end, for which nothing is looked through
+            depth = len(self._stack) - 1
+            while self.tag[self._stack[depth]] != tag:
+                depth -= 1
+            if depth <= self._mute:
+                self._mute = 0
+            self._pop(depth)
 
     def hashes(self) -> list[int | None]:
         """A signed 64-bit hash of each subtree's tags and text, odd inside an article or main; None without text."""
@@ -203,8 +234,13 @@ class Page:
                     drop[n] = True
         for n in range(1, len(drop)):
             drop[n] = drop[n] or drop[self.parent[n]]
-        main = any(m and not d for m, d in zip(self.main, drop))
-        return "\n\n".join(t for n, t in self.blocks if not drop[n] and (self.main[n] or not main))
+        inside = [False]  # of the main element, beside which an article (a teaser) is none of the text
+        for n in range(1, len(drop)):
+            inside.append(inside[self.parent[n]] or self.tag[n] == "main")
+        for part in (inside, self.main):
+            if any(x and not d for x, d in zip(part, drop)):
+                return "\n\n".join(t for n, t in self.blocks if part[n] and not drop[n])
+        return "\n\n".join(t for n, t in self.blocks if not drop[n])
 
 
 def common_subtrees(found: DataFrame, least_pages: int, least_share: float, least_in_main: int, share_in_main: float) -> tuple[DataFrame, DataFrame]:
