@@ -454,6 +454,9 @@ def test_quality(spark, odd, none):
     assert quality.score_documents(quality.views(none), models).count() == 0
     kept = quality.keep_good(odd, labels.limit(0))
     assert kept.count() == len(ODD) and kept.columns == odd.columns
+    few = train.orderBy(F.xxhash64("doc_id")).limit(120)
+    right = lambda rounds: ((r := quality.score_documents(seen, quality.train(seen, few, rounds=rounds)).join(test, "doc_id").toPandas()).score.ge(0.5) == (r.quality == 1)).mean()
+    assert right(2) >= right(0) - 0.005  # the exchange does no harm
 
 
 def test_quality_round_brute_force(spark):
@@ -463,8 +466,12 @@ def test_quality_round_brute_force(spark):
     sure = {k: p for k, p in [(f"k{i}", i / 40) for i in range(41)] + [("t1", 1.0), ("t2", 0.0)] if p >= 0.9 or p <= 0.1}
     assert len(got) == 6 and set(got) <= set(sure) and all(v == (sure[k] > 0.5) for k, v in got.items())
     assert {"k40", "t1", "k39"} <= set(got) and {"k0", "t2", "k1"} <= set(got)
+    lopsided = quality.pseudo_labels(scored, "p_text", 3, 0.5, 5 / 6).collect()  # five good, one bad
+    assert sorted(r.label for r in lopsided) == [0.0, 1.0, 1.0, 1.0, 1.0, 1.0]
     rng = np.random.default_rng(3)
     y = (rng.random(300) < 0.5).astype(float)
+    noise = quality.Calibrated(quality.Logistic(rng.normal(size=(300, 4)), y), rng.normal(size=300), y)  # a view that knows nothing is sure of nothing
+    assert np.abs(noise.logit(rng.normal(size=(500, 4)))).max() < np.log(0.97 / 0.03)
     a, b = rng.normal(size=(300, 4)) + y[:, None], rng.normal(size=(300, 3)) + 0.2 * y[:, None]
     folds = np.arange(300) % 3
     extra = (rng.normal(size=(20, 4)) + 1, np.ones(20))

@@ -2,8 +2,9 @@
 
 Text view: shares of kinds of characters, repetition, word and line lengths, and the words themselves, hashed into slots, from the whole text. Metadata view: lang and source (hashed
 into a few slots) and length. Each view is a ridge logistic regression. In every round each scores all documents that have no label in Spark, and its most
-confident ones (`give` a class, those it is `sure` of) become pseudo-labels of the other. Both are then calibrated: a logistic regression joins
-their log odds on the labels, each from a model that has not seen the row's fold. The joint score rates all documents.
+confident ones (2 * `give`, in the proportion of the labels' classes, those it is `sure` of by odds calibrated on held-out folds) become pseudo-labels of the other. Both are
+then calibrated: a logistic regression joins their log odds on the labels, each from a model that has not seen the row's fold. All rounds run; the models of the round whose
+joint loss on held-out folds is least, no round included, rate all documents.
 
 At most `sample` labelled rows (by hash of the id) are read for fitting, and `give` documents a class, view and round; all else covers all rows and whole texts.
 Null texts count as empty, null lang, source or n_chars are values of their own. Without labels of both kinds every score is 1 and nothing is rejected. Repeated label rows count
@@ -106,8 +107,8 @@ def fit_view(x: np.ndarray, y: np.ndarray, given: tuple[np.ndarray, np.ndarray],
     return Logistic(np.vstack([x[rows], gx]), np.concatenate([y[rows], gy]), np.concatenate([np.ones(len(y[rows])), np.full(len(gy), 0.5)]))
 
 
-def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray, given_a, given_b, folds: np.ndarray) -> Logistic:
-    """The joint model, from log odds of each row by models that were fitted without the row's fold."""
+def held_out(a: np.ndarray, b: np.ndarray, y: np.ndarray, given_a, given_b, folds: np.ndarray) -> np.ndarray:
+    """Log odds of each row by both views' models that were fitted without the row's fold."""
     odds = np.zeros((len(y), 2))
     for f in np.unique(folds):
         rest, here = folds != f, folds == f
@@ -115,7 +116,26 @@ def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray, given_a, given_b, fol
             rest = np.ones(len(y), bool)
         odds[here, 0] = fit_view(a, y, given_a, rest).logit(a[here])
         odds[here, 1] = fit_view(b, y, given_b, rest).logit(b[here])
-    return Logistic(odds, y)
+    return odds
+
+
+def calibrate(a: np.ndarray, b: np.ndarray, y: np.ndarray, given_a, given_b, folds: np.ndarray) -> Logistic:
+    """The joint model, from log odds of each row by models that were fitted without the row's fold."""
+    return Logistic(held_out(a, b, y, given_a, given_b, folds), y)
+
+
+def log_loss(joint: Logistic, odds: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y > 0.5, -1, 1) * joint.logit(odds)).mean())
+
+
+class Calibrated:
+    """A view whose log odds are put right by a regression on held-out ones, so that being sure is being right that often; a view that knows nothing is sure of nothing."""
+
+    def __init__(self, view: Logistic, odds: np.ndarray, y: np.ndarray):
+        self.view, self.mean, self.put_right = view, view.mean, Logistic(odds[:, None], y)
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.put_right.logit(self.view.logit(x)[:, None])
 
 
 def _matrix(column, size: int) -> np.ndarray:
@@ -137,11 +157,11 @@ def _scored(seen: DataFrame, models) -> DataFrame:
     return seen.mapInPandas(run, "doc_id long, key string, p_text double, p_meta double, score double")
 
 
-def pseudo_labels(scored: DataFrame, giver: str, give: int, sure: float) -> DataFrame:
-    """key, label: the documents that a view is most sure of, at most `give` a class. Ties go by hash of the key."""
-    p = F.col(giver)
-    ends = [scored.where(p >= sure).orderBy(F.desc(giver), F.xxhash64("key"), "key").limit(give).select("key", F.lit(1.0).alias("label")),
-            scored.where(p <= 1 - sure).orderBy(F.asc(giver), F.xxhash64("key"), "key").limit(give).select("key", F.lit(0.0).alias("label"))]
+def pseudo_labels(scored: DataFrame, giver: str, give: int, sure: float, share: float = 0.5) -> DataFrame:
+    """key, label: the documents that a view is most sure of, at most 2 * give, of these the share of the good. Ties go by hash of the key."""
+    p, good = F.col(giver), round(2 * give * share)
+    ends = [scored.where(p >= sure).orderBy(F.desc(giver), F.xxhash64("key"), "key").limit(good).select("key", F.lit(1.0).alias("label")),
+            scored.where(p <= 1 - sure).orderBy(F.asc(giver), F.xxhash64("key"), "key").limit(2 * give - good).select("key", F.lit(0.0).alias("label"))]
     return ends[0].unionByName(ends[1])
 
 
@@ -156,12 +176,16 @@ def train(seen: DataFrame, labels: DataFrame, sample: int = 20_000, rounds: int
     none = lambda x: (np.empty((0, x.shape[1]), np.float32), np.empty(0))
     given = {"a": none(a), "b": none(b)}
     text, meta = fit_view(a, y, given["a"]), fit_view(b, y, given["b"])
+    folds = np.array([xxhash.xxh32_intdigest(str(i)) % n_folds for i in got["doc_id"]])
+    odds = held_out(a, b, y, given["a"], given["b"], folds)
+    joint = Logistic(odds, y)
+    best = (log_loss(joint, odds, y), text, meta, joint)
     labelled = known.select("doc_id").distinct()
     taken: dict[str, set[str]] = {"a": set(), "b": set()}
     for _ in range(rounds):
-        scored = materialise(_scored(seen, (text, meta, None)).join(labelled, "doc_id", "left_anti"))
+        scored = materialise(_scored(seen, (Calibrated(text, odds[:, 0], y), Calibrated(meta, odds[:, 1], y), None)).join(labelled, "doc_id", "left_anti"))
         for giver, to in (("p_text", "b"), ("p_meta", "a")):
-            told = {r[0]: r[1] for r in pseudo_labels(scored, giver, give, sure).collect() if r[0] not in taken[to]}  # at most 2 * give
+            told = {r[0]: r[1] for r in pseudo_labels(scored, giver, give, sure, float(y.mean())).collect() if r[0] not in taken[to]}  # at most 2 * give
             if not told:
                 continue
             keys = seen.sparkSession.createDataFrame(list(told.items()), "key string, label double")
@@ -171,8 +195,10 @@ def train(seen: DataFrame, labels: DataFrame, sample: int = 20_000, rounds: int
             taken[to] |= set(rows["key"])
         drop_written(scored)
         text, meta = fit_view(a, y, given["a"]), fit_view(b, y, given["b"])
-    folds = np.array([xxhash.xxh32_intdigest(str(i)) % n_folds for i in got["doc_id"]])
-    return text, meta, calibrate(a, b, y, given["a"], given["b"], folds)
+        odds = held_out(a, b, y, given["a"], given["b"], folds)
+        joint = Logistic(odds, y)
+        best = min(best, (log_loss(joint, odds, y), text, meta, joint), key=lambda x: x[0])
+    return best[1:]
 
 
 def score_documents(seen: DataFrame, models) -> DataFrame:
