@@ -649,3 +649,36 @@ def e2_rivals(spark, sf_dir):
         F.when(n == 0, F.col("start") + F.floor((F.col("end") - F.col("start")) / 2).cast("int") + 1).otherwise(F.col("end")).alias("end"))
     twice = truth.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("start") % 2))).withColumn("gt_id", F.col("gt_id") * 4 + F.col("i")).drop("i")
     return E.match_spans(det, twice)
+
+
+# A weak span of high priority over every email and phone: resolved first it hides them and then falls to its threshold, filtered first it goes and they stay.
+WEAK = " UNION ALL SELECT t.doc_id, t.unit_ord, t.unit_id, text, 'ADDRESS', t.st, t.en, 0.5::DOUBLE, 'model' FROM truth t JOIN units u USING (doc_id, unit_ord) WHERE entity_type IN ('EMAIL_ADDRESS', 'PHONE_NUMBER')"
+_told = f"entity_type IN {Q.one_of(S.TYPES)} AND score >= {Q.by_type('entity_type', 1, S.DEFAULT_THRESHOLD)}"
+
+
+def weakened(spark, sf_dir) -> DataFrame:
+    units = templates(spark, sf_dir)
+    weak = units.select("doc_id", "unit_ord", F.explode("gt").alias("g")).where("g.entity_type IN ('EMAIL_ADDRESS', 'PHONE_NUMBER')").select(
+        "doc_id", "unit_ord", F.lit("ADDRESS").alias("entity_type"), "g.start", "g.end", F.lit(0.5).alias("score"), F.lit("model").alias("recognizer"))
+    return D.detect(D.add_external_spans(units, weak))
+
+
+@query("r2_weak_resolve_first", f"WITH {Q.found(Q.TEMPLATE_UNITS, extra=WEAK)}, {Q.resolved('found')} {SPANS} kept WHERE {_told}")
+def r2_weak(spark, sf_dir):
+    return spans(X.analyze_units(weakened(spark, sf_dir), "resolve_first"))
+
+
+@query("r2_weak_filter_first", f"WITH {Q.found(Q.TEMPLATE_UNITS, extra=WEAK)}, {Q.FILTERED}, {Q.resolved('filtered')} {SPANS} kept")
+def r2_weak_filter(spark, sf_dir):
+    return spans(X.analyze_units(weakened(spark, sf_dir)))
+
+
+# Spans that no recognizer finds: the first seven characters of units without any true span.
+UNSEEN = " UNION ALL SELECT u.doc_id, u.unit_ord, u.unit_id, text, 'PERSON', CAST(0 AS INT), CAST(7 AS INT), 0.85::DOUBLE, 'model' FROM units u WHERE (doc_id, unit_ord) NOT IN (SELECT (doc_id, unit_ord) FROM truth)"
+
+
+@query("d15_unseen_spans", f"WITH {Q.found(Q.TEMPLATE_UNITS, extra=UNSEEN)}, {Q.FILTERED}, {Q.resolved('filtered')} {SPANS} kept")
+def d15_unseen(spark, sf_dir):
+    units = templates(spark, sf_dir)
+    model = units.where(F.size("gt") == 0).select("doc_id", "unit_ord", F.lit("PERSON").alias("entity_type"), F.lit(0).alias("start"), F.lit(7).alias("end"), F.lit(0.85).alias("score"), F.lit("model").alias("recognizer"))
+    return spans(X.analyze_units(D.detect(D.add_external_spans(units, model))))
