@@ -1,10 +1,12 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosine products inside cells, one vector kept per group.
 
-Centres are fitted on a bounded sample (at most `sample` vectors of a length, by hash of the id); their number grows with the vectors, a cell for each `cell_size`. Every vector is assigned to its home cell and visits some others.
+Centres are fitted on a bounded sample (at most `sample` vectors of a length, by hash of the id, as 8 bytes a component on the driver); their number grows with the vectors, a cell for each
+`cell_size`, at most `sample` / 8 over all lengths. Every vector is assigned to its home cell and visits some others.
 The plane between the centres of two cells lies between the partners of a pair with homes there; two unit vectors of cosine t are r = sqrt(2 - 2t) apart, so the nearer one
-is at most r / 2 from the plane. It is enough that this one visits the other's home. How far partners lie apart across a plane is measured:
-`sigmas` times r times the share of the spread of a cell's sample along the lines to its neighbours' centres; half of that is the reach (a pair that is further apart is still found where the plane lies near one of them), and r / 2, which loses no pair, is the most. Tests measure
-recall (of thousands of planted pairs, on data of low and full rank); sigmas=None takes r / 2 everywhere, the exact join.
+is at most r / 2 from the plane. It is enough that this one visits the other's home. How far partners lie apart across a plane is measured, line by line between centres:
+`probes` vectors of a length, chosen by hash, are compared with all vectors, and each one's farthest link gives an offset. The reach across a plane is half of `sigmas` times r times the share of
+these offsets, or of the spread around the centres where that is more, along the line; r / 2, which loses no pair, is the most. Where that finds fewer than 99 % of the probes' farthest links, the reach is doubled, then r / 2.
+Tests measure recall (of thousands of planted pairs, on data of low and full rank, with offsets along few axes); sigmas=None takes r / 2 everywhere, the exact join.
 
 In a cell, blocks of its home vectors are multiplied by blocks of all its vectors, tile by tile; visitors are not compared with each other. A pair counts for both vectors, once: where each visits the other, in the lower cell.
 Tasks return link counts and a spanning forest, never the pairs. Equal vectors are joined first and count by their number.
@@ -52,34 +54,74 @@ def gaps(c: np.ndarray) -> np.ndarray:
     return np.array([np.linalg.norm(c - one, axis=1) for one in c])
 
 
-def reaches(x: np.ndarray, c: np.ndarray, apart: float, sigmas: float | None, neighbours: int = 12, least: int = 24) -> np.ndarray:
-    """How far from a plane the vectors of each cell still visit the cell behind it."""
-    out = np.full(len(c), apart / 2 + 1e-6)
-    if sigmas is None or len(c) < 2:
-        return out
-    home, gap = np.argmax(x @ c.T, axis=1), gaps(c)
-    for cell in range(len(c)):
-        rest = x[home == cell] - c[cell]
-        if len(rest) >= least:
-            near = np.argsort(gap[cell], kind="stable")[1 : neighbours + 1]
-            lines = (c[near] - c[cell]) / np.maximum(gap[cell][near], 1e-12)[:, None]
-            share = ((rest @ lines.T) ** 2).mean(0) / max(1e-12, (rest**2).sum(1).mean())
-            out[cell] = min(out[cell], sigmas * apart * float(np.sqrt(share.mean())) / 2)
-    return out
+def shares(steps: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Mean square of unit steps along the line between any two centres; the length of a step does not count, steps of none are left out."""
+    size = np.linalg.norm(steps, axis=1)
+    steps = steps[size > 1e-9] / size[size > 1e-9, None]
+    if not len(steps):
+        return np.zeros((len(c), len(c)))
+    value, vector = np.linalg.eigh(steps.T @ steps / len(steps))
+    return (gaps(c @ (vector * np.sqrt(np.maximum(value, 0)))) / np.maximum(gaps(c), 1e-12)) ** 2
 
 
-def visits(x: np.ndarray, c: np.ndarray, gap: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def limits(x: np.ndarray, links: tuple[np.ndarray, np.ndarray], c: np.ndarray, apart: float, sigmas: float | None, target: float = 0.99) -> np.ndarray:
+    """How much nearer, as a difference of dot products, the vectors of a cell may be to its centre than to another one whose cell they still visit. links: the probes and their farthest links."""
+    if sigmas is not None and len(c) > 1:
+        a, b = links
+        share = np.sqrt(np.maximum(shares(x - c[np.argmax(x @ c.T, axis=1)], c), shares(b - a, c)))
+        for wide in (sigmas, 2 * sigmas):
+            most = np.minimum(apart / 2 + 1e-6, wide * apart * share / 2) * gaps(c)
+            (ha, ia), (hb, ib) = visits(a, c, most), visits(b, c, most)
+            row = np.arange(len(a))
+            if not len(a) or (ia[row, hb] | ib[row, ha]).mean() >= target:
+                return most
+    return (apart / 2 + 1e-6) * gaps(c)
+
+
+def visits(x: np.ndarray, c: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Home of each vector, and which cells it is in."""
     dots = x @ c.T
-    home = np.argmax(dots, axis=1)
+    home = np.argmax(dots, axis=1) if len(x) else np.zeros(0, int)
     row = np.arange(len(x))
-    into = dots[row, home][:, None] - dots <= reach[home][:, None] * gap[home]
+    into = dots[row, home][:, None] - dots <= most[home]
     into[row, home] = True
     return home, into
 
 
+def _collected(rows: DataFrame, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of rows (id, vector of length dim), collected as Arrow columns."""
+    found = rows.toArrow()
+    v = found.column(1).combine_chunks()
+    return found.column(0).to_numpy().astype(np.int64), _units(np.asarray(v.flatten(), np.float64).reshape(-1, dim), dim) if len(v) else np.empty((0, dim))
+
+
+def farthest_links(groups: DataFrame, model: dict, threshold: float) -> DataFrame:
+    """Rows (dim, probe, x) of the farthest link, if any, of each probe, a row of model[dim] = (ids, unit vectors), among all other vectors."""
+    shared = groups.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for dim, b in batch.groupby("dim"):
+                if dim not in shared.value:
+                    continue
+                ids, probes = shared.value[dim]
+                for start in range(0, len(b), 1024):
+                    part = b.iloc[start : start + 1024]
+                    x = _units(part["v"], dim)
+                    dots = probes @ x.T
+                    dots[(dots < threshold) | (ids[:, None] == part["rep"].to_numpy()[None, :])] = 2.0
+                    at = dots.argmin(1)
+                    hit = np.nonzero(dots[np.arange(len(ids)), at] < 2.0)[0]
+                    if len(hit):
+                        yield pd.DataFrame({"dim": np.full(len(hit), dim), "probe": ids[hit], "dot": dots[hit, at[hit]], "rep": part["rep"].to_numpy()[at[hit]], "x": list(x[at[hit]])})
+        give_back()
+
+    found = groups.select("dim", "rep", "v").mapInPandas(run, "dim int, probe long, dot double, rep long, x array<double>")
+    return found.groupBy("dim", "probe").agg(F.min(F.struct("dot", "rep", "x")).alias("far")).select("dim", "probe", "far.x")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95,
-                    sample: int = 20_000, rounds: int = 6, cell_size: int = 1024, seed: int = 7, sigmas: float | None = 2.5) -> DataFrame:
+                    sample: int = 20_000, rounds: int = 6, cell_size: int = 1024, seed: int = 7, sigmas: float | None = 3.0, probes: int = 1024) -> DataFrame:
     """Per vector: vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
     bound_arrow_batches(spark)
@@ -90,14 +132,26 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # Equal vectors: by a hash of all components and the vector itself
     groups = materialise(valid.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("members")).withColumn("dim", F.size("v")))
     apart = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
-    model = {}  # by vector length: centres, distances between them, reaches
-    for dim, n in groups.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(FITTED_LENGTHS).collect():
-        cells = int(max(1, min(n // cell_size, sample // 8)))
-        most = min(sample, max(4_000, 32 * cells))
-        x = _units([r[0] for r in groups.where(F.col("dim") == dim).orderBy(F.xxhash64("rep", F.lit(seed))).limit(most).select("v").collect()], dim)
-        c = fit_centres(x, cells, rounds)
-        model[dim] = (c, gaps(c), reaches(x, c, apart, sigmas))
-    shared = spark.sparkContext.broadcast(model)  # at most sample / 8 centres a length
+    lengths = groups.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(FITTED_LENGTHS).collect()
+    every = sum(n for _, n in lengths)
+    fitted, asked = {}, {}
+    for dim, n in lengths:
+        cells = int(max(1, min(n // cell_size, sample // 8 * n // every)))
+        own = groups.where(F.col("dim") == dim).orderBy(F.xxhash64("rep", F.lit(seed)))
+        ids, x = _collected(own.limit(min(sample, max(4_000, 32 * cells))).select("rep", "v"), dim)
+        fitted[dim] = (x, fit_centres(x, cells, rounds))
+        if sigmas is not None and len(fitted[dim][1]) > 1:
+            asked[dim] = (ids[:probes], x[:probes])
+    far = materialise(farthest_links(groups, asked, threshold)) if asked else None
+    model = {}  # by vector length: centres, and limits of visits from each cell to each other one
+    for dim, (x, c) in fitted.items():
+        links = (np.empty((0, dim)), np.empty((0, dim)))
+        if dim in asked:
+            ids, b = _collected(far.where(F.col("dim") == dim).select("probe", "x"), dim)
+            order = np.argsort(asked[dim][0])
+            links = (asked[dim][1][order[np.searchsorted(asked[dim][0][order], ids)]], b)
+        model[dim] = (c, limits(x, links, c, apart, sigmas))
+    shared = spark.sparkContext.broadcast(model)  # at most sample / 8 centres, and the square of that of limits: 50 MB
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
