@@ -514,6 +514,41 @@ def s2(spark, sf_dir):
     return W.units_of_docx(files).select(*UNIT, "text", F.size("runs").alias("n_runs"))
 
 
+DOCX_PARTS = [*(f"body-para-{k}" for k in range(3)), "table-0-r0-c0-para-0", *(f"table-0-nested-0-r0-c{k}-para-0" for k in range(2)),
+              "section-0-header-para-0", "section-0-header-table-0-r0-c0-para-0", *(f"section-0-footer-para-{k}" for k in range(2))]
+
+
+@query("s2_docx_source", f"""WITH {Q.TEMPLATE_UNITS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) AS i FROM units)
+SELECT doc_id || CASE WHEN doc_id % 3 = 0 THEN '.DOCX' ELSE '.docx' END AS doc_id, CAST(i - 1 AS INT) AS unit_ord, [{", ".join(map(Q.q, DOCX_PARTS))}][i] AS unit_id, text,
+  concat('0:', length(text) // 2, ',', length(text) // 2, ':', length(text)) AS runs FROM o WHERE doc_id % 3 < 2""")
+def s2_source(spark, sf_dir):
+    """.docx files made of the templates' documents (paragraphs, a table with one inside, header with a table, footer), written to the shared folder and read through the data source."""
+    import pandas as pd
+
+    from ..sources import docx_source
+
+    lines = templates(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("unit_ord", "text"))).alias("l"))  # ten lines a document
+    ending = F.element_at(F.array(F.lit(".DOCX"), F.lit(".docx"), F.lit(".txt")), (F.col("doc_id") % 3 + 1).cast("int"))
+    named = lines.select(F.concat(F.col("doc_id").cast("string"), ending).alias("name"), F.transform("l", lambda x: x["text"]).alias("lines"))
+    path = new_path(spark, "docx")
+
+    def write(batches):
+        store, root = docx_source.file_system(path)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            for name, said in zip(b["name"], b["lines"]):
+                h = [[t[: len(t) // 2], t[len(t) // 2 :]] for t in said]
+                with store.open_output_stream(f"{root}/{name}") as out:
+                    out.write(W.docx_bytes(h[:3], h[3:4], h[4:6], W.docx_part(h[6:7], h[7:8]), W.docx_part(h[8:])))
+            yield pd.DataFrame({"name": b["name"]})
+
+    named.mapInPandas(write, "name string").write.format("noop").mode("overwrite").save()
+    docx_source.register(spark)
+    units = spark.read.format("docx_units").option("partitionBytes", 1 << 20).load(path)
+    places = F.array_join(F.transform("runs", lambda r: F.concat_ws(":", r["run_start"], r["run_end"])), ",")
+    return units.select(F.element_at(F.split("doc_id", "/"), -1).alias("doc_id"), "unit_ord", "unit_id", "text", places.alias("runs"))
+
+
 @query("s3_gate", "SELECT doc_id, octet_length(encode(text)) AS length FROM documents WHERE doc_id % 3 < 2 AND octet_length(encode(text)) <= 2000")
 def s3(spark, sf_dir):
     ending = F.element_at(F.array(F.lit(".DOCX"), F.lit(".docx"), F.lit(".doc")), (F.col("doc_id") % 3 + 1).cast("int"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 UNITS = "doc_id string, unit_ord int, unit_id string, text string, runs array<struct<run_index:int,run_start:int,run_end:int,text:string>>"
+ERRORS = "doc_id string, error string"
 MOST_BYTES = 50 * 1024 * 1024
 
 
@@ -23,15 +25,20 @@ def docx_gate(files: DataFrame, max_bytes: int = MOST_BYTES) -> DataFrame:
 
 
 def _run_text(run) -> str:
-    said = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n"}
-    return "".join(x.text or "" if x.tag == f"{W}t" else said.get(x.tag, "") for x in run)
+    """Text, tabs, line breaks and no-break hyphens of a run; breaks of a page or column are no text."""
+    said = {f"{W}tab": "\t", f"{W}ptab": "\t", f"{W}cr": "\n", f"{W}noBreakHyphen": "-"}
+
+    def one(x) -> str:
+        if x.tag == f"{W}br":
+            return "\n" if x.get(f"{W}type", "textWrapping") == "textWrapping" else ""
+        return x.text or "" if x.tag == f"{W}t" else said.get(x.tag, "")
+
+    return "".join(map(one, run))
 
 
 def _paragraph(p) -> list[str]:
-    runs = []
-    for x in p:
-        runs += [_run_text(x)] if x.tag == f"{W}r" else [_run_text(r) for r in x.iter(f"{W}r")] if x.tag == f"{W}hyperlink" else []
-    return runs
+    """Texts of the paragraph's own runs; those inside hyperlinks and tracked insertions are not among them."""
+    return [_run_text(x) for x in p.findall(f"{W}r")]
 
 
 def _table(table, prefix: str, nested: str | None = None) -> Iterator[tuple[str, list[str]]]:
@@ -50,10 +57,15 @@ def _part(root, prefix: str) -> Iterator[tuple[str, list[str]]]:
         yield from _table(table, f"{prefix}-table-{t}")
 
 
-def walk_docx(content: bytes) -> Iterator[tuple[str, list[str]]]:
+def _xml(z: zipfile.ZipFile, name: str):
+    with z.open(name) as part:
+        return ElementTree.parse(part).getroot()
+
+
+def walk_docx(file: BinaryIO) -> Iterator[tuple[str, list[str]]]:
     """(unit id, texts of the runs): body paragraphs, tables, then each section's default header and footer. A section without its own takes the one before."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
+    with zipfile.ZipFile(file) as z:
+        body = _xml(z, "word/document.xml").find(f"{W}body")
         for p, para in enumerate(body.findall(f"{W}p")):
             yield f"body-para-{p}", _paragraph(para)
         for t, table in enumerate(body.findall(f"{W}tbl")):
@@ -61,16 +73,34 @@ def walk_docx(content: bytes) -> Iterator[tuple[str, list[str]]]:
         names = z.namelist()
         rels = {}
         if "word/_rels/document.xml.rels" in names:
-            rels = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(z.read("word/_rels/document.xml.rels"))}
+            rels = {x.get("Id"): x.get("Target") for x in _xml(z, "word/_rels/document.xml.rels")}
         last: dict[str, str | None] = {"header": None, "footer": None}
-        for s, section in enumerate(body.iter(f"{W}sectPr")):
+        sections = [x for p in body for x in (p.findall(f"{W}pPr/{W}sectPr") if p.tag == f"{W}p" else [p] if p.tag == f"{W}sectPr" else [])]
+        for s, section in enumerate(sections):
             for kind in ("header", "footer"):
                 for ref in section.findall(f"{W}{kind}Reference"):
                     if ref.get(f"{W}type", "default") == "default":
                         last[kind] = rels.get(ref.get(f"{R}id"))
                 path = last[kind] and (last[kind].lstrip("/") if last[kind].startswith("/") else f"word/{last[kind]}")
                 if path in names:
-                    yield from _part(ElementTree.fromstring(z.read(path)), f"section-{s}-{kind}")
+                    yield from _part(_xml(z, path), f"section-{s}-{kind}")
+
+
+def units_of_file(file: BinaryIO) -> tuple[list[tuple[int, str, str, list[dict]]], str | None]:
+    """(unit_ord, unit_id, text, runs) of the units that are not blank, and the name of the error of a file that is no readable .docx."""
+    try:
+        units = list(walk_docx(file))
+    except Exception as e:  # damaged, encrypted or foreign archives fail in many ways; one file must not end the job
+        return [], type(e).__name__
+    out = []
+    for i, (unit_id, texts) in enumerate(units):
+        at, runs = 0, []
+        for k, text in enumerate(texts):
+            runs.append({"run_index": k, "run_start": at, "run_end": at + len(text), "text": text})
+            at += len(text)
+        if "".join(texts).strip():
+            out.append((i, unit_id, "".join(texts), runs))
+    return out, None
 
 
 def units_of_docx(files: DataFrame, max_bytes: int = MOST_BYTES, errors: bool = False) -> DataFrame:
@@ -80,24 +110,13 @@ def units_of_docx(files: DataFrame, max_bytes: int = MOST_BYTES, errors: bool =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
-                rows, error = [], None
-                try:
-                    units = list(walk_docx(content))
-                except Exception as e:  # damaged, encrypted or foreign archives fail in many ways; one file must not end the job
-                    units, error = [], type(e).__name__
-                for i, (unit_id, runs) in enumerate(units):
-                    at, out = 0, []
-                    for k, text in enumerate(runs):
-                        out.append({"run_index": k, "run_start": at, "run_end": at + len(text), "text": text})
-                        at += len(text)
-                    if "".join(runs).strip():
-                        rows.append((name, i, unit_id, "".join(runs), out))
+                units, error = units_of_file(io.BytesIO(content))
                 if errors:
                     yield pd.DataFrame([(name, error)] if error else [], columns=["doc_id", "error"])
                 else:
-                    yield pd.DataFrame(rows, columns=["doc_id", "unit_ord", "unit_id", "text", "runs"])
+                    yield pd.DataFrame([(name, *u) for u in units], columns=["doc_id", "unit_ord", "unit_id", "text", "runs"])
 
-    return docx_gate(files, max_bytes).select("path", "content").mapInPandas(run, "doc_id string, error string" if errors else UNITS)
+    return docx_gate(files, max_bytes).select("path", "content").mapInPandas(run, ERRORS if errors else UNITS)
 
 
 def units_from_docx(spark: SparkSession, path: str, max_bytes: int = MOST_BYTES) -> DataFrame:
@@ -105,17 +124,32 @@ def units_from_docx(spark: SparkSession, path: str, max_bytes: int = MOST_BYTES)
     return units_of_docx(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), max_bytes)
 
 
-def docx_bytes(paragraphs: list[list[str]], cells: list[list[str]] = ()) -> bytes:
-    """A .docx of paragraphs (texts of their runs), and a table of one row if there are cells."""
-    text = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
-    para = lambda runs: "<w:p>" + "".join(f'<w:r><w:t xml:space="preserve">{text(t)}</w:t></w:r>' for t in runs) + "</w:p>"
-    table = "<w:tbl><w:tr>" + "".join(f"<w:tc>{para(c)}</w:tc>" for c in cells) + "</w:tr></w:tbl>" if len(cells) else ""
+def docx_bytes(paragraphs: list[list[str]], cells: list[list[str]] = (), nested: list[list[str]] = (), header: str = "", footer: str = "") -> bytes:
+    """A .docx of paragraphs (texts of their runs), and a table of one row if there are cells; nested: cells of a table of one row inside the last cell.
+    header, footer: content of these parts, as docx_part() gives it."""
+    inner = docx_part([], nested) if len(nested) else ""
+    body = docx_part(paragraphs, cells, inner)
+    parts = {kind: content for kind, content in (("header", header), ("footer", footer)) if content}
+    space = f'xmlns:w="{W[1:-1]}" xmlns:r="{R[1:-1]}"'
+    refs = "".join(f'<w:{kind}Reference w:type="default" r:id="{kind}"/>' for kind in parts)
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="{W[1:-1]}"><w:body>{"".join(map(para, paragraphs))}{table}</w:body></w:document>')
+        z.writestr("word/document.xml", f"<w:document {space}><w:body>{body}{f'<w:sectPr>{refs}</w:sectPr>' if refs else ''}</w:body></w:document>")
+        for kind, content in parts.items():
+            z.writestr(f"word/{kind}1.xml", f"<w:hdr {space}>{content}</w:hdr>")
+        if parts:
+            z.writestr("word/_rels/document.xml.rels", "<Relationships>" + "".join(f'<Relationship Id="{kind}" Target="{kind}1.xml"/>' for kind in parts) + "</Relationships>")
     return out.getvalue()
 
 
+def docx_part(paragraphs: list[list[str]], cells: list[list[str]] = (), inner: str = "") -> str:
+    """Paragraphs and a table of one row if there are cells; inner goes into its last cell."""
+    text = lambda t: t.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;")
+    para = lambda runs: "<w:p>" + "".join(f'<w:r><w:t xml:space="preserve">{text(t)}</w:t></w:r>' for t in runs) + "</w:p>"
+    row = [para(c) + (inner if k == len(cells) - 1 else "") for k, c in enumerate(cells)]
+    return "".join(map(para, paragraphs)) + ("<w:tbl><w:tr>" + "".join(f"<w:tc>{c}</w:tc>" for c in row) + "</w:tr></w:tbl>" if row else "")
+
+
 ENTRY = "struct<unit_id:string,entity_type:string,start:int,end:int,text:string>"
 
 
