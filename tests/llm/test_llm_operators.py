@@ -614,3 +614,14 @@ def test_pipeline_stages(spark):
         assert stage.columns == start.columns
     out = P.encoding_stage(spark, mixed, SF)
     assert out.count() == mixed.count() and all(r.decoded == r.text for r in sentencepiece_dropout.decode_column(out).limit(20).collect())
+
+
+def test_temporary_names(spark, odd):
+    """Columns named as the temporary ones of dropping and mixing keep their values."""
+    names = ["__key", "__KEY_", "__gone", "__nth", "__row", "__times", "__copy"]
+    named = odd.select("*", *[F.lit(name).alias(name) for name in names])
+    for work in (exact_dedup.drop_duplicates, mixing.mixed_rows):
+        want, got = work(odd), work(named)
+        assert got.columns == named.columns
+        assert sorted(map(repr, got.select(*odd.columns).collect())) == sorted(map(repr, want.collect()))
+        assert all(tuple(r) == tuple(names) for r in got.select(*names).collect())

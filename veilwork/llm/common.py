@@ -55,13 +55,21 @@ def row_key(id_col, text_col) -> F.Column:
     return F.concat_ws(":", named, F.octet_length(text).cast("string"), F.xxhash64(text).cast("string"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these, in order, that no column of docs has, in whatever case."""
+    have = {c.lower() for c in docs.columns}
+    longest = max(map(len, have), default=0)
+    return [name if name.lower() not in have else name.ljust(longest + 1, "_") for name in names]
+
+
 def without_rows(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, once: bool = False) -> DataFrame:
     """The rows of docs, all columns, whose row_key() is not in gone(key); with `once` only one of the rows of a key. One plan at every size, one shuffle."""
-    keyed = docs.withColumn("__key", row_key(id_col, text_col))
-    gone = materialise(gone.select(F.col("key").alias("__gone")).distinct())
-    left = keyed.join(gone.hint("merge"), F.col("__key") == F.col("__gone"), "left_anti")
+    key, drop, nth = unused(docs, "__key", "__gone", "__nth")
+    keyed = docs.withColumn(key, row_key(id_col, text_col))
+    gone = materialise(gone.select(F.col("key").alias(drop)).distinct())
+    left = keyed.join(gone.hint("merge"), F.col(key) == F.col(drop), "left_anti")
     if once:
-        left = left.withColumn("__nth", F.row_number().over(Window.partitionBy("__key").orderBy("__key"))).where("__nth = 1")
+        left = left.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(key))).where(F.col(nth) == 1)
     return left.select(*[left[c] for c in docs.columns])
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, row_key, table
+from .common import materialise, row_key, table, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -86,13 +86,14 @@ def taken_words(docs: DataFrame, **options) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all columns, each as often as the mixture takes it: not at all, once or twice."""
+    key, counts, row, nth, copy = unused(docs, "__key", "__times", "__row", "__nth", "__copy")
     times = mix(docs, id_col, text_col, **options).where("taken").groupBy("key", "nth").agg(F.count("*").alias("times"))
-    times = materialise(times.groupBy(F.col("key").alias("__key")).agg(F.map_from_entries(F.collect_list(F.struct("nth", "times"))).alias("__times")))  # a key's repeated rows
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    keyed = keyed.withColumn("__nth", F.row_number().over(Window.partitionBy("__row").orderBy("__row")))
-    taken = keyed.join(times.hint("merge"), F.col("__row") == F.col("__key"))
-    copies = F.explode(F.array_repeat(F.lit(0), F.coalesce(F.element_at("__times", F.col("__nth")), F.lit(0)).cast("int")))
-    return taken.withColumn("__copy", copies).select(*[taken[c] for c in docs.columns])
+    times = materialise(times.groupBy(F.col("key").alias(key)).agg(F.map_from_entries(F.collect_list(F.struct("nth", "times"))).alias(counts)))  # a key's repeated rows
+    keyed = docs.withColumn(row, row_key(id_col, text_col))
+    keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(row).orderBy(row)))
+    taken = keyed.join(times.hint("merge"), F.col(row) == F.col(key))
+    copies = F.explode(F.array_repeat(F.lit(0), F.coalesce(F.element_at(counts, F.col(nth)), F.lit(0)).cast("int")))
+    return taken.withColumn(copy, copies).select(*[taken[c] for c in docs.columns])
 
 
 SQL = r"""
