@@ -115,8 +115,8 @@ def redact_runs(units: DataFrame, value=label) -> DataFrame:
 
     runs: array<struct<run_index, run_start, run_end, text>>; run_start and run_end stay those of the original."""
 
-    def run(r: Column) -> Column:
-        inside = F.filter(F.col("spans"), lambda s: (s["start"] < r["run_end"]) & (s["end"] > r["run_start"]) & (s["start"] < s["end"]))
+    def run(spans: Column, r: Column) -> Column:
+        inside = F.filter(spans, lambda s: (s["start"] < r["run_end"]) & (s["end"] > r["run_start"]) & (s["start"] < s["end"]))
 
         def step(acc: Column, s: Column) -> Column:
             begin, end = F.greatest(s["start"], r["run_start"]), F.least(s["end"], r["run_end"])
@@ -127,7 +127,8 @@ def redact_runs(units: DataFrame, value=label) -> DataFrame:
                            lambda acc: F.concat(acc["out"], piece(r["text"], acc["at"] - r["run_start"], r["run_end"] - r["run_start"])))
         return r.withField("text", text)
 
-    return units.withColumn("runs", F.transform("runs", run))
+    # a column named inside the lambda would be computed, with all recognizers, for each run
+    return units.withColumn("runs", let(F.col("spans"), lambda spans: F.transform("runs", lambda r: run(spans, r))))
 
 
 def explode_detections(units: DataFrame, keys: Sequence[str] = ("doc_id", "unit_ord", "unit_id"), text_col: str = "text", mapping: DataFrame | None = None, scope: Sequence[str] = ("doc_id",),
