@@ -1,5 +1,7 @@
 """What keeps jobs in proportion on large tables: tasks of bounded rows, expressions computed once."""
 
+from veilwork.functions.stored import new_path
+from veilwork.jobs import registry
 from veilwork.operators import detect as D
 from veilwork.operators import redact as X
 
@@ -18,3 +20,12 @@ def test_runs_take_spans_once(spark):
     told = plan(out.select("runs"))
     assert told.index("@[A-Za-z0-9-]+") < told.index("transform(runs#")
     assert [r["text"] for r in out.first()["runs"]] == ["write to [REDACTED: EMAIL]", "", " now"]
+
+
+def test_keys_of_one_file_are_many_tasks(spark):
+    """A table of keys in one row group is one task to Spark; its units are dealt, all of them, to partitions of bounded rows, and a document's stay together."""
+    path = new_path(spark, "keys")
+    spark.range(1, 20_001).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{path}/customer.parquet")
+    per = registry.templates(spark, path).rdd.mapPartitions(lambda rows: [[r.doc_id for r in rows]]).collect()
+    assert sum(map(len, per)) == 20_000 and len(per) >= 3 and max(map(len, per)) < 10_000
+    assert sum(len(set(p)) for p in per) == len({d for p in per for d in p})

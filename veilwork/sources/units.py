@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -15,6 +16,17 @@ def units_from_table(df: DataFrame, id_cols: Sequence[str] = ("doc_id",), text_c
     return rows.where(F.col("text").rlike(r"\S")).select(*id_cols, "unit_ord", F.concat(F.lit("body-para-"), F.col("unit_ord").cast("string")).alias("unit_id"), "text")
 
 
+def spread(df: DataFrame, *by: Column | str, rows: int = 8192) -> DataFrame:
+    """df dealt by hash to partitions of about `rows` rows, and to every core where there are fewer.
+
+    Readers cut a table by bytes and at row groups, so a narrow table whose rows are cheap to read and dear to analyse is one task's, however many rows it has. To be called
+    on a table as read, before anything is computed: its rows are counted first (of Parquet only the footers are read). The number is given, so adaptive execution does not
+    merge the small partitions again."""
+    n = df.count()
+    parts = max(math.ceil(n / rows), min(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n * 16 / rows)), 1)
+    return df.repartition(parts, *by)
+
+
 # Names of the template units.
 FIRST = ("Rajesh", "Priya", "Arjun", "Sneha", "Kavita", "Amit")
 LAST = ("Kumar", "Singh", "Mehta", "Joshi", "Rao")
