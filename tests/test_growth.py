@@ -1,9 +1,12 @@
 """What keeps jobs in proportion on large tables: tasks of bounded rows, expressions computed once."""
 
+from pathlib import Path
+
 from veilwork.functions.stored import new_path
 from veilwork.jobs import registry
 from veilwork.operators import detect as D
 from veilwork.operators import redact as X
+from veilwork.sources import files
 
 
 def plan(df) -> str:
@@ -29,3 +32,21 @@ def test_keys_of_one_file_are_many_tasks(spark):
     per = registry.templates(spark, path).rdd.mapPartitions(lambda rows: [[r.doc_id for r in rows]]).collect()
     assert sum(map(len, per)) == 20_000 and len(per) >= 3 and max(map(len, per)) < 10_000
     assert sum(len(set(p)) for p in per) == len({d for p in per for d in p})
+
+
+def test_truth_files_written_by_tasks(spark, tmp_path):
+    """A file a document in a bounded number of folders, all of them, read back under their names."""
+    rows = spark.range(3000).selectExpr("cast(id AS string) AS name", """concat('{"entries": [], "absent_types": {"US_SSN": "', id, ' ä"}}') AS value""").repartition(3)
+    for _ in range(2):  # a second run of the tasks writes the same files
+        files.write_ground_truth(rows, str(tmp_path / "t"), folders=16)
+    assert len(list((tmp_path / "t").iterdir())) == 16
+    got = files.read_ground_truth(spark, str(tmp_path / "t"))[1].collect()
+    assert sorted((int(r.doc_id), r.absent_types["US_SSN"]) for r in got) == [(i, f"{i} ä") for i in range(3000)]
+
+
+def test_truth_of_templates_is_a_file_a_document(spark):
+    """No folder a document, which the driver would have to move and to list."""
+    path = new_path(spark, "keys")
+    spark.range(1, 3_001).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{path}/customer.parquet")
+    folder = Path(registry.truth_files(spark, path).removeprefix("file:").replace("//", "/"))
+    assert sum(1 for _ in folder.glob("*/*.json")) == 301 and len([p for p in folder.iterdir() if p.is_dir()]) <= 256

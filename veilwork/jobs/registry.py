@@ -463,18 +463,14 @@ def truth_files(spark, sf_dir) -> str:
     rows = templates(spark, sf_dir).select("doc_id", "unit_ord", "unit_id", "text", F.explode("gt").alias("g")).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))  # ten units
     lacking = F.array_except(F.array(*map(F.lit, S.TYPES)), F.transform("entries", lambda e: e["entity_type"]))
     absent = F.map_from_arrays(lacking, F.transform(lacking, lambda _: F.lit("none in this document")))
-    rows = rows.select("doc_id", F.to_json(F.struct("entries", absent.alias("absent_types"))).alias("value"))
-    rows.repartition("doc_id").write.partitionBy("doc_id").text(path)
+    W.write_ground_truth(rows.select(F.col("doc_id").cast("string").alias("name"), F.to_json(F.struct("entries", absent.alias("absent_types"))).alias("value")), path)
     return path
 
 
-BY_FOLDER = r"doc_id=(\d+)/[^/]*$"
-
-
 @query("s4_ground_truth", _tpl("SELECT CAST(doc_id AS VARCHAR) AS doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord, st) - 1 AS INT) AS gt_id, unit_id, entity_type, st AS \"start\", en AS \"end\", "
                                 f"{Q.SAID} AS text FROM truth JOIN (SELECT doc_id, unit_ord, text FROM units) USING (doc_id, unit_ord)"))
 def s4(spark, sf_dir):
-    return W.read_ground_truth(spark, truth_files(spark, sf_dir), BY_FOLDER)[0]
+    return W.read_ground_truth(spark, truth_files(spark, sf_dir))[0]
 
 
 _kinds = ", ".join(map(Q.q, S.TYPES))
@@ -483,14 +479,14 @@ _kinds = ", ".join(map(Q.q, S.TYPES))
 @query("e7_absent_types", f"WITH {Q.TEMPLATE_UNITS}, d AS (SELECT DISTINCT doc_id FROM truth), t AS (SELECT doc_id, unnest([{_kinds}]) AS entity_type FROM d) "
                           "SELECT CAST(doc_id AS VARCHAR) AS doc_id, entity_type, 'none in this document' AS reason FROM t WHERE (doc_id, entity_type) NOT IN (SELECT (doc_id, entity_type) FROM truth)")
 def e7(spark, sf_dir):
-    return E.absent_types(W.read_ground_truth(spark, truth_files(spark, sf_dir), BY_FOLDER)[1])
+    return E.absent_types(stored(W.read_ground_truth(spark, truth_files(spark, sf_dir))[1]))  # sorting would read the files twice
 
 
 @query("e_metrics_from_files", METRICS)
 def e_files(spark, sf_dir):
     """E5, E6 with the truth read from files whose entries are numbered from 0 in each."""
     det = sides(spark, sf_dir)[0].withColumn("doc_id", F.col("doc_id").cast("string"))
-    return E.evaluate(det, W.read_ground_truth(spark, truth_files(spark, sf_dir), BY_FOLDER)[0])
+    return E.evaluate(det, W.read_ground_truth(spark, truth_files(spark, sf_dir))[0])
 
 
 @query("s2_docx_units", f"""WITH {Q.TEMPLATE_UNITS}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY unit_ord) - 1 AS i FROM units),
