@@ -50,3 +50,15 @@ def test_truth_of_templates_is_a_file_a_document(spark):
     spark.range(1, 3_001).withColumnRenamed("id", "c_custkey").coalesce(1).write.parquet(f"{path}/customer.parquet")
     folder = Path(registry.truth_files(spark, path).removeprefix("file:").replace("//", "/"))
     assert sum(1 for _ in folder.glob("*/*.json")) == 301 and len([p for p in folder.iterdir() if p.is_dir()]) <= 256
+
+
+def test_distinct_texts_without_triggers_are_not_shuffled(spark, monkeypatch):
+    """Only texts that a recognizer may hit enter the dictionary; the spans are those of detect() for every unit, repeated, blank and null ones too."""
+    texts = [f"plain words {chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)] + ["to a.b@c.example", "to a.b@c.example", "call 5", " ", None, "Mr. Rajesh Kumar", "QQQQ!!"]
+    units = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    asked, plainly = [], D.detect
+    monkeypatch.setattr(D, "detect", lambda u, *a, **k: asked.append(u.count()) or plainly(u, *a, **k))
+    told = lambda df: sorted((r.doc_id, r.text, tuple(r.spans)) for r in df.collect() if r.text) + [len([0 for r in df.collect() if r.text is None and r.spans == []])]
+    assert told(D.detect_distinct(units)) == told(plainly(units)) and asked == [3]
+    extra = {"shout": D.regex_recognizer("SHOUT", "[A-Z]{4,}!!", 0.8)}
+    assert told(D.detect_distinct(units, extra=extra)) == told(plainly(units, extra=extra)) and asked[1] == 304

@@ -210,14 +210,19 @@ def detect(units: DataFrame, names: Sequence[str] | None = None, text_col: str =
 def detect_distinct(units: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """D14 with every distinct text analysed once (H9): for corpora whose headers, footers and stock paragraphs recur.
 
-    The dictionary of texts, keyed by hash and text, is counted down before the shuffle; only texts that have spans are written, and they are joined back to all units by both
-    keys, which adaptive execution splits where one text is very frequent. Repeated units stay, null
-    texts have no spans."""
-    key = F.xxhash64(F.col(text_col))
-    words = units.where(F.col(text_col).rlike(r"\S")).select(key.alias("__hash"), F.col(text_col).alias("__text")).groupBy("__hash", "__text").agg(F.count("*").alias("__n"))
+    Units that no recognizer can hit by their triggers, most of a corpus, are told in a narrow scan, keep their place and are never shuffled; the others are written. Their
+    dictionary of texts, keyed by hash and text, is counted down before the shuffle; only texts that have spans are written, and they are joined back by both keys, which adaptive
+    execution splits where one text is very frequent. The caller's own recognizers (extra) may hit any text, so that with them every text is in the dictionary. Repeated units
+    stay, null texts have no spans."""
+    text, key = F.col(text_col), F.xxhash64(F.col(text_col))
+    own = bool(options.get("extra"))
+    may = F.coalesce(text.rlike(r"\S") & (F.lit(True) if own else triggers(text) != 0), F.lit(False))
+    some = units.where(may) if own else stored(units.where(may))
+    words = some.select(key.alias("__hash"), text.alias("__text")).groupBy("__hash", "__text").agg(F.count("*").alias("__n"))
     hits = stored(detect(words, text_col="__text", **options).where(F.size("spans") > 0).select("__hash", "__text", "spans"))
-    found = units.join(hits, (key == F.col("__hash")) & (F.col(text_col) == F.col("__text")), "left")
-    return found.withColumn("spans", F.coalesce("spans", _none())).drop("__hash", "__text")
+    found = some.join(hits, (key == F.col("__hash")) & (text == F.col("__text")), "left")
+    found = found.withColumn("spans", F.coalesce("spans", _none())).drop("__hash", "__text")
+    return found.unionByName(units.where(~may).withColumn("spans", _none()))
 
 
 def regex_recognizer(kind: str, pattern: str, score: float, name: str = "custom") -> Callable[[Column], Column]:
