@@ -228,6 +228,40 @@ def test_jaccard_blocks_and_odd_rows(spark, odd, none, monkeypatch):
     assert jaccard_join.similar_groups(none).count() == 0
 
 
+def _around_hubs(seed, sets, words=60):
+    """Texts around two hubs, from slightly to heavily changed, and texts that share a passage with a hub only."""
+    rng, rows = random.Random(seed), []
+    hubs = [[f"h{k}w{i}" for i in range(words)] for k in range(2)]
+    for i in range(sets):
+        text = list(hubs[i % 5 == 0])
+        if i % 7 == 0:
+            text[words // 3 :] = [f"o{i}x{j}" for j in range(words)]
+        for _ in range(rng.choice([1, 1, 2, 3, 4])):
+            text[rng.randrange(len(text))] = f"n{rng.randrange(9)}" if i % 3 else f"n{i}z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    return rows
+
+
+def test_jaccard_large_groups(spark, monkeypatch):
+    """Large groups of a key made one and cut into blocks: every link is found."""
+    monkeypatch.setattr(jaccard_join, "FEW", 4)
+    monkeypatch.setattr(jaccard_join, "KEY_BLOCK", 4)
+    rows = _around_hubs(3, 170)
+    got = jaccard_join.similar_groups(docs(spark, [(i, t, "s") for i, t in rows]), shingle=3, percent=80).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in got} == _brute_groups(rows, 3, 80)
+
+
+def test_jaccard_rows_of_large_groups(spark, monkeypatch):
+    """Near copies are not compared anew for every key that they share, and the rows that large groups are compared in do not grow with the square of their sets."""
+    monkeypatch.setattr(jaccard_join, "FEW", 8)
+    monkeypatch.setattr(jaccard_join, "KEY_BLOCK", 8)
+    made, plainly = [], jaccard_join.near_edges
+    monkeypatch.setattr(jaccard_join, "near_edges", lambda tagged, scheme: made.append(tagged.count()) or plainly(tagged, scheme))
+    for sets in (150, 600):
+        jaccard_join.similar_groups(docs(spark, [(i, t, "s") for i, t in _around_hubs(4, sets)]), shingle=3, percent=80).count()
+    assert made[0] < 4_000 and made[1] < 40_000
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 16))

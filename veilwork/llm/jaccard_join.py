@@ -11,8 +11,8 @@ shares a whole fragment, which one equi-grouping finds without counting frequenc
    with more has one alike with every partner. The sketch has one byte of hash for each of a larger number of fine fragments.
 2. Sets that share a key are compared by their sketches: fine fragments that differ are counted, each of them
    stands for a shingle of one set only, and the pair goes on when the sum is no more than linked sets can differ in. Passages that many documents share
-   give keys in common, but not such pairs. Groups of a key are walked from set to set (no pair is met twice once both are reached), cut into bounded blocks where they are large.
-   The connected parts of what goes on are families; a linked pair is always in one.
+   give keys in common, but not such pairs. Groups of a key are walked from set to set (no pair is met twice once both are reached). Large groups of much the same sets are made one,
+   so that near copies are not compared anew for every key that they share, and cut into blocks. The connected parts of what goes on are families; a linked pair is always in one.
 3. Families are cut into bounded blocks; for each pair of blocks partial overlaps are counted fragment by
    fragment of the order, summed per pair, and compared with the threshold exactly. A spanning forest and link counts
    leave the task, not the pairs.
@@ -148,7 +148,8 @@ def walk(rows: np.ndarray, sketch: np.ndarray, size: np.ndarray, label: np.ndarr
     while len(left):
         first, front, left = left[0], left[:1], left[1:]
         while len(front) and len(left):
-            some, front = front[:16], front[16:]
+            at = max(1, (1 << 15) // len(left))
+            some, front = front[:at], front[at:]
             apart = (sketch[some][:, None, :] != sketch[left][None, :, :]).sum(2)
             near = (apart <= scheme.most_apart(label[left][None, :], size[some][:, None], size[left][None, :])).any(0)
             found = left[near]
@@ -199,6 +200,25 @@ def near_edges(tagged: DataFrame, scheme: Cuts) -> DataFrame:
     return tagged.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInPandas(run, "a long, b long")
 
 
+def merged(hits: DataFrame) -> DataFrame:
+    """Rows (label, key, class), each once, of large groups (label, key, class, low: the smallest class of the key). Groups with the same smallest class become one, and what they give with the same
+    smallest hash of another kind; classes are hashes, so two groups become one with the chance of their likeness. No group loses a set."""
+    groups = materialise(hits.select("label", F.xxhash64("low", "label").alias("key"), "class").distinct())
+    least = materialise(groups.groupBy("label", "key").agg(F.min(F.xxhash64("class", "label")).alias("least")))
+    return materialise(groups.join(least, ["label", "key"]).select("label", F.col("least").alias("key"), "class").distinct())
+
+
+def in_blocks(hits: DataFrame) -> DataFrame:
+    """Large groups (label, key, class, low) as rows (key, label, p, q, class) of pairs of blocks. From some size on there are as many blocks as the root of the size says: rows
+    grow by the power 1.5, not 2, and the sets of a pair of blocks by 0.5."""
+    groups = merged(hits)
+    size = groups.groupBy("label", "key").agg((F.count("*") / KEY_BLOCK).alias("size"))
+    size = materialise(size.select("label", "key", F.ceil(F.least(F.col("size"), 4 * F.sqrt("size"))).cast("int").alias("blocks")))
+    rows = groups.join(size, ["label", "key"]).withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("key", "label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "class")
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, scheme: Cuts, with_key: bool) -> DataFrame:
     """doc_id, key, n, class (null: no shingles), marks. A class's marks come once per task."""
 
@@ -296,15 +316,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = found.select("class", "n", F.explode("marks").alias("m")).select("class", "n", "m.label", "m.sketch", "m.keys")
     keys = marks.select("class", "label", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    hits = materialise(keys.join(materialise(shared.select("key", "rows")), "key").select("key", "class", "label", "rows"))
+    shared = materialise(shared.select("key", "rows", F.when(F.col("rows") > FEW, F.col("low")).alias("low")))
+    hits = materialise(keys.join(shared, "key").select("key", "class", "label", "rows", "low"))
     sketches = materialise(marks.select("class", "label", "n", "sketch").dropDuplicates(["class", "label"]))
     drop_written(found)
     # Near copies share most of their keys: small groups of the same sets are compared once, whatever the key
     few = hits.where(F.col("rows") <= FEW).groupBy("key").agg(F.array_sort(F.collect_set("class")).alias("members"), F.min("label").alias("label"))
     few = few.groupBy("label", "members").agg(F.min("key").alias("key")).select("key", "label", F.lit(0).alias("p"), F.lit(0).alias("q"), F.explode("members").alias("class"))
-    many = hits.where(F.col("rows") > FEW).withColumn("blocks", F.ceil(F.col("rows") / KEY_BLOCK).cast("int"))
-    many = many.withColumn("block", F.pmod(F.xxhash64("class", "key"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    many = many.select("key", "label", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "class")
+    many = in_blocks(hits.where(F.col("rows") > FEW))
     tagged = few.unionByName(many).join(sketches, ["class", "label"]).select("key", "p", "q", "class", "n", "label", "sketch")
     near = materialise(near_edges(tagged, scheme).distinct())
     drop_written(hits)
